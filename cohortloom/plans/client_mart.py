@@ -102,12 +102,12 @@ def client_channel(base: DataFrame) -> DataFrame:
 
 
 def client_ltv(policy_values: DataFrame) -> DataFrame:
-    """Lifetime value per client, rounded so that ordering by it is repeatable."""
+    """Lifetime value per client, rounded to cents so that ordering by it is repeatable."""
     return policy_values.groupBy("po_num").agg(
-        F.round(F.sum("coverage_ape"), 4).alias("coverage_ape"),
-        F.round(F.sum("plan_nbv"), 4).alias("plan_nbv"),
+        F.round(F.sum("coverage_ape"), 2).alias("coverage_ape"),
+        F.round(F.sum("plan_nbv"), 2).alias("plan_nbv"),
         F.round(F.try_divide(F.sum("plan_nbv"), F.sum("coverage_ape")), 6).alias("cli_nbv_margin"),
-        *[F.round(F.sum(f"pol_ltv{part}"), 4).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
+        *[F.round(F.sum(f"pol_ltv{part}"), 2).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
         F.least(F.min("next_due_decile"), F.min("early_decile")).alias("lapse_decile"),
     )
 

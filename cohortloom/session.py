@@ -36,7 +36,7 @@ def local_session(cores: str | int = "*", app: str = "cohortloom", memory: str =
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,5 +54,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
