@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, kpi_select, rate_columns, size_columns, with_parts
+from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, kpi_select, nudged, rate_columns, size_columns, with_parts
 from cohortloom.functions import codes
 from cohortloom.operators.lookups import owner_of
+from cohortloom.operators.ordering import average_rank_desc
 from cohortloom.plans import agent_mart
+from cohortloom.session import new_folder
+from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import SNAPSHOT
 
 COURSES = [f"sbw{i:02d}" for i in range(1, 13)]
@@ -17,12 +20,20 @@ def master(t):
     return agent_mart.agent_master(t.agents(), t.tier_list(), training, SNAPSHOT)
 
 
-def mart(t):
+def mart(t, parts=agent_mart.PARTS):
     return agent_mart.coverage_mart(
-        t.coverages(), t.policies(), master(t), t.clients(), t.plans(), t.dated_margins(), SNAPSHOT
+        t.coverages(), t.policies(), master(t), t.clients(), t.plans(), t.dated_margins(), SNAPSHOT, parts
     )
 
 
+KPI_PARTS = ["sale_order", "premium", "value", "relation"]
+
+
+def stored_mart(t, parts=KPI_PARTS):
+    """The mart written once, for results that read it several times."""
+    return stage(mart(t, parts), new_folder(t.spark))
+
+
 @query("agent_master", with_parts("""
 select agt_code, agt_nm, tier, mpro_title, tenure_mth, no_sbw_completed from master""", "master"))
 def agent_master_query(t):
@@ -45,39 +56,42 @@ def agent_coverage_mart(t):
     ))
 
 
-def _register_kpi(name, blocks):
+def _register_kpi(name, blocks, parts):
     def build(t):
         kind = agent_mart.kpi_sums if blocks[0] in SUM_BLOCKS else agent_mart.kpi_counts
-        return tidy(kind(mart(t), SNAPSHOT, *blocks))
+        return tidy(kind(mart(t, parts), SNAPSHOT, *blocks))
 
     query(name, with_parts(kpi_select(*blocks), "mart"))(build)
 
 
-_register_kpi("rolling_sum_ape", ["ape"])
-_register_kpi("rolling_sum_nbv", ["nbv"])
-_register_kpi("rolling_distinct_owner", ["owner", "insured"])
-_register_kpi("rolling_distinct_policy", ["policy"])
-_register_kpi("rolling_distinct_product", ["product", "family"])
-_register_kpi("rolling_status_counts", ["not_taken", "rejected"])
-_register_kpi("rolling_rider", ["rider"])
-_register_kpi("rolling_repeat", ["repeat_ape", "repeat_nbv"])
-_register_kpi("persistency_counts", ["lapsed"])
+_register_kpi("rolling_sum_ape", ["ape"], ["premium"])
+_register_kpi("rolling_sum_nbv", ["nbv"], ["premium", "value"])
+_register_kpi("rolling_distinct_owner", ["owner", "insured"], [])
+_register_kpi("rolling_distinct_policy", ["policy"], [])
+_register_kpi("rolling_distinct_product", ["product", "family"], ["premium", "relation"])
+_register_kpi("rolling_status_counts", ["not_taken", "rejected"], [])
+_register_kpi("rolling_rider", ["rider"], ["premium"])
+_register_kpi("rolling_repeat", ["repeat_ape", "repeat_nbv"], ["sale_order", "premium", "value"])
+_register_kpi("persistency_counts", ["lapsed"], [])
 
 _SIZES, _RATES = list(size_columns()), list(rate_columns())
 
 
 def _rounded(names):
-    return ", ".join(f'round("{n}", 6) as "{n}"' for n in names)
+    return nudged(*names)
 
 
 @query("ticket_size", with_parts(f"select wa_code, {_rounded(_SIZES)} from rates", "rates"))
 def ticket_size(t):
-    return tidy(agent_mart.agent_kpis(mart(t), SNAPSHOT).select("wa_code", *_SIZES))
+    sold = mart(t, ["premium"])
+    sums, counts = agent_mart.kpi_sums(sold, SNAPSHOT, "ape"), agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner")
+    return tidy(agent_mart.with_ticket_sizes(sums.join(counts, "wa_code")).select("wa_code", *_SIZES), nudge=True)
 
 
 @query("quality_rates", with_parts(f"select wa_code, {_rounded(_RATES)} from rates", "rates"))
 def quality_rates(t):
-    return tidy(agent_mart.agent_kpis(mart(t), SNAPSHOT).select("wa_code", *[f"`{c}`" for c in _RATES]))
+    counts = agent_mart.kpi_counts(mart(t, []), SNAPSHOT, "policy", "not_taken", "rejected", "lapsed")
+    return tidy(agent_mart.with_quality_rates(counts).select("wa_code", *[f"`{c}`" for c in _RATES]), nudge=True)
 
 
 _ALL_SUMS = [n for b in SUM_BLOCKS for n in BLOCKS[b]]
@@ -88,7 +102,7 @@ _ALL_COUNTS = [n for b in BLOCKS if b not in SUM_BLOCKS for n in BLOCKS[b]]
     f"select wa_code, {_rounded(_ALL_SUMS)}, " + ", ".join(f'"{n}"' for n in _ALL_COUNTS) + f", {_rounded(_SIZES + _RATES)} from rates",
     "rates"))
 def agent_kpi_block(t):
-    return tidy(agent_mart.agent_kpis(mart(t), SNAPSHOT))
+    return tidy(agent_mart.agent_kpis(stored_mart(t), SNAPSHOT), nudge=True)
 
 
 _CLAIM_SQL = f"""
@@ -107,7 +121,7 @@ having count(distinct case when recent then clm_id end) > 0
 
 @query("claim_kpis", with_parts(_CLAIM_SQL, "claim", "policy_agent"))
 def claim_kpis(t):
-    return tidy(agent_mart.claim_kpis(t.claims(), agent_mart.policy_agents(mart(t)), SNAPSHOT))
+    return tidy(agent_mart.claim_kpis(t.claims(), agent_mart.policy_agents(mart(t, [])), SNAPSHOT))
 
 
 _RISK_SQL = """select agt_cd, string_agg(cast(pol_num as varchar), ',' order by pol_num) as lps_pol_list
@@ -117,20 +131,20 @@ from (select agt_cd, s.pol_num, row_number() over (partition by agt_cd order by
 
 @query("topk_list_per_agent", with_parts(_RISK_SQL, "lapse_score", "policy_agent"))
 def topk_list_per_agent(t):
-    return tidy(agent_mart.risk_lists(t.lapse_scores(), agent_mart.policy_agents(mart(t))))
+    return tidy(agent_mart.risk_lists(t.lapse_scores(), agent_mart.policy_agents(mart(t, []))))
 
 
 def _top_leads(t, m):
-    agents = owner_of(m, "po_num", "wa_code", ["cvg_eff_dt"]).withColumnRenamed("wa_code", "agt_cd")
+    agents = owner_of(m, "po_num", "wa_code", "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
     return agent_mart.top_leads(
-        t.leads(), agent_mart.approved_products(t.product_scores()), agents, owner_of(m, "po_num", "pol_num", ["cvg_eff_dt"])
+        t.leads(), agent_mart.approved_products(t.product_scores()), agents, owner_of(m, "po_num", "pol_num", "cvg_eff_dt")
     )
 
 
 @query("topk_per_agent", with_parts("""
 select agt_cd, po_num, pol_num, health_base, inv_base, health_rider, riders, round(p_1, 6) as p_1 from top_lead""", "top_lead"))
 def topk_per_agent(t):
-    top = _top_leads(t, mart(t))
+    top = _top_leads(t, mart(t, []))
     return tidy(top.select("agt_cd", "po_num", "pol_num", "health_base", "inv_base", "health_rider", "riders", "p_1"))
 
 
@@ -140,7 +154,7 @@ from (select distinct agt_cd, pol_num from top_lead where rn2 <= 3) group by 1""
 
 @query("lead_list_per_agent", with_parts(_LEAD_SQL, "top_lead"))
 def lead_list_per_agent(t):
-    return tidy(agent_mart.lead_lists(_top_leads(t, mart(t))))
+    return tidy(agent_mart.lead_lists(_top_leads(t, mart(t, []))))
 
 
 _RANK = "cast(floor(rank() over (order by last_mth_ape desc) + (count(*) over (partition by last_mth_ape) - 1) / 2) as bigint)"
@@ -148,9 +162,7 @@ _KPI_RANK = f"select wa_code, round(last_mth_ape, 6) as last_mth_ape, {_RANK} as
 
 
 def _ranked(t):
-    kpis = agent_mart.kpi_sums(mart(t), SNAPSHOT, "ape").select("wa_code", F.round("last_mth_ape", 6).alias("last_mth_ape"))
-    from cohortloom.operators.ordering import average_rank_desc
-
+    kpis = agent_mart.kpi_sums(mart(t, ["premium"]), SNAPSHOT, "ape").select("wa_code", F.round("last_mth_ape", 6).alias("last_mth_ape"))
     return average_rank_desc(kpis, "last_mth_ape", "rank_of_last_mth_ape")
 
 
@@ -166,45 +178,45 @@ def leaderboard(t):
 
 _NEXT = " ".join(f"when '{a}' then '{b}'" for a, b in zip(codes.TIER_LADDER, (*codes.TIER_LADDER[1:], "TOT")))
 _BENCH = " ".join(f"when '{a}' then {b}" for a, b in codes.TIER_BENCHMARKS.items())
-_GAP_SQL = f"""select agt_code, tier, next_tier, bench as next_tier_benchmark,
-  round(case when bench - coalesce(ape_ytd, 0) < 0 then 0 else bench - coalesce(ape_ytd, 0) end, 6) as gap_to_next_tier
+_GAP_SQL = f"""select agt_code, tier, next_tier, cast(bench as double) as next_tier_benchmark,
+  round(case when bench - coalesce(ape_ytd, 0) < 0 then 0 else bench - coalesce(ape_ytd, 0) end + 0.271828 * 1e-6, 6) as gap_to_next_tier
 from (select *, case next_tier {_BENCH} end as bench from (select agt_code, tier, case tier {_NEXT} end as next_tier from master)) m
 left join kpi k on k.wa_code = m.agt_code"""
 
 
 @query("next_tier_gap", with_parts(_GAP_SQL, "master", "kpi"))
 def next_tier_gap(t):
-    year = agent_mart.kpi_sums(mart(t), SNAPSHOT, "ape").select(F.col("wa_code").alias("agt_code"), "ape_ytd")
+    year = agent_mart.kpi_sums(mart(t, ["premium"]), SNAPSHOT, "ape").select(F.col("wa_code").alias("agt_code"), "ape_ytd")
     joined = agent_mart.with_next_tier(master(t).join(year, "agt_code", "left"))
-    return tidy(joined.select("agt_code", "tier", "next_tier", "next_tier_benchmark", "gap_to_next_tier"))
+    return tidy(joined.select("agt_code", "tier", "next_tier", "next_tier_benchmark", "gap_to_next_tier"), nudge=True)
 
 
 @query("two_level_avg", with_parts("""
 select date, cast(trunc(avg(s)) as bigint) as avg_ape_tier from (select year_month as date, wa_code, sum(adjust_ape) as s from mart
   where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2) group by 1""", "mart"))
 def two_level_avg(t):
-    return tidy(agent_mart.average_sales(mart(t)))
+    return tidy(agent_mart.average_sales(mart(t, ["premium"])))
 
 
 @query("agent_month_sales", with_parts("""
 select wa_code as agt_cd, year_month as date, round(sum(adjust_ape), 6) as avg_ape_agt from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2""", "mart"))
 def agent_month_sales(t):
-    return tidy(agent_mart.monthly_sales(mart(t)))
+    return tidy(agent_mart.monthly_sales(mart(t, ["premium"])))
 
 
 @query("product_sales", with_parts("""
 select type as prd_type, cast(trunc(sum(adjust_ape)) as bigint) as sum_ape_tier from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1""", "mart"))
 def product_sales(t):
-    return tidy(agent_mart.product_sales(mart(t)))
+    return tidy(agent_mart.product_sales(mart(t, ["premium"])))
 
 
 @query("agent_product_sales", with_parts("""
 select wa_code as agt_cd, type as prd_type, round(sum(adjust_ape), 6) as sum_ape_agt from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2""", "mart"))
 def agent_product_sales(t):
-    return tidy(agent_mart.product_sales(mart(t), by_agent=True))
+    return tidy(agent_mart.product_sales(mart(t, ["premium"]), by_agent=True))
 
 
 _CARD = ["last_yr_ape", "last_mth_ape", "last_12m_ape", "ape_ytd", "total_ape"]
@@ -212,13 +224,13 @@ _CARD = ["last_yr_ape", "last_mth_ape", "last_12m_ape", "ape_ytd", "total_ape"]
 
 def scorecard(t):
     return agent_mart.agent_scorecard(
-        master(t), mart(t), t.claims(), t.lapse_scores(), t.leads(), t.product_scores(), SNAPSHOT
+        master(t), stored_mart(t), t.claims(), t.lapse_scores(), t.leads(), t.product_scores(), SNAPSHOT
     )
 
 
 @query("agent_scorecard", with_parts(f"""
 select m.agt_code as agt_cd, m.agt_nm, m.tier, m.tenure_mth, m.no_sbw_completed, {_rounded(_CARD)}, "all_pol_cnt", "last_12m_prd",
-  round("14m_per", 6) as "14m_per", claim_cnt_last_3_yr, claim_wip_last_1_yr, lps_pol_list, cpm_pol_list, next_tier, gap_to_next_tier,
+  {nudged('14m_per')}, claim_cnt_last_3_yr, claim_wip_last_1_yr, lps_pol_list, cpm_pol_list, next_tier, gap_to_next_tier,
   cast(floor(m.tenure_mth / 12) as integer) || 'y ' || (m.tenure_mth % 12) || 'm' as tenure_ym, '2001-06-30' as image_date
 from master m join rates r on r.wa_code = m.agt_code left join ({_CLAIM_SQL}) c on c.agt_cd = m.agt_code
 left join ({_RISK_SQL}) k on k.agt_cd = m.agt_code left join ({_LEAD_SQL}) l on l.agt_cd = m.agt_code
@@ -228,4 +240,4 @@ def agent_scorecard(t):
         "agt_cd", "agt_nm", "tier", "tenure_mth", "no_sbw_completed", *_CARD, "all_pol_cnt", "last_12m_prd", "`14m_per`",
         "claim_cnt_last_3_yr", "claim_wip_last_1_yr", "lps_pol_list", "cpm_pol_list", "next_tier", "gap_to_next_tier",
         "tenure_ym", "image_date",
-    ))
+    ), nudge=True)

@@ -8,6 +8,8 @@ from cohortloom.catalog.windows import logins, policy_types
 from cohortloom.operators import reports
 from cohortloom.operators.ordering import ntile_desc
 from cohortloom.plans import client_mart
+from cohortloom.session import new_folder
+from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
 
 
@@ -16,22 +18,29 @@ def valued_base(t):
     return client_mart.with_margins(base, t.plan_margins(), t.quarter_margins())
 
 
+def summary(t):
+    return client_mart.policy_summary(valued_base(t), TYPES)
+
+
 def policy_values(t):
-    return client_mart.policy_ltv(valued_base(t), t.lapse_scores(), t.early_scores())
+    return client_mart.policy_ltv(summary(t), t.lapse_scores(), t.early_scores())
 
 
 def mart(t, channel="Agency"):
-    base = valued_base(t)
-    values = client_mart.client_ltv(client_mart.policy_ltv(base, t.lapse_scores(), t.early_scores()))
     cities = t.branches().select(F.col("br_code").alias("city_key"), F.col("br_nm").alias("city"))
     return client_mart.client_mart(
-        client_mart.client_holdings(base, SNAPSHOT, TYPES), values, client_mart.client_channel(base),
+        client_mart.client_summary(policy_values(t), SNAPSHOT, TYPES),
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t)),
         SNAPSHOT, HIT_SNAPSHOT, channel,
     )
 
 
+def stored_mart(t, channel="Agency"):
+    """The mart written once; ordering by a value needs it to read back the same every time."""
+    return stage(mart(t, channel), new_folder(t.spark))
+
+
 _POL = ("coverage_ape", "plan_nbv", "pol_ltv", "pol_ltv_pre", "pol_ltv_post")
 _POL_SQL = ", ".join(f"round({c}, 2) as {c}" for c in _POL)
 
@@ -51,7 +60,7 @@ def client_ltv(t):
 
 @query("channel_priority", with_parts("select po_num, channel, channel_final from channel", "channel"))
 def channel_priority(t):
-    return client_mart.client_channel(valued_base(t))
+    return client_mart.client_channel(summary(t))
 
 
 _HELD = ["pol_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol",
@@ -64,7 +73,7 @@ _HELD_SQL = ", ".join(f'cast("{c}" as bigint) as "{c}"' for c in _HELD)
 select po_num, {_HELD_SQL}, cast(first_pol_eff_dt as varchar) as first_pol_eff_dt, round(client_tenure, 6) as client_tenure,
   round(agt_tenure_yrs, 6) as agt_tenure_yrs, round(total_ape, 2) as total_ape from holding""", "holding"))
 def client_holdings(t):
-    held = client_mart.client_holdings(valued_base(t), SNAPSHOT, TYPES)
+    held = client_mart.client_holdings(summary(t), SNAPSHOT, TYPES)
     names = [f"`{c}`" for c in _HELD]
     return tidy(held.select("po_num", *names, "first_pol_eff_dt", "client_tenure", "agt_tenure_yrs", "total_ape"), cents=("total_ape",))
 
@@ -84,8 +93,7 @@ def wide_feature_mart(t):
 
 
 def _profile(t, buckets, name):
-    wide = mart(t)
-    placed = ntile_desc(wide, "cli_ltv", "po_num", buckets, name)
+    placed = ntile_desc(stored_mart(t), "cli_ltv", "po_num", buckets, name)
     return tidy(reports.profile(placed, [name], "po_num", client_mart.PROFILE_MEANS, "customer_count"), 2)
 
 
@@ -111,7 +119,8 @@ select cast(poldecile as bigint) as poldecile, count(*) as pol_count, round(avg(
   round(avg(pol_ltv_post), 2) as mean_ltv_post
 from (select *, ntile(10) over (order by round(pol_ltv, 2) desc nulls last, pol_num) as poldecile from pol_ltv) group by 1""", "pol_ltv"))
 def policy_decile_profile(t):
-    values = policy_values(t).withColumn("_rank_value", F.round("pol_ltv", 2))
+    kept = policy_values(t).select("pol_num", "pol_ltv", "pol_ltv_pre", "pol_ltv_post", F.round("pol_ltv", 2).alias("_rank_value"))
+    values = stage(kept, new_folder(t.spark))
     placed = ntile_desc(values, "_rank_value", "pol_num", 10, "poldecile")
     means = {"pol_ltv": "mean_ltv", "pol_ltv_pre": "mean_ltv_pre", "pol_ltv_post": "mean_ltv_post"}
     return tidy(reports.profile(placed, ["poldecile"], "pol_num", means, "pol_count"), 2)

@@ -92,7 +92,7 @@ def dual_role_dim(t):
 select po_num, wa_code from (select po_num, wa_code, row_number() over (partition by po_num order by cvg_eff_dt desc, wa_code) as rn
   from cov) where rn = 1""", "cov"))
 def owner_lookup(t):
-    return lookups.owner_of(t.coverages(), "po_num", "wa_code", ["cvg_eff_dt"])
+    return lookups.owner_of(t.coverages(), "po_num", "wa_code", "cvg_eff_dt")
 
 
 @query("membership_flag", with_parts("""
@@ -148,4 +148,4 @@ def stacked_aggregates(t):
 def policy_agent_pairs(t):
     from cohortloom.catalog.agents import mart
 
-    return agent_mart.policy_agents(mart(t))
+    return agent_mart.policy_agents(mart(t, []))

@@ -159,7 +159,7 @@ select wa_code, case when last_mth_pol > 0 then '1mA' when last_3m_pol > 0 then
 def recency_label(t):
     from cohortloom.catalog.agents import mart
 
-    counts = agent_mart.kpi_counts(mart(t), SNAPSHOT, "policy")
+    counts = agent_mart.kpi_counts(mart(t, []), SNAPSHOT, "policy")
     return counts.select("wa_code", activation.recency().alias("last_pol_cat"))
 
 
@@ -204,11 +204,11 @@ def typed_fill(t):
 
 
 @query("decimal_cast", with_parts("""
-select pol_num, round(tot_ape, 2) as tot_ape, round(tot_ape / 12, 2) as monthly from policy""", "policy"))
+select pol_num, round(tot_ape, 2) as tot_ape, round(tot_ape * 12, 2) as yearly from policy""", "policy"))
 def decimal_cast(t):
     exact = t.policies().select(
         "pol_num", F.col("tot_ape").cast("decimal(18,2)").alias("tot_ape"),
-        F.round(F.col("tot_ape") / 12, 2).cast("decimal(18,2)").alias("monthly"),
+        (F.col("tot_ape") * 12).cast("decimal(18,2)").alias("yearly"),
     )
     return tidy(cleaning.decimals_to_double(exact), 2)
 
@@ -222,7 +222,7 @@ def sentinel_fill(t):
 
 
 @query("numbers_from_text", with_parts("""
-select pol_num, try_cast(pol_stat_cd as integer) as code, try_cast(pmt_mode as integer) as months from policy""", "policy"))
+select pol_num, try_cast(pol_stat_cd as bigint) as code, try_cast(pmt_mode as bigint) as months from policy""", "policy"))
 def numbers_from_text(t):
     typed = cleaning.numbers_from_text(t.policies().select("pol_num", "pol_stat_cd", "pmt_mode"), ["pol_stat_cd", "pmt_mode"])
     return tidy(typed.withColumnsRenamed({"pol_stat_cd": "code", "pmt_mode": "months"}))
@@ -272,7 +272,7 @@ def relation_rule(t):
 
 
 @query("beneficiary_names", with_parts("""
-select pol_num, plan_code, prem_dur, case prem_dur when 0 then 'Others' when 1 then 'Self' when 2 then 'Spouse' when 3 then 'Child'
+select pol_num, plan_code, cast(prem_dur as bigint) as prem_dur, case prem_dur when 0 then 'Others' when 1 then 'Self' when 2 then 'Spouse' when 3 then 'Child'
   when 4 then 'Others' when 5 then 'Others' when 10 then 'Others' when 31 then 'Others' end as insrd,
   cast(case prem_dur when 1 then 1 when 0 then 0 when 2 then 0 when 3 then 0 when 4 then 0 when 5 then 0 when 10 then 0 when 31 then 0 end as bigint) as be_is_cli
 from line""", "line"))
@@ -295,7 +295,7 @@ select concat_ws('_', type, po_ins_rela) as prd_cus_mix, count(*) as coverages f
 def product_mix_key(t):
     from cohortloom.catalog.agents import mart
 
-    return reports.frequency(mart(t), "prd_cus_mix", name="coverages")
+    return reports.frequency(mart(t, ["premium", "relation"]), "prd_cus_mix", name="coverages")
 
 
 @query("row_argmax", """

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from cohortloom.functions import codes
 
+NUDGE = 0.271828
 DAY = "date '2001-06-30'"
 MONTH = 2001 * 12 + 6
 
@@ -238,6 +239,11 @@ def kpi_select(*blocks: str, rounded: bool = True) -> str:
     return "select wa_code, " + ", ".join(columns) + " from mart group by wa_code"
 
 
+def nudged(*names: str) -> str:
+    """Rounded like ``tidy(..., nudge=True)``."""
+    return ", ".join(f'round("{n}" + {NUDGE} * 1e-6, 6) as "{n}"' for n in names)
+
+
 def size_columns() -> dict[str, str]:
     return {
         f"{p}_{e}_size": f'case when "{p}_{e}" <> 0 then "{p}_ape" / "{p}_{e}" else 1.0 end'
@@ -307,7 +313,7 @@ from (select *, case greatest(hb, ib, hr, ri) when hb then 'health_base' when ib
   from (select c_custkey as po_num, c_custkey * 3 % 10 / 20 as hb, c_custkey * 7 % 11 / 20 as ib,
     c_custkey * 5 % 12 / 20 as hr, c_custkey % 7 / 20 as ri from customer where c_custkey % 5 <> 4))""")
 _part("top_lead", """
-select * from (select *, row_number() over (partition by agt_cd order by p_1 desc, po_num) as rn2 from (
+select * from (select t.*, p.* exclude (po_num), o.pol_num, row_number() over (partition by agt_cd order by p_1 desc, t.po_num) as rn2 from (
   select * from (select l.po_num, l.p_1, a.agt_cd, row_number() over (partition by a.agt_cd order by p_1 desc, l.po_num) as rn
     from lead l join owner_agent a on a.po_num = l.po_num) where rn <= 10) t
   join product p on p.po_num = t.po_num join owner_policy o on o.po_num = t.po_num) where rn2 <= 10""",

@@ -3,25 +3,19 @@
 Files go to a new folder per run below the shared folder of the session.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import with_parts
 from cohortloom.functions.calendar import month_end
-from cohortloom.session import shared_folder
+from cohortloom.session import new_folder
 from cohortloom.sources import schemas, sinks, tables
 from cohortloom.sources.star_tables import SNAPSHOT
 
 
-def _new_folder(t):
-    return f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex}"
-
-
 @query("csv_roundtrip", with_parts("select pol_num, cast(decile as bigint) as decile, lapse_score from lapse_score", "lapse_score"))
 def csv_roundtrip(t):
-    path = _new_folder(t)
+    path = new_folder(t.spark)
     sinks.write_report(t.lapse_scores().select("pol_num", "decile", "lapse_score"), path)
     typed = tables.csv_table(t.spark, path, schemas.LAPSE_SCORES)
     return tidy(typed.withColumn("pol_num", F.col("pol_num").cast("long")))
@@ -29,7 +23,7 @@ def csv_roundtrip(t):
 
 @query("csv_inferred", with_parts("select po_num, round(p_1, 6) as p_1 from lead", "lead"))
 def csv_inferred(t):
-    path = _new_folder(t)
+    path = new_folder(t.spark)
     sinks.write_report(t.leads(), path, one_file=True)
     return tidy(tables.csv_table(t.spark, path, infer=True).withColumn("po_num", F.col("po_num").cast("long")))
 
@@ -40,7 +34,7 @@ select cast(last_day(pol_eff_dt) as varchar) as image_date, count(*) as policies
 from policy where pol_eff_dt >= date '2001-01-01' group by 1""", "policy"))
 def partitioned_roundtrip(t):
     """Write all months, replace one of them, and read everything back."""
-    path = _new_folder(t)
+    path = new_folder(t.spark)
     stamped = t.policies().where(F.col("pol_eff_dt") >= "2001-01-01").select(
         "pol_num", "tot_ape", month_end(F.col("pol_eff_dt")).cast("string").alias("image_date")
     )
@@ -57,7 +51,7 @@ def partitioned_roundtrip(t):
 @query("snapshot_folder", with_parts("""
 select pol_num, tot_ape from policy where last_day(pol_eff_dt) = date '2001-06-30'""", "policy"))
 def snapshot_folder(t):
-    path = _new_folder(t)
+    path = new_folder(t.spark)
     stamped = t.policies().select("pol_num", "tot_ape", month_end(F.col("pol_eff_dt")).cast("string").alias("image_date"))
     sinks.write_partitions(stamped.repartition("image_date"), path)
     return tables.snapshot_folder(t.spark, path, SNAPSHOT).select("pol_num", "tot_ape")
@@ -65,13 +59,13 @@ def snapshot_folder(t):
 
 @query("staged_mart", with_parts("select plan_code, count(*) as coverages, round(sum(cvg_prem), 4) as premium from line group by 1", "line"))
 def staged_mart(t):
-    stored = sinks.stage(t.coverage_lines().select("plan_code", "cvg_prem"), _new_folder(t))
+    stored = sinks.stage(t.coverage_lines().select("plan_code", "cvg_prem"), new_folder(t.spark))
     return tidy(stored.groupBy("plan_code").agg(F.count(F.lit(1)).alias("coverages"), F.sum("cvg_prem").alias("premium")), 4)
 
 
 @query("single_file_report", with_parts("select pol_stat_cd, count(*) as policies from policy group by 1", "policy"))
 def single_file_report(t):
-    path = _new_folder(t)
+    path = new_folder(t.spark)
     sinks.write_single(t.policies().groupBy("pol_stat_cd").agg(F.count(F.lit(1)).alias("policies")), path)
     return tables.parquet_table(t.spark, path)
 

@@ -10,6 +10,8 @@ from cohortloom.functions import codes
 from cohortloom.functions.measures import vip_flags
 from cohortloom.operators import reports
 from cohortloom.plans import activation, agent_mart, slicers
+from cohortloom.session import new_folder
+from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import SNAPSHOT
 
 # The star tables hold far larger premiums than the bands expect; one agent sells thousands of policies.
@@ -18,8 +20,13 @@ _SCALE, _DAYS = 2000.0, 27
 
 def _agents(t):
     """Serving agents with KPIs, bands, activity and the target flag."""
-    kpis = agent_mart.agent_kpis(agent_queries.mart(t), SNAPSHOT)
-    wide = agent_queries.master(t).join(kpis.withColumnRenamed("wa_code", "agt_code"), "agt_code").withColumns({
+    sold = agent_queries.mart(t, ["premium"])
+    kpis = agent_mart.kpi_sums(sold, SNAPSHOT, "ape").join(
+        agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner", "insured", "product", "lapsed", "not_taken", "rejected"), "wa_code"
+    )
+    wide = agent_queries.master(t).join(
+        agent_mart.with_quality_rates(kpis).withColumnRenamed("wa_code", "agt_code"), "agt_code"
+    ).withColumns({
         "last_12m_ape": F.col("last_12m_ape") / _SCALE,
         "agt_tenure_mths": F.col("tenure_mth") - _DAYS,
         "cus_existing": F.col("total_cus") % 7,
@@ -67,7 +74,7 @@ def _waterfall_sql(count, source, by):
     rows = []
     for i in range(1, len(_STEPS) + 1):
         before, after = count(_passed(i - 1)), count(_passed(i))
-        rows.append(f"select {by}, {i} as step, {before} - {after} as dropped, {after} as remaining from s group by {by}")
+        rows.append(f"select {by}, cast({i} as bigint) as step, {before} - {after} as dropped, {after} as remaining from s group by {by}")
     return f"with s as ({source}) " + " union all ".join(rows)
 
 
@@ -137,7 +144,9 @@ select agt_code, case when total_po >= p.po75 or all_pol_cnt >= p.pol75 then 'To
 from master m join rates r on r.wa_code = m.agt_code, (select quantile_cont(total_po, 0.75) as po75, quantile_cont(total_po, 0.25) as po25,
   quantile_cont(all_pol_cnt, 0.75) as pol75, quantile_cont(all_pol_cnt, 0.25) as pol25 from rates) p""", "master", "rates"))
 def percentile_segments(t):
-    placed = activation.performance_segments(_agents(t), _METRICS, ("total_po", "all_pol_cnt"))
+    # One row per agent, stored once for the thresholds and for the labels.
+    agents = stage(_agents(t).select("agt_code", *[f"`{c}`" for c in _METRICS]), new_folder(t.spark))
+    placed = activation.performance_segments(agents, _METRICS, ("total_po", "all_pol_cnt"))
     return placed.select("agt_code", "segment")
 
 

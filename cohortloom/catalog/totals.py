@@ -40,7 +40,7 @@ def any_flag(t):
 
 
 @query("control_totals", with_parts("""
-select round(sum(tot_ape), 4) as tot_ape, round(sum(pol_num), 0) as pol_num from policy""", "policy"))
+select round(sum(tot_ape), 4) as tot_ape, cast(sum(pol_num) as double) as pol_num from policy""", "policy"))
 def control_totals(t):
     source = t.policies().withColumn("pol_num", F.col("pol_num").cast("double"))
     return tidy(reports.control_totals(source, ["tot_ape", "pol_num"]), 4)

@@ -92,7 +92,8 @@ def first_value_desc(t):
 def policy_types(t):
     """Main product type of a policy."""
     typed = t.coverage_lines().select("pol_num", "plan_code").join(t.plans().select("plan_code", "type"), "plan_code")
-    return typed.groupBy("pol_num").agg(F.max("type").alias("ins_typ"))
+    # Distinct pairs first: a maximum over text needs a sort, and far fewer rows are left to sort.
+    return typed.select("pol_num", "type").distinct().groupBy("pol_num").agg(F.max("type").alias("ins_typ"))
 
 
 @query("first_second_policy_pivot", with_parts("""

@@ -73,16 +73,14 @@ def month_offset(day: Column, snapshot: Snapshot) -> Column:
     return month_index(day) - F.lit(snapshot.index + 1)
 
 
-def periods(day: Column, snapshot: Snapshot) -> dict[str, Column]:
-    """The eight reporting periods as conditions on ``day``."""
-    offset = month_offset(day, snapshot)
-    this_year, last_year = F.lit(snapshot.year), F.lit(snapshot.year - 1)
+def periods(year: Column, offset: Column, snapshot: Snapshot) -> dict[str, Column]:
+    """The eight reporting periods as conditions on a date's year and month offset."""
     rolling = {f"last_{n}m": offset.between(-n, -1) for n in (3, 6, 9, 12)}
     return {
-        "last_yr": F.year(day) == last_year,
+        "last_yr": year == snapshot.year - 1,
         "last_mth": offset == -1,
         **rolling,
-        "ytd": (F.year(day) == this_year) & (offset <= -1),
+        "ytd": (year == snapshot.year) & (offset <= -1),
         "total": offset <= -1,
     }
 

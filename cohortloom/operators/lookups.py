@@ -86,11 +86,12 @@ def latest_rate(facts: DataFrame, rates: DataFrame, key: str, fact_date: str, ra
     return joined.withColumn(name, F.try_element_at(usable, F.lit(1))["rate"]).drop("_key", "_month", "_rates")
 
 
-def owner_of(pairs: DataFrame, entity: str, owner: str, order_by: Sequence[str]) -> DataFrame:
-    """One owner per entity: the one of the latest row, the lowest owner on a tie."""
-    best = F.max_by(F.col(owner), F.struct(*[F.col(c) for c in order_by], -F.col(owner)))
-    return pairs.where(F.col(entity).isNotNull()).groupBy(entity).agg(best.alias(owner))
+def owner_of(pairs: DataFrame, entity: str, owner: str, latest: str) -> DataFrame:
+    """One owner per entity: the one with the latest date, the lowest owner on a tie.
 
-
-def fallback(*candidates: Column) -> Column:
-    return F.coalesce(*candidates)
+    Pairs are reduced to one row per (entity, owner) first, so an entity that fills a large
+    share of the rows costs its distinct owners only.
+    """
+    known = pairs.where(F.col(entity).isNotNull() & F.col(owner).isNotNull())
+    last = known.groupBy(entity, owner).agg(F.max(latest).alias("_latest"))
+    return last.groupBy(entity).agg(F.max_by(F.col(owner), F.struct("_latest", -F.col(owner))).alias(owner))

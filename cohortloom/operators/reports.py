@@ -19,6 +19,11 @@ def _survivors(conditions: Sequence[Column]) -> list[Column]:
     return steps
 
 
+def _zero_filled(counted: DataFrame, steps: int) -> DataFrame:
+    """An empty table gives null sums; the group columns keep their nulls."""
+    return counted.fillna(0, subset=[f"_left_{i}" for i in range(steps + 1)])
+
+
 def _step_rows(counted: DataFrame, steps: int, by: Sequence[str]) -> DataFrame:
     rows = [
         F.struct(
@@ -37,7 +42,7 @@ def waterfall(df: DataFrame, conditions: Sequence[Column], by: Sequence[str] = (
         F.sum(F.when(step, 1).otherwise(0)).alias(f"_left_{i}")
         for i, step in enumerate(_survivors(conditions), start=1)
     ]
-    counted = df.groupBy(*by).agg(*counts).fillna(0)
+    counted = _zero_filled(df.groupBy(*by).agg(*counts), len(conditions))
     return _step_rows(counted, len(conditions), by)
 
 
@@ -53,7 +58,7 @@ def entity_waterfall(df: DataFrame, entity: str, conditions: Sequence[Column], b
     counts = [
         F.sum(F.when(F.col("_reached") >= i, 1).otherwise(0)).alias(f"_left_{i}") for i in range(len(conditions) + 1)
     ]
-    counted = furthest.groupBy(*by).agg(*counts).fillna(0)
+    counted = _zero_filled(furthest.groupBy(*by).agg(*counts), len(conditions))
     return _step_rows(counted, len(conditions), by)
 
 

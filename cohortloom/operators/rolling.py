@@ -8,75 +8,79 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_PERIODS = "_periods"
+
 
 @dataclass(frozen=True)
 class Measure:
-    """A value summed per period over the rows where ``only`` holds.
+    """An SQL value summed per period over the rows where the SQL condition ``only`` holds.
 
     ``names`` gives the output column per period; periods without a name are left out.
     """
 
-    value: Column
+    value: str
     names: Mapping[str, str]
-    only: Column | None = None
+    only: str = "true"
 
 
 @dataclass(frozen=True)
 class Distinct:
-    """Distinct non-null ``entity`` values counted per period over the rows where ``only`` holds."""
+    """Distinct non-null values of an SQL expression per period over the rows where ``only`` holds."""
 
-    entity: Column
+    entity: str
     names: Mapping[str, str]
-    only: Column | None = None
+    only: str = "true"
+
+
+def _with_periods(df: DataFrame, when: Mapping[str, Column], used: Sequence[Measure | Distinct]) -> tuple[DataFrame, dict[str, int]]:
+    """The periods of a row as the bits of one number, and the bit of each period that is used."""
+    needed = [period for period in when if any(period in entry.names for entry in used)]
+    bit = {period: 1 << place for place, period in enumerate(needed)}
+    mask = F.lit(0)
+    for period in needed:
+        mask = mask + F.when(when[period], bit[period]).otherwise(0)
+    return df.withColumn(_PERIODS, mask), bit
 
 
 def period_sums(df: DataFrame, by: str, when: Mapping[str, Column], measures: Sequence[Measure]) -> DataFrame:
     """One row per key with one sum per measure and period; nothing to sum gives 0."""
-    sums = []
-    for measure in measures:
-        for period, name in measure.names.items():
-            inside = when[period] if measure.only is None else when[period] & measure.only
-            sums.append(F.coalesce(F.sum(F.when(inside, measure.value)), F.lit(0.0)).alias(name))
-    return df.groupBy(by).agg(*sums)
+    marked, bit = _with_periods(df, when, measures)
+    sums = [
+        F.expr(f"coalesce(sum(if(({m.only}) and {_PERIODS} & {bit[period]} > 0, {m.value}, null)), 0.0D)").alias(name)
+        for m in measures for period, name in m.names.items()
+    ]
+    return marked.groupBy(by).agg(*sums)
 
 
 def period_distincts(df: DataFrame, by: str, when: Mapping[str, Column], counts: Sequence[Distinct]) -> DataFrame:
     """One row per key with one distinct count per entity and period.
 
-    A row's periods become the bits of a number. Rows collapse to one per (key, entity) whose
-    bits are or-ed together before and after the shuffle; the counts are then plain sums over
-    bits. Spark's own plan for many conditional distinct counts copies each row once per count.
+    Rows collapse to one per (key, entity) whose period bits are or-ed together before and after
+    the shuffle; the counts are then plain sums over bits. Spark's own plan for many conditional
+    distinct counts copies each row once per count.
     """
-    bit = {period: 1 << place for place, period in enumerate(when)}
+    marked, bit = _with_periods(df, when, counts)
     entries = []
     for place, count in enumerate(counts):
-        mask = F.lit(0)
-        for period in count.names:
-            mask = mask + F.when(when[period], bit[period]).otherwise(0)
-        if count.only is not None:
-            mask = F.when(count.only, mask).otherwise(0)
-        mask = F.when(count.entity.isNotNull(), mask).otherwise(0)
-        entries.append(F.struct(
-            F.lit(place).alias("measure"), count.entity.cast("string").alias("entity"), mask.alias("mask")
-        ))
+        wanted = sum(bit[period] for period in count.names)
+        entries.append(f"""named_struct('measure', {place}, 'entity', string({count.entity}),
+            'mask', if(({count.only}) and ({count.entity}) is not null, {_PERIODS} & {wanted}, 0))""")
     seen = (
-        df.select(by, F.explode(F.array(*entries)).alias("entry"))
-        .select(by, "entry.measure", F.when(F.col("entry.mask") > 0, F.col("entry.entity")).alias("entity"), "entry.mask")
+        marked.selectExpr(by, f"inline(array({', '.join(entries)}))")
+        .selectExpr(by, "measure", "if(mask > 0, entity, null) as entity", "mask")
         .groupBy(by, "measure", "entity")
         .agg(F.bit_or("mask").alias("mask"))
     )
-    totals = []
-    for place, count in enumerate(counts):
-        for period, name in count.names.items():
-            hit = (F.col("measure") == place) & (F.col("mask").bitwiseAND(F.lit(bit[period])) > 0)
-            totals.append(F.sum(F.when(hit, 1).otherwise(0)).alias(name))
+    totals = [
+        F.expr(f"count_if(measure = {place} and mask & {bit[period]} > 0)").alias(name)
+        for place, count in enumerate(counts) for period, name in count.names.items()
+    ]
     return seen.groupBy(by).agg(*totals)
 
 
-def same_names(prefix_periods: Sequence[str], suffix: str, ytd: str | None = None,
-               total: str | None = None) -> dict[str, str]:
+def same_names(periods: Sequence[str], suffix: str, ytd: str | None = None, total: str | None = None) -> dict[str, str]:
     """``last_3m`` -> ``last_3m_<suffix>``; year-to-date and total carry their own names."""
-    names = {period: f"{period}_{suffix}" for period in prefix_periods}
+    names = {period: f"{period}_{suffix}" for period in periods}
     if ytd:
         names["ytd"] = ytd
     if total:

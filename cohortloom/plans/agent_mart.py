@@ -23,7 +23,7 @@ EARLY_LAPSE_MONTHS = (14, 20, 26)
 
 def training_counts(training: DataFrame, courses: Sequence[str], companies: Sequence[str]) -> DataFrame:
     """Finished courses per agent of the given companies; agents without any are left out."""
-    finished = sum((flag(F.col(c).isNotNull()) for c in courses), F.lit(0))
+    finished = F.expr(" + ".join(f"int({c} is not null)" for c in courses))
     return (
         training.where(F.col("compro").isin(*companies) & (F.col("stat_cd") == "01"))
         .groupBy("agt_code")
@@ -127,55 +127,81 @@ def in_snapshot(coverages: DataFrame, snapshot: Snapshot) -> DataFrame:
     return coverages.where(known)
 
 
+PARTS = ("sale_order", "premium", "value", "relation", "first_date")
+
+
 def coverage_mart(coverages: DataFrame, policies: DataFrame, master: DataFrame, clients: DataFrame, plans: DataFrame,
-                  margins: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """One row per coverage sold by a serving agent, with every measure the KPIs need."""
-    sold = in_snapshot(coverages, snapshot).join(
+                  margins: DataFrame, snapshot: Snapshot, parts: Sequence[str] = PARTS) -> DataFrame:
+    """One row per coverage sold by a serving agent, with every measure the KPIs need.
+
+    The stored mart has all ``parts``. A single result that reads the sources directly names the
+    parts it uses, since a join whose columns nobody reads still has to be made.
+    """
+    mart = in_snapshot(coverages, snapshot).join(
         master.select(F.col("agt_code").alias("wa_code"), "tier", "agt_join_dt"), "wa_code"
     )
+    if "sale_order" in parts:
+        mart = with_sale_order(mart, policies)
+    if "premium" in parts:
+        mart = with_premium(mart, plans)
+    if "value" in parts:
+        mart = with_value(mart, margins)
+    if "relation" in parts:
+        mart = with_relation(mart, clients)
+    if "premium" in parts and "relation" in parts:
+        mart = mart.withColumn("prd_cus_mix", F.concat_ws("_", "type", "po_ins_rela"))
+    mart = with_calendar(mart, snapshot)
+    return running_min(mart, "insrd_num", "cvg_eff_dt", "cvg_eff_dt", "frst_pol_dt") if "first_date" in parts else mart
+
+
+def with_calendar(coverages: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Status flags, readable codes and the distances between the dates of a sale."""
     status = F.col("pol_stat_cd")
-    mart = with_relation(with_value(with_premium(with_sale_order(sold, policies), plans), margins), clients)
-    dated = mart.withColumns({
+    return coverages.withColumns({
         "is_non_taken": flag(status.isin(*codes.NOT_TAKEN_CODES)),
         "lapsed": flag(status == codes.LAPSED_CODE),
         "rejected": flag(status == codes.REJECTED_CODE),
         "pol_active": flag(status.isin(*codes.ACTIVE_CODES)),
         "pmt_mode_desc": decode(F.col("pmt_mode").cast("int"), codes.PAYMENT_MODES),
-        "prd_cus_mix": F.concat_ws("_", "type", "po_ins_rela"),
         "cvg_eff_yr": F.year("cvg_eff_dt"),
         "year_month": F.date_format("cvg_eff_dt", "yyyy-MM"),
         "pol_eff_yr": F.year("pol_eff_dt"),
-        "cvg_eff_mth_from_pol_eff": (F.months_between("cvg_eff_dt", "pol_eff_dt") + 1).cast("int"),
-        "cvg_eff_mth_from_agt_join": (F.months_between("cvg_eff_dt", "agt_join_dt") + 1).cast("int"),
-        "cvg_eff_week_from_agt_join": (F.datediff("cvg_eff_dt", "agt_join_dt") / 7).cast("int") + 1,
-        "pol_eff_mth_from_agt_join": (F.months_between("pol_eff_dt", "agt_join_dt") + 1).cast("int"),
+        "cvg_eff_mth_from_pol_eff": F.expr("int(months_between(cvg_eff_dt, pol_eff_dt) + 1)"),
+        "cvg_eff_mth_from_agt_join": F.expr("int(months_between(cvg_eff_dt, agt_join_dt) + 1)"),
+        "cvg_eff_week_from_agt_join": F.expr("int(datediff(cvg_eff_dt, agt_join_dt) / 7) + 1"),
+        "pol_eff_mth_from_agt_join": F.expr("int(months_between(pol_eff_dt, agt_join_dt) + 1)"),
         "pol_eff_days_from_agt_join": F.datediff("pol_eff_dt", "agt_join_dt"),
         "last_n_month_eff_cvg": month_offset(F.col("cvg_eff_dt"), snapshot),
         "image_date": F.lit(str(snapshot)),
     })
-    return running_min(dated, "insrd_num", "cvg_eff_dt", "cvg_eff_dt", "frst_pol_dt")
 
 
 def _conditions(snapshot: Snapshot) -> dict[str, Column]:
     kept = F.months_between("pol_trmn_dt", "pol_eff_dt")
     return {
-        **periods(F.col("cvg_eff_dt"), snapshot),
+        **periods(F.col("cvg_eff_yr"), F.col("last_n_month_eff_cvg"), snapshot),
         "all": F.lit(True),
         **{f"lap_{n}m": kept <= n for n in EARLY_LAPSE_MONTHS},
     }
 
 
+def _listed(members: Sequence[str]) -> str:
+    return "(" + ", ".join(f"'{m}'" for m in members) + ")"
+
+
+TAKEN = f"pol_stat_cd not in {_listed(codes.VOID_CODES)}"
+
+
 def premium_measures() -> dict[str, Measure]:
     """Sums of adjusted premium and value: all sales, riders, repeated sales."""
-    taken = ~F.col("pol_stat_cd").isin(*codes.VOID_CODES)
-    rider, repeat = taken & (F.col("cvg_typ") == codes.RIDER_CODE), taken & (F.col("repeated_sales") == 1)
+    rider, repeat = f"{TAKEN} and cvg_typ = '{codes.RIDER_CODE}'", f"{TAKEN} and repeated_sales = 1"
 
-    def block(value: str, suffix: str, tail: str, only: Column) -> Measure:
-        return Measure(F.col(value), same_names(WITH_YEAR, suffix, f"{tail}_ytd", f"total_{tail}"), only)
+    def block(value: str, suffix: str, tail: str, only: str) -> Measure:
+        return Measure(value, same_names(WITH_YEAR, suffix, f"{tail}_ytd", f"total_{tail}"), only)
 
     return {
-        "ape": block("adjust_ape", "ape", "ape", taken),
-        "nbv": block("nbv", "nbv", "nbv", taken),
+        "ape": block("adjust_ape", "ape", "ape", TAKEN),
+        "nbv": block("nbv", "nbv", "nbv", TAKEN),
         "rider": block("adjust_ape", "rid", "rid_ape", rider),
         "repeat_ape": block("adjust_ape", "rep", "rep_ape", repeat),
         "repeat_nbv": block("nbv", "rep_nbv", "rep_nbv", repeat),
@@ -184,23 +210,23 @@ def premium_measures() -> dict[str, Measure]:
 
 def count_measures() -> dict[str, Distinct]:
     """Distinct owners, insured, policies, product types, relations and bad outcomes."""
-    taken = ~F.col("pol_stat_cd").isin(*codes.VOID_CODES)
-    policy = F.col("pol_num")
 
     def full(entity: str, suffix: str) -> Distinct:
-        return Distinct(F.col(entity), same_names(WITH_YEAR, suffix, f"{suffix}_ytd", f"total_{suffix}"), taken)
+        return Distinct(entity, same_names(WITH_YEAR, suffix, f"{suffix}_ytd", f"total_{suffix}"), TAKEN)
 
     every = full("pol_num", "pol")
     early = {f"lap_{n}m": f"lap_{n}m_pol" for n in EARLY_LAPSE_MONTHS}
+    not_taken = f"pol_stat_cd in {_listed(codes.NOT_TAKEN_CODES)}"
+    lapsed = f"pol_stat_cd = '{codes.LAPSED_CODE}'"
     return {
         "owner": full("po_num", "po"),
         "insured": full("insrd_num", "cus"),
-        "policy": Distinct(policy, {**every.names, "all": "all_pol_cnt"}, taken),
-        "not_taken": Distinct(policy, same_names(ROLLING, "NT"), F.col("pol_stat_cd").isin(*codes.NOT_TAKEN_CODES)),
-        "rejected": Distinct(policy, same_names(ROLLING, "rej"), F.col("pol_stat_cd") == codes.REJECTED_CODE),
-        "lapsed": Distinct(policy, {**same_names(ROLLING, "lap"), **early}, F.col("pol_stat_cd") == codes.LAPSED_CODE),
+        "policy": Distinct("pol_num", {**every.names, "all": "all_pol_cnt"}, TAKEN),
+        "not_taken": Distinct("pol_num", same_names(ROLLING, "NT"), not_taken),
+        "rejected": Distinct("pol_num", same_names(ROLLING, "rej"), f"pol_stat_cd = '{codes.REJECTED_CODE}'"),
+        "lapsed": Distinct("pol_num", {**same_names(ROLLING, "lap"), **early}, lapsed),
         "product": full("type", "prd"),
-        "family": Distinct(F.col("po_ins_rela"), same_names(ROLLING, "fam"), taken),
+        "family": Distinct("po_ins_rela", same_names(ROLLING, "fam"), TAKEN),
     }
 
 
@@ -276,7 +302,7 @@ def claim_kpis(claims: DataFrame, policy_agents: DataFrame, snapshot: Snapshot,
 
 def policy_agents(mart: DataFrame) -> DataFrame:
     """The agent responsible for each policy."""
-    return owner_of(mart, "pol_num", "wa_code", ["cvg_eff_dt"]).withColumnRenamed("wa_code", "agt_cd")
+    return owner_of(mart, "pol_num", "wa_code", "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
 
 
 def risk_lists(scores: DataFrame, agents_of_policy: DataFrame, least: float = 0.05, k: int = 3) -> DataFrame:
@@ -327,8 +353,8 @@ def agent_scorecard(master: DataFrame, mart: DataFrame, claims: DataFrame, lapse
     """One row per serving agent with sales: everything the agent report shows."""
     kpis = agent_kpis(mart, snapshot).withColumnRenamed("wa_code", "agt_cd")
     agents_of_policy = policy_agents(mart)
-    agents_of_owner = owner_of(mart, "po_num", "wa_code", ["cvg_eff_dt"]).withColumnRenamed("wa_code", "agt_cd")
-    policy_of_owner = owner_of(mart, "po_num", "pol_num", ["cvg_eff_dt"])
+    agents_of_owner = owner_of(mart, "po_num", "wa_code", "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
+    policy_of_owner = owner_of(mart, "po_num", "pol_num", "cvg_eff_dt")
     top = top_leads(leads, approved_products(product_scores), agents_of_owner, policy_of_owner)
     base = master.select(
         F.col("agt_code").alias("agt_cd"), "agt_nm", "br_code", "tenure_mth", "agt_join_dt", "tier", "no_sbw_completed"

@@ -66,16 +66,33 @@ def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: Data
     }).drop(*FAMILIES, "quarter_margin").where(~F.col("pol_stat_cd").isin(*codes.PENDING_CODES))
 
 
-def policy_ltv(base: DataFrame, lapse_scores: DataFrame, early_scores: DataFrame) -> DataFrame:
-    """Lifetime value per policy, in total, already earned and still to come, weighted by the chance to stay."""
-    summed = base.groupBy("pol_num", "po_num").agg(
+def policy_summary(base: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """One row per policy with everything the client level adds up.
+
+    All client measures come from this one pass, and counts of distinct policies become sums.
+    The sales channel belongs to the policy, so it is part of the key. ``types`` maps a product
+    type to its output column.
+    """
+    return base.groupBy("po_num", "pol_num", "sales_channel").agg(
         F.sum("coverage_ape").alias("coverage_ape"),
         F.sum("plan_nbv").alias("plan_nbv"),
-        F.min("prem_dur").alias("_years"),
-        F.min("prem_dur_pre").alias("_paid"),
-        F.min("prem_dur_post").alias("_left"),
+        F.min("prem_dur").alias("years"),
+        F.min("prem_dur_pre").alias("years_paid"),
+        F.min("prem_dur_post").alias("years_left"),
+        F.min("cvg_eff_dt").alias("first_dt"),
+        *[F.max(f"f_{name}_ind").alias(f"f_{name}_ind") for name in codes.STATUS_CODES],
+        *[F.max(flag(F.col("type") == kind)).alias(name) for kind, name in types.items()],
+        F.max("annual_flag").alias("annual_flag"),
+        F.max("valid_email").alias("valid_email"),
+        F.max(flag(F.col("inforce_yr") >= 10)).alias("long_lived"),
+        F.sum("agt_tenure_yrs").alias("tenure_sum"),
+        F.count("agt_tenure_yrs").alias("tenure_rows"),
     )
-    scored = summed.join(early_scores.select("pol_num", "early_decile", "p_1"), "pol_num", "left").join(
+
+
+def policy_ltv(summary: DataFrame, lapse_scores: DataFrame, early_scores: DataFrame) -> DataFrame:
+    """Lifetime value per policy, in total, already earned and still to come, weighted by the chance to stay."""
+    scored = summary.join(early_scores.select("pol_num", "early_decile", "p_1"), "pol_num", "left").join(
         lapse_scores.select("pol_num", F.col("decile").alias("next_due_decile"), "lapse_score"), "pol_num", "left"
     )
 
@@ -84,68 +101,64 @@ def policy_ltv(base: DataFrame, lapse_scores: DataFrame, early_scores: DataFrame
 
     return scored.withColumns({
         "cli_nbv_margin": F.try_divide(F.col("plan_nbv"), F.col("coverage_ape")),
-        "pol_ltv": value("_years"),
-        "pol_ltv_pre": value("_paid"),
-        "pol_ltv_post": value("_left"),
-    }).drop("_years", "_paid", "_left")
-
-
-def client_channel(base: DataFrame) -> DataFrame:
-    """Agency before the two partner banks; otherwise the channel of the first coverage."""
-    named = {name: F.max(flag(F.col("sales_channel") == name)) for name in ("Agency", "TCB", "SAG")}
-    first = F.min(F.struct("cvg_eff_dt", "pol_num", "sales_channel"))
-    grouped = base.groupBy("po_num").agg(
-        *[seen.alias(f"_{name}") for name, seen in named.items()], first["sales_channel"].alias("channel")
-    )
-    final = F.coalesce(*[F.when(F.col(f"_{name}") == 1, name) for name in named], F.col("channel"))
-    return grouped.select("po_num", "channel", final.alias("channel_final"))
+        "pol_ltv": value("years"),
+        "pol_ltv_pre": value("years_paid"),
+        "pol_ltv_post": value("years_left"),
+    })
 
 
-def client_ltv(policy_values: DataFrame) -> DataFrame:
+def _value_sums() -> list[Column]:
     """Lifetime value per client, rounded to cents so that ordering by it is repeatable."""
-    return policy_values.groupBy("po_num").agg(
+    return [
         F.round(F.sum("coverage_ape"), 2).alias("coverage_ape"),
         F.round(F.sum("plan_nbv"), 2).alias("plan_nbv"),
         F.round(F.try_divide(F.sum("plan_nbv"), F.sum("coverage_ape")), 6).alias("cli_nbv_margin"),
         *[F.round(F.sum(f"pol_ltv{part}"), 2).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
         F.least(F.min("next_due_decile"), F.min("early_decile")).alias("lapse_decile"),
-    )
+    ]
 
 
-def client_holdings(base: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
-    """Policy counts, tenure and flags per client.
+def client_ltv(policy_values: DataFrame) -> DataFrame:
+    return policy_values.groupBy("po_num").agg(*_value_sums())
 
-    Rows are first reduced to one per policy, so every count of distinct policies becomes a
-    plain sum. ``types`` maps a product type to its output column.
-    """
-    status_names = [f"f_{name}_ind" for name in codes.STATUS_CODES]
-    per_policy = base.groupBy("po_num", "pol_num").agg(
-        F.min("cvg_eff_dt").alias("first_dt"),
-        *[F.max(c).alias(c) for c in status_names],
-        *[F.max(flag(F.col("type") == kind)).alias(name) for kind, name in types.items()],
-        F.max("annual_flag").alias("annual_flag"),
-        F.max("valid_email").alias("valid_email"),
-        F.max(flag(F.col("inforce_yr") >= 10)).alias("long_lived"),
-        F.sum("coverage_ape").alias("ape"),
-        F.sum("agt_tenure_yrs").alias("tenure_sum"),
-        F.count("agt_tenure_yrs").alias("tenure_rows"),
-    )
-    outputs = dict(zip(status_names, (
-        "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol",
-    )))
-    per_client = per_policy.groupBy("po_num").agg(
+
+# Channels in order of preference.
+CHANNEL_ORDER = ("Agency", "TCB", "SAG")
+
+
+def _channels() -> list[Column]:
+    """The first coverage's channel, and the preferred one among all channels of the client."""
+    first = F.min_by("sales_channel", F.struct("first_dt", "pol_num"))
+    preferred = [F.when(F.max(flag(F.col("sales_channel") == name)) == 1, name) for name in CHANNEL_ORDER]
+    return [first.alias("channel"), F.coalesce(*preferred, first).alias("channel_final")]
+
+
+def client_channel(summary: DataFrame) -> DataFrame:
+    return summary.groupBy("po_num").agg(*_channels())
+
+
+HOLDINGS = (
+    "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol",
+)
+
+
+def _holding_sums(types: Mapping[str, str]) -> list[Column]:
+    return [
         F.min("first_dt").alias("first_pol_eff_dt"),
         F.count("pol_num").alias("pol_count"),
-        *[F.sum(c).alias(name) for c, name in outputs.items()],
+        *[F.sum(f"f_{kind}_ind").alias(name) for kind, name in zip(codes.STATUS_CODES, HOLDINGS)],
         *[F.sum(name).alias(name) for name in types.values()],
         F.max("annual_flag").alias("annual_flag"),
         F.max("valid_email").alias("valid_email"),
         F.sum("long_lived").alias("10yr_pol_cnt"),
-        F.sum("ape").alias("total_ape"),
+        F.sum("coverage_ape").alias("total_ape"),
         F.try_divide(F.sum("tenure_sum"), F.sum("tenure_rows")).alias("agt_tenure_yrs"),
-    )
+    ]
+
+
+def _with_holding_flags(clients: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
     held = sum((flag(F.col(name) > 0) for name in types.values()), F.lit(0))
-    return per_client.withColumns({
+    return clients.withColumns({
         "client_tenure": years_between(F.col("first_pol_eff_dt"), snapshot.column()),
         "ins_typ_count": held,
         "multi_prod": flag(F.col("pol_count") >= 2),
@@ -154,6 +167,17 @@ def client_holdings(base: DataFrame, snapshot: Snapshot, types: Mapping[str, str
     })
 
 
+def client_holdings(summary: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
+    """Policy counts, tenure, VIP tier and flags per client."""
+    return _with_holding_flags(summary.groupBy("po_num").agg(*_holding_sums(types)), snapshot, types)
+
+
+def client_summary(policy_values: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
+    """Holdings, lifetime value and channel per client from one aggregation."""
+    summed = policy_values.groupBy("po_num").agg(*_holding_sums(types), *_value_sums(), *_channels())
+    return _with_holding_flags(summed, snapshot, types)
+
+
 def first_two_policies(policies: DataFrame, type_of_policy: DataFrame) -> DataFrame:
     """First and second policy of every owner side by side, with the years between them."""
     typed = policies.select("po_num", "pol_num", "pol_eff_dt", "tot_ape").join(type_of_policy, "pol_num", "left")
@@ -190,19 +214,16 @@ def city_flags(city: Column, cities: Mapping[str, str], other: str = "f_oth_city
     return {**named, other: flag(~city.isin(*cities.values()))}
 
 
-def client_mart(holdings: DataFrame, values: DataFrame, channels: DataFrame, propensity: DataFrame, clients: DataFrame,
-                cities: DataFrame, logins: DataFrame, first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot,
-                channel: str | None = "Agency") -> DataFrame:
+def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, cities: DataFrame, logins: DataFrame,
+                first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot, channel: str | None = "Agency") -> DataFrame:
     """One wide row per client. Every input has one row per client, so no join multiplies rows."""
-    chosen = channels if channel is None else channels.where(F.col("channel_final") == channel)
+    chosen = summary if channel is None else summary.where(F.col("channel_final") == channel)
     people = clients.join(cities, "city_key", "left").select(
         F.col("cli_num").alias("po_num"), "city", "cur_age", "no_dpnd", "mthly_incm", "customer_segment",
         "sex_code", "dpnd_child_ind", "dpnd_spouse_ind",
     )
     wide = (
-        holdings.join(values, "po_num")
-        .join(chosen, "po_num")
-        .join(propensity, "po_num", "left")
+        chosen.join(propensity, "po_num", "left")
         .join(people, "po_num", "left")
         .join(logins, "po_num", "left")
         .join(first_two, "po_num", "left")

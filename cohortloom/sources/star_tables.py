@@ -7,20 +7,20 @@ derived from its keys by simple rules, so that every status, mode and edge occur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.functions.bands import decode, first_match, flag
 from cohortloom.functions.calendar import Snapshot
 
 SNAPSHOT = Snapshot.of("2001-06-30")
 HIT_SNAPSHOT = Snapshot.of("2024-01-31")
 
-# Payment mode and sales channel per order priority.
-MODE_OF_PRIORITY = {"1-URGENT": "12", "2-HIGH": "06", "3-MEDIUM": "03", "4-NOT SPECIFIED": "01"}
-CHANNEL_OF_PRIORITY = {
-    "1-URGENT": "01", "2-HIGH": "10", "3-MEDIUM": "48", "4-NOT SPECIFIED": "05", "5-LOW": "09",
-}
+# Rules for the columns that the star schema lacks.
+_STATUS = """case when o_orderstatus = 'O' and o_orderpriority = '1-URGENT' then '4' when o_orderstatus = 'O' then '1'
+  when o_orderstatus = 'F' and o_orderpriority = '1-URGENT' then 'E' when o_orderstatus = 'F' and o_orderpriority = '2-HIGH' then 'F'
+  when o_orderstatus = 'F' then 'B' when o_orderpriority = '5-LOW' then 'R' when o_orderpriority = '4-NOT SPECIFIED' then 'N' else 'A' end"""
+_MODE = """case o_orderpriority when '1-URGENT' then '12' when '2-HIGH' then '06' when '3-MEDIUM' then '03' when '4-NOT SPECIFIED' then '01' end"""
+_CHANNEL = """case o_orderpriority when '1-URGENT' then '01' when '2-HIGH' then '10' when '3-MEDIUM' then '48'
+  when '4-NOT SPECIFIED' then '05' when '5-LOW' then '09' end"""
 
 
 class StarTables:
@@ -29,238 +29,192 @@ class StarTables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
     def policies(self) -> DataFrame:
-        status, priority, key, owner = (
-            F.col(c) for c in ("o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey")
-        )
-        effective = F.to_date("o_orderdate")
-        place = owner % 4
-        return self.raw("orders").select(
-            key.alias("pol_num"),
-            owner.alias("po_num"),
-            F.when(key % 3 == 0, owner).otherwise(owner + key % 97).alias("insrd_num"),
-            _policy_status(status, priority).alias("pol_stat_cd"),
-            decode(priority, MODE_OF_PRIORITY).alias("pmt_mode"),
-            decode(priority, CHANNEL_OF_PRIORITY).alias("dist_chnl_cd"),
-            decode(place, {1: "TCB01", 2: "SAG02", 3: "OTH03"}).alias("loc_cd"),
-            decode(place, {1: "TCB", 2: "SAG", 3: "OTH"}).alias("office_cd"),
-            effective.alias("pol_eff_dt"),
-            F.when(status == "F", F.date_add(effective, (key % 1200).cast("int"))).alias("pol_trmn_dt"),
-            F.date_add(effective, (key % 365).cast("int")).alias("pd_to_dt"),
-            F.col("o_totalprice").alias("tot_ape"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey as pol_num",
+            "o_custkey as po_num",
+            "if(o_orderkey % 3 = 0, o_custkey, o_custkey + o_orderkey % 97) as insrd_num",
+            f"{_STATUS} as pol_stat_cd",
+            f"{_MODE} as pmt_mode",
+            f"{_CHANNEL} as dist_chnl_cd",
+            "case o_custkey % 4 when 1 then 'TCB01' when 2 then 'SAG02' when 3 then 'OTH03' end as loc_cd",
+            "case o_custkey % 4 when 1 then 'TCB' when 2 then 'SAG' when 3 then 'OTH' end as office_cd",
+            "to_date(o_orderdate) as pol_eff_dt",
+            "if(o_orderstatus = 'F', date_add(to_date(o_orderdate), int(o_orderkey % 1200)), null) as pol_trmn_dt",
+            "date_add(to_date(o_orderdate), int(o_orderkey % 365)) as pd_to_dt",
+            "o_totalprice as tot_ape",
         )
 
     def coverage_lines(self) -> DataFrame:
         """Coverages without their policy."""
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("pol_num"),
-            F.col("l_partkey").alias("plan_code"),
-            F.col("l_suppkey").alias("wa_code"),
-            F.to_date("l_shipdate").alias("cvg_eff_dt"),
-            F.col("l_extendedprice").alias("cvg_prem"),
-            F.when(F.col("l_returnflag") == "R", "R").otherwise("B").alias("cvg_typ"),
-            F.col("l_quantity").cast("int").alias("prem_dur"),
+        return self.raw("lineitem").selectExpr(
+            "l_orderkey as pol_num",
+            "l_partkey as plan_code",
+            "l_suppkey as wa_code",
+            "to_date(l_shipdate) as cvg_eff_dt",
+            "l_extendedprice as cvg_prem",
+            "if(l_returnflag = 'R', 'R', 'B') as cvg_typ",
+            "int(l_quantity) as prem_dur",
         )
 
     def coverages(self) -> DataFrame:
         return self.coverage_lines().join(self.policies(), "pol_num")
 
     def clients(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.raw("customer").select(
-            key.alias("cli_num"),
-            F.when(key % 2 == 0, "M").otherwise("F").alias("sex_code"),
-            (F.lit(20) + key % 50).cast("int").alias("cur_age"),
-            (key % 4).cast("int").alias("no_dpnd"),
-            flag(key % 3 == 0).alias("dpnd_child_ind"),
-            flag((key % 5).isin(0, 1)).alias("dpnd_spouse_ind"),
-            F.col("c_acctbal").alias("mthly_incm"),
-            F.col("c_nationkey").alias("city_key"),
-            F.col("c_mktsegment").alias("customer_segment"),
-            F.when(key % 7 != 0, F.concat(F.lit("c"), key.cast("string"), F.lit("@x.example"))).alias("email_addr"),
+        return self.raw("customer").selectExpr(
+            "c_custkey as cli_num",
+            "if(c_custkey % 2 = 0, 'M', 'F') as sex_code",
+            "int(20 + c_custkey % 50) as cur_age",
+            "int(c_custkey % 4) as no_dpnd",
+            "if(c_custkey % 3 = 0, 1, 0) as dpnd_child_ind",
+            "if(c_custkey % 5 in (0, 1), 1, 0) as dpnd_spouse_ind",
+            "c_acctbal as mthly_incm",
+            "c_nationkey as city_key",
+            "c_mktsegment as customer_segment",
+            "if(c_custkey % 7 != 0, concat('c', c_custkey, '@x.example'), null) as email_addr",
         )
 
     def agents(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return self.raw("supplier").select(
-            key.alias("agt_code"),
-            F.col("s_name").alias("agt_nm"),
-            F.col("s_nationkey").alias("br_code"),
-            F.date_add(F.lit("1994-01-01").cast("date"), (key * 37 % 2500).cast("int")).alias("agt_join_dt"),
-            F.when(key % 10 != 9, "Agency").otherwise("Partner").alias("channel"),
-            F.when(key % 13 == 12, "9").otherwise("1").alias("agt_stat_code"),
-            F.when(key % 17 == 16, F.lit("2001-01-31").cast("date")).alias("agt_term_dt"),
-            F.when(key % 3 == 2, "98").otherwise("01").alias("comp_prvd_num"),
-            decode(key % 4, {1: "S", 2: "G", 3: "P"}).alias("title"),
+        return self.raw("supplier").selectExpr(
+            "s_suppkey as agt_code",
+            "s_name as agt_nm",
+            "s_nationkey as br_code",
+            "date_add(date '1994-01-01', int(s_suppkey * 37 % 2500)) as agt_join_dt",
+            "if(s_suppkey % 10 != 9, 'Agency', 'Partner') as channel",
+            "if(s_suppkey % 13 = 12, '9', '1') as agt_stat_code",
+            "if(s_suppkey % 17 = 16, date '2001-01-31', null) as agt_term_dt",
+            "if(s_suppkey % 3 = 2, '98', '01') as comp_prvd_num",
+            "case s_suppkey % 4 when 1 then 'S' when 2 then 'G' when 3 then 'P' end as title",
         )
 
     def tier_list(self) -> DataFrame:
         """Agents on the yearly list of top producers."""
-        key = F.col("s_suppkey")
-        return self.raw("supplier").where(key % 11 == 0).select(
-            key.alias("agt_code"), decode(key % 33, {0: "TOT", 11: "COT", 22: "MDRT"}).alias("ranking")
+        return self.raw("supplier").where("s_suppkey % 11 = 0").selectExpr(
+            "s_suppkey as agt_code", "case s_suppkey % 33 when 0 then 'TOT' when 11 then 'COT' when 22 then 'MDRT' end as ranking"
         )
 
     def branches(self) -> DataFrame:
-        return self.raw("nation").select(
-            F.col("n_nationkey").alias("br_code"), F.col("n_name").alias("br_nm"), F.col("n_regionkey").alias("rh_key")
-        )
+        return self.raw("nation").selectExpr("n_nationkey as br_code", "n_name as br_nm", "n_regionkey as rh_key")
 
     def region_heads(self) -> DataFrame:
-        return self.raw("region").select(F.col("r_regionkey").alias("rh_key"), F.col("r_name").alias("rh_name"))
+        return self.raw("region").selectExpr("r_regionkey as rh_key", "r_name as rh_name")
 
     def plans(self) -> DataFrame:
-        return self.raw("part").select(
-            F.col("p_partkey").alias("plan_code"),
-            F.col("p_type").alias("type"),
-            flag(F.col("p_size") <= 5).alias("sp_ind"),
-            ((F.col("p_partkey") % 20) / 100).alias("plan_margin"),
+        return self.raw("part").selectExpr(
+            "p_partkey as plan_code", "p_type as type", "if(p_size <= 5, 1, 0) as sp_ind", "p_partkey % 20 / 100 as plan_margin"
         )
 
     def dated_margins(self) -> DataFrame:
         """Two margins per plan, the second one starting a month and two weeks after the first."""
-        start = F.add_months(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 7 % 80).cast("int"))
-        rates = F.array(
-            F.struct(start.alias("effective_date"), (F.col("p_size") / 100).alias("nbv_margin")),
-            F.struct(
-                F.date_add(F.add_months(start, 1), 14).alias("effective_date"),
-                (F.col("p_size") / 200).alias("nbv_margin"),
-            ),
+        start = "add_months(date '1995-01-01', int(p_partkey * 7 % 80))"
+        return self.raw("part").selectExpr(
+            "p_partkey as plan_code",
+            f"""inline(array(
+                named_struct('effective_date', {start}, 'nbv_margin', p_size / 100),
+                named_struct('effective_date', date_add(add_months({start}, 1), 14), 'nbv_margin', p_size / 200)))""",
         )
-        return self.raw("part").select(F.col("p_partkey").alias("plan_code"), F.inline(rates))
 
     def plan_margins(self) -> DataFrame:
         """Default margin per plan and sales family; some plans lack an agency or bank margin."""
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            key.alias("plan_code"),
-            F.when(key % 6 != 0, key % 20 / 100).alias("agency"),
-            (key % 15 / 100).alias("direct"),
-            (key % 12 / 100).alias("other"),
-            (key % 9 / 100).alias("affinity"),
-            F.when(key % 5 != 0, key % 17 / 100).alias("banca"),
-            (key % 18 / 100).alias("tcb"),
-            (key % 16 / 100).alias("sag"),
+        return self.raw("part").selectExpr(
+            "p_partkey as plan_code",
+            "if(p_partkey % 6 != 0, p_partkey % 20 / 100, null) as agency",
+            "p_partkey % 15 / 100 as direct",
+            "p_partkey % 12 / 100 as other",
+            "p_partkey % 9 / 100 as affinity",
+            "if(p_partkey % 5 != 0, p_partkey % 17 / 100, null) as banca",
+            "p_partkey % 18 / 100 as tcb",
+            "p_partkey % 16 / 100 as sag",
         )
 
     def quarter_margins(self) -> DataFrame:
         """Margin per plan and fiscal quarter, 1994 to 2001."""
-        key = F.col("p_partkey")
-        quarters = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        return self.raw("part").select(key.alias("plan_code"), quarters.alias("q")).select(
+        return self.raw("part").selectExpr("p_partkey as plan_code", "explode(sequence(0, 31)) as q").selectExpr(
             "plan_code",
-            F.concat(
-                (F.lit(1994) + F.floor(F.col("q") / 4)).cast("string"), F.lit(" Q"), (F.col("q") % 4 + 1).cast("string")
-            ).alias("effective_qtr"),
-            ((F.col("plan_code") + F.col("q")) % 25 / 100).alias("quarter_margin"),
+            "concat(1994 + q div 4, ' Q', q % 4 + 1) as effective_qtr",
+            "(plan_code + q) % 25 / 100 as quarter_margin",
         )
 
     def claims(self) -> DataFrame:
         """Returned coverages are claims; a closed line is an approved claim, an open one is in work."""
-        return self.raw("lineitem").where(F.col("l_returnflag") == "R").select(
-            F.concat_ws(
-                "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"),
-                F.round(F.col("l_extendedprice") * 100).cast("long"),
-            ).alias("clm_id"),
-            F.col("l_orderkey").alias("pol_num"),
-            F.col("l_suppkey").alias("wa_code"),
-            F.to_date("l_shipdate").alias("clm_recv_dt"),
-            F.to_date("l_shipdate").alias("clm_aprov_dt"),
-            F.when(F.col("l_linestatus") == "F", "A").otherwise("I").alias("clm_stat_code"),
-            F.col("l_linenumber").alias("clm_code"),
-            F.col("l_extendedprice").alias("clm_prvd_amt"),
-            F.col("l_extendedprice").alias("clm_aprov_amt"),
+        return self.raw("lineitem").where("l_returnflag = 'R'").selectExpr(
+            """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'),
+                bigint(round(l_extendedprice * 100))) as clm_id""",
+            "l_orderkey as pol_num",
+            "l_suppkey as wa_code",
+            "to_date(l_shipdate) as clm_recv_dt",
+            "to_date(l_shipdate) as clm_aprov_dt",
+            "if(l_linestatus = 'F', 'A', 'I') as clm_stat_code",
+            "l_linenumber as clm_code",
+            "l_extendedprice as clm_prvd_amt",
+            "l_extendedprice as clm_aprov_amt",
         )
 
     def hits(self) -> DataFrame:
-        return self.raw("events").select(
+        return self.raw("events").selectExpr(
             "event_id",
-            F.col("user_id").alias("login_id"),
-            F.col("ts").alias("hit_at"),
-            flag(F.col("event_type") == "error").alias("exclude_hit"),
-            F.when(F.col("event_type") == "signup", "5").otherwise("1").alias("hit_source"),
-            F.col("event_type").alias("page"),
+            "user_id as login_id",
+            "ts as hit_at",
+            "if(event_type = 'error', 1, 0) as exclude_hit",
+            "if(event_type = 'signup', '5', '1') as hit_source",
+            "event_type as page",
         )
 
     def lapse_scores(self) -> DataFrame:
         """Lapse score and decile of a policy, known for three policies out of four."""
-        key = F.col("o_orderkey")
-        return self.raw("orders").where(key % 4 != 0).select(
-            key.alias("pol_num"),
-            ((key * 7 % 100) / 1000).alias("lapse_score"),
-            (key * 7 % 10 + 1).cast("int").alias("decile"),
+        return self.raw("orders").where("o_orderkey % 4 != 0").selectExpr(
+            "o_orderkey as pol_num", "o_orderkey * 7 % 100 / 1000 as lapse_score", "int(o_orderkey * 7 % 10 + 1) as decile"
         )
 
     def early_scores(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        return self.raw("orders").where(key % 5 != 0).select(
-            key.alias("pol_num"),
-            ((key * 11 % 100) / 500).alias("p_1"),
-            (key * 11 % 10 + 1).cast("int").alias("early_decile"),
+        return self.raw("orders").where("o_orderkey % 5 != 0").selectExpr(
+            "o_orderkey as pol_num", "o_orderkey * 11 % 100 / 500 as p_1", "int(o_orderkey * 11 % 10 + 1) as early_decile"
         )
 
     def existing_scores(self) -> DataFrame:
-        key = F.col("c_custkey")
-        deciles = {
-            "decile_inv": key * 3 % 10 + 1, "decile_ci": key * 7 % 10 + 1, "decile_lp": key % 9 + 2,
-            "decile_lt": F.when(key % 6 != 0, key % 8 + 3), "decile_acc": key % 7 + 4, "decile_med": key % 6 + 5,
-        }
-        return self.raw("customer").where(key % 3 != 0).select(
-            key.alias("cli_num"), *[c.cast("int").alias(n) for n, c in deciles.items()]
+        return self.raw("customer").where("c_custkey % 3 != 0").selectExpr(
+            "c_custkey as cli_num",
+            "int(c_custkey * 3 % 10 + 1) as decile_inv",
+            "int(c_custkey * 7 % 10 + 1) as decile_ci",
+            "int(c_custkey % 9 + 2) as decile_lp",
+            "int(if(c_custkey % 6 != 0, c_custkey % 8 + 3, null)) as decile_lt",
+            "int(c_custkey % 7 + 4) as decile_acc",
+            "int(c_custkey % 6 + 5) as decile_med",
         )
 
     def new_scores(self) -> DataFrame:
-        key = F.col("c_custkey")
-        deciles = {"ci_decile": key % 10 + 1, "invst_decile": key * 9 % 10 + 1, "lt_decile": key % 5 + 6}
-        return self.raw("customer").where(key % 4 == 0).select(
-            key.alias("po_num"), *[c.cast("int").alias(n) for n, c in deciles.items()]
+        return self.raw("customer").where("c_custkey % 4 = 0").selectExpr(
+            "c_custkey as po_num",
+            "int(c_custkey % 10 + 1) as ci_decile",
+            "int(c_custkey * 9 % 10 + 1) as invst_decile",
+            "int(c_custkey % 5 + 6) as lt_decile",
         )
 
     def product_scores(self) -> DataFrame:
-        key = F.col("c_custkey")
-        scores = {
-            "rep_purchase_comb_health_base_PREDICTION": key * 3 % 10 / 20,
-            "rep_purchase_comb_inv_base_PREDICTION": key * 7 % 11 / 20,
-            "rep_purchase_comb_health_rider_PREDICTION": key * 5 % 12 / 20,
-            "rep_purchase_comb_riders_PREDICTION": key % 7 / 20,
-        }
-        return self.raw("customer").select(
-            key.alias("po_num"),
-            F.when(key % 5 == 4, "REJECTED").otherwise("APPROVED").alias("DEPLOYMENT_APPROVAL_STATUS"),
-            *[c.alias(n) for n, c in scores.items()],
+        return self.raw("customer").selectExpr(
+            "c_custkey as po_num",
+            "if(c_custkey % 5 = 4, 'REJECTED', 'APPROVED') as DEPLOYMENT_APPROVAL_STATUS",
+            "c_custkey * 3 % 10 / 20 as rep_purchase_comb_health_base_PREDICTION",
+            "c_custkey * 7 % 11 / 20 as rep_purchase_comb_inv_base_PREDICTION",
+            "c_custkey * 5 % 12 / 20 as rep_purchase_comb_health_rider_PREDICTION",
+            "c_custkey % 7 / 20 as rep_purchase_comb_riders_PREDICTION",
         )
 
     def leads(self) -> DataFrame:
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("po_num"), (F.col("c_custkey") * 13 % 1000 / 1000).alias("p_1")
-        )
+        return self.raw("customer").selectExpr("c_custkey as po_num", "c_custkey * 13 % 1000 / 1000 as p_1")
 
     def training(self) -> DataFrame:
         """Twelve training columns per agent, null where a course was not finished."""
-        key = F.col("s_suppkey")
-        done = [
-            F.when((key + i) % 5 == 0, F.lit("done")).alias(f"sbw{i:02d}") for i in range(1, 13)
-        ]
-        return self.raw("supplier").select(
-            key.alias("agt_code"),
-            F.when(key % 3 == 2, "98").when(key % 3 == 1, "01").otherwise("77").alias("compro"),
-            F.when(key % 8 == 7, "02").otherwise("01").alias("stat_cd"),
-            *done,
+        return self.raw("supplier").selectExpr(
+            "s_suppkey as agt_code",
+            "case s_suppkey % 3 when 2 then '98' when 1 then '01' else '77' end as compro",
+            "if(s_suppkey % 8 = 7, '02', '01') as stat_cd",
+            *[f"if((s_suppkey + {i}) % 5 = 0, 'done', null) as sbw{i:02d}" for i in range(1, 13)],
         )
-
-
-def _policy_status(status: Column, priority: Column) -> Column:
-    """In force, paid-up, lapsed, surrendered, matured, not taken or rejected."""
-    return first_match([
-        ((status == "O") & (priority == "1-URGENT"), "4"),
-        (status == "O", "1"),
-        ((status == "F") & (priority == "1-URGENT"), "E"),
-        ((status == "F") & (priority == "2-HIGH"), "F"),
-        (status == "F", "B"),
-        (priority == "5-LOW", "R"),
-        (priority == "4-NOT SPECIFIED", "N"),
-    ], "A")
