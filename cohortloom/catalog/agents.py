@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, kpi_select, nudged, rate_columns, size_columns, with_parts
+from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, cut, kpi_select, nudged, rate_columns, size_columns, with_parts
 from cohortloom.functions import codes
 from cohortloom.operators.lookups import owner_of
 from cohortloom.operators.ordering import average_rank_desc
@@ -178,13 +178,13 @@ def leaderboard(t):
 
 _NEXT = " ".join(f"when '{a}' then '{b}'" for a, b in zip(codes.TIER_LADDER, (*codes.TIER_LADDER[1:], "TOT")))
 _BENCH = " ".join(f"when '{a}' then {b}" for a, b in codes.TIER_BENCHMARKS.items())
-_GAP_SQL = f"""select agt_code, tier, next_tier, cast(bench as double) as next_tier_benchmark,
-  round(case when bench - coalesce(ape_ytd, 0) < 0 then 0 else bench - coalesce(ape_ytd, 0) end + 0.271828 * 1e-6, 6) as gap_to_next_tier
+GAP_SQL = f"""select agt_code, tier, next_tier, cast(bench as double) as next_tier_benchmark,
+  {cut("case when bench - coalesce(ape_ytd, 0) < 0 then 0 else bench - coalesce(ape_ytd, 0) end")} as gap_to_next_tier
 from (select *, case next_tier {_BENCH} end as bench from (select agt_code, tier, case tier {_NEXT} end as next_tier from master)) m
 left join kpi k on k.wa_code = m.agt_code"""
 
 
-@query("next_tier_gap", with_parts(_GAP_SQL, "master", "kpi"))
+@query("next_tier_gap", with_parts(GAP_SQL, "master", "kpi"))
 def next_tier_gap(t):
     year = agent_mart.kpi_sums(mart(t, ["premium"]), SNAPSHOT, "ape").select(F.col("wa_code").alias("agt_code"), "ape_ytd")
     joined = agent_mart.with_next_tier(master(t).join(year, "agt_code", "left"))
@@ -234,7 +234,7 @@ select m.agt_code as agt_cd, m.agt_nm, m.tier, m.tenure_mth, m.no_sbw_completed,
   cast(floor(m.tenure_mth / 12) as integer) || 'y ' || (m.tenure_mth % 12) || 'm' as tenure_ym, '2001-06-30' as image_date
 from master m join rates r on r.wa_code = m.agt_code left join ({_CLAIM_SQL}) c on c.agt_cd = m.agt_code
 left join ({_RISK_SQL}) k on k.agt_cd = m.agt_code left join ({_LEAD_SQL}) l on l.agt_cd = m.agt_code
-left join ({_GAP_SQL}) g on g.agt_code = m.agt_code""", "master", "rates", "claim", "policy_agent", "lapse_score", "top_lead"))
+left join ({GAP_SQL}) g on g.agt_code = m.agt_code""", "master", "rates", "claim", "policy_agent", "lapse_score", "top_lead"))
 def agent_scorecard(t):
     return tidy(scorecard(t).select(
         "agt_cd", "agt_nm", "tier", "tenure_mth", "no_sbw_completed", *_CARD, "all_pol_cnt", "last_12m_prd", "`14m_per`",

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from cohortloom.catalog.clients import mart
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.operators import clustering, reports
-from cohortloom.session import settle
+from cohortloom.operators.sampling import sample_by_key
+from cohortloom.session import new_folder, settle
 
 SCALED = [
     "client_tenure", "pol_count", "ins_typ_count", "inforce_pol", "lapsed_pol", "coverage_ape", "plan_nbv", "cli_nbv_margin",
@@ -26,10 +27,12 @@ def _pipeline():
 
 
 def _clustered(t):
-    """Fit on a sample and score every client."""
+    """Fit on a sample, store the model, and score every client with the stored one."""
     features = _features(t)
-    model = clustering.fit_clusters(features.sample(0.3, seed=SEED), _pipeline(), 5, SEED)
-    return clustering.assign_clusters(features, model)
+    path = new_folder(t.spark)
+    sampled = sample_by_key(features, "po_num", 0.3, SEED)
+    clustering.save_model(clustering.fit_clusters(sampled, _pipeline(), 5, SEED), path)
+    return clustering.assign_clusters(features, clustering.load_model(path))
 
 
 @query("kmeans_clusters")
@@ -45,12 +48,12 @@ def cluster_profile(t):
 
 @query("elbow_table")
 def elbow_table(t):
-    return clustering.elbow_table(_features(t).sample(0.3, seed=SEED), _pipeline(), 9, SEED)
+    return clustering.elbow_table(sample_by_key(_features(t), "po_num", 0.3, SEED), _pipeline(), 9, SEED)
 
 
 @query("seeded_sample")
 def seeded_sample(t):
-    return t.clients().select("cli_num").sample(0.3, seed=SEED)
+    return sample_by_key(t.clients().select("cli_num"), "cli_num", 0.3, SEED)
 
 
 @query("embedding_clusters")

@@ -239,9 +239,13 @@ def kpi_select(*blocks: str, rounded: bool = True) -> str:
     return "select wa_code, " + ", ".join(columns) + " from mart group by wa_code"
 
 
-def nudged(*names: str) -> str:
+def cut(text: str, digits: int = 6) -> str:
     """Rounded like ``tidy(..., nudge=True)``."""
-    return ", ".join(f'round("{n}" + {NUDGE} * 1e-6, 6) as "{n}"' for n in names)
+    return f"round({text} + {NUDGE} * 1e-{digits}, {digits})"
+
+
+def nudged(*names: str) -> str:
+    return ", ".join(cut(f'"{n}"') + f' as "{n}"' for n in names)
 
 
 def size_columns() -> dict[str, str]:

@@ -82,7 +82,8 @@ def typed_empty_union(t):
 select r_name, count(*) as agents from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey
 where s_suppkey >= 5 group by 1""")
 def sql_views(t):
-    tables.register_views({"agents_v": t.agents(), "branches_v": t.branches(), "heads_v": t.region_heads()})
+    tables.register_views({"agents_v": t.agents(), "branches_v": t.branches(), "all_heads_v": t.region_heads()})
+    tables.register_views({"heads_v": tables.catalog_table(t.spark, "all_heads_v")})
     return tables.run_sql(t.spark, """
         select rh_name as r_name, count(*) as agents from agents_v join branches_v using (br_code) join heads_v using (rh_key)
         where agt_code >= :least group by 1;""", least=5)

@@ -3,13 +3,16 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog import agents as agent_queries
+from cohortloom.catalog import clients as client_queries
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.selection import _BANDED_SQL, _MARITAL_SQL, _banded_clients
-from cohortloom.catalog.sql import band_sql, with_parts
+from cohortloom.catalog.sql import NUDGE, TYPES, band_sql, cut, with_parts
+from cohortloom.catalog.totals import stats_sql
 from cohortloom.functions import codes
 from cohortloom.functions.measures import vip_flags
 from cohortloom.operators import reports
-from cohortloom.plans import activation, agent_mart, slicers
+from cohortloom.operators.lookups import membership
+from cohortloom.plans import activation, agent_mart, client_mart, slicers
 from cohortloom.session import new_folder
 from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import SNAPSHOT
@@ -119,11 +122,11 @@ def in_scope_agents(t):
 
 
 @query("activation_profile", with_parts(f"""
-select cast(f_agt_inactive as bigint) as f_agt_inactive, count(distinct po_num) as customers, round(avg(no_dpnd), 6) as no_dpnd,
-  round(avg(cur_age), 6) as cur_age, round(avg(mthly_incm), 2) as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov", "master", "rates"))
+select cast(f_agt_inactive as bigint) as f_agt_inactive, count(distinct po_num) as customers, {cut("avg(no_dpnd)")} as no_dpnd,
+  {cut("avg(cur_age)")} as cur_age, {cut("avg(mthly_incm)", 2)} as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov", "master", "rates"))
 def activation_profile(t):
     means = {"no_dpnd": "no_dpnd", "cur_age": "cur_age", "mthly_incm": "mthly_incm"}
-    return tidy(reports.profile(_customers(t), ["f_agt_inactive"], "po_num", means, "customers", distinct=True), cents=("mthly_incm",))
+    return tidy(reports.profile(_customers(t), ["f_agt_inactive"], "po_num", means, "customers", distinct=True), cents=("mthly_incm",), nudge=True)
 
 
 @query("band_breakdown", with_parts(f"""
@@ -150,6 +153,99 @@ def percentile_segments(t):
     return placed.select("agt_code", "segment")
 
 
+_SEGMENT_PARTS = """p as (select quantile_cont(total_po, 0.75) as po75, quantile_cont(total_po, 0.25) as po25,
+  quantile_cont(all_pol_cnt, 0.75) as pol75, quantile_cont(all_pol_cnt, 0.25) as pol25 from rates),
+s as (select agt_code, tenure_mth, total_po, all_pol_cnt, total_ape, case when total_po >= po75 or all_pol_cnt >= pol75 then 'Top Performers'
+  when total_po >= po25 or all_pol_cnt >= pol25 then 'High Performers' else 'The Slackers' end as segment
+  from master m join rates r on r.wa_code = m.agt_code, p)"""
+
+
+@query("segment_summary", with_parts(
+    f"select * from (with {_SEGMENT_PARTS} {' union all '.join(stats_sql('segment', c, 's') for c in ('tenure_mth', 'total_po', 'all_pol_cnt', 'total_ape'))})",
+    "master", "rates"))
+def segment_summary(t):
+    agents = stage(_agents(t).select("agt_code", *[f"`{c}`" for c in _METRICS]), new_folder(t.spark))
+    placed = activation.performance_segments(agents, _METRICS, ("total_po", "all_pol_cnt"))
+    return tidy(reports.summary(placed, ["tenure_mth", "total_po", "all_pol_cnt", "total_ape"], ["segment"]), 4, nudge=True)
+
+
+@query("ranked_agents", with_parts(f"select * from (with {_SEGMENT_PARTS} select distinct segment, agt_code as agt_cd, total_po, all_pol_cnt from s)",
+                                   "master", "rates"))
+def ranked_agents(t):
+    agents = stage(_agents(t).select(F.col("agt_code").alias("agt_cd"), "total_po", "all_pol_cnt"), new_folder(t.spark))
+    placed = activation.performance_segments(agents, ["total_po", "all_pol_cnt"], ("total_po", "all_pol_cnt"))
+    return activation.ranked_agents(placed, ["agt_cd", "total_po", "all_pol_cnt"])
+
+
+_COMPOSED = {"no_dpnd": "no_dpnd", "cur_age": "cur_age", "adj_mthly_incm": "mthly_incm"}
+_COMPOSITION_SQL = " union all ".join(
+    f"select f_agt_inactive, '{c}' as metric, {band_sql(source, codes.PROFILE_EDGES[c], include_lowest=False)} as band from ({_CUSTOMER_SQL})"
+    for c, source in _COMPOSED.items()
+)
+
+
+@query("composition_by_activity", with_parts(f"""
+select cast(f_agt_inactive as bigint) as f_agt_inactive, metric, band, count(*) as rows from ({_COMPOSITION_SQL}) group by 1, 2, 3""",
+                                             "client", "cov", "master", "rates"))
+def composition_by_activity(t):
+    customers = _customers(t).withColumnRenamed("mthly_incm", "adj_mthly_incm")
+    return tidy(reports.composition(customers, {c: codes.PROFILE_EDGES[c] for c in _COMPOSED}, ["f_agt_inactive"]))
+
+
+_CAMPAIGN_BANDS = {
+    "total_ape": "total_ape", "adj_mthly_incm": "mthly_incm", "no_dpnd": "no_dpnd", "clm_6m_cnt": "clm_6m_cnt",
+    "ins_typ_count": "ins_typ_count", "cur_age": "cur_age", "gap_to_next_tier": "gap_to_next_tier",
+}
+
+
+@query("campaign_base", with_parts(f"""
+select po_num, sa_code, which_prd, clm_6m_cnt, round(clm_6m_amt, 2) as clm_6m_amt, round(clm_6m_ratio, 6) as clm_6m_ratio, next_tier,
+  {cut("gap_to_next_tier")} as gap_to_next_tier, all_pol_cnt, mar_stat_cat, cus_vip_cat,
+  case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
+    when mar_stat_cat = '1. Married w/ kids' and no_dpnd_cat in ('1', '2', '3+') then '2. Mature Couples'
+    when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat = '1' then '3. Younger Couples'
+    when no_dpnd_cat = '0' then '4. Personal Protection Seekers' else '5. Unknown' end as "group",
+  {", ".join(f"{c}_cat" for c in _CAMPAIGN_BANDS)}
+from (select *, {_MARITAL_SQL} as mar_stat_cat, case when f_vip_elite = 1 then '1. Elite Platinum' when f_vip_plat = 1 then '2. Platinum'
+    when f_vip_gold = 1 then '3. Gold' when f_vip_silver = 1 then '4. Silver' else '5. Unknown' end as cus_vip_cat,
+    clm_6m_amt / round(total_ape, 4) as clm_6m_ratio,
+    {", ".join(f"{band_sql(source, *codes.CUSTOMER_BANDS[c])} as {c}_cat" for c, source in _CAMPAIGN_BANDS.items())}
+  from (select h.po_num, sa_code, which_prd, coalesce(clm_6m_cnt, 0) as clm_6m_cnt, coalesce(clm_6m_amt, 0) as clm_6m_amt, next_tier,
+      coalesce(gap_to_next_tier, 0) as gap_to_next_tier, coalesce(all_pol_cnt, 0) as all_pol_cnt, total_ape, mthly_incm, no_dpnd,
+      ins_typ_count, cur_age, dpnd_child_ind, dpnd_spouse_ind, f_vip_elite, f_vip_plat, f_vip_gold, f_vip_silver
+    from holding h join client c on c.cli_num = h.po_num left join ({_SERVING}) s on s.po_num = h.po_num
+    left join product p on p.po_num = h.po_num
+    left join (select po_num, cast(sum(cnt) as bigint) as clm_6m_cnt, sum(amt) / {codes.FX_RATE} as clm_6m_amt from (
+        select pol_num, cast(count(*) as bigint) as cnt, sum(clm_aprov_amt) as amt from claim where clm_aprov_dt > date '2000-12-30'
+          and clm_aprov_dt <= date '2001-06-30' and clm_stat_code = 'A' and clm_code in ({", ".join(map(str, codes.CLAIM_CODES))}) group by 1)
+      join (select pol_num, po_num from policy where pol_stat_cd not in ('A', 'N', 'R')) using (pol_num) group by 1) k on k.po_num = h.po_num
+    left join ({agent_queries.GAP_SQL}) g on g.agt_code = s.sa_code left join (select wa_code, all_pol_cnt from kpi) r on r.wa_code = s.sa_code
+    where total_ape > 0 and h.po_num not in (select s_suppkey * 13 from supplier)))""",
+                                   "holding", "client", "cov", "product", "claim", "policy", "master", "kpi"))
+def campaign_base(t):
+    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    people = t.clients().withColumnsRenamed({"cli_num": "po_num", "mthly_incm": "adj_mthly_incm"})
+    held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES)
+    customers = membership(held.join(people, "po_num"), t.agents(), {"po_num": "own_cli_num"}, "f_owner_is_agent")
+    customers = customers.join(activation.latest_servicing_agent(sold, people), "po_num", "left")
+    mart = agent_queries.mart(t, ["premium"])
+    kpis = agent_mart.kpi_sums(mart, SNAPSHOT, "ape").join(agent_mart.kpi_counts(mart, SNAPSHOT, "policy"), "wa_code")
+    tiers = agent_queries.master(t).select(F.col("agt_code").alias("agt_cd"), "tier").join(
+        kpis.select(F.col("wa_code").alias("agt_cd"), "ape_ytd", "all_pol_cnt"), "agt_cd", "left"
+    )
+    agents = agent_mart.with_next_tier(tiers).select("agt_cd", "next_tier", "gap_to_next_tier", "all_pol_cnt")
+    agent_of_policy = t.policies().join(t.coverage_lines().select("pol_num", "wa_code").distinct(), "pol_num")
+    base = slicers.campaign_base(
+        customers, agent_mart.approved_products(t.product_scores()), slicers.claims_last_6m(t.claims(), t.policies(), SNAPSHOT),
+        agents, slicers.agent_premium(agent_of_policy, SNAPSHOT),
+    )
+    shown = base.select(
+        "po_num", "sa_code", "which_prd", "clm_6m_cnt", "clm_6m_amt", "clm_6m_ratio", "next_tier", "gap_to_next_tier", "all_pol_cnt",
+        "mar_stat_cat", "cus_vip_cat", "group", *[f"{c}_cat" for c in _CAMPAIGN_BANDS],
+    )
+    return tidy(shown.withColumn("gap_to_next_tier", F.col("gap_to_next_tier") + NUDGE * 1e-6), cents=("clm_6m_amt",))
+
+
 @query("family_groups", with_parts(f"""
 select mar_stat_cat, cus_vip_cat, "group", count(*) as clients from (
   select *, case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
@@ -171,19 +267,16 @@ _GROUP = """case when dpnd_child_ind = 0 and no_dpnd in (2, 3) then '1. Family G
   when no_dpnd = 0 then '4. Personal Protection Seekers' else '5. Unknown' end"""
 
 
-def _summary_sql(metric):
-    return f"""select "group", '{metric}' as metric, count({metric}) as count, round(avg({metric}), 4) as mean,
-  round(stddev_samp({metric}), 4) as stddev, cast(min({metric}) as double) as min, cast(max({metric}) as double) as max,
-  round(quantile_cont({metric}, 0.25), 4) as p25, round(quantile_cont({metric}, 0.5), 4) as median, round(quantile_cont({metric}, 0.75), 4) as p75
-from (select *, {_GROUP} as "group" from client) group by 1"""
+_GROUPED = f"""(select *, {_GROUP} as "group" from client)"""
 
 
-@query("family_group_summary", with_parts(" union all ".join(map(_summary_sql, ("cur_age", "mthly_incm"))), "client"))
+@query("family_group_summary", with_parts(
+    " union all ".join(stats_sql('"group"', c, _GROUPED) for c in ("cur_age", "mthly_incm")), "client"))
 def family_group_summary(t):
     grouped = slicers.with_family_groups(
         _banded_clients(t).withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count")))
     )
-    return tidy(reports.summary(grouped, ["cur_age", "mthly_incm"], ["group"]), 4)
+    return tidy(reports.summary(grouped, ["cur_age", "mthly_incm"], ["group"]), 4, nudge=True)
 
 
 @query("slicer_breakdown", with_parts(f"""

@@ -26,12 +26,13 @@ def first_per_key(df: DataFrame, by: Sequence[str], order_by: Sequence[Column])
 
 def nth_as_columns(df: DataFrame, by: str, order_by: Sequence[Column], values: Sequence[str], n: int = 2) -> DataFrame:
     """The first ``n`` rows per key side by side: ``<value>_1``, ``<value>_2`` ..."""
-    placed = top_per_key(df.select(by, *values), [by], order_by, n, "_place")
+    placed = top_per_key(df, [by], order_by, n, "_place").select(by, "_place", *values)
     wide = placed.groupBy(by).pivot("_place", list(range(1, n + 1))).agg(
         *[F.first(c).alias(c) for c in values]
     )
-    names = [by] + [F.col(f"`{i}_{c}`").alias(f"{c}_{i}") for i in range(1, n + 1) for c in values]
-    return wide.select(*names)
+    # With a single value the pivot names its columns by the place alone.
+    named = {(i, c): f"{i}_{c}" if len(values) > 1 else f"{i}" for i in range(1, n + 1) for c in values}
+    return wide.select(by, *[F.col(f"`{name}`").alias(f"{c}_{i}") for (i, c), name in named.items()])
 
 
 def top_list_per_key(df: DataFrame, by: str, order_by: Sequence[Column], item: str, k: int, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.bands import band
 from cohortloom.operators.ordering import percentiles
 
 
@@ -117,6 +118,15 @@ def control_counts(df: DataFrame, entity: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities"))
 
 
+def composition(df: DataFrame, edges: Mapping[str, Sequence[float]], by: Sequence[str] = ()) -> DataFrame:
+    """Rows per profiling band of every column, nulls and values outside included, in one pass."""
+    banded = [F.struct(
+        F.lit(c).alias("metric"), band(F.col(f"`{c}`"), limits, include_lowest=False).alias("band")
+    ) for c, limits in edges.items()]
+    tall = df.select(*by, F.explode(F.array(*banded)).alias("b")).select(*by, "b.metric", "b.band")
+    return tall.groupBy(*by, "metric", "band").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def small_to_others(df: DataFrame, column: str, at_least: int, other: str = "Others", name: str | None = None) -> DataFrame:
     """Replace categories with fewer than ``at_least`` rows."""
     name = name or f"{column}_grouped"

@@ -92,3 +92,9 @@ def performance_segments(df: DataFrame, metrics: Sequence[str], deciding: Sequen
 def tier_place(tier: str = "tier") -> Column:
     """1 for unranked up to 7 for the top tier, 0 for anything else."""
     return ordinal(F.col(tier), codes.TIER_LADDER)
+
+
+def ranked_agents(segments: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Agents with their segment, best segment first, without repeated rows."""
+    merit = ordinal(F.col("segment"), codes.PERFORMANCE_LABELS)
+    return segments.select("segment", *columns).distinct().orderBy(merit, "agt_cd")

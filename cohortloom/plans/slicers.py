@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from cohortloom.functions import codes
 from cohortloom.functions.bands import first_match
 from cohortloom.functions.calendar import Snapshot
+from cohortloom.operators.cleaning import fill_by_type, lower_names
 from cohortloom.operators.latest import latest_value
+from cohortloom.operators.lookups import attach
+from cohortloom.plans.activation import with_bands
 
 
 def agent_premium(policies: DataFrame, snapshot: Snapshot, agent: str = "wa_code") -> DataFrame:
@@ -48,6 +51,20 @@ def claims_last_6m(claims: DataFrame, policies: DataFrame, snapshot: Snapshot,
     )
 
 
+def campaign_base(customers: DataFrame, products: DataFrame, claims: DataFrame, agents: DataFrame,
+                  agent_totals: DataFrame) -> DataFrame:
+    """Customers with premium who are no agents, with every slicer of the campaign.
+
+    ``products`` and ``claims`` have one row per ``po_num``, ``agents`` one per ``agt_cd`` and
+    ``agent_totals`` one per ``wa_code``; so no customer is repeated.
+    """
+    kept = customers.where((F.col("total_ape") > 0) & (F.col("f_owner_is_agent") == 0))
+    joined = kept.join(products, "po_num", "left").join(claims, "po_num", "left")
+    joined = attach(attach(joined, agents, {"sa_code": "agt_cd"}), agent_totals, {"sa_code": "wa_code"})
+    filled = fill_by_type(lower_names(joined), 0, skip=["po_num", "sa_code"])
+    return with_family_groups(with_bands(with_claim_ratio(filled), codes.CUSTOMER_BANDS))
+
+
 def with_claim_ratio(df: DataFrame) -> DataFrame:
     """Claims of six months as a fraction of yearly premium."""
     return df.withColumn("clm_6m_ratio", F.try_divide(F.col("clm_6m_amt"), F.round("total_ape", 4)))

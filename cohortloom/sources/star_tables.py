@@ -86,6 +86,7 @@ class StarTables:
             "s_suppkey as agt_code",
             "s_name as agt_nm",
             "s_nationkey as br_code",
+            "s_suppkey * 13 as own_cli_num",
             "date_add(date '1994-01-01', int(s_suppkey * 37 % 2500)) as agt_join_dt",
             "if(s_suppkey % 10 != 9, 'Agency', 'Partner') as channel",
             "if(s_suppkey % 13 = 12, '9', '1') as agt_stat_code",
