@@ -29,9 +29,9 @@ def mart(t, parts=agent_mart.PARTS):
 KPI_PARTS = ["sale_order", "premium", "value", "relation"]
 
 
-def stored_mart(t, parts=KPI_PARTS):
-    """The mart written once, for results that read it several times."""
-    return stage(mart(t, parts), new_folder(t.spark))
+def stored_mart(t):
+    """The KPI columns of the mart written once, for results that read them several times."""
+    return stage(mart(t, KPI_PARTS).select(*agent_mart.KPI_COLUMNS), new_folder(t.spark))
 
 
 @query("agent_master", with_parts("""

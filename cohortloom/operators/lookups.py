@@ -44,6 +44,16 @@ def membership(facts: DataFrame, known: DataFrame, on: Mapping[str, str], name:
     return attach(facts, keys, on).withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def with_bare_rows(facts: DataFrame, owners: DataFrame, on: str) -> DataFrame:
+    """``owners`` left joined to ``facts``: facts with their owner, and owners without any fact.
+
+    Spark cannot split a large key on the right side of a left join. As an inner join plus the
+    rows without a match, the facts may be split, and the match test sees each key once.
+    """
+    bare = owners.join(facts.select(on).distinct(), on, "left_anti")
+    return facts.join(owners, on).unionByName(bare, allowMissingColumns=True)
+
+
 def rates_in_range(facts: DataFrame, rates: DataFrame, key: str, fact_date: str, rate_date: str,
                    months: tuple[int, int], how: str = "left") -> DataFrame:
     """Rates of the same key whose age in whole months at the fact date lies in ``months``.

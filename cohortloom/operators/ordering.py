@@ -38,7 +38,10 @@ def running_total(df: DataFrame, order_by: Sequence[Column], weight: Column, by:
     )
     local = Window.partitionBy(_PART, *by).orderBy(*order_by).rowsBetween(*earlier)
     numbered = ranged.withColumn("_local", F.coalesce(F.sum("_weight").over(local), F.lit(0)))
-    keys = [numbered[_PART].eqNullSafe(offsets[_PART])] + [numbered[c].eqNullSafe(offsets[c]) for c in by]
+    if not by:
+        # One row per partition, whatever the number of rows.
+        offsets = F.broadcast(offsets)
+    keys = [numbered[_PART] == offsets[_PART]] + [numbered[c].eqNullSafe(offsets[c]) for c in by]
     return numbered.join(offsets, keys).select(
         *[numbered[c] for c in df.columns],
         (F.col("_offset") + F.col("_local")).alias("rows_before"),

@@ -127,6 +127,11 @@ def in_snapshot(coverages: DataFrame, snapshot: Snapshot) -> DataFrame:
     return coverages.where(known)
 
 
+# What the KPIs and call lists read; a stage for them needs no more.
+KPI_COLUMNS = (
+    "wa_code", "pol_num", "po_num", "insrd_num", "type", "po_ins_rela", "pol_stat_cd", "pol_eff_dt", "pol_trmn_dt", "cvg_typ",
+    "cvg_eff_dt", "cvg_eff_yr", "last_n_month_eff_cvg", "repeated_sales", "adjust_ape", "nbv",
+)
 PARTS = ("sale_order", "premium", "value", "relation", "first_date")
 
 

@@ -12,7 +12,7 @@ from cohortloom.functions.bands import flag
 from cohortloom.functions.calendar import Snapshot, fiscal_quarter, whole_years, years_between
 from cohortloom.operators.events import days_since
 from cohortloom.operators.latest import nth_as_columns
-from cohortloom.operators.lookups import attach
+from cohortloom.operators.lookups import attach, with_bare_rows
 
 FAMILIES = ("agency", "direct", "other", "affinity", "banca", "tcb", "sag")
 # Location prefixes with their own margin.
@@ -23,10 +23,7 @@ def policy_base(coverages: DataFrame, policies: DataFrame, plans: DataFrame, cli
                 snapshot: Snapshot) -> DataFrame:
     """Policies with their coverages, plan, owner and agent; a policy without coverage stays."""
     paid, left = measures.premium_years(F.col("cvg_eff_dt"), snapshot.column(), F.col("prem_dur"))
-    joined = (
-        policies.join(coverages, "pol_num", "left")
-        .join(plans, "plan_code", "left")
-    )
+    joined = with_bare_rows(coverages, policies, "pol_num").join(plans, "plan_code", "left")
     owners = clients.select(
         F.col("cli_num").alias("_owner"), F.col("email_addr").alias("cli_email"), F.col("customer_segment")
     )

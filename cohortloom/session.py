@@ -7,20 +7,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the transformations rely on. Spark's own size checks pick broadcast joins and
-# AQE splits skewed join partitions, so no transformation carries a join hint of its own.
-RECOMMENDED = {
+# What the transformations rely on at run time. Spark's own size checks pick broadcast joins, and
+# AQE splits the partitions of a key that holds a large share of the rows, also where the split
+# costs one more shuffle after the join.
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+LOCAL = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session the run-time settings it does not have yet."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str | int = "*", app: str = "cohortloom", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own session."""
     parallelism = "8" if cores == "*" else str(max(int(cores), 1))
@@ -32,7 +42,7 @@ def local_session(cores: str | int = "*", app: str = "cohortloom", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", parallelism)
     )
-    for key, value in RECOMMENDED.items():
+    for key, value in {**RUNTIME, **LOCAL}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.functions.calendar import Snapshot
+from cohortloom.session import prepare
 
 SNAPSHOT = Snapshot.of("2001-06-30")
 HIT_SNAPSHOT = Snapshot.of("2024-01-31")
@@ -27,7 +28,7 @@ class StarTables:
     """Entity views over one folder of parquet files; nothing is read before it is used."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = spark
+        self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
         self._opened: dict[str, DataFrame] = {}
 

@@ -148,6 +148,44 @@ def test_lookups(spark):
     assert {r["e"]: r["o"] for r in lookups.owner_of(pairs, "e", "o", "d").collect()} == {1: 4, 2: 9}
 
 
+def test_owners_without_facts_stay(spark):
+    facts = spark.createDataFrame([(1, "x"), (1, "y"), (7, "z")], "k long, f string")
+    owners = spark.createDataFrame([(1, "a"), (2, "b")], "k long, o string")
+    got = sorted(((r["k"], r["f"], r["o"]) for r in lookups.with_bare_rows(facts, owners, "k").collect()), key=str)
+    assert got == [(1, "x", "a"), (1, "y", "a"), (2, None, "b")]
+
+
+def test_large_key_is_split_in_joins_and_limited_in_windows(spark):
+    """A third of the rows on one key: AQE cuts the join partition, the window sends k rows per task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "10KB")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        facts = spark.range(0, 60000, 1, 8).selectExpr("if(id % 3 = 0, 1, id) as k", "id as v", "repeat(string(id), 3) as pad")
+        owners = spark.range(60000).selectExpr("id as k", "id % 5 as g")
+        joined = lookups.with_bare_rows(facts, owners, "k")
+        summed = joined.groupBy("k", "g").agg(F.count("v").alias("n"), F.max("pad").alias("pad"))
+        rows = {r["k"]: r["n"] for r in summed.select("k", "n").collect()}
+        assert rows[1] == 20001 and rows[3] == 0 and sum(rows.values()) == 60000
+        kept = joined.select("k", "v", "g")
+        assert kept.count() == 60000 + sum(1 for n in rows.values() if n == 0)
+        plan = summed._jdf.queryExecution()
+        summed.collect()
+        assert "skewed" in summed._jdf.queryExecution().executedPlan().toString() or "isSkew" in plan.executedPlan().toString()
+        top = latest.top_per_key(facts, ["k"], [F.desc("v")], 3)
+        assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+        assert top.where("k = 1").count() == 3
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                    "spark.sql.adaptive.skewJoin.skewedPartitionFactor"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_waterfalls(spark):
     rows = [(1, 1, 1), (1, 1, 0), (1, None, 1), (0, 1, 1), (2, 1, 1)]
     df = spark.createDataFrame(rows, "e long, a int, b int")
