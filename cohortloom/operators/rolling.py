@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PERIODS = "_periods"
 
@@ -57,27 +58,41 @@ def period_distincts(df: DataFrame, by: str, when: Mapping[str, Column], counts:
 
     Rows collapse to one per (key, entity) whose period bits are or-ed together before and after
     the shuffle; the counts are then plain sums over bits. Spark's own plan for many conditional
-    distinct counts copies each row once per count.
+    distinct counts copies each row once per count; here counts of the same entity share a copy.
     """
     marked, bit = _with_periods(df, when, counts)
-    entries = []
-    for place, count in enumerate(counts):
-        wanted = sum(bit[period] for period in count.names)
-        entries.append(f"""named_struct('measure', {place}, 'entity', string({count.entity}),
-            'mask', if(({count.only}) and ({count.entity}) is not null, {_PERIODS} & {wanted}, 0))""")
+    width = max(len(bit), 1)
+    entries, totals = [], []
+    for entity, shared in _by_entity(counts, 62 // width):
+        masks = []
+        for place, count in enumerate(shared):
+            wanted = sum(bit[period] for period in count.names)
+            masks.append(f"shiftleft(bigint(if({count.only}, {_PERIODS} & {wanted}, 0)), {place * width})")
+            totals += [
+                F.expr(f"count_if(slot = {len(entries)} and mask & {bit[period] << place * width}L > 0)").alias(name)
+                for period, name in count.names.items()
+            ]
+        whole = isinstance(marked.selectExpr(f"{entity} as e").schema["e"].dataType, T.IntegralType)
+        number, text = (f"bigint({entity})", "string(null)") if whole else ("bigint(null)", f"string({entity})")
+        entries.append(f"""named_struct('slot', {len(entries)}, 'number', {number}, 'text', {text},
+            'mask', if(({entity}) is null, 0L, {" | ".join(masks)}))""")
     seen = (
         marked.selectExpr(by, f"inline(array({', '.join(entries)}))")
-        .selectExpr(by, "measure", "if(mask > 0, entity, null) as entity", "mask")
-        .groupBy(by, "measure", "entity")
+        .selectExpr(by, "slot", "if(mask > 0, number, null) as number", "if(mask > 0, text, null) as text", "mask")
+        .groupBy(by, "slot", "number", "text")
         .agg(F.bit_or("mask").alias("mask"))
     )
-    totals = [
-        F.expr(f"count_if(measure = {place} and mask & {bit[period]} > 0)").alias(name)
-        for place, count in enumerate(counts) for period, name in count.names.items()
-    ]
     return seen.groupBy(by).agg(*totals)
 
 
+def _by_entity(counts: Sequence[Distinct], most: int) -> list[tuple[str, list[Distinct]]]:
+    """Counts of the same entity together, as many as fit into the bits of one number."""
+    groups: dict[str, list[Distinct]] = {}
+    for count in counts:
+        groups.setdefault(count.entity, []).append(count)
+    return [(entity, shared[i:i + most]) for entity, shared in groups.items() for i in range(0, len(shared), most)]
+
+
 def same_names(periods: Sequence[str], suffix: str, ytd: str | None = None, total: str | None = None) -> dict[str, str]:
     """``last_3m`` -> ``last_3m_<suffix>``; year-to-date and total carry their own names."""
     names = {period: f"{period}_{suffix}" for period in periods}
