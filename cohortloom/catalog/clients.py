@@ -13,23 +13,32 @@ from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
 
 
-def valued_base(t):
-    base = client_mart.policy_base(t.coverage_lines(), t.policies(), t.plans(), t.clients(), t.agents(), SNAPSHOT)
+def _valued(t, base):
     return client_mart.with_margins(base, t.plan_margins(), t.quarter_margins())
 
 
 def summary(t):
-    return client_mart.policy_summary(valued_base(t), TYPES)
+    base = client_mart.policy_base(t.coverage_lines(), t.policies(), SNAPSHOT, t.plans(), t.clients(), t.agents())
+    return client_mart.policy_summary(_valued(t, base), TYPES)
+
+
+def value_summary(t):
+    """The part of the summary that needs no lookups of plan type, owner and agent."""
+    return client_mart.policy_summary(_valued(t, client_mart.policy_base(t.coverage_lines(), t.policies(), SNAPSHOT)))
+
+
+def _scored(t, policies):
+    return client_mart.policy_ltv(policies, t.lapse_scores(), t.early_scores())
 
 
 def policy_values(t):
-    return client_mart.policy_ltv(summary(t), t.lapse_scores(), t.early_scores())
+    return _scored(t, value_summary(t))
 
 
 def mart(t, channel="Agency"):
     cities = t.branches().select(F.col("br_code").alias("city_key"), F.col("br_nm").alias("city"))
     return client_mart.client_mart(
-        client_mart.client_summary(policy_values(t), SNAPSHOT, TYPES),
+        client_mart.client_summary(_scored(t, summary(t)), SNAPSHOT, TYPES),
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t)),
         SNAPSHOT, HIT_SNAPSHOT, channel,
@@ -60,7 +69,7 @@ def client_ltv(t):
 
 @query("channel_priority", with_parts("select po_num, channel, channel_final from channel", "channel"))
 def channel_priority(t):
-    return client_mart.client_channel(summary(t))
+    return client_mart.client_channel(value_summary(t))
 
 
 _HELD = ["pol_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol",

@@ -16,7 +16,7 @@ select pol_num, po_num, plan_code, wa_code, cast(cvg_eff_dt as varchar) as cvg_e
   round(agt_tenure_yrs, 6) as agt_tenure_yrs, cast(prem_dur_pre as bigint) as prem_dur_pre, cast(prem_dur_post as bigint) as prem_dur_post,
   cast(inforce_yr as bigint) as inforce_yr, cast(f_inforce_ind as bigint) as f_inforce_ind from base""", "base"))
 def policy_base_star(t):
-    base = client_mart.policy_base(t.coverage_lines(), t.policies(), t.plans(), t.clients(), t.agents(), SNAPSHOT)
+    base = client_mart.policy_base(t.coverage_lines(), t.policies(), SNAPSHOT, t.plans(), t.clients(), t.agents())
     return tidy(base.select(
         "pol_num", "po_num", "plan_code", "wa_code", "cvg_eff_dt", "type", "customer_segment", "agt_tenure_yrs",
         "prem_dur_pre", "prem_dur_post", "inforce_yr", "f_inforce_ind",

@@ -19,22 +19,29 @@ FAMILIES = ("agency", "direct", "other", "affinity", "banca", "tcb", "sag")
 LOCATION_FAMILIES = {"TCB": "tcb", "SAG": "sag"}
 
 
-def policy_base(coverages: DataFrame, policies: DataFrame, plans: DataFrame, clients: DataFrame, agents: DataFrame,
-                snapshot: Snapshot) -> DataFrame:
-    """Policies with their coverages, plan, owner and agent; a policy without coverage stays."""
+def policy_base(coverages: DataFrame, policies: DataFrame, snapshot: Snapshot, plans: DataFrame | None = None,
+                clients: DataFrame | None = None, agents: DataFrame | None = None) -> DataFrame:
+    """Policies with their coverages; a policy without coverage stays.
+
+    Plan type, owner and selling agent are looked up where their tables are given, since a
+    lookup whose columns nobody reads would still be joined.
+    """
     paid, left = measures.premium_years(F.col("cvg_eff_dt"), snapshot.column(), F.col("prem_dur"))
-    joined = with_bare_rows(coverages, policies, "pol_num").join(plans, "plan_code", "left")
-    owners = clients.select(
-        F.col("cli_num").alias("_owner"), F.col("email_addr").alias("cli_email"), F.col("customer_segment")
-    )
-    sellers = agents.select(
-        F.col("agt_code").alias("_seller"),
-        F.when(
-            ~F.col("comp_prvd_num").isin(*codes.PARTNER_CODES),
-            years_between(F.col("agt_join_dt"), F.coalesce("agt_term_dt", snapshot.column())),
-        ).alias("agt_tenure_yrs"),
-    )
-    joined = attach(attach(joined, owners, {"po_num": "_owner"}), sellers, {"wa_code": "_seller"})
+    joined = with_bare_rows(coverages, policies, "pol_num")
+    if plans is not None:
+        joined = joined.join(plans, "plan_code", "left")
+    if clients is not None:
+        owners = clients.select(
+            F.col("cli_num").alias("_owner"), F.col("email_addr").alias("cli_email"), F.col("customer_segment")
+        )
+        joined = attach(joined, owners, {"po_num": "_owner"}).withColumn("valid_email", flag(F.col("cli_email").isNotNull()))
+    if agents is not None:
+        tenure = years_between(F.col("agt_join_dt"), F.coalesce("agt_term_dt", snapshot.column()))
+        sellers = agents.select(
+            F.col("agt_code").alias("_seller"),
+            F.when(~F.col("comp_prvd_num").isin(*codes.PARTNER_CODES), tenure).alias("agt_tenure_yrs"),
+        )
+        joined = attach(joined, sellers, {"wa_code": "_seller"})
     return joined.withColumns({
         "prem_dur_pre": paid,
         "prem_dur_post": left,
@@ -58,25 +65,26 @@ def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: Data
         "plan_nbv": premium * margin,
         "coverage_ape": F.try_divide(premium * 12, F.col("pmt_mode").cast("int")),
         "annual_flag": flag(F.col("pmt_mode") == "12"),
-        "valid_email": flag(F.col("cli_email").isNotNull()),
         "sales_channel": measures.sales_channel(F.col("dist_chnl_cd"), F.col("office_cd")),
     }).drop(*FAMILIES, "quarter_margin").where(~F.col("pol_stat_cd").isin(*codes.PENDING_CODES))
 
 
-def policy_summary(base: DataFrame, types: Mapping[str, str]) -> DataFrame:
+def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
     """One row per policy with everything the client level adds up.
 
     All client measures come from this one pass, and counts of distinct policies become sums.
     The sales channel belongs to the policy, so it is part of the key. ``types`` maps a product
-    type to its output column.
+    type to its output column; without it only the values are summed.
     """
-    return base.groupBy("po_num", "pol_num", "sales_channel").agg(
+    values = [
         F.sum("coverage_ape").alias("coverage_ape"),
         F.sum("plan_nbv").alias("plan_nbv"),
         F.min("prem_dur").alias("years"),
         F.min("prem_dur_pre").alias("years_paid"),
         F.min("prem_dur_post").alias("years_left"),
         F.min("cvg_eff_dt").alias("first_dt"),
+    ]
+    holdings = [] if types is None else [
         *[F.max(f"f_{name}_ind").alias(f"f_{name}_ind") for name in codes.STATUS_CODES],
         *[F.max(flag(F.col("type") == kind)).alias(name) for kind, name in types.items()],
         F.max("annual_flag").alias("annual_flag"),
@@ -84,7 +92,8 @@ def policy_summary(base: DataFrame, types: Mapping[str, str]) -> DataFrame:
         F.max(flag(F.col("inforce_yr") >= 10)).alias("long_lived"),
         F.sum("agt_tenure_yrs").alias("tenure_sum"),
         F.count("agt_tenure_yrs").alias("tenure_rows"),
-    )
+    ]
+    return base.groupBy("po_num", "pol_num", "sales_channel").agg(*values, *holdings)
 
 
 def policy_ltv(summary: DataFrame, lapse_scores: DataFrame, early_scores: DataFrame) -> DataFrame:
