@@ -40,6 +40,24 @@ def agent_master_query(t):
     return tidy(master(t).select("agt_code", "agt_nm", "tier", "mpro_title", "tenure_mth", "no_sbw_completed"))
 
 
+@query("scorecard_flags", """
+select s_suppkey as agt_code, cast(case when s_suppkey % 11 = 0 then 1 else 0 end as bigint) as mdrt_flag,
+  cast(case when s_suppkey % 33 = 0 then 1 else 0 end as bigint) as mdrt_tot_flag,
+  cast(case when s_suppkey % 33 = 11 then 1 else 0 end as bigint) as mdrt_cot_flag,
+  cast(case when s_suppkey % 5 = 0 then 1 else 0 end as bigint) as fc_flag,
+  cast(case when s_suppkey % 5 = 1 then 1 else 0 end as bigint) as mba_flag,
+  cast(case when s_suppkey % 5 = 2 then 1 else 0 end as bigint) as active_1m_flag,
+  cast(case when s_suppkey % 5 = 3 then 1 else 0 end as bigint) as active_3m_flag from supplier""")
+def scorecard_flags(t):
+    return tidy(agent_mart.scorecard_flags(t.scorecards(), t.tier_list()).drop("agent_group", "agent_tier"))
+
+
+@query("persistency_balance", with_parts("""
+select agt_code as wa_code, s_acctbal as m19_per from master join supplier on s_suppkey = agt_code""", "master"))
+def persistency_balance(t):
+    return tidy(agent_mart.persistency_balance(t.balances(), master(t), SNAPSHOT))
+
+
 @query("having_count", with_parts("select agt_code, no_sbw_completed from training", "training"))
 def having_count(t):
     return tidy(agent_mart.training_counts(t.training(), COURSES, ("01", "98")))

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import TYPES, cut, with_parts
 from cohortloom.catalog.windows import logins, policy_types
+from cohortloom.functions import codes
+from cohortloom.functions.bands import decode, flag
 from cohortloom.operators import reports
+from cohortloom.operators.lookups import attach
 from cohortloom.operators.ordering import ntile_desc
-from cohortloom.plans import client_mart
+from cohortloom.plans import agent_mart, client_mart
 from cohortloom.session import new_folder
 from cohortloom.sources.sinks import stage
 from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
@@ -17,9 +20,21 @@ def _valued(t, base):
     return client_mart.with_margins(base, t.plan_margins(), t.quarter_margins())
 
 
-def summary(t):
+ANY_FLAGS = ("f_same_agent", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "active_1m_flag")
+SUM_FLAGS = ("f_cash", "f_cheque", "f_auto")
+
+
+def summary(t, any_flags=(), sum_flags=()):
     base = client_mart.policy_base(t.coverage_lines(), t.policies(), SNAPSHOT, t.plans(), t.clients(), t.agents())
-    return client_mart.policy_summary(_valued(t, base), TYPES)
+    if any_flags:
+        flags = agent_mart.scorecard_flags(t.scorecards(), t.tier_list()).drop("agent_group", "agent_tier")
+        base = attach(base, flags, {"wa_code": "agt_code"})
+    kind = F.col("lst_pmt_mthd")
+    base = base.withColumns({
+        "f_same_agent": flag(F.col("sell_code") == F.col("wa_code")), "f_cash": flag(kind == "cash"),
+        "f_cheque": flag(kind == "cheque"), "f_auto": flag(kind == "transfer"),
+    })
+    return client_mart.policy_summary(_valued(t, base), TYPES, any_flags, sum_flags)
 
 
 def value_summary(t):
@@ -78,6 +93,36 @@ _HELD = ["pol_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_p
 _HELD_SQL = ", ".join(f'cast("{c}" as bigint) as "{c}"' for c in _HELD)
 
 
+_FLAG_SQL = {
+    "f_same_agent": "max(case when sell_code = wa_code then 1 else 0 end)",
+    "mdrt_flag": "coalesce(max(case when wa_code % 11 = 0 then 1 when wa_code is not null then 0 end), 0)",
+    "mdrt_tot_flag": "max(case when wa_code % 33 = 0 then 1 else 0 end)",
+    "mdrt_cot_flag": "max(case when wa_code % 33 = 11 then 1 else 0 end)",
+    "active_1m_flag": "max(case when wa_code % 5 = 2 then 1 else 0 end)",
+    "f_cash": "sum(case when lst_pmt_mthd = 'cash' then 1 else 0 end)",
+    "f_cheque": "sum(case when lst_pmt_mthd = 'cheque' then 1 else 0 end)",
+    "f_auto": "sum(case when lst_pmt_mthd = 'transfer' then 1 else 0 end)",
+}
+
+
+@query("client_flags", with_parts(
+    "select po_num, " + ", ".join(f"cast({text} as bigint) as {name}" for name, text in _FLAG_SQL.items()) + " from valued group by 1", "valued"))
+def client_flags(t):
+    held = client_mart.client_holdings(summary(t, ANY_FLAGS, SUM_FLAGS), SNAPSHOT, TYPES, ANY_FLAGS, SUM_FLAGS)
+    return tidy(held.select("po_num", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in (*ANY_FLAGS, *SUM_FLAGS)]))
+
+
+_STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+
+
+@query("lifestage_flags", "select c_custkey as cli_num, " + ", ".join(
+    f"cast(case when c_mktsegment = '{kind}' then 1 else 0 end as bigint) as {name}" for name, kind in _STAGES.items()) + " from customer")
+def lifestage_flags(t):
+    stage_of = decode(F.col("customer_segment"), {kind: codes.LIFESTAGE_FLAGS[name] for name, kind in _STAGES.items()})
+    flags = client_mart.lifestage_flags(F.col("stage"))
+    return tidy(t.clients().withColumn("stage", stage_of).select("cli_num", *[c.alias(n) for n, c in flags.items()]))
+
+
 @query("client_holdings", with_parts(f"""
 select po_num, {_HELD_SQL}, cast(first_pol_eff_dt as varchar) as first_pol_eff_dt, round(client_tenure, 6) as client_tenure,
   round(agt_tenure_yrs, 6) as agt_tenure_yrs, round(total_ape, 2) as total_ape from holding""", "holding"))

@@ -78,7 +78,8 @@ select o_orderkey as pol_num, o_custkey as po_num,
   cast(o_orderdate as date) as pol_eff_dt,
   case when o_orderstatus = 'F' then cast(o_orderdate as date) + cast(o_orderkey % 1200 as integer) end as pol_trmn_dt,
   cast(o_orderdate as date) + cast(o_orderkey % 365 as integer) as pd_to_dt,
-  o_totalprice as tot_ape
+  o_totalprice as tot_ape, o_orderkey % 10 as sell_code,
+  case o_orderkey % 3 when 0 then 'cash' when 1 then 'cheque' else 'transfer' end as lst_pmt_mthd
 from orders""")
 _part("line", """
 select l_orderkey as pol_num, l_partkey as plan_code, l_suppkey as wa_code, cast(l_shipdate as date) as cvg_eff_dt,

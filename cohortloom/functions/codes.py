@@ -114,6 +114,15 @@ PROFILE_EDGES = {
     "rider_cnt": [0, 1, 2, 3, INF],
 }
 
+# Activity codes of the agent scorecard, lifestage names, and the kind of the persistency balance.
+TOP_LISTS = ("MDRT", "TOT", "COT")
+ACTIVITY_FLAGS = {"fc_flag": "FC", "mba_flag": "MBA", "active_1m_flag": "1mAA", "active_3m_flag": "3mAA"}
+LIFESTAGE_FLAGS = {
+    "f_adult_self_insured": "Adult Self Insured", "f_family": "Family", "f_family_wkids": "Family with Kids",
+    "f_empty_nest": "Empty Nester", "f_undefined_segment": "Undefined Segmentation",
+}
+PERSISTENCY_KIND = "A214"
+
 # Segment names.
 MARITAL_LABELS = ("1. Married w/ kids", "2. Married", "3. Unknown")
 VIP_LABELS = ("1. Elite Platinum", "2. Platinum", "3. Gold", "4. Silver", "5. Unknown")

@@ -12,7 +12,7 @@ from cohortloom.functions.bands import argmax_label, decode, flag, mark
 from cohortloom.functions.calendar import Snapshot, month_offset, periods, tenure_text, whole_months
 from cohortloom.operators.cleaning import strip_names
 from cohortloom.operators.latest import first_per_key, running_min, top_list_per_key, top_per_key
-from cohortloom.operators.lookups import attach, latest_rate, one_per_key, owner_of
+from cohortloom.operators.lookups import attach, keep_known, latest_rate, one_per_key, owner_of
 from cohortloom.operators.ordering import average_rank_desc
 from cohortloom.operators.rolling import Distinct, Measure, period_distincts, period_sums, same_names
 
@@ -53,6 +53,25 @@ def agent_master(agents: DataFrame, tier_list: DataFrame, training: DataFrame, s
     )
 
 
+def scorecard_flags(scorecard: DataFrame, tier_list: DataFrame) -> DataFrame:
+    """Scorecards of one month with the agent's place on the top lists and activity flags."""
+    listed = one_per_key(tier_list.where(F.col("ranking").isin(*codes.TOP_LISTS)), ["agt_code"])
+    return scorecard.join(listed, "agt_code", "left").withColumns({
+        "mdrt_flag": flag(F.col("agent_group") == "MDRT"),
+        "mdrt_tot_flag": flag(F.col("ranking") == "TOT"),
+        "mdrt_cot_flag": flag(F.col("ranking") == "COT"),
+        **{name: flag(F.col("agent_tier") == code) for name, code in codes.ACTIVITY_FLAGS.items()},
+    }).drop("ranking")
+
+
+def persistency_balance(balances: DataFrame, master: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The persistency balance of the snapshot month for serving agents."""
+    month = balances.where((F.col("run_num") == snapshot.compact) & (F.col("acum_cd") == codes.PERSISTENCY_KIND))
+    return keep_known(month, master, {"agt_cd": "agt_code"}).select(
+        F.col("agt_cd").alias("wa_code"), F.col("acum_bal").cast("double").alias("m19_per")
+    )
+
+
 def first_policies(policies: DataFrame) -> DataFrame:
     """The first policy of every owner that came into force."""
     taken = policies.where(~F.col("pol_stat_cd").isin(*codes.VOID_CODES)).select("po_num", "pol_num", "pol_eff_dt")

@@ -69,12 +69,14 @@ def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: Data
     }).drop(*FAMILIES, "quarter_margin").where(~F.col("pol_stat_cd").isin(*codes.PENDING_CODES))
 
 
-def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
+def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None, any_flags: Sequence[str] = (),
+                   sum_flags: Sequence[str] = ()) -> DataFrame:
     """One row per policy with everything the client level adds up.
 
     All client measures come from this one pass, and counts of distinct policies become sums.
     The sales channel belongs to the policy, so it is part of the key. ``types`` maps a product
-    type to its output column; without it only the values are summed.
+    type to its output column; without it only the values are summed. ``any_flags`` are 1 if any
+    coverage has them, ``sum_flags`` count the coverages that do.
     """
     values = [
         F.sum("coverage_ape").alias("coverage_ape"),
@@ -93,7 +95,8 @@ def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None) -> D
         F.sum("agt_tenure_yrs").alias("tenure_sum"),
         F.count("agt_tenure_yrs").alias("tenure_rows"),
     ]
-    return base.groupBy("po_num", "pol_num", "sales_channel").agg(*values, *holdings)
+    flags = [F.max(c).alias(c) for c in any_flags] + [F.sum(c).alias(c) for c in sum_flags]
+    return base.groupBy("po_num", "pol_num", "sales_channel").agg(*values, *holdings, *flags)
 
 
 def policy_ltv(summary: DataFrame, lapse_scores: DataFrame, early_scores: DataFrame) -> DataFrame:
@@ -173,14 +176,18 @@ def _with_holding_flags(clients: DataFrame, snapshot: Snapshot, types: Mapping[s
     })
 
 
-def client_holdings(summary: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
+def client_holdings(summary: DataFrame, snapshot: Snapshot, types: Mapping[str, str], any_flags: Sequence[str] = (),
+                    sum_flags: Sequence[str] = ()) -> DataFrame:
     """Policy counts, tenure, VIP tier and flags per client."""
-    return _with_holding_flags(summary.groupBy("po_num").agg(*_holding_sums(types)), snapshot, types)
+    flags = [F.max(c).alias(c) for c in any_flags] + [F.sum(c).alias(c) for c in sum_flags]
+    return _with_holding_flags(summary.groupBy("po_num").agg(*_holding_sums(types), *flags), snapshot, types)
 
 
-def client_summary(policy_values: DataFrame, snapshot: Snapshot, types: Mapping[str, str]) -> DataFrame:
+def client_summary(policy_values: DataFrame, snapshot: Snapshot, types: Mapping[str, str], any_flags: Sequence[str] = (),
+                   sum_flags: Sequence[str] = ()) -> DataFrame:
     """Holdings, lifetime value and channel per client from one aggregation."""
-    summed = policy_values.groupBy("po_num").agg(*_holding_sums(types), *_value_sums(), *_channels())
+    flags = [F.max(c).alias(c) for c in any_flags] + [F.sum(c).alias(c) for c in sum_flags]
+    summed = policy_values.groupBy("po_num").agg(*_holding_sums(types), *_value_sums(), *_channels(), *flags)
     return _with_holding_flags(summed, snapshot, types)
 
 
@@ -215,6 +222,10 @@ def best_propensity(existing: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(fresh).groupBy("po_num").agg(F.min("min_decile").alias("min_decile"))
 
 
+def lifestage_flags(segment: Column) -> dict[str, Column]:
+    return {name: flag(segment == value) for name, value in codes.LIFESTAGE_FLAGS.items()}
+
+
 def city_flags(city: Column, cities: Mapping[str, str], other: str = "f_oth_city") -> dict[str, Column]:
     named = {name: flag(city == value) for name, value in cities.items()}
     return {**named, other: flag(~city.isin(*cities.values()))}

@@ -51,6 +51,8 @@ class StarTables:
             "if(o_orderstatus = 'F', date_add(to_date(o_orderdate), int(o_orderkey % 1200)), null) as pol_trmn_dt",
             "date_add(to_date(o_orderdate), int(o_orderkey % 365)) as pd_to_dt",
             "o_totalprice as tot_ape",
+            "o_orderkey % 10 as sell_code",
+            "case o_orderkey % 3 when 0 then 'cash' when 1 then 'cheque' else 'transfer' end as lst_pmt_mthd",
         )
 
     def coverage_lines(self) -> DataFrame:
@@ -102,6 +104,22 @@ class StarTables:
             "s_suppkey as agt_code", "case s_suppkey % 33 when 0 then 'TOT' when 11 then 'COT' when 22 then 'MDRT' end as ranking"
         )
 
+    def scorecards(self) -> DataFrame:
+        """Activity group and tier code of every agent."""
+        return self.raw("supplier").selectExpr(
+            "s_suppkey as agt_code",
+            "if(s_suppkey % 11 = 0, 'MDRT', 'AGENT') as agent_group",
+            "case s_suppkey % 5 when 0 then 'FC' when 1 then 'MBA' when 2 then '1mAA' when 3 then '3mAA' else '3mZ' end as agent_tier",
+        )
+
+    def balances(self) -> DataFrame:
+        """Persistency balances: two kinds, two months."""
+        return self.raw("supplier").selectExpr(
+            "s_suppkey as agt_cd",
+            "inline(array(struct('200106' as run_num, 'A214' as acum_cd, s_acctbal as acum_bal), "
+            "struct('200106' as run_num, 'A100' as acum_cd, 1.0D as acum_bal), struct('200105' as run_num, 'A214' as acum_cd, 2.0D as acum_bal)))",
+        )
+
     def branches(self) -> DataFrame:
         return self.raw("nation").selectExpr("n_nationkey as br_code", "n_name as br_nm", "n_regionkey as rh_key")
 
