@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import TYPES, cut, with_parts
+from cohortloom.catalog.sql import CLIENT_FLAGS, TYPES, cut, with_parts
 from cohortloom.catalog.windows import logins, policy_types
 from cohortloom.functions import codes
 from cohortloom.functions.bands import decode, flag
@@ -53,7 +53,7 @@ def policy_values(t):
 def mart(t, channel="Agency"):
     cities = t.branches().select(F.col("br_code").alias("city_key"), F.col("br_nm").alias("city"))
     return client_mart.client_mart(
-        client_mart.client_summary(_scored(t, summary(t)), SNAPSHOT, TYPES),
+        client_mart.client_summary(_scored(t, summary(t, ANY_FLAGS, SUM_FLAGS)), SNAPSHOT, TYPES, ANY_FLAGS, SUM_FLAGS),
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t)),
         SNAPSHOT, HIT_SNAPSHOT, channel,
@@ -93,23 +93,11 @@ _HELD = ["pol_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_p
 _HELD_SQL = ", ".join(f'cast("{c}" as bigint) as "{c}"' for c in _HELD)
 
 
-_FLAG_SQL = {
-    "f_same_agent": "max(case when sell_code = wa_code then 1 else 0 end)",
-    "mdrt_flag": "coalesce(max(case when wa_code % 11 = 0 then 1 when wa_code is not null then 0 end), 0)",
-    "mdrt_tot_flag": "max(case when wa_code % 33 = 0 then 1 else 0 end)",
-    "mdrt_cot_flag": "max(case when wa_code % 33 = 11 then 1 else 0 end)",
-    "active_1m_flag": "max(case when wa_code % 5 = 2 then 1 else 0 end)",
-    "f_cash": "sum(case when lst_pmt_mthd = 'cash' then 1 else 0 end)",
-    "f_cheque": "sum(case when lst_pmt_mthd = 'cheque' then 1 else 0 end)",
-    "f_auto": "sum(case when lst_pmt_mthd = 'transfer' then 1 else 0 end)",
-}
-
-
 @query("client_flags", with_parts(
-    "select po_num, " + ", ".join(f"cast({text} as bigint) as {name}" for name, text in _FLAG_SQL.items()) + " from valued group by 1", "valued"))
+    "select po_num, " + ", ".join(f"cast({text} as bigint) as {name}" for name, text in CLIENT_FLAGS.items()) + " from valued group by 1", "valued"))
 def client_flags(t):
     held = client_mart.client_holdings(summary(t, ANY_FLAGS, SUM_FLAGS), SNAPSHOT, TYPES, ANY_FLAGS, SUM_FLAGS)
-    return tidy(held.select("po_num", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in (*ANY_FLAGS, *SUM_FLAGS)]))
+    return tidy(held.select("po_num", *ANY_FLAGS, *SUM_FLAGS))
 
 
 _STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))

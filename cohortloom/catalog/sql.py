@@ -389,6 +389,16 @@ from (select po_num, sales_channel, first_value(sales_channel) over (partition b
 group by po_num, channel""", "valued")
 TYPES = {"ECONOMY": "economy_pol", "LARGE": "large_pol", "MEDIUM": "medium_pol", "PROMO": "promo_pol",
          "SMALL": "small_pol", "STANDARD": "standard_pol"}
+CLIENT_FLAGS = {
+    "f_same_agent": "max(case when sell_code = wa_code then 1 else 0 end)",
+    "mdrt_flag": "coalesce(max(case when wa_code % 11 = 0 then 1 when wa_code is not null then 0 end), 0)",
+    "mdrt_tot_flag": "max(case when wa_code % 33 = 0 then 1 else 0 end)",
+    "mdrt_cot_flag": "max(case when wa_code % 33 = 11 then 1 else 0 end)",
+    "active_1m_flag": "max(case when wa_code % 5 = 2 then 1 else 0 end)",
+    "f_cash": "sum(case when lst_pmt_mthd = 'cash' then 1 else 0 end)",
+    "f_cheque": "sum(case when lst_pmt_mthd = 'cheque' then 1 else 0 end)",
+    "f_auto": "sum(case when lst_pmt_mthd = 'transfer' then 1 else 0 end)",
+}
 _STATUS_OUT = dict(zip(codes.STATUS_CODES, (
     "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol")))
 _VIP = codes.VIP_BOUNDS
@@ -405,7 +415,8 @@ from (select po_num, min(cvg_eff_dt) as first_pol_eff_dt, count(distinct pol_num
   {", ".join(f"count(distinct case when type = '{k}' then pol_num end) as {o}" for k, o in TYPES.items())},
   max(annual_flag) as annual_flag, max(valid_email) as valid_email,
   count(distinct case when inforce_yr >= 10 then pol_num end) as "10yr_pol_cnt",
-  sum(coverage_ape) as total_ape, avg(agt_tenure_yrs) as agt_tenure_yrs
+  sum(coverage_ape) as total_ape, avg(agt_tenure_yrs) as agt_tenure_yrs,
+  {", ".join(f"{text} as {name}" for name, text in CLIENT_FLAGS.items())}
   from valued group by po_num)""", "valued")
 _part("policy_type", """
 select pol_num, max(type) as ins_typ from line join plan using (plan_code) group by 1""", "line", "plan")

@@ -17,7 +17,7 @@ def status_flags(status: Column) -> dict[str, Column]:
 
 def annualised_premium(premium: Column, mode: Column, status: Column) -> Column:
     """Premium over a year; 0 for a policy that never came into force."""
-    months = mode.cast("int")
+    months = mode.try_cast("int")
     return F.when(status.isin(*codes.VOID_CODES), F.lit(0.0)).otherwise(F.try_divide(premium * 12, months))
 
 
@@ -28,7 +28,7 @@ def adjusted_premium(days_in_force: Column, mode: Column, premium: Column, ape:
     Up to 21 days count nothing; a full year or no termination counts in full; in between a
     modal policy counts the instalments it reached. A single premium counts a tenth.
     """
-    months = mode.cast("int")
+    months = mode.try_cast("int")
     short = days_in_force <= 21
 
     def reached(days_per_instalment: int) -> Column:

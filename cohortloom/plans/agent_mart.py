@@ -186,7 +186,7 @@ def with_calendar(coverages: DataFrame, snapshot: Snapshot) -> DataFrame:
         "lapsed": flag(status == codes.LAPSED_CODE),
         "rejected": flag(status == codes.REJECTED_CODE),
         "pol_active": flag(status.isin(*codes.ACTIVE_CODES)),
-        "pmt_mode_desc": decode(F.col("pmt_mode").cast("int"), codes.PAYMENT_MODES),
+        "pmt_mode_desc": decode(F.col("pmt_mode").try_cast("int"), codes.PAYMENT_MODES),
         "cvg_eff_yr": F.year("cvg_eff_dt"),
         "year_month": F.date_format("cvg_eff_dt", "yyyy-MM"),
         "pol_eff_yr": F.year("pol_eff_dt"),

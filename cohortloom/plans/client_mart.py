@@ -63,7 +63,7 @@ def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: Data
     return joined.withColumns({
         "nbv_margin": margin,
         "plan_nbv": premium * margin,
-        "coverage_ape": F.try_divide(premium * 12, F.col("pmt_mode").cast("int")),
+        "coverage_ape": F.try_divide(premium * 12, F.col("pmt_mode").try_cast("int")),
         "annual_flag": flag(F.col("pmt_mode") == "12"),
         "sales_channel": measures.sales_channel(F.col("dist_chnl_cd"), F.col("office_cd")),
     }).drop(*FAMILIES, "quarter_margin").where(~F.col("pol_stat_cd").isin(*codes.PENDING_CODES))
@@ -95,7 +95,7 @@ def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None, any_
         F.sum("agt_tenure_yrs").alias("tenure_sum"),
         F.count("agt_tenure_yrs").alias("tenure_rows"),
     ]
-    flags = [F.max(c).alias(c) for c in any_flags] + [F.sum(c).alias(c) for c in sum_flags]
+    flags = [F.max(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in any_flags] + [F.sum(c).alias(c) for c in sum_flags]
     return base.groupBy("po_num", "pol_num", "sales_channel").agg(*values, *holdings, *flags)
 
 
@@ -262,5 +262,6 @@ PROFILE_MEANS = {
     "surrendered_pol": "mean_srd_pol", "matured_pol": "mean_mat_pol", "nottaken_pol": "mean_ntk_pol",
     "terminated_pol": "mean_ter_pol", "oth_paid_pol": "mean_oth_pol", "lapse_decile": "mean_lapse_decile",
     "ins_typ_count": "mean_ins_type", "yr_2nd_prod": "mean_yr_2nd_prod", "agt_tenure_yrs": "mean_agt_tenure",
+    "mdrt_flag": "mdrt%", "mdrt_tot_flag": "mdrt_tot%", "mdrt_cot_flag": "mdrt_cot%", "active_1m_flag": "1mA%",
     "multi_prod": "multi_prod%", "coverage_ape": "mean_ape", "inforce_ind": "mean_inforce_ind",
 }
