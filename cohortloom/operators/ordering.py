@@ -90,7 +90,11 @@ def ntile_desc(df: DataFrame, value: str, key: str, buckets: int, name: str = "d
 
 
 def average_rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Rank from the largest value down; ties share their mean rank, cut to a whole number."""
+    """Rank from the largest value down; ties share their mean rank, cut to a whole number.
+
+    Ranks are looked up by value: ``df`` must give the same values when read again, so pass a
+    stored or rounded measure.
+    """
     placed = value_positions(df, value)
     first = F.col("rows_all") - F.col("rows_before") - F.col("rows_equal") + 1
     last = F.col("rows_all") - F.col("rows_before")

@@ -15,6 +15,7 @@ from cohortloom.operators.latest import first_per_key, running_min, top_list_per
 from cohortloom.operators.lookups import attach, keep_known, latest_rate, one_per_key, owner_of
 from cohortloom.operators.ordering import average_rank_desc
 from cohortloom.operators.rolling import Distinct, Measure, period_distincts, period_sums, same_names
+from cohortloom.session import settle
 
 ROLLING = ("last_mth", "last_12m", "last_3m", "last_6m", "last_9m")
 WITH_YEAR = ("last_yr", *ROLLING)
@@ -388,7 +389,8 @@ def agent_scorecard(master: DataFrame, mart: DataFrame, claims: DataFrame, lapse
         .join(risk_lists(lapse_scores, agents_of_policy), "agt_cd", "left")
         .join(lead_lists(top), "agt_cd", "left")
     )
-    ranked = average_rank_desc(joined, "last_mth_ape", "rank_of_last_mth_ape")
+    # Ranking compares sums of doubles with themselves, so they must not be added up a second time.
+    ranked = average_rank_desc(settle(joined), "last_mth_ape", "rank_of_last_mth_ape")
     return with_next_tier(ranked).withColumns({
         "tenure_ym": tenure_text(F.col("tenure_mth")),
         "image_date": F.lit(str(snapshot)),
