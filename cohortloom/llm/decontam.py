@@ -53,7 +53,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, sizes, held, number = [], [], [], 0, 0
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", min(1 << 20, shard_bytes)):
             if ids and held + texts.nbytes > shard_bytes:
                 yield _shard(number, ids, words, sizes)
                 ids, words, sizes, held, number = [], [], [], 0, number + 1
