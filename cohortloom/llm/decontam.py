@@ -88,11 +88,15 @@ def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[i
     return {size: (np.array(rows, np.uint64), owners) for size, (rows, owners) in found.items()}
 
 
-def _near(wanted: np.ndarray, listed: np.ndarray, slop: int) -> np.ndarray:
-    """Which of ``wanted`` have a posting at most ``slop`` words away."""
-    at = np.searchsorted(listed, wanted - slop)
+def _near(here: np.ndarray, offset: int, listed: np.ndarray, slop: int, firsts: np.ndarray) -> np.ndarray:
+    """Which starts have a posting of ``listed`` at most ``slop`` words from their offset, in the same document."""
+    low = high = here + offset
+    if slop:
+        place = np.searchsorted(firsts, here, "right")
+        low, high = np.maximum(low - slop, firsts[place - 1]), np.minimum(high + slop, firsts[np.minimum(place, len(firsts) - 1)] - 1)
+    at = np.searchsorted(listed, low)
     found = at < len(listed)
-    found[found] = listed[at[found]] <= wanted[found] + slop
+    found[found] = listed[at[found]] <= high[found]
     return found
 
 
@@ -110,13 +114,15 @@ def _search(shard: dict, wanted: dict[int, tuple[np.ndarray, list[str]]], slop:
             rarest = np.argsort(counts[slot[k]], kind="stable")
             here = None
             for offset in rarest.tolist():
-                t = slot[k, offset]
-                listed = postings[bounds[t] : bounds[t + 1]]
-                here = listed - offset if here is None else here[_near(here + offset, listed, slop)]
+                listed = postings[bounds[slot[k, offset]] : bounds[slot[k, offset] + 1]]
+                if here is None:
+                    here = np.unique(listed[:, None] - offset + np.arange(-slop, slop + 1))
+                    here = here[here >= 0]
+                here = here[_near(here, offset, listed, slop, firsts)]
                 if not len(here):
                     break
             place = np.searchsorted(firsts, here, "right") - 1
-            whole = (here >= 0) & (here + size <= firsts[np.minimum(place + 1, len(firsts) - 1)])
+            whole = here + size <= firsts[np.minimum(place + 1, len(firsts) - 1)]
             for p, s in zip(place[whole].tolist(), (here - firsts[place])[whole].tolist(), strict=True):
                 spans.setdefault((p, owners[k]), []).append((s, s + size))
     for (p, item), found in spans.items():

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.session import settle
+from cohortloom.session import new_folder, settle
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it from there: compressed, and survives lost executors."""
+    folder = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import decontam
+from cohortloom.llm import decontam, jaccard
 
 QUERIES = {
+    "op5_jaccard_join": jaccard.digest,
     "op10_decontamination": decontam.digest,
 }
 
