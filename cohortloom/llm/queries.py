@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import decontam, jaccard
+from cohortloom.llm import bpe, decontam, jaccard, token_counts
 
 QUERIES = {
+    "op3_bpe_round_trip": bpe.digest,
     "op5_jaccard_join": jaccard.digest,
+    "op6_token_counts": token_counts.digest,
     "op10_decontamination": decontam.digest,
 }
 
