@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, decontam, jaccard, token_counts
+from cohortloom.llm import bpe, decontam, jaccard, quality, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality.digest,
     "op3_bpe_round_trip": bpe.digest,
     "op5_jaccard_join": jaccard.digest,
     "op6_token_counts": token_counts.digest,
     "op10_decontamination": decontam.digest,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_quality_rules": quality.SQL,
+}

@@ -72,8 +72,8 @@ def frequent_words(texts: DataFrame, share: float = FREQUENT) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.string()), pa.array([total, *counts], pa.int64())], ["word", "n"])
 
     reported = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    everything = reported.where("word is null").select((F.col("n") * share).alias("least"))
-    return reported.where("word is not null").join(F.broadcast(everything), F.col("n") >= F.col("least")).select("word", "n")
+    least = reported.where("word is null").select((F.col("n") * share).alias("least")).scalar()
+    return reported.where("word is not null").where(F.col("n") >= least)
 
 
 class Lengths(dict):
