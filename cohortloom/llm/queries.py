@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, decontam, jaccard, quality, token_counts
+from cohortloom.llm import bpe, decontam, jaccard, pii, quality, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality.digest,
     "op3_bpe_round_trip": bpe.digest,
     "op5_jaccard_join": jaccard.digest,
     "op6_token_counts": token_counts.digest,
+    "op8_pii": pii.digest,
     "op10_decontamination": decontam.digest,
 }
 
