@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, decontam, jaccard, pii, quality, token_counts
+from cohortloom.llm import bpe, decontam, jaccard, pii, quality, token_counts, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.digest,
     "op2_quality_rules": quality.digest,
     "op3_bpe_round_trip": bpe.digest,
     "op5_jaccard_join": jaccard.digest,
