@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, chat, decontam, jaccard, pii, quality, token_counts, url_filter
+from cohortloom.llm import bpe, chat, decontam, html_text, jaccard, pii, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.digest,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe_round_trip": bpe.digest,
     "op5_jaccard_join": jaccard.digest,
     "op6_token_counts": token_counts.digest,
+    "op7_main_text": html_text.digest,
     "op8_pii": pii.digest,
     "op9_chat_tree": chat.digest,
     "op10_decontamination": decontam.digest,
