@@ -7,7 +7,8 @@ makes no long list, because a list needs a whole block in common. Answers are th
 set: equal sets are one node; every list first compares its sets with one leader only; sets that
 the leader (or a chain of links) already joins need no comparison, and since 1 - Jaccard is a
 metric, two sets whose distances to their leader differ by more than the threshold cannot link.
-What neither rule settles is compared, so no link between components is lost.
+What neither rule settles is compared, so no link between components is lost. Comparing starts
+with short signatures that bound the difference of two sets; whole sets move for the rest only.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is its own
 component. Rows that repeat an id are answered each by its own text. A null id gets no component (null).
@@ -86,16 +87,39 @@ class Blocks:
         return np.concatenate(made)
 
 
+def _signature(found: np.ndarray) -> bytes:
+    """Parities of the shingles over at least as many bits as there are shingles.
+
+    Every shingle that only one of two sets has flips one bit, so signatures never differ in more
+    bits than the sets differ in shingles. Xor of the halves gives the signature of half the bits.
+    """
+    bits = 1 << max(6, (len(found) - 1).bit_length())
+    parity = np.bincount((found & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(left: bytes, right: bytes) -> int:
+    """At least how many shingles only one of two sets has."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of (doc_id, text); equal sets have the same node, an empty set has none."""
+    """(doc_id, n_shingles, node, sign) of (doc_id, text); equal sets have the same node, an empty set has none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             sets = list(shingle_sets(texts, words))
             node = pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), node], ["doc_id", "n_shingles", "node"])
+            sign = pa.array([_signature(s) if len(s) else None for s in sets], pa.binary())
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, node, sign], ["doc_id", "n_shingles", "node", "sign"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sign binary")
 
 
 def postings(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
@@ -123,16 +147,35 @@ def postings(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, found) of (node, text) rows whose text has that set."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            found = pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), found], ["node", "found"])
+            wanted = part.column(part.schema.get_field_index("node")).to_pylist()
+            made = [(n, s.tobytes()) for n, s in zip(wanted, shingle_sets(texts, words), strict=True) if len(s) and _digest(s) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([f for _, f in made], pa.binary())], ["node", "found"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, found binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
-def compare(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b, distance, linked) of pairs (a, b) of nodes."""
+def _screen(pairs: DataFrame, signs: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b, least, near): a lower bound of the distance, and whether the pair can link at all."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, near = [], []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                differ = max(_differ(x, y), abs(m - n))
+                least.append(2 * differ / (m + n + differ))
+                near.append(differ * (share.denominator + share.numerator) <= (m + n) * (share.denominator - share.numerator))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.float64()), pa.array(near, pa.bool_())], ["a", "b", "least", "near"])
+
+    joined = pairs.join(signs.toDF("a", "m", "x"), "a").join(signs.toDF("b", "n", "y"), "b")
+    return joined.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long, least double, near boolean")
+
+
+def _measure(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b, least, most, linked): the distance of pairs (a, b), twice, and whether they link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +187,25 @@ def compare(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
                 union = len(left) + len(right) - common
                 distance.append(1 - common / union)
                 linked.append(common * share.denominator >= union * share.numerator)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+            far = pa.array(distance, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), far, far, pa.array(linked, pa.bool_())], ["a", "b", "least", "most", "linked"])
+
+    joined = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    return joined.mapInArrow(run, "a long, b long, least double, most double, linked boolean")
+
+
+def compare(pairs: DataFrame, slim: DataFrame, rows: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """(a, b, least, most, linked) of pairs (a, b) of nodes: bounds of the distance, equal where it was measured.
 
-    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a long, b long, distance double, linked boolean")
+    Signatures settle what cannot link; whole sets move only for the rest.
+    """
+    known = rows.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("sign").alias("sign"), F.min("doc_id").alias("doc_id"))
+    screened = stage(_screen(pairs, known.select("node", "n", "sign"), share))
+    near = screened.where("near").select("a", "b")
+    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc_id"), "node")
+    sets = stage(_sets(slim.join(ids, "doc_id"), words))
+    far = screened.where("not near").select("a", "b", "least", F.lit(1.0).alias("most"), F.lit(False).alias("linked"))
+    return stage(_measure(near, sets, share).unionByName(far))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -169,25 +226,23 @@ def _links(slim: DataFrame, rows: DataFrame, words: int, share: Fraction) -> Dat
     led = listed.withColumn("leader", F.min("node").over(Window.partitionBy("list"))).where("node <> leader")
     star = stage(led.select("list", "leader", "node"))
     pairs = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    ids = star.select(F.explode(F.array("leader", "node")).alias("node")).distinct().join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    sets = stage(_sets(slim.join(ids, "doc_id"), words).dropDuplicates(["node"]))
-    first = stage(compare(pairs, sets, share))
+    first = compare(pairs, slim, rows, words, share)
 
     # Lists whose sets are not yet all in one component.
     joined = components(first.where("linked").select("a", "b"))
-    inside = star.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"])
+    inside = star.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "least", "most"), ["leader", "node"])
     inside = inside.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leads = joined.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
     open_lists = inside.join(leads, "leader", "left").where("component <> coalesce(lead, leader)").select("list").distinct()
-    member = inside.join(open_lists, "list", "left_semi").select("list", "node", "component", "distance")
-    member = stage(member.groupBy("list", "node").agg(F.min("component").alias("component"), F.min("distance").alias("distance")))
+    member = inside.join(open_lists, "list", "left_semi").select("list", "node", "component", "least", "most")
+    member = stage(member.groupBy("list", "node").agg(F.min("component").alias("component"), F.max("least").alias("least"), F.min("most").alias("most")))
     main = member.groupBy("list", "component").agg(F.count("*").alias("n")).groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    few = member.join(main, "list").where("component <> main").select("list", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("distance").alias("dx"), "main")
+    few = member.join(main, "list").where("component <> main").select("list", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("least").alias("least_x"), F.col("most").alias("most_x"), "main")
     # Sets of the main component are seen once, the others once for each pair of them.
     reach = float(1 - share) + 1e-9
-    rest = few.join(member, "list").where(f"cx <> component and (component = main or x < node) and abs(dx - distance) <= {reach}")
+    rest = few.join(member, "list").where(f"cx <> component and (component = main or x < node) and least_x - most <= {reach} and least - most_x <= {reach}")
     rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return first.unionByName(stage(compare(rest, sets, share)))
+    return first.unionByName(compare(rest, slim, rows, words, share))
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
