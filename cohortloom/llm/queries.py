@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, chat, decontam, html_text, jaccard, pii, quality, token_counts, url_filter
+from cohortloom.llm import bpe, chat, decontam, html_text, jaccard, licences, pii, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.digest,
     "op2_quality_rules": quality.digest,
     "op3_bpe_round_trip": bpe.digest,
+    "op4_licence_scan": licences.digest,
     "op5_jaccard_join": jaccard.digest,
     "op6_token_counts": token_counts.digest,
     "op7_main_text": html_text.digest,
