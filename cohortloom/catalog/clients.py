@@ -55,7 +55,7 @@ def mart(t, channel="Agency"):
     return client_mart.client_mart(
         client_mart.client_summary(_scored(t, summary(t, ANY_FLAGS, SUM_FLAGS)), SNAPSHOT, TYPES, ANY_FLAGS, SUM_FLAGS),
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
-        logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t)),
+        logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t), SNAPSHOT),
         SNAPSHOT, HIT_SNAPSHOT, channel,
     )
 

@@ -87,6 +87,10 @@ select l_orderkey as pol_num, l_partkey as plan_code, l_suppkey as wa_code, cast
   cast(l_quantity as integer) as prem_dur
 from lineitem""")
 _part("cov", "select * from line join policy using (pol_num)", "line", "policy")
+# What is known at the snapshot.
+_part("line_then", f"select * from line where cvg_eff_dt <= {DAY}", "line")
+_part("policy_then", f"select * from policy where pol_eff_dt <= {DAY}", "policy")
+_part("cov_then", "select * from line_then join policy_then using (pol_num)", "line_then", "policy_then")
 _part("client", """
 select c_custkey as cli_num, case when c_custkey % 2 = 0 then 'M' else 'F' end as sex_code,
   20 + c_custkey % 50 as cur_age, c_custkey % 4 as no_dpnd,
@@ -334,9 +338,9 @@ select p.*, l.plan_code, l.wa_code, l.cvg_eff_dt, l.cvg_prem, l.cvg_typ, l.prem_
   l.prem_dur - least(cast(floor(date_diff('day', l.cvg_eff_dt, {DAY}) / 365.25) as integer), l.prem_dur) as prem_dur_post,
   cast(floor(date_diff('day', p.pol_eff_dt, coalesce(p.pol_trmn_dt, {DAY})) / 365.25) as integer) as inforce_yr,
   {", ".join(f"case when pol_stat_cd in ({quoted(m)}) then 1 else 0 end as f_{n}_ind" for n, m in codes.STATUS_CODES.items())}
-from policy p left join line l on l.pol_num = p.pol_num left join plan pl on pl.plan_code = l.plan_code
+from policy_then p left join line_then l on l.pol_num = p.pol_num left join plan pl on pl.plan_code = l.plan_code
 left join client c on c.cli_num = p.po_num left join agent a on a.agt_code = l.wa_code""",
-      "policy", "line", "plan", "client", "agent")
+      "policy_then", "line_then", "plan", "client", "agent")
 _part("plan_margin", """
 select p_partkey as plan_code, case when p_partkey % 6 <> 0 then p_partkey % 20 / 100 end as agency,
   p_partkey % 15 / 100 as direct, p_partkey % 12 / 100 as other, p_partkey % 9 / 100 as affinity,
@@ -419,7 +423,7 @@ from (select po_num, min(cvg_eff_dt) as first_pol_eff_dt, count(distinct pol_num
   {", ".join(f"{text} as {name}" for name, text in CLIENT_FLAGS.items())}
   from valued group by po_num)""", "valued")
 _part("policy_type", """
-select pol_num, max(type) as ins_typ from line join plan using (plan_code) group by 1""", "line", "plan")
+select pol_num, max(type) as ins_typ from line_then join plan using (plan_code) group by 1""", "line_then", "plan")
 _part("first_two", """
 select po_num, max(case when rn = 1 then pol_num end) as pol_num_1, max(case when rn = 1 then pol_eff_dt end) as pol_eff_dt_1,
   cast(trunc(max(case when rn = 1 then tot_ape end)) as bigint) as tot_ape_1, max(case when rn = 1 then ins_typ end) as ins_typ_1,
@@ -428,13 +432,13 @@ select po_num, max(case when rn = 1 then pol_num end) as pol_num_1, max(case whe
   cast(floor(date_diff('day', max(case when rn = 1 then pol_eff_dt end), max(case when rn = 2 then pol_eff_dt end)) / 365.25) as bigint)
     as yr_2nd_prod
 from (select p.*, t.ins_typ, row_number() over (partition by po_num order by pol_eff_dt, p.pol_num) as rn
-  from policy p left join policy_type t on t.pol_num = p.pol_num) where rn <= 2 group by po_num""", "policy", "policy_type")
-HIT_DAY = "timestamp '2024-01-31 00:00:00'"
+  from policy_then p left join policy_type t on t.pol_num = p.pol_num) where rn <= 2 group by po_num""", "policy_then", "policy_type")
 _part("usable_hit", "select * from hit where exclude_hit = 0 and hit_source not in ('5', '7', '8', '9')", "hit")
-_part("login", f"""
+_part("login", """
 select login_id as po_num, max(case when rn = 1 then hit_at end) as registered_at,
-  max(case when rn > 1 and hit_at <= {HIT_DAY} then hit_at end) as last_login_at, count(*) as hits
-from (select *, row_number() over (partition by login_id order by hit_at, event_id) as rn from usable_hit) group by 1""", "usable_hit")
+  max(case when rn > 1 then hit_at end) as last_login_at, count(*) as hits
+from (select *, row_number() over (partition by login_id order by hit_at, event_id) as rn from usable_hit where hit_at < timestamp '2024-02-01 00:00:00')
+group by 1""", "usable_hit")
 _part("client_mart", f"""
 select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile,
   c.channel, c.channel_final, s.min_decile, n.n_name as city, p.cur_age, p.no_dpnd, p.mthly_incm / {codes.FX_RATE} as mthly_incm,

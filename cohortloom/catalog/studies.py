@@ -91,13 +91,13 @@ def waterfall_rows(t):
 
 def _customers(t):
     """Clients next to the agent that serves them."""
-    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
     people = t.clients().withColumnRenamed("cli_num", "po_num")
     return activation.customers_with_agents(people, activation.latest_servicing_agent(sold, people), _agents(t))
 
 
 _SERVING = """select po_num, wa_code as sa_code from (select po_num, wa_code,
-  row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn from cov) where rn = 1"""
+  row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn from cov_then) where rn = 1"""
 _CUSTOMER_SQL = f"""select c.cli_num as po_num, c.cur_age, c.no_dpnd, c.mthly_incm, s.sa_code, a.* exclude (agt_code)
 from client c left join ({_SERVING}) s on s.po_num = c.cli_num left join ({_AGENT_SQL}) a on a.agt_code = s.sa_code"""
 
@@ -106,16 +106,16 @@ from client c left join ({_SERVING}) s on s.po_num = c.cli_num left join ({_AGEN
     "select * from (" + _waterfall_sql(
         lambda c: f"count(distinct case when {c} then po_num end)", _CUSTOMER_SQL, "f_agt_inactive"
     ).replace("select f_agt_inactive,", "select cast(f_agt_inactive as bigint) as f_agt_inactive,") + ")",
-    "client", "cov", "master", "rates"))
+    "client", "cov_then", "master", "rates"))
 def waterfall_entities(t):
     return tidy(reports.entity_waterfall(_customers(t), "po_num", activation.target_conditions(), ["f_agt_inactive"]))
 
 
 @query("in_scope_agents", with_parts(f"""
 select a.agt_code, count(distinct s.po_num) as po_num_count, cast(1 as bigint) as in_scope
-from master a join ({_SERVING}) s on s.sa_code = a.agt_code group by 1""", "master", "cov"))
+from master a join ({_SERVING}) s on s.sa_code = a.agt_code group by 1""", "master", "cov_then"))
 def in_scope_agents(t):
-    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
     people = t.clients().withColumnRenamed("cli_num", "po_num")
     scoped = activation.in_scope_agents(agent_queries.master(t), activation.latest_servicing_agent(sold, people))
     return tidy(scoped.select("agt_code", "po_num_count", "in_scope"))
@@ -123,7 +123,7 @@ def in_scope_agents(t):
 
 @query("activation_profile", with_parts(f"""
 select cast(f_agt_inactive as bigint) as f_agt_inactive, count(distinct po_num) as customers, {cut("avg(no_dpnd)")} as no_dpnd,
-  {cut("avg(cur_age)")} as cur_age, {cut("avg(mthly_incm)", 2)} as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov", "master", "rates"))
+  {cut("avg(cur_age)")} as cur_age, {cut("avg(mthly_incm)", 2)} as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov_then", "master", "rates"))
 def activation_profile(t):
     means = {"no_dpnd": "no_dpnd", "cur_age": "cur_age", "mthly_incm": "mthly_incm"}
     return tidy(reports.profile(_customers(t), ["f_agt_inactive"], "po_num", means, "customers", distinct=True), cents=("mthly_incm",), nudge=True)
@@ -186,7 +186,7 @@ _COMPOSITION_SQL = " union all ".join(
 
 @query("composition_by_activity", with_parts(f"""
 select cast(f_agt_inactive as bigint) as f_agt_inactive, metric, band, count(*) as rows from ({_COMPOSITION_SQL}) group by 1, 2, 3""",
-                                             "client", "cov", "master", "rates"))
+                                             "client", "cov_then", "master", "rates"))
 def composition_by_activity(t):
     customers = _customers(t).withColumnRenamed("mthly_incm", "adj_mthly_incm")
     return tidy(reports.composition(customers, {c: codes.PROFILE_EDGES[c] for c in _COMPOSED}, ["f_agt_inactive"]))
@@ -221,9 +221,9 @@ from (select *, {_MARITAL_SQL} as mar_stat_cat, case when f_vip_elite = 1 then '
       join (select pol_num, po_num from policy where pol_stat_cd not in ('A', 'N', 'R')) using (pol_num) group by 1) k on k.po_num = h.po_num
     left join ({agent_queries.GAP_SQL}) g on g.agt_code = s.sa_code left join (select wa_code, all_pol_cnt from kpi) r on r.wa_code = s.sa_code
     where total_ape > 0 and h.po_num not in (select s_suppkey * 13 from supplier)))""",
-                                   "holding", "client", "cov", "product", "claim", "policy", "master", "kpi"))
+                                   "holding", "client", "cov_then", "product", "claim", "policy", "master", "kpi"))
 def campaign_base(t):
-    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
     people = t.clients().withColumnsRenamed({"cli_num": "po_num", "mthly_incm": "adj_mthly_incm"})
     held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES)
     customers = membership(held.join(people, "po_num"), t.agents(), {"po_num": "own_cli_num"}, "f_owner_is_agent")

@@ -8,7 +8,7 @@ from cohortloom.functions import codes
 from cohortloom.operators import events, latest
 from cohortloom.operators.ordering import ntile_desc
 from cohortloom.plans import activation, agent_mart, client_mart
-from cohortloom.sources.star_tables import HIT_SNAPSHOT
+from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
 
 
 def usable_hits(t):
@@ -31,13 +31,11 @@ def first_vs_later_events(t):
 
 
 @query("last_login", with_parts("""
-select page, max(strftime(hit_at, '%Y-%m-%d %H:%M:%S')) as last_login_at, count(distinct login_id) as users from hit
-where hit_at <= timestamp '2024-01-15 00:00:00' group by 1""", "hit"))
+select po_num as login_id, strftime(last_login_at, '%Y-%m-%d %H:%M:%S') as last_login_at from login where last_login_at is not null""", "login"))
 def last_login(t):
-    kept = t.hits().where(F.col("hit_at") <= "2024-01-15")
-    return kept.groupBy("page").agg(
-        F.date_format(F.max("hit_at"), "yyyy-MM-dd HH:mm:ss").alias("last_login_at"), F.countDistinct("login_id").alias("users")
-    )
+    """Of every user with a later hit than the registration, the last one up to the snapshot."""
+    seen = logins(t).where(F.col("last_login_at").isNotNull())
+    return seen.select("login_id", F.date_format("last_login_at", "yyyy-MM-dd HH:mm:ss").alias("last_login_at"))
 
 
 @query("digital_recency", with_parts("""
@@ -65,9 +63,9 @@ def first_policy_per_owner(t):
 
 @query("latest_servicing_agent", with_parts("""
 select po_num, wa_code as sa_code from (select po_num, wa_code, row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn
-  from cov where po_num in (select cli_num from client where mthly_incm > 0)) where rn = 1""", "cov", "client"))
+  from cov_then where po_num in (select cli_num from client where mthly_incm > 0)) where rn = 1""", "cov_then", "client"))
 def latest_servicing_agent(t):
-    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
     owners = t.clients().where(F.col("mthly_incm") > 0).withColumnRenamed("cli_num", "po_num")
     return activation.latest_servicing_agent(sold, owners)
 
@@ -90,8 +88,8 @@ def first_value_desc(t):
 
 
 def policy_types(t):
-    """Main product type of a policy."""
-    typed = t.coverage_lines().select("pol_num", "plan_code").join(t.plans().select("plan_code", "type"), "plan_code")
+    """Main product type of a policy at the snapshot."""
+    typed = t.coverage_lines().where(F.col("cvg_eff_dt") <= SNAPSHOT.column()).select("pol_num", "plan_code").join(t.plans().select("plan_code", "type"), "plan_code")
     # Distinct pairs first: a maximum over text needs a sort, and far fewer rows are left to sort.
     return typed.select("pol_num", "type").distinct().groupBy("pol_num").agg(F.max("type").alias("ins_typ"))
 
@@ -101,7 +99,7 @@ select po_num, pol_num_1, cast(pol_eff_dt_1 as varchar) as pol_eff_dt_1, tot_ape
   tot_ape_2, ins_typ_2, yr_2nd_prod, cast(case when ins_typ_1 = 'PROMO' then 1 else 0 end as bigint) as f_1st_promo,
   cast(case when ins_typ_2 = 'PROMO' then 1 else 0 end as bigint) as f_2nd_promo from first_two""", "first_two"))
 def first_second_policy_pivot(t):
-    return tidy(client_mart.type_flags(client_mart.first_two_policies(t.policies(), policy_types(t)), ["PROMO"]))
+    return tidy(client_mart.type_flags(client_mart.first_two_policies(t.policies(), policy_types(t), SNAPSHOT), ["PROMO"]))
 
 
 @query("decile_ntile", with_parts("""

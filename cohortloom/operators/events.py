@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_and_last_login(hits: DataFrame, user: str, at: str, until: Column) -> DataFrame:
-    """First hit (registration) and last later hit up to ``until``, per user.
+def first_and_last_login(hits: DataFrame, user: str, at: str, day: Column) -> DataFrame:
+    """First hit (registration) and last later hit per user, of the hits up to the end of ``day``.
 
-    The first hit is never a login. Two hits up to ``until`` mean that one of them is a later
-    one, and the largest is it. Both come from plain aggregates, so a user with very many hits
-    needs no sort.
+    The first hit is never a login. Two hits mean that one of them is a later one, and the largest
+    is it. Both come from plain aggregates, so a user with very many hits needs no sort.
     """
-    in_time = F.when(F.col(at) <= until, F.col(at))
-    return hits.where(F.col(user).isNotNull()).groupBy(user).agg(
+    known = hits.where(F.col(user).isNotNull() & (F.col(at) < F.date_add(day, 1)))
+    return known.groupBy(user).agg(
         F.min(at).alias("registered_at"),
-        F.when(F.count(in_time) >= 2, F.max(in_time)).alias("last_login_at"),
+        F.when(F.count(at) >= 2, F.max(at)).alias("last_login_at"),
         F.count(F.lit(1)).alias("hits"),
     )
 

@@ -21,13 +21,14 @@ LOCATION_FAMILIES = {"TCB": "tcb", "SAG": "sag"}
 
 def policy_base(coverages: DataFrame, policies: DataFrame, snapshot: Snapshot, plans: DataFrame | None = None,
                 clients: DataFrame | None = None, agents: DataFrame | None = None) -> DataFrame:
-    """Policies with their coverages; a policy without coverage stays.
+    """Policies and their coverages sold up to the snapshot; a policy without coverage stays.
 
     Plan type, owner and selling agent are looked up where their tables are given, since a
     lookup whose columns nobody reads would still be joined.
     """
     paid, left = measures.premium_years(F.col("cvg_eff_dt"), snapshot.column(), F.col("prem_dur"))
-    joined = with_bare_rows(coverages, policies, "pol_num")
+    known = policies.where(F.col("pol_eff_dt") <= snapshot.column())
+    joined = with_bare_rows(coverages.where(F.col("cvg_eff_dt") <= snapshot.column()), known, "pol_num")
     if plans is not None:
         joined = joined.join(plans, "plan_code", "left")
     if clients is not None:
@@ -191,9 +192,9 @@ def client_summary(policy_values: DataFrame, snapshot: Snapshot, types: Mapping[
     return _with_holding_flags(summed, snapshot, types)
 
 
-def first_two_policies(policies: DataFrame, type_of_policy: DataFrame) -> DataFrame:
-    """First and second policy of every owner side by side, with the years between them."""
-    typed = policies.select("po_num", "pol_num", "pol_eff_dt", "tot_ape").join(type_of_policy, "pol_num", "left")
+def first_two_policies(policies: DataFrame, type_of_policy: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """First and second policy of every owner up to the snapshot side by side, with the years between them."""
+    typed = policies.where(F.col("pol_eff_dt") <= snapshot.column()).select("po_num", "pol_num", "pol_eff_dt", "tot_ape").join(type_of_policy, "pol_num", "left")
     wide = nth_as_columns(
         typed, "po_num", [F.col("pol_eff_dt"), F.col("pol_num")], ["pol_num", "pol_eff_dt", "tot_ape", "ins_typ"], 2
     )

@@ -8,6 +8,7 @@ derived from its keys by simple rules, so that every status, mode and edge occur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.functions.calendar import Snapshot
 from cohortloom.session import prepare
@@ -70,6 +71,12 @@ class StarTables:
     def coverages(self) -> DataFrame:
         return self.coverage_lines().join(self.policies(), "pol_num")
 
+    def sold_coverages(self, snapshot: Snapshot) -> DataFrame:
+        """Coverages with their policy, both known at the snapshot."""
+        day = snapshot.column()
+        lines = self.coverage_lines().where(F.col("cvg_eff_dt") <= day)
+        return lines.join(self.policies().where(F.col("pol_eff_dt") <= day), "pol_num")
+
     def clients(self) -> DataFrame:
         return self.raw("customer").selectExpr(
             "c_custkey as cli_num",

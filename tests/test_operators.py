@@ -228,10 +228,11 @@ def test_cleaning(spark):
 
 
 def test_logins(spark):
-    rows = [("u", 1), ("u", 5), ("u", 30), ("v", 2), ("w", 40), ("w", 50), (None, 1), ("x", 3), ("x", 3)]
-    df = spark.createDataFrame(rows, "u string, t int")
-    got = {r["u"]: (r["registered_at"], r["last_login_at"], r["hits"]) for r in events.first_and_last_login(df, "u", "t", F.lit(20)).collect()}
-    assert got == {"u": (1, 5, 3), "v": (2, None, 1), "w": (40, None, 2), "x": (3, 3, 2)}
+    rows = [("u", "01-01 08:00"), ("u", "01-05 09:00"), ("u", "03-01 00:00"), ("v", "01-02 00:00"), ("w", "02-01 00:00"), (None, "01-01 00:00"), ("x", "01-31 23:59"), ("x", "01-31 23:59")]
+    df = spark.createDataFrame([(u, f"2024-{t}:00") for u, t in rows], "u string, t string").selectExpr("u", "timestamp(t) as t")
+    seen = events.first_and_last_login(df, "u", "t", F.lit("2024-01-31").cast("date")).selectExpr("u", "date_format(registered_at, 'MM-dd') as r", "date_format(last_login_at, 'MM-dd') as l", "hits")
+    # The snapshot day counts to its end, what comes later is not known yet.
+    assert {r["u"]: (r["r"], r["l"], r["hits"]) for r in seen.collect()} == {"u": ("01-01", "01-05", 2), "v": ("01-02", None, 1), "x": ("01-31", "01-31", 2)}
     hits = spark.createDataFrame([(0, "1", "a", "b"), (1, "1", "a", "b"), (0, "5", "a", "b"), (0, "1", None, "b")], "x int, s string, p string, q string")
     assert events.usable_hits(hits, "x", "s", ["p", "q"], ["5", "7"]).count() == 1
 
