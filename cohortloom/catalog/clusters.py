@@ -1,5 +1,6 @@
 """Clustering and sampling. Results depend on the engine, so these have no SQL equivalent."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.clients import mart
@@ -59,11 +60,7 @@ def seeded_sample(t):
 @query("embedding_clusters")
 def embedding_clusters(t):
     """Clusters of the given vectors."""
-    size = 64
-    columns = [F.col("embedding")[i].alias(f"x{i}") for i in range(size)]
-    wide = t.raw("embeddings").select("vec_id", *columns)
-    names = [f"x{i}" for i in range(size)]
-    model = clustering.fit_clusters(clustering.as_numbers(wide, names), clustering.feature_pipeline(names), 5, SEED)
-    return clustering.assign_clusters(clustering.as_numbers(wide, names), model).groupBy("clusters").agg(
-        F.count(F.lit(1)).alias("vectors")
-    )
+    known = t.raw("embeddings").where(F.col("embedding").isNotNull())
+    vectors = known.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    model = clustering.fit_clusters(vectors, clustering.vector_pipeline("vector"), 5, SEED)
+    return clustering.assign_clusters(vectors, model).groupBy("clusters").agg(F.count(F.lit(1)).alias("vectors"))

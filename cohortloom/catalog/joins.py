@@ -129,18 +129,34 @@ def union_scores(t):
     return tidy(client_mart.best_propensity(t.existing_scores(), t.new_scores()))
 
 
+_MONEY = "cast(sum(cast({} as decimal(18, 2))) as double)"
+
+
 @query("stacked_aggregates", with_parts(f"""
-select coalesce(a.wa_code, b.wa_code) as wa_code, riders, round(open_amt, 6) as open_amt
-from (select wa_code, count(*) as riders from line where cvg_typ = 'R' and cvg_eff_dt > date '2001-05-31' group by 1) a
-full join (select wa_code, sum(clm_prvd_amt) as open_amt from claim where clm_stat_code = 'I' and clm_recv_dt <= {DAY}
-  and clm_recv_dt > date '2001-03-31' group by 1) b on a.wa_code = b.wa_code""", "line", "claim"))
+select wa_code, riders_3y, rider_prem_3y, claims_3y, paid_1y, open_amt_1y
+from (select wa_code, count(*) as riders_3y, {_MONEY.format("cvg_prem")} as rider_prem_3y from line
+  where cvg_typ = 'R' and cvg_eff_dt <= {DAY} and cvg_eff_dt > date '1998-06-30' group by 1)
+full join (select wa_code, count(*) as claims_3y from claim where clm_recv_dt <= {DAY} and clm_recv_dt > date '1998-06-30' group by 1) using (wa_code)
+full join (select wa_code, {_MONEY.format("clm_aprov_amt")} as paid_1y from claim
+  where clm_stat_code = 'A' and clm_recv_dt <= {DAY} and clm_recv_dt > date '2000-06-30' group by 1) using (wa_code)
+full join (select wa_code, {_MONEY.format("clm_prvd_amt")} as open_amt_1y from claim
+  where clm_stat_code = 'I' and clm_recv_dt <= {DAY} and clm_recv_dt > date '2000-06-30' group by 1) using (wa_code)""", "line", "claim"))
 def stacked_aggregates(t):
-    riders = t.coverage_lines().where((F.col("cvg_typ") == codes.RIDER_CODE) & (F.col("cvg_eff_dt") > "2001-05-31"))
-    claims = t.claims().where(
-        (F.col("clm_stat_code") == "I") & (F.col("clm_recv_dt") <= SNAPSHOT.column()) & (F.col("clm_recv_dt") > "2001-03-31")
-    )
-    return tidy(riders.groupBy("wa_code").agg(F.count(F.lit(1)).alias("riders")).join(
-        claims.groupBy("wa_code").agg(F.sum("clm_prvd_amt").alias("open_amt")), "wa_code", "full"
+    """Five aggregates of three and one years side by side; an agent may have any of them.
+
+    Both kinds of facts go through one aggregation, so nothing is joined."""
+    day, three, one = SNAPSHOT.column(), F.add_months(SNAPSHOT.column(), -36), F.add_months(SNAPSHOT.column(), -12)
+    riders = t.coverage_lines().where((F.col("cvg_typ") == codes.RIDER_CODE) & (F.col("cvg_eff_dt") <= day) & (F.col("cvg_eff_dt") > three))
+    claims = t.claims().where((F.col("clm_recv_dt") <= day) & (F.col("clm_recv_dt") > three))
+    recent = F.col("clm_recv_dt") > one
+    facts = riders.select("wa_code", F.lit(1).alias("rider"), F.col("cvg_prem").cast("decimal(18,2)").alias("prem")).unionByName(claims.select(
+        "wa_code", F.lit(1).alias("claim"),
+        F.when(recent & (F.col("clm_stat_code") == "A"), F.col("clm_aprov_amt")).cast("decimal(18,2)").alias("paid"),
+        F.when(recent & (F.col("clm_stat_code") == "I"), F.col("clm_prvd_amt")).cast("decimal(18,2)").alias("unpaid"),
+    ), allowMissingColumns=True)
+    return tidy(facts.groupBy("wa_code").agg(
+        F.sum("rider").alias("riders_3y"), F.sum("prem").cast("double").alias("rider_prem_3y"), F.sum("claim").alias("claims_3y"),
+        F.sum("paid").cast("double").alias("paid_1y"), F.sum("unpaid").cast("double").alias("open_amt_1y"),
     ))
 
 

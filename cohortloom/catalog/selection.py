@@ -18,15 +18,16 @@ from cohortloom.functions.calendar import (
 from cohortloom.operators import cleaning, lookups, reports
 from cohortloom.plans import activation, agent_mart, client_mart, slicers
 from cohortloom.sources.star_tables import SNAPSHOT
-from cohortloom.sources.tables import at_snapshot
+from cohortloom.sources.tables import in_snapshot_month
 
 
 @query("snapshot_scan_filter", with_parts(f"""
 select pol_num, po_num, tot_ape, '2001-06-30' as image_date from policy
 where last_day(pol_eff_dt) = {DAY}""", "policy"))
 def snapshot_scan_filter(t):
-    stamped = t.policies().withColumn("image_date", month_end(F.col("pol_eff_dt")))
-    return tidy(at_snapshot(stamped, SNAPSHOT).select("pol_num", "po_num", "tot_ape", "image_date"))
+    # Dated rows without a partition column: the month is a range of days, which reaches the scan.
+    kept = in_snapshot_month(t.policies(), SNAPSHOT, "pol_eff_dt").withColumn("image_date", month_end(F.col("pol_eff_dt")))
+    return tidy(kept.select("pol_num", "po_num", "tot_ape", "image_date"))
 
 
 @query("distinct_dedupe", with_parts("select distinct po_num, pmt_mode, pol_stat_cd from policy", "policy"))

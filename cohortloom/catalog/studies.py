@@ -234,7 +234,7 @@ def campaign_base(t):
         kpis.select(F.col("wa_code").alias("agt_cd"), "ape_ytd", "all_pol_cnt"), "agt_cd", "left"
     )
     agents = agent_mart.with_next_tier(tiers).select("agt_cd", "next_tier", "gap_to_next_tier", "all_pol_cnt")
-    agent_of_policy = t.policies().join(t.coverage_lines().select("pol_num", "wa_code").distinct(), "pol_num")
+    agent_of_policy = t.policies().join(agent_mart.policy_agents(mart).withColumnRenamed("agt_cd", "wa_code"), "pol_num")
     base = slicers.campaign_base(
         customers, agent_mart.approved_products(t.product_scores()), slicers.claims_last_6m(t.claims(), t.policies(), SNAPSHOT),
         agents, slicers.agent_premium(agent_of_policy, SNAPSHOT),

@@ -8,7 +8,7 @@ from cohortloom.functions import codes
 from cohortloom.functions.bands import flag
 from cohortloom.operators import reports
 from cohortloom.operators.ordering import percentiles
-from cohortloom.plans import slicers
+from cohortloom.plans import agent_mart, slicers
 from cohortloom.sources.star_tables import SNAPSHOT
 
 
@@ -118,10 +118,13 @@ def latest_claim_older_codes(t):
 
 @query("agent_premium", with_parts(f"""
 select wa_code, round(sum(case when pol_eff_dt <= {DAY} then tot_ape / {codes.FX_RATE} end), 2) as agt_total_ape
-from policy join (select distinct pol_num, wa_code from line) using (pol_num) where pol_stat_cd not in ('A', 'N', 'R') group by 1""",
-                                  "policy", "line"))
+from policy join (select pol_num, agt_cd as wa_code from policy_agent) using (pol_num) where pol_stat_cd not in ('A', 'N', 'R') group by 1""",
+                                  "policy", "policy_agent"))
 def agent_premium(t):
-    sold = t.policies().join(t.coverage_lines().select("pol_num", "wa_code").distinct(), "pol_num")
+    """Each policy counts for its one responsible agent."""
+    from cohortloom.catalog.agents import mart
+
+    sold = t.policies().join(agent_mart.policy_agents(mart(t, [])).withColumnRenamed("agt_cd", "wa_code"), "pol_num")
     return tidy(slicers.agent_premium(sold, SNAPSHOT), 2)
 
 

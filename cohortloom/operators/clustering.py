@@ -37,6 +37,11 @@ def feature_pipeline(scaled: Sequence[str], plain: Sequence[str] = (), weights:
     ])
 
 
+def vector_pipeline(column: str) -> Pipeline:
+    """Standardise an array column of any length; all arrays of a table have the same length."""
+    return Pipeline(stages=[StandardScaler(withMean=True, withStd=True, inputCol=column, outputCol=FEATURES)])
+
+
 def kmeans(k: int, seed: int) -> KMeans:
     return KMeans(k=k, seed=seed, featuresCol=FEATURES, predictionCol=CLUSTER)
 

@@ -97,11 +97,12 @@ def latest_rate(facts: DataFrame, rates: DataFrame, key: str, fact_date: str, ra
 
 
 def owner_of(pairs: DataFrame, entity: str, owner: str, latest: str) -> DataFrame:
-    """One owner per entity: the one with the latest date, the lowest owner on a tie.
+    """One owner per entity: the one with the latest day, the lowest owner (number or text) on a tie.
 
     Pairs are reduced to one row per (entity, owner) first, so an entity that fills a large
     share of the rows costs its distinct owners only.
     """
     known = pairs.where(F.col(entity).isNotNull() & F.col(owner).isNotNull())
     last = known.groupBy(entity, owner).agg(F.max(latest).alias("_latest"))
-    return last.groupBy(entity).agg(F.max_by(F.col(owner), F.struct("_latest", -F.col(owner))).alias(owner))
+    newest_first = F.struct(F.coalesce(-F.unix_date(F.to_date("_latest")), F.lit(2**31 - 1)).alias("age"), F.col(owner))
+    return last.groupBy(entity).agg(F.min_by(F.col(owner), newest_first).alias(owner))

@@ -24,7 +24,7 @@ LOCAL = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give a session the run-time settings it does not have yet."""
+    """Set the run-time settings that the transformations rely on, whatever the session had."""
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -60,8 +60,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one, for a stage that is written and read back."""
-    return f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for a stage that is written and read back.
+
+    The application owns it: results are read lazily, so it is removed when the driver ends.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return f"{folder.toString()}/data"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def at_snapshot(df: DataFrame, snapshot: Snapshot, column: str = "image_date") -
     return df.where(F.col(column).cast("string") == value)
 
 
+def in_snapshot_month(df: DataFrame, snapshot: Snapshot, column: str) -> DataFrame:
+    """Rows dated in the month of the snapshot, as a range that a scan can use."""
+    first = snapshot.day.replace(day=1)
+    return df.where((F.col(column) >= F.lit(first)) & (F.col(column) <= snapshot.column()))
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False) -> DataFrame:
     """A CSV file with a header: all text, typed by ``schema``, or inferred."""
     reader = spark.read.option("header", True)

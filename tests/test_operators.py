@@ -243,3 +243,9 @@ def test_sample_is_the_same_for_any_partitioning(spark):
     two = {r["k"] for r in sample_by_key(df.repartition(7), "k", 0.3, 123).collect()}
     assert one == two and 0.28 < len(one) / 20000 < 0.32
     assert one != {r["k"] for r in sample_by_key(df, "k", 0.3, 124).collect()}
+
+
+def test_owner_codes_may_be_text(spark):
+    rows = [("p", "A12", "2024-01-01"), ("p", "B01", "2024-03-01"), ("p", "A99", "2024-03-01"), ("q", "A1", None), ("q", "Z", "2020-01-01"), (None, "A", "2024-01-01")]
+    df = spark.createDataFrame(rows, "pol string, agt string, d string").withColumn("d", F.to_date("d"))
+    assert {r["pol"]: r["agt"] for r in lookups.owner_of(df, "pol", "agt", "d").collect()} == {"p": "A99", "q": "Z"}

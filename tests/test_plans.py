@@ -1,7 +1,10 @@
 """Marts and studies on hand-made rows, storage, clusters, and plan shape."""
 
 import random
+import subprocess
+import sys
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +190,50 @@ def test_scans_are_pruned_and_limited_before_the_shuffle(spark):
     for name in ("rolling_distinct_policy", "wide_feature_mart", "policy_base_star", "range_margin_join"):
         shape = plan_of(QUERIES[name](spark, SMALL))
         assert "CartesianProduct" not in shape and "NestedLoop" not in shape and "PythonUDF" not in shape
+
+
+def test_nothing_after_the_snapshot_reaches_the_client_side(spark):
+    from cohortloom.catalog import windows
+    from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
+
+    t = StarTables(spark, SMALL)
+    late = t.coverage_lines().where(F.col("cvg_eff_dt") > SNAPSHOT.column())
+    assert late.count() > 0
+    base = client_mart.policy_base(t.coverage_lines(), t.policies(), SNAPSHOT)
+    assert base.where((F.col("prem_dur_pre") < 0) | (F.col("prem_dur_post") > F.col("prem_dur")) | (F.col("inforce_yr") < 0)).count() == 0
+    assert base.where(F.col("cvg_eff_dt") > SNAPSHOT.column()).count() == 0
+    pairs = client_mart.first_two_policies(t.policies(), windows.policy_types(t), SNAPSHOT)
+    assert pairs.where((F.col("pol_eff_dt_1") > SNAPSHOT.column()) | (F.col("pol_eff_dt_2") > SNAPSHOT.column())).count() == 0
+    assert windows.logins(t).where(F.datediff(HIT_SNAPSHOT.column(), "registered_at") < 0).count() == 0
+
+
+def test_agent_premium_counts_a_policy_once(spark):
+    from cohortloom.catalog import agents
+    from cohortloom.sources.star_tables import SNAPSHOT
+
+    t = StarTables(spark, SMALL)
+    sold = t.policies().join(agent_mart.policy_agents(agents.mart(t, [])).withColumnRenamed("agt_cd", "wa_code"), "pol_num")
+    total = slicers.agent_premium(sold, SNAPSHOT).agg(F.sum("agt_total_ape")).first()[0]
+    every = sold.where(~F.col("pol_stat_cd").isin(*codes.VOID_CODES)).dropDuplicates(["pol_num"]).agg(F.sum(F.col("tot_ape") / codes.FX_RATE)).first()[0]
+    assert total == pytest.approx(every)
+
+
+def test_a_month_of_dated_rows_is_a_range_on_the_scan(spark):
+    from cohortloom.catalog import QUERIES
+
+    shape = plan_of(QUERIES["snapshot_scan_filter"](spark, SMALL))
+    assert "GreaterThanOrEqual(o_orderdate" in shape and "LessThan" in shape
+
+
+def test_stages_end_with_the_application(tmp_path):
+    code = f"""
+from cohortloom.session import local_session, new_folder
+spark = local_session(1, "stages", "1g")
+spark.conf.set("spark.checkpoint.dir", "file://{tmp_path}")
+path = new_folder(spark)
+spark.range(5).write.parquet(path)
+assert spark.read.parquet(path).count() == 5
+"""
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+    assert not list(tmp_path.glob("stage-*"))
