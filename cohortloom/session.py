@@ -22,6 +22,8 @@ LOCAL = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_local_folders: dict[str, str] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time settings that the transformations rely on, whatever the session had."""
@@ -56,7 +58,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+    return _local_folders[application]
 
 
 def new_folder(spark: SparkSession) -> str:
