@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, cut, kpi_select, nudged, rate_columns, size_columns, with_parts
+from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, cut, kpi_select, cut_all, rate_columns, size_columns, with_parts
 from cohortloom.functions import codes
 from cohortloom.operators.lookups import owner_of
 from cohortloom.operators.ordering import average_rank_desc
@@ -96,20 +96,20 @@ _SIZES, _RATES = list(size_columns()), list(rate_columns())
 
 
 def _rounded(names):
-    return nudged(*names)
+    return cut_all(*names)
 
 
 @query("ticket_size", with_parts(f"select wa_code, {_rounded(_SIZES)} from rates", "rates"))
 def ticket_size(t):
     sold = mart(t, ["premium"])
     sums, counts = agent_mart.kpi_sums(sold, SNAPSHOT, "ape"), agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner")
-    return tidy(agent_mart.with_ticket_sizes(sums.join(counts, "wa_code")).select("wa_code", *_SIZES), nudge=True)
+    return tidy(agent_mart.with_ticket_sizes(sums.join(counts, "wa_code")).select("wa_code", *_SIZES))
 
 
 @query("quality_rates", with_parts(f"select wa_code, {_rounded(_RATES)} from rates", "rates"))
 def quality_rates(t):
     counts = agent_mart.kpi_counts(mart(t, []), SNAPSHOT, "policy", "not_taken", "rejected", "lapsed")
-    return tidy(agent_mart.with_quality_rates(counts).select("wa_code", *[f"`{c}`" for c in _RATES]), nudge=True)
+    return tidy(agent_mart.with_quality_rates(counts).select("wa_code", *[f"`{c}`" for c in _RATES]))
 
 
 _ALL_SUMS = [n for b in SUM_BLOCKS for n in BLOCKS[b]]
@@ -120,7 +120,7 @@ _ALL_COUNTS = [n for b in BLOCKS if b not in SUM_BLOCKS for n in BLOCKS[b]]
     f"select wa_code, {_rounded(_ALL_SUMS)}, " + ", ".join(f'"{n}"' for n in _ALL_COUNTS) + f", {_rounded(_SIZES + _RATES)} from rates",
     "rates"))
 def agent_kpi_block(t):
-    return tidy(agent_mart.agent_kpis(stored_mart(t), SNAPSHOT), nudge=True)
+    return tidy(agent_mart.agent_kpis(stored_mart(t), SNAPSHOT))
 
 
 _CLAIM_SQL = f"""
@@ -181,7 +181,8 @@ _KPI_RANK = f"select wa_code, round(last_mth_ape, 6) as last_mth_ape, {_RANK} as
 
 def _ranked(t):
     kpis = agent_mart.kpi_sums(mart(t, ["premium"]), SNAPSHOT, "ape").select("wa_code", F.round("last_mth_ape", 6).alias("last_mth_ape"))
-    return average_rank_desc(kpis, "last_mth_ape", "rank_of_last_mth_ape")
+    # Stored once: the ranks are looked up by value.
+    return average_rank_desc(stage(kpis, new_folder(t.spark)), "last_mth_ape", "rank_of_last_mth_ape")
 
 
 @query("avg_rank_floor", with_parts(_KPI_RANK, "kpi"))
@@ -206,7 +207,7 @@ left join kpi k on k.wa_code = m.agt_code"""
 def next_tier_gap(t):
     year = agent_mart.kpi_sums(mart(t, ["premium"]), SNAPSHOT, "ape").select(F.col("wa_code").alias("agt_code"), "ape_ytd")
     joined = agent_mart.with_next_tier(master(t).join(year, "agt_code", "left"))
-    return tidy(joined.select("agt_code", "tier", "next_tier", "next_tier_benchmark", "gap_to_next_tier"), nudge=True)
+    return tidy(joined.select("agt_code", "tier", "next_tier", "next_tier_benchmark", "gap_to_next_tier"))
 
 
 @query("two_level_avg", with_parts("""
@@ -248,7 +249,7 @@ def scorecard(t):
 
 @query("agent_scorecard", with_parts(f"""
 select m.agt_code as agt_cd, m.agt_nm, m.tier, m.tenure_mth, m.no_sbw_completed, {_rounded(_CARD)}, "all_pol_cnt", "last_12m_prd",
-  {nudged('14m_per')}, claim_cnt_last_3_yr, claim_wip_last_1_yr, lps_pol_list, cpm_pol_list, next_tier, gap_to_next_tier,
+  {cut_all('14m_per')}, claim_cnt_last_3_yr, claim_wip_last_1_yr, lps_pol_list, cpm_pol_list, next_tier, gap_to_next_tier,
   cast(floor(m.tenure_mth / 12) as integer) || 'y ' || (m.tenure_mth % 12) || 'm' as tenure_ym, '2001-06-30' as image_date
 from master m join rates r on r.wa_code = m.agt_code left join ({_CLAIM_SQL}) c on c.agt_cd = m.agt_code
 left join ({_RISK_SQL}) k on k.agt_cd = m.agt_code left join ({_LEAD_SQL}) l on l.agt_cd = m.agt_code
@@ -258,4 +259,4 @@ def agent_scorecard(t):
         "agt_cd", "agt_nm", "tier", "tenure_mth", "no_sbw_completed", *_CARD, "all_pol_cnt", "last_12m_prd", "`14m_per`",
         "claim_cnt_last_3_yr", "claim_wip_last_1_yr", "lps_pol_list", "cpm_pol_list", "next_tier", "gap_to_next_tier",
         "tenure_ym", "image_date",
-    ), nudge=True)
+    ))

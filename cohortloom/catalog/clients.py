@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import CLIENT_FLAGS, TYPES, cut, with_parts
+from cohortloom.catalog.sql import CLIENT_FLAGS, TYPES, cut, with_parts, mean_sql
 from cohortloom.catalog.windows import logins, policy_types
 from cohortloom.functions import codes
 from cohortloom.functions.bands import decode, flag
@@ -135,12 +135,13 @@ def wide_feature_mart(t):
 
 
 def _profile(t, buckets, name):
-    placed = ntile_desc(stored_mart(t), "cli_ltv", "po_num", buckets, name)
-    return tidy(reports.profile(placed, [name], "po_num", client_mart.PROFILE_MEANS, "customer_count"), 2, nudge=True)
+    needed = stage(mart(t).select("po_num", *client_mart.PROFILE_MEANS), new_folder(t.spark))
+    placed = ntile_desc(needed, "cli_ltv", "po_num", buckets, name)
+    return tidy(reports.profile(placed, [name], "po_num", client_mart.PROFILE_MEANS, "customer_count"), 2)
 
 
 def _profile_sql(buckets, name):
-    means = ", ".join(f'{cut(f"avg({c})", 2)} as "{n}"' for c, n in client_mart.PROFILE_MEANS.items())
+    means = ", ".join(f'{cut(mean_sql(c), 2)} as "{n}"' for c, n in client_mart.PROFILE_MEANS.items())
     return with_parts(f"""
 select cast({name} as bigint) as {name}, count(*) as customer_count, {means}
 from (select *, ntile({buckets}) over (order by cli_ltv desc nulls last, po_num) as {name} from client_mart) group by 1""", "client_mart")
@@ -157,12 +158,12 @@ def quintile_profile(t):
 
 
 @query("policy_decile_profile", with_parts(f"""
-select cast(poldecile as bigint) as poldecile, count(*) as pol_count, {cut("avg(pol_ltv)", 2)} as mean_ltv,
-  {cut("avg(pol_ltv_pre)", 2)} as mean_ltv_pre, {cut("avg(pol_ltv_post)", 2)} as mean_ltv_post
+select cast(poldecile as bigint) as poldecile, count(*) as pol_count, {cut(mean_sql("pol_ltv"), 2)} as mean_ltv,
+  {cut(mean_sql("pol_ltv_pre"), 2)} as mean_ltv_pre, {cut(mean_sql("pol_ltv_post"), 2)} as mean_ltv_post
 from (select *, ntile(10) over (order by round(pol_ltv, 2) desc nulls last, pol_num) as poldecile from pol_ltv) group by 1""", "pol_ltv"))
 def policy_decile_profile(t):
     kept = policy_values(t).select("pol_num", "pol_ltv", "pol_ltv_pre", "pol_ltv_post", F.round("pol_ltv", 2).alias("_rank_value"))
     values = stage(kept, new_folder(t.spark))
     placed = ntile_desc(values, "_rank_value", "pol_num", 10, "poldecile")
     means = {"pol_ltv": "mean_ltv", "pol_ltv_pre": "mean_ltv_pre", "pol_ltv_post": "mean_ltv_post"}
-    return tidy(reports.profile(placed, ["poldecile"], "pol_num", means, "pol_count"), 2, nudge=True)
+    return tidy(reports.profile(placed, ["poldecile"], "pol_num", means, "pol_count"), 2)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.catalog.sql import NUDGE
 from cohortloom.sources.star_tables import StarTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,20 +26,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tidy(df: DataFrame, digits: int = 6, cents: tuple[str, ...] = (), nudge: bool = False) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6, cents: tuple[str, ...] = ()) -> DataFrame:
     """Rounded numbers, dates as text and whole numbers as long, so that results compare exactly.
 
     Amounts that went through a currency rate have no last digit; those in ``cents`` are cut to 2.
-    A quotient may fall exactly between two rounded numbers, where the order of additions would
-    decide; ``nudge`` moves it a quarter step off that edge and leaves whole steps as they are.
     """
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             places = 2 if field.name in cents else digits
-            shift = NUDGE * 10.0**-places if nudge else 0.0
-            column = F.round(column.cast("double") + shift, places) + F.lit(0.0)
+            column = F.round(column.cast("double"), places) + F.lit(0.0)
         elif isinstance(field.dataType, (T.DateType, T.TimestampType)):
             column = column.cast("string")
         elif isinstance(field.dataType, T.IntegerType):

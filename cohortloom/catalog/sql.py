@@ -6,7 +6,6 @@ from collections.abc import Iterable
 
 from cohortloom.functions import codes
 
-NUDGE = 0.271828
 DAY = "date '2001-06-30'"
 MONTH = 2001 * 12 + 6
 
@@ -35,6 +34,20 @@ def quoted(values: Iterable[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def exact_sum(text: str) -> str:
+    """A sum of amounts that does not depend on the order of the rows."""
+    return f"cast(sum(cast({text} as decimal(28, 8))) as double)"
+
+
+def mean_sql(text: str) -> str:
+    return f"{exact_sum(text)} / count({text})"
+
+
+def cut(text: str, digits: int = 6) -> str:
+    """Rounded half up on the decimal digits of the number, as ``tidy`` does."""
+    return f"cast(round(cast({text} as decimal(38, {digits + 5})), {digits}) as double)"
+
+
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -201,7 +214,7 @@ def _name(period: str, suffix: str, tail: str) -> str:
 
 def sum_columns(value: str, suffix: str, tail: str, only: str = TAKEN) -> dict[str, str]:
     return {
-        _name(p, suffix, tail): f"coalesce(sum(case when {c} and {only} then {value} end), 0)" for p, c in PERIODS.items()
+        _name(p, suffix, tail): f"coalesce(cast(sum(case when {c} and {only} then cast({value} as decimal(28, 8)) end) as double), 0)" for p, c in PERIODS.items()
     }
 
 
@@ -244,12 +257,7 @@ def kpi_select(*blocks: str, rounded: bool = True) -> str:
     return "select wa_code, " + ", ".join(columns) + " from mart group by wa_code"
 
 
-def cut(text: str, digits: int = 6) -> str:
-    """Rounded like ``tidy(..., nudge=True)``."""
-    return f"round({text} + {NUDGE} * 1e-{digits}, {digits})"
-
-
-def nudged(*names: str) -> str:
+def cut_all(*names: str) -> str:
     return ", ".join(cut(f'"{n}"') + f' as "{n}"' for n in names)
 
 
@@ -374,14 +382,15 @@ select v.*, next_due_decile, lapse_score, early_decile, p_1, case when coverage_
   plan_nbv * yrs * (1 - coalesce(lapse_score, p_1, 0)) as pol_ltv,
   plan_nbv * paid * (1 - coalesce(lapse_score, p_1, 0)) as pol_ltv_pre,
   plan_nbv * rest * (1 - coalesce(lapse_score, p_1, 0)) as pol_ltv_post
-from (select pol_num, po_num, sum(coverage_ape) as coverage_ape, sum(plan_nbv) as plan_nbv, min(prem_dur) as yrs,
+from (select pol_num, po_num, cast(sum(cast(coverage_ape as decimal(28, 8))) as double) as coverage_ape,
+    cast(sum(cast(plan_nbv as decimal(28, 8))) as double) as plan_nbv, min(prem_dur) as yrs,
     min(prem_dur_pre) as paid, min(prem_dur_post) as rest from valued group by 1, 2) v
 left join (select pol_num, decile as next_due_decile, lapse_score from lapse_score) l on l.pol_num = v.pol_num
 left join early_score e on e.pol_num = v.pol_num""", "valued", "lapse_score", "early_score")
-_part("cli_ltv", """
-select po_num, round(sum(coverage_ape), 2) as coverage_ape, round(sum(plan_nbv), 2) as plan_nbv,
-  round(case when sum(coverage_ape) <> 0 then sum(plan_nbv) / sum(coverage_ape) end, 6) as cli_nbv_margin,
-  round(sum(pol_ltv), 2) as cli_ltv, round(sum(pol_ltv_pre), 2) as cli_ltv_pre, round(sum(pol_ltv_post), 2) as cli_ltv_post,
+_part("cli_ltv", f"""
+select po_num, {cut(exact_sum("coverage_ape"), 2)} as coverage_ape, {cut(exact_sum("plan_nbv"), 2)} as plan_nbv,
+  {cut("case when " + exact_sum("coverage_ape") + " <> 0 then " + exact_sum("plan_nbv") + " / " + exact_sum("coverage_ape") + " end")} as cli_nbv_margin,
+  {", ".join(f"{cut(exact_sum(f'pol_ltv{part}'), 2)} as cli_ltv{part}" for part in ("", "_pre", "_post"))},
   least(min(next_due_decile), min(early_decile)) as lapse_decile
 from pol_ltv group by 1""", "pol_ltv")
 _part("channel", """
@@ -419,7 +428,7 @@ from (select po_num, min(cvg_eff_dt) as first_pol_eff_dt, count(distinct pol_num
   {", ".join(f"count(distinct case when type = '{k}' then pol_num end) as {o}" for k, o in TYPES.items())},
   max(annual_flag) as annual_flag, max(valid_email) as valid_email,
   count(distinct case when inforce_yr >= 10 then pol_num end) as "10yr_pol_cnt",
-  sum(coverage_ape) as total_ape, avg(agt_tenure_yrs) as agt_tenure_yrs,
+  cast(sum(cast(coverage_ape as decimal(28, 8))) as double) as total_ape, avg(agt_tenure_yrs) as agt_tenure_yrs,
   {", ".join(f"{text} as {name}" for name, text in CLIENT_FLAGS.items())}
   from valued group by po_num)""", "valued")
 _part("policy_type", """

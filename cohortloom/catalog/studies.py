@@ -6,7 +6,7 @@ from cohortloom.catalog import agents as agent_queries
 from cohortloom.catalog import clients as client_queries
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.selection import _BANDED_SQL, _MARITAL_SQL, _banded_clients
-from cohortloom.catalog.sql import NUDGE, TYPES, band_sql, cut, with_parts
+from cohortloom.catalog.sql import TYPES, band_sql, cut, with_parts, mean_sql
 from cohortloom.catalog.totals import stats_sql
 from cohortloom.functions import codes
 from cohortloom.functions.measures import vip_flags
@@ -122,11 +122,11 @@ def in_scope_agents(t):
 
 
 @query("activation_profile", with_parts(f"""
-select cast(f_agt_inactive as bigint) as f_agt_inactive, count(distinct po_num) as customers, {cut("avg(no_dpnd)")} as no_dpnd,
-  {cut("avg(cur_age)")} as cur_age, {cut("avg(mthly_incm)", 2)} as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov_then", "master", "rates"))
+select cast(f_agt_inactive as bigint) as f_agt_inactive, count(distinct po_num) as customers, {cut(mean_sql("no_dpnd"))} as no_dpnd,
+  {cut(mean_sql("cur_age"))} as cur_age, {cut(mean_sql("mthly_incm"), 2)} as mthly_incm from ({_CUSTOMER_SQL}) group by 1""", "client", "cov_then", "master", "rates"))
 def activation_profile(t):
     means = {"no_dpnd": "no_dpnd", "cur_age": "cur_age", "mthly_incm": "mthly_incm"}
-    return tidy(reports.profile(_customers(t), ["f_agt_inactive"], "po_num", means, "customers", distinct=True), cents=("mthly_incm",), nudge=True)
+    return tidy(reports.profile(_customers(t), ["f_agt_inactive"], "po_num", means, "customers", distinct=True), cents=("mthly_incm",))
 
 
 @query("band_breakdown", with_parts(f"""
@@ -166,7 +166,7 @@ s as (select agt_code, tenure_mth, total_po, all_pol_cnt, total_ape, case when t
 def segment_summary(t):
     agents = stage(_agents(t).select("agt_code", *[f"`{c}`" for c in _METRICS]), new_folder(t.spark))
     placed = activation.performance_segments(agents, _METRICS, ("total_po", "all_pol_cnt"))
-    return tidy(reports.summary(placed, ["tenure_mth", "total_po", "all_pol_cnt", "total_ape"], ["segment"]), 4, nudge=True)
+    return tidy(reports.summary(placed, ["tenure_mth", "total_po", "all_pol_cnt", "total_ape"], ["segment"]), 4)
 
 
 @query("ranked_agents", with_parts(f"select * from (with {_SEGMENT_PARTS} select distinct segment, agt_code as agt_cd, total_po, all_pol_cnt from s)",
@@ -243,7 +243,7 @@ def campaign_base(t):
         "po_num", "sa_code", "which_prd", "clm_6m_cnt", "clm_6m_amt", "clm_6m_ratio", "next_tier", "gap_to_next_tier", "all_pol_cnt",
         "mar_stat_cat", "cus_vip_cat", "group", *[f"{c}_cat" for c in _CAMPAIGN_BANDS],
     )
-    return tidy(shown.withColumn("gap_to_next_tier", F.col("gap_to_next_tier") + NUDGE * 1e-6), cents=("clm_6m_amt",))
+    return tidy(shown, cents=("clm_6m_amt",))
 
 
 @query("family_groups", with_parts(f"""
@@ -276,7 +276,7 @@ def family_group_summary(t):
     grouped = slicers.with_family_groups(
         _banded_clients(t).withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count")))
     )
-    return tidy(reports.summary(grouped, ["cur_age", "mthly_incm"], ["group"]), 4, nudge=True)
+    return tidy(reports.summary(grouped, ["cur_age", "mthly_incm"], ["group"]), 4)
 
 
 @query("slicer_breakdown", with_parts(f"""

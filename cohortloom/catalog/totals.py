@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import DAY, cut, with_parts
+from cohortloom.catalog.sql import DAY, cut, with_parts, mean_sql
 from cohortloom.functions import codes
+from cohortloom.functions.measures import exact_mean
 from cohortloom.functions.bands import flag
 from cohortloom.operators import reports
 from cohortloom.operators.ordering import percentiles
@@ -14,12 +15,12 @@ from cohortloom.sources.star_tables import SNAPSHOT
 
 @query("group_totals", with_parts(f"""
 select pol_stat_cd, pmt_mode, count(*) as policies, round(sum(tot_ape), 4) as total, min(tot_ape) as least, max(tot_ape) as most,
-  {cut("avg(tot_ape)", 2)} as average, count(distinct po_num) as owners from policy group by 1, 2""", "policy"))
+  {cut(mean_sql("tot_ape"), 2)} as average, count(distinct po_num) as owners from policy group by 1, 2""", "policy"))
 def group_totals(t):
     return tidy(t.policies().groupBy("pol_stat_cd", "pmt_mode").agg(
         F.count(F.lit(1)).alias("policies"), F.round(F.sum("tot_ape"), 4).alias("total"), F.min("tot_ape").alias("least"),
-        F.max("tot_ape").alias("most"), F.mean("tot_ape").alias("average"), F.countDistinct("po_num").alias("owners"),
-    ), 4, cents=("average",), nudge=True)
+        F.max("tot_ape").alias("most"), exact_mean(F.col("tot_ape")).alias("average"), F.countDistinct("po_num").alias("owners"),
+    ), 4, cents=("average",))
 
 
 @query("ratio_of_sums", with_parts("""
@@ -62,19 +63,19 @@ def frequency_known(t):
 
 
 @query("mixed_profile", with_parts(f"""
-select customer_segment, count(distinct po_num) as customers, {cut("avg(cur_age)")} as cur_age, {cut("avg(no_dpnd)")} as no_dpnd,
-  {cut("avg(tot_ape)", 2)} as total_ape from policy join client on cli_num = po_num group by 1""", "policy", "client"))
+select customer_segment, count(distinct po_num) as customers, {cut(mean_sql("cur_age"))} as cur_age, {cut(mean_sql("no_dpnd"))} as no_dpnd,
+  {cut(mean_sql("tot_ape"), 2)} as total_ape from policy join client on cli_num = po_num group by 1""", "policy", "client"))
 def mixed_profile(t):
     rows = t.policies().join(t.clients(), F.col("po_num") == F.col("cli_num"))
     means = {"cur_age": "cur_age", "no_dpnd": "no_dpnd", "tot_ape": "total_ape"}
-    return tidy(reports.profile(rows, ["customer_segment"], "po_num", means, "customers", distinct=True), cents=("total_ape",), nudge=True)
+    return tidy(reports.profile(rows, ["customer_segment"], "po_num", means, "customers", distinct=True), cents=("total_ape",))
 
 
 _STATS = ["cur_age", "mthly_incm", "no_dpnd"]
 def stats_sql(group, metric, source):
     """Count, mean, spread and quartiles of one metric per group."""
     columns = {
-        "mean": f"avg({metric})", "stddev": f"stddev_samp({metric})", "min": f"cast(min({metric}) as double)",
+        "mean": mean_sql(metric), "stddev": f"stddev_samp({metric})", "min": f"cast(min({metric}) as double)",
         "max": f"cast(max({metric}) as double)", "p25": f"quantile_cont({metric}, 0.25)", "median": f"quantile_cont({metric}, 0.5)",
         "p75": f"quantile_cont({metric}, 0.75)",
     }
@@ -84,14 +85,14 @@ def stats_sql(group, metric, source):
 
 @query("summary_stats", with_parts(" union all ".join(stats_sql("customer_segment", c, "client") for c in _STATS), "client"))
 def summary_stats(t):
-    return tidy(reports.summary(t.clients(), _STATS, ["customer_segment"]), 4, nudge=True)
+    return tidy(reports.summary(t.clients(), _STATS, ["customer_segment"]), 4)
 
 
 @query("percentile_thresholds", with_parts(" union all ".join(
     f"select '{c}' as metric, {cut(f'quantile_cont({c}, 0.75)', 4)} as p75, {cut(f'quantile_cont({c}, 0.25)', 4)} as p25 from line"
     for c in ("cvg_prem", "prem_dur")), "line"))
 def percentile_thresholds(t):
-    return tidy(percentiles(t.coverage_lines(), ["cvg_prem", "prem_dur"], [0.75, 0.25]), 4, nudge=True)
+    return tidy(percentiles(t.coverage_lines(), ["cvg_prem", "prem_dur"], [0.75, 0.25]), 4)
 
 
 @query("latest_claim", with_parts(f"""

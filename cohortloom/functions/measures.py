@@ -52,6 +52,15 @@ def premium_years(effective: Column, snapshot: Column, duration: Column) -> tupl
     return paid, duration.cast("int") - paid
 
 
+def exact_sum(column: Column) -> Column:
+    """A sum of amounts as decimals, so it is the same in any order of the rows."""
+    return F.sum(column.cast("decimal(28,8)")).cast("double")
+
+
+def exact_mean(column: Column) -> Column:
+    return F.try_divide(exact_sum(column), F.count(column))
+
+
 def lapse_adjusted(value: Column, *scores: Column) -> Column:
     """Value weighted by the chance to stay, from the first known lapse score."""
     return value * (F.lit(1.0) - F.coalesce(*scores, F.lit(0.0)))

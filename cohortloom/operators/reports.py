@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.bands import band
+from cohortloom.functions.measures import exact_mean, exact_sum
 from cohortloom.operators.ordering import percentiles
 
 
@@ -77,17 +78,17 @@ def breakdown(df: DataFrame, bands: Sequence[str], entity: str, name: str) -> Da
 def profile(df: DataFrame, by: Sequence[str], entity: str, means: Mapping[str, str], count_name: str,
             distinct: bool = False) -> DataFrame:
     """Entities and mean features per group; ``means`` maps a column to its output name."""
-    averaged = [F.mean(F.col(f"`{c}`")).alias(name) for c, name in means.items()]
+    averaged = [exact_mean(F.col(f"`{c}`")).alias(name) for c, name in means.items()]
     if not distinct:
         return df.groupBy(*by).agg(F.count(entity).alias(count_name), *averaged)
     # A distinct count next to means would copy every row; sums per entity need no copies.
-    sums = [F.sum(F.col(f"`{c}`")).alias(f"_sum_{i}") for i, c in enumerate(means)]
+    sums = [exact_sum(F.col(f"`{c}`")).alias(f"_sum_{i}") for i, c in enumerate(means)]
     known = [F.count(F.col(f"`{c}`")).alias(f"_known_{i}") for i, c in enumerate(means)]
     per_entity = df.groupBy(*by, entity).agg(*sums, *known)
     return per_entity.groupBy(*by).agg(
         F.count(entity).alias(count_name),
         *[
-            F.try_divide(F.sum(f"_sum_{i}"), F.sum(f"_known_{i}")).alias(name)
+            F.try_divide(exact_sum(F.col(f"_sum_{i}")), F.sum(f"_known_{i}")).alias(name)
             for i, name in enumerate(means.values())
         ],
     )
@@ -102,7 +103,7 @@ def summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     )
     moments = tall.groupBy(*by, "metric").agg(
         F.count("metric_value").alias("count"),
-        F.mean("metric_value").alias("mean"),
+        exact_mean(F.col("metric_value")).alias("mean"),
         F.stddev_samp("metric_value").alias("stddev"),
         F.min("metric_value").alias("min"),
         F.max("metric_value").alias("max"),

@@ -44,10 +44,13 @@ def _with_periods(df: DataFrame, when: Mapping[str, Column], used: Sequence[Meas
 
 
 def period_sums(df: DataFrame, by: str, when: Mapping[str, Column], measures: Sequence[Measure]) -> DataFrame:
-    """One row per key with one sum per measure and period; nothing to sum gives 0."""
+    """One row per key with one sum per measure and period; nothing to sum gives 0.
+
+    Amounts are added as decimals: a stage that is computed again gives the very same sums.
+    """
     marked, bit = _with_periods(df, when, measures)
     sums = [
-        F.expr(f"coalesce(sum(if(({m.only}) and {_PERIODS} & {bit[period]} > 0, {m.value}, null)), 0.0D)").alias(name)
+        F.expr(f"coalesce(double(sum(if(({m.only}) and {_PERIODS} & {bit[period]} > 0, cast({m.value} as decimal(28,8)), null))), 0.0D)").alias(name)
         for m in measures for period, name in m.names.items()
     ]
     return marked.groupBy(by).agg(*sums)

@@ -80,8 +80,8 @@ def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None, any_
     coverage has them, ``sum_flags`` count the coverages that do.
     """
     values = [
-        F.sum("coverage_ape").alias("coverage_ape"),
-        F.sum("plan_nbv").alias("plan_nbv"),
+        measures.exact_sum(F.col("coverage_ape")).alias("coverage_ape"),
+        measures.exact_sum(F.col("plan_nbv")).alias("plan_nbv"),
         F.min("prem_dur").alias("years"),
         F.min("prem_dur_pre").alias("years_paid"),
         F.min("prem_dur_post").alias("years_left"),
@@ -120,10 +120,10 @@ def policy_ltv(summary: DataFrame, lapse_scores: DataFrame, early_scores: DataFr
 def _value_sums() -> list[Column]:
     """Lifetime value per client, rounded to cents so that ordering by it is repeatable."""
     return [
-        F.round(F.sum("coverage_ape"), 2).alias("coverage_ape"),
-        F.round(F.sum("plan_nbv"), 2).alias("plan_nbv"),
-        F.round(F.try_divide(F.sum("plan_nbv"), F.sum("coverage_ape")), 6).alias("cli_nbv_margin"),
-        *[F.round(F.sum(f"pol_ltv{part}"), 2).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
+        F.round(measures.exact_sum(F.col("coverage_ape")), 2).alias("coverage_ape"),
+        F.round(measures.exact_sum(F.col("plan_nbv")), 2).alias("plan_nbv"),
+        F.round(F.try_divide(measures.exact_sum(F.col("plan_nbv")), measures.exact_sum(F.col("coverage_ape"))), 6).alias("cli_nbv_margin"),
+        *[F.round(measures.exact_sum(F.col(f"pol_ltv{part}")), 2).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
         F.least(F.min("next_due_decile"), F.min("early_decile")).alias("lapse_decile"),
     ]
 
@@ -161,7 +161,7 @@ def _holding_sums(types: Mapping[str, str]) -> list[Column]:
         F.max("annual_flag").alias("annual_flag"),
         F.max("valid_email").alias("valid_email"),
         F.sum("long_lived").alias("10yr_pol_cnt"),
-        F.sum("coverage_ape").alias("total_ape"),
+        measures.exact_sum(F.col("coverage_ape")).alias("total_ape"),
         F.try_divide(F.sum("tenure_sum"), F.sum("tenure_rows")).alias("agt_tenure_yrs"),
     ]
 

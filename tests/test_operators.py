@@ -249,3 +249,17 @@ def test_owner_codes_may_be_text(spark):
     rows = [("p", "A12", "2024-01-01"), ("p", "B01", "2024-03-01"), ("p", "A99", "2024-03-01"), ("q", "A1", None), ("q", "Z", "2020-01-01"), (None, "A", "2024-01-01")]
     df = spark.createDataFrame(rows, "pol string, agt string, d string").withColumn("d", F.to_date("d"))
     assert {r["pol"]: r["agt"] for r in lookups.owner_of(df, "pol", "agt", "d").collect()} == {"p": "A99", "q": "Z"}
+
+
+def test_sums_and_ranks_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(k % 40, round(rng.uniform(0, 9e8), 2)) for k in range(4000)]
+    seen = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+        sums = rolling.period_sums(df, "k", {"all": F.lit(True)}, [rolling.Measure("v", {"all": "total"})])
+        ranked = average_rank_desc(sums, "total", "place").collect()
+        assert all(r["place"] is not None and r["total"] > 1e9 for r in ranked)
+        seen.append({r["k"]: (r["total"], r["place"]) for r in ranked})
+    assert seen[0] == seen[1]
