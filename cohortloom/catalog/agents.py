@@ -29,9 +29,10 @@ def mart(t, parts=agent_mart.PARTS):
 KPI_PARTS = ["sale_order", "premium", "value", "relation"]
 
 
-def stored_mart(t):
+def stored_mart(t, parts=KPI_PARTS):
     """The KPI columns of the mart written once, for results that read them several times."""
-    return stage(mart(t, KPI_PARTS).select(*agent_mart.KPI_COLUMNS), new_folder(t.spark))
+    whole = mart(t, parts)
+    return stage(whole.select(*(c for c in agent_mart.KPI_COLUMNS if c in whole.columns)), new_folder(t.spark))
 
 
 @query("agent_master", with_parts("""
@@ -101,7 +102,7 @@ def _rounded(names):
 
 @query("ticket_size", with_parts(f"select wa_code, {_rounded(_SIZES)} from rates", "rates"))
 def ticket_size(t):
-    sold = mart(t, ["premium"])
+    sold = stored_mart(t, ["premium"])
     sums, counts = agent_mart.kpi_sums(sold, SNAPSHOT, "ape"), agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner")
     return tidy(agent_mart.with_ticket_sizes(sums.join(counts, "wa_code")).select("wa_code", *_SIZES))
 

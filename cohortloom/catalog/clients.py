@@ -20,6 +20,13 @@ def _valued(t, base):
     return client_mart.with_margins(base, t.plan_margins(), t.quarter_margins())
 
 
+CITIES = {"f_first": "NATION_0", "f_second": "NATION_1"}
+_STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+# Means of the profiles: those of the plan, and the flags and counts that depend on the product types and cities at hand.
+MEANS = {
+    **client_mart.PROFILE_MEANS, **{f: f"mean_{f[2:]}" for f in (*CITIES, "f_oth_city")}, **{c: f"mean_{c}" for c in TYPES.values()},
+    **{f"f_{n}_{kind.lower()}": f"mean_{n}_{kind.lower()}" for n in ("1st", "2nd") for kind in TYPES},
+}
 ANY_FLAGS = ("f_same_agent", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "active_1m_flag")
 SUM_FLAGS = ("f_cash", "f_cheque", "f_auto")
 
@@ -56,15 +63,10 @@ def mart(t, channel="Agency"):
         client_mart.client_summary(_scored(t, summary(t, ANY_FLAGS, SUM_FLAGS)), SNAPSHOT, TYPES, ANY_FLAGS, SUM_FLAGS),
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t), SNAPSHOT),
-        SNAPSHOT, HIT_SNAPSHOT, channel,
+        SNAPSHOT, HIT_SNAPSHOT, channel, list(TYPES), CITIES, {kind: codes.LIFESTAGE_FLAGS[name] for name, kind in _STAGES.items()},
     )
 
 
-def stored_mart(t, channel="Agency"):
-    """The mart written once; ordering by a value needs it to read back the same every time."""
-    return stage(mart(t, channel), new_folder(t.spark))
-
-
 _POL = ("coverage_ape", "plan_nbv", "pol_ltv", "pol_ltv_pre", "pol_ltv_post")
 _POL_SQL = ", ".join(f"round({c}, 2) as {c}" for c in _POL)
 
@@ -100,9 +102,6 @@ def client_flags(t):
     return tidy(held.select("po_num", *ANY_FLAGS, *SUM_FLAGS))
 
 
-_STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
-
-
 @query("lifestage_flags", "select c_custkey as cli_num, " + ", ".join(
     f"cast(case when c_mktsegment = '{kind}' then 1 else 0 end as bigint) as {name}" for name, kind in _STAGES.items()) + " from customer")
 def lifestage_flags(t):
@@ -121,7 +120,8 @@ def client_holdings(t):
 
 
 _WIDE = ["pol_count", "inforce_pol", "lapse_decile", "min_decile", "cur_age", "no_dpnd", "f_male", "f_vip_elite", "multi_prod",
-         "cws_tenure_days", "cws_last_log_days", "pol_num_1", "pol_num_2", "yr_2nd_prod"]
+         "cws_tenure_days", "cws_last_log_days", "pol_num_1", "pol_num_2", "yr_2nd_prod", "next_due_decile", "early_decile",
+         *CITIES, "f_oth_city", *_STAGES, *(f"f_{n}_{kind.lower()}" for n in ("1st", "2nd") for kind in TYPES)]
 _MONEY = ["coverage_ape", "plan_nbv", "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "total_ape", "mthly_incm"]
 _TEXT = ["channel", "channel_final", "city", "customer_segment", "ins_typ_1", "ins_typ_2", "image_date"]
 
@@ -135,13 +135,13 @@ def wide_feature_mart(t):
 
 
 def _profile(t, buckets, name):
-    needed = stage(mart(t).select("po_num", *client_mart.PROFILE_MEANS), new_folder(t.spark))
+    needed = stage(mart(t).select("po_num", *MEANS), new_folder(t.spark))
     placed = ntile_desc(needed, "cli_ltv", "po_num", buckets, name)
-    return tidy(reports.profile(placed, [name], "po_num", client_mart.PROFILE_MEANS, "customer_count"), 2)
+    return tidy(reports.profile(placed, [name], "po_num", MEANS, "customer_count"), 2)
 
 
 def _profile_sql(buckets, name):
-    means = ", ".join(f'{cut(mean_sql(c), 2)} as "{n}"' for c, n in client_mart.PROFILE_MEANS.items())
+    means = ", ".join(f'{cut(mean_sql(c), 2)} as "{n}"' for c, n in MEANS.items())
     return with_parts(f"""
 select cast({name} as bigint) as {name}, count(*) as customer_count, {means}
 from (select *, ntile({buckets}) over (order by cli_ltv desc nulls last, po_num) as {name} from client_mart) group by 1""", "client_mart")

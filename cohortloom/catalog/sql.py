@@ -391,6 +391,7 @@ _part("cli_ltv", f"""
 select po_num, {cut(exact_sum("coverage_ape"), 2)} as coverage_ape, {cut(exact_sum("plan_nbv"), 2)} as plan_nbv,
   {cut("case when " + exact_sum("coverage_ape") + " <> 0 then " + exact_sum("plan_nbv") + " / " + exact_sum("coverage_ape") + " end")} as cli_nbv_margin,
   {", ".join(f"{cut(exact_sum(f'pol_ltv{part}'), 2)} as cli_ltv{part}" for part in ("", "_pre", "_post"))},
+  min(next_due_decile) as next_due_decile, min(early_decile) as early_decile,
   least(min(next_due_decile), min(early_decile)) as lapse_decile
 from pol_ltv group by 1""", "pol_ltv")
 _part("channel", """
@@ -448,13 +449,18 @@ select login_id as po_num, max(case when rn = 1 then hit_at end) as registered_a
   max(case when rn > 1 then hit_at end) as last_login_at, count(*) as hits
 from (select *, row_number() over (partition by login_id order by hit_at, event_id) as rn from usable_hit where hit_at < timestamp '2024-02-01 00:00:00')
 group by 1""", "usable_hit")
+_STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
 _part("client_mart", f"""
-select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile,
+select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile, v.next_due_decile, v.early_decile,
   c.channel, c.channel_final, s.min_decile, n.n_name as city, p.cur_age, p.no_dpnd, p.mthly_incm / {codes.FX_RATE} as mthly_incm,
   p.customer_segment, p.sex_code, p.dpnd_child_ind, p.dpnd_spouse_ind, case when p.sex_code = 'M' then 1 else 0 end as f_male,
   g.registered_at, g.last_login_at, g.hits, f.* exclude (po_num),
   date_diff('day', cast(g.registered_at as date), date '2024-01-31') as cws_tenure_days,
   date_diff('day', cast(g.last_login_at as date), date '2024-01-31') as cws_last_log_days,
+  case when n.n_name = 'NATION_0' then 1 else 0 end as f_first, case when n.n_name = 'NATION_1' then 1 else 0 end as f_second,
+  case when n.n_name not in ('NATION_0', 'NATION_1') then 1 else 0 end as f_oth_city,
+  {", ".join(f"case when p.customer_segment = '{kind}' then 1 else 0 end as {name}" for name, kind in _STAGES.items())},
+  {", ".join(f"case when f.ins_typ_{k} = '{kind}' then 1 else 0 end as f_{n}_{kind.lower()}" for k, n in ((1, "1st"), (2, "2nd")) for kind in TYPES)},
   '2001-06-30' as image_date
 from holding h join cli_ltv v on v.po_num = h.po_num join channel c on c.po_num = h.po_num and c.channel_final = 'Agency'
 left join propensity s on s.po_num = h.po_num left join client p on p.cli_num = h.po_num

@@ -23,7 +23,7 @@ _SCALE, _DAYS = 2000.0, 27
 
 def _agents(t):
     """Serving agents with KPIs, bands, activity and the target flag."""
-    sold = agent_queries.mart(t, ["premium"])
+    sold = agent_queries.stored_mart(t, ["premium"])
     kpis = agent_mart.kpi_sums(sold, SNAPSHOT, "ape").join(
         agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner", "insured", "product", "lapsed", "not_taken", "rejected"), "wa_code"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import codes, measures
-from cohortloom.functions.bands import flag
+from cohortloom.functions.bands import decode, flag
 from cohortloom.functions.calendar import Snapshot, fiscal_quarter, whole_years, years_between
 from cohortloom.operators.events import days_since
 from cohortloom.operators.latest import nth_as_columns
@@ -124,6 +124,8 @@ def _value_sums() -> list[Column]:
         F.round(measures.exact_sum(F.col("plan_nbv")), 2).alias("plan_nbv"),
         F.round(F.try_divide(measures.exact_sum(F.col("plan_nbv")), measures.exact_sum(F.col("coverage_ape"))), 6).alias("cli_nbv_margin"),
         *[F.round(measures.exact_sum(F.col(f"pol_ltv{part}")), 2).alias(f"cli_ltv{part}") for part in ("", "_pre", "_post")],
+        F.min("next_due_decile").alias("next_due_decile"),
+        F.min("early_decile").alias("early_decile"),
         F.least(F.min("next_due_decile"), F.min("early_decile")).alias("lapse_decile"),
     ]
 
@@ -233,8 +235,14 @@ def city_flags(city: Column, cities: Mapping[str, str], other: str = "f_oth_city
 
 
 def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, cities: DataFrame, logins: DataFrame,
-                first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot, channel: str | None = "Agency") -> DataFrame:
-    """One wide row per client. Every input has one row per client, so no join multiplies rows."""
+                first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot, channel: str | None = "Agency",
+                types: Sequence[str] = (), named_cities: Mapping[str, str] | None = None,
+                stages: Mapping[str, str] | None = None) -> DataFrame:
+    """One wide row per client. Every input has one row per client, so no join multiplies rows.
+
+    ``types`` gives the product types that the first and the second policy are flagged by,
+    ``named_cities`` the cities with a flag of their own, and ``stages`` the lifestage that a customer segment stands for.
+    """
     chosen = summary if channel is None else summary.where(F.col("channel_final") == channel)
     people = clients.join(cities, "city_key", "left").select(
         F.col("cli_num").alias("po_num"), "city", "cur_age", "no_dpnd", "mthly_incm", "customer_segment",
@@ -246,7 +254,11 @@ def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, c
         .join(logins, "po_num", "left")
         .join(first_two, "po_num", "left")
     )
+    stage = F.col("customer_segment") if stages is None else decode(F.col("customer_segment"), stages)
+    wide = type_flags(wide, types) if types else wide
     return wide.withColumns({
+        **lifestage_flags(stage),
+        **({} if named_cities is None else city_flags(F.col("city"), named_cities)),
         "mthly_incm": F.col("mthly_incm") / codes.FX_RATE,
         "f_male": flag(F.col("sex_code") == "M"),
         "cws_tenure_days": days_since(F.col("registered_at"), hit_snapshot.column()),
@@ -255,6 +267,7 @@ def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, c
     })
 
 
+# Names of the profile columns.
 PROFILE_MEANS = {
     "cli_ltv": "mean_ltv", "cli_ltv_pre": "mean_ltv_pre", "cli_ltv_post": "mean_ltv_post", "pol_count": "mean_pol",
     "client_tenure": "mean_client_tenure", "f_vip_elite": "mean_platinum_elite", "f_vip_plat": "mean_platinum",
@@ -265,4 +278,6 @@ PROFILE_MEANS = {
     "ins_typ_count": "mean_ins_type", "yr_2nd_prod": "mean_yr_2nd_prod", "agt_tenure_yrs": "mean_agt_tenure",
     "mdrt_flag": "mdrt%", "mdrt_tot_flag": "mdrt_tot%", "mdrt_cot_flag": "mdrt_cot%", "active_1m_flag": "1mA%",
     "multi_prod": "multi_prod%", "coverage_ape": "mean_ape", "inforce_ind": "mean_inforce_ind",
+    "next_due_decile": "mean_next_due_decile", "early_decile": "mean_early_decile", "f_male": "mean_male",
+    **{name: f"mean_{name[2:]}" for name in codes.LIFESTAGE_FLAGS},
 }
