@@ -4,9 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all documents that the one befo
 the documents that go on; all but the last return the columns of ``documents``. Every stage is written
 as Parquet in the shared folder and read again.
 
-Defined cases: documents without an id go through every stage (they are in no group of near copies);
-of rows that repeat an id, one stays, the one with the smallest text. A null text fails the quality
-rules. Empty tables go through as empty tables.
+Near copies and benchmark passages are judged row by row, under a key of the id and the text, so that
+no row goes for what another row of its id holds.
+
+Defined cases: documents without an id are judged like the others; a group of near copies keeps one of
+them besides its smallest id. Of rows that repeat an id after that, one stays, the one with the smallest text. A null
+text fails the quality rules. Empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from cohortloom.llm import bpe, decontam, jaccard, pii, quality
 from cohortloom.llm.graph import stage
 
 WORDS, SHARE = 5, Fraction(4, 5)
+KEY = "row key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,25 +32,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row that only rows of the same id and text share."""
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    found = jaccard.classes(docs, words=WORDS, share=SHARE)
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    """Of each group of near copies the document with the smallest id, and one of those without an id."""
+    keyed = _keyed(docs)
+    found = jaccard.classes(keyed, id_col=KEY, words=WORDS, share=SHARE)
+    found = stage(found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group")).distinct())
+    # A group of several rows has one that is not named like the group.
+    several = found.where(F.col(KEY) != F.col("group")).select("group").distinct()
+    member = stage(keyed.select(KEY, "doc_id").join(found.join(several, "group", "left_semi"), KEY).distinct())
+    first = member.groupBy("group").agg(F.min("doc_id").alias("lowest"), F.min(F.when(F.col("doc_id").isNull(), F.col(KEY))).alias("unnamed"))
+    beaten = F.when(F.col("doc_id").isNull(), F.col(KEY) != F.col("unnamed")).otherwise(F.col("doc_id") != F.col("lowest"))
+    gone = stage(member.join(first, "group").where(beaten).select(F.col(KEY).alias("gone")))
+    left = keyed.join(gone, F.col(KEY) == F.col("gone"), "left_anti")
+    # Rows that repeat an id, and copies without one.
+    same = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col(KEY)).alias("copy")]
+    repeated = stage(left.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"), F.col("copy").alias("again copy")))
     if repeated.isEmpty():
-        return left
-    one = Window.partitionBy("doc_id").orderBy("text")
-    twice = left.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").withColumn("a place", F.row_number().over(one)).where("`a place` = 1").select(*docs.columns)
-    return left.join(repeated, F.col("doc_id") == F.col("again"), "left_anti").unionByName(twice)
+        return left.select(*docs.columns)
+    left = left.withColumn("copy", same[1])
+    again = F.col("doc_id").eqNullSafe(F.col("again")) & F.col("copy").eqNullSafe(F.col("again copy"))
+    one = Window.partitionBy("doc_id", "copy").orderBy("text")
+    twice = left.join(repeated, again, "left_semi").withColumn("a place", F.row_number().over(one)).where("`a place` = 1")
+    return left.join(repeated, again, "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.decontaminate(docs, items)
+    keyed = _keyed(docs)
+    found = decontam.decontaminate(keyed, items, id_col=KEY)
     gone = stage(found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return keyed.join(gone, F.col(KEY) == F.col("gone"), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,32 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf, frame):
     for _, function in corpus_pipeline.STAGES:
         empty = function(spark, empty, sf)
     assert empty.count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(word):
+    return " ".join(f"{word}{k}" for k in range(40))
+
+
+def passage(sf):
+    texts = pq.read_table(f"{sf}/benchmark.parquet", columns=["text"]).column(0).to_pylist()
+    return next(t for t in texts if t and len(t.split()) >= 12)
+
+
+def test_a_row_does_not_go_for_another_row_of_its_id(spark, sf, frame):
+    near = frame([(1, prose("a"), "en", "s", 1), (7, prose("a"), "en", "s", 1), (7, prose("b"), "en", "s", 1)], SCHEMA)
+    kept = corpus_pipeline.near_copies(spark, near, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, prose("a")), (7, prose("b"))]
+    docs = frame([(8, prose("c") + " " + passage(sf), "en", "s", 1), (8, prose("d"), "en", "s", 1)], SCHEMA)
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, sf).collect()] == [(8, prose("d"))]
+
+
+def test_rows_without_an_id_are_judged(spark, sf, frame):
+    rows = [(None, prose("a")), (None, prose("a")), (None, prose("a") + " more"), (None, prose("b")), (2, prose("c")), (None, prose("d"))]
+    docs = frame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
+    assert len(kept) == 4 and {(None, prose("b")), (2, prose("c")), (None, prose("d"))} < set(kept)
+    docs = frame([(None, prose("a") + " " + passage(sf), "en", "s", 1), (None, prose("b"), "en", "s", 1)], SCHEMA)
+    assert [r.text for r in corpus_pipeline.decontamination(spark, docs, sf).collect()] == [prose("b")]
