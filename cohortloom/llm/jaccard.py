@@ -11,7 +11,8 @@ texts that many edits part have nothing in common, so no link between components
 starts with short signatures that bound the difference of two sets; whole sets move for the rest.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is its own
-component. Rows that repeat an id are answered each by its own text. A null id gets no component (null).
+component. Rows that repeat an id are answered each by its own text. A null id gets no component (null),
+but its text links others.
 Other columns, whatever their names, are not read. Empty tables give empty results.
 """
 
@@ -121,7 +122,7 @@ def _differ(left: bytes, right: bytes) -> int:
 
 
 def nodes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, node, sign, leave) of (doc_id, text); equal sets have the same node, an empty set has none.
+    """(doc_id, n_shingles, node, sign, leave, place) of (doc_id, text, place); equal sets have the same node, an empty set has none.
 
     ``leave`` says for the set's first and second band how many lists it can leave.
     """
@@ -134,9 +135,9 @@ def nodes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
             sign = pa.array([_signature(s) if len(s) else None for s in sets], pa.binary())
             sizes = pa.array([len(s) for s in sets], pa.int64())
             leave = pa.array([[(k[0], k[3]) for k in blocks.layout(s)] if len(s) else None for s in sets], LEAVE)
-            yield pa.RecordBatch.from_arrays([part.column(0), sizes, node, sign, leave], ["doc_id", "n_shingles", "node", "sign", "leave"])
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, node, sign, leave, part.column(2)], ["doc_id", "n_shingles", "node", "sign", "leave", "place"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sign binary, leave array<struct<band:int,most:int>>")
+    return docs.select("doc_id", "text", "place").mapInArrow(run, "doc_id long, n_shingles long, node long, sign binary, leave array<struct<band:int,most:int>>, place long")
 
 
 def postings(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
@@ -175,17 +176,35 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
+def _at_row() -> Column:
+    """What finds the text of a set again: its lowest id, or the hash of a text that no row with an id has."""
+    return F.coalesce(F.min("doc_id"), F.min("place")).alias("at_row")
+
+
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at_row, text) of (at_row, digest, text) without the copies that a task has seen."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fresh.append(key not in seen)
+            if len(seen) < SEEN:
+                seen.add(key)
+        yield batch.select(["at_row", "text"]).filter(pa.array(fresh, pa.bool_()))
+
+
 def _texts(slim: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``slim`` that ``ids`` (doc_id, node) names.
+    """(text, node) of the rows of ``slim`` that ``ids`` (at_row, node) names, by id or, without one, by place.
 
     A bit mask of hashed ids, of at most ``MASK / 64`` rows at any size of the corpus, goes to all
     tasks first, so that few other texts are shuffled for the join.
     """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MASK))
+    at = F.pmod(F.xxhash64("at_row"), F.lit(MASK))
     word, bit = F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, int(at % 64))")
     mask = ids.select(at.alias("at")).groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    marked = slim.withColumn("at", at).withColumn("word", word).join(F.broadcast(mask), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    return marked.select("doc_id", "text").join(ids, "doc_id")
+    marked = slim.withColumn("at_row", F.coalesce("doc_id", "place")).withColumn("at", at).withColumn("word", word).join(F.broadcast(mask), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    marked = marked.select("at_row", F.xxhash64("text").alias("digest"), "text").mapInArrow(_once, "at_row long, text string")
+    return marked.join(ids, "at_row").select("text", "node")
 
 
 def _screen(pairs: DataFrame, signs: DataFrame, share: Fraction) -> DataFrame:
@@ -223,10 +242,10 @@ def _measure(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
 
 def compare(pairs: DataFrame, slim: DataFrame, rows: DataFrame, words: int, share: Fraction) -> DataFrame:
     """(a, b, linked) of pairs (a, b) of nodes. Signatures settle what cannot link; whole sets move only for the rest."""
-    known = rows.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("sign").alias("sign"), F.min("doc_id").alias("doc_id"))
+    known = rows.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.first("sign").alias("sign"), _at_row())
     screened = stage(_screen(pairs, known.select("node", "n", "sign"), share))
     near = screened.where("near").select("a", "b")
-    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc_id"), "node")
+    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "at_row"), "node")
     sets = stage(_sets(_texts(slim, stage(ids)), words))
     far = screened.where("not near").select("a", "b", F.lit(False).alias("linked"))
     return stage(_measure(near, sets, share).unionByName(far))
@@ -235,6 +254,7 @@ def compare(pairs: DataFrame, slim: DataFrame, rows: DataFrame, words: int, shar
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id that links reach."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = slim.withColumn("place", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     rows = stage(nodes(slim, words, share))
     joined = _components(slim, rows, words, share)
     known = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("lowest"))
@@ -305,8 +325,8 @@ def _rare_pairs(member: DataFrame, slim: DataFrame, rows: DataFrame, words: int,
     for every class of sizes that a partner can have, so common shingles come in only for sets that
     lack rare ones. The main component of a list meets the others, not itself.
     """
-    ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(member, "node")
-    tokens = stage(_sets(_texts(slim, stage(ids.select("doc_id", "node"))), words).mapInArrow(_exploded, "node long, token long"))
+    ids = rows.where("node is not null").groupBy("node").agg(_at_row()).join(member, "node")
+    tokens = stage(_sets(_texts(slim, stage(ids.select("at_row", "node"))), words).mapInArrow(_exploded, "node long, token long"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
 

@@ -84,3 +84,12 @@ def test_components_of_a_long_chain_a_star_and_loops(spark, frame):
     got = {r.node: r.component for r in components(frame(edges, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 50)}, 900: 899, 899: 899}
     assert components(frame([], "a long, b long")).count() == 0
+
+
+def test_a_text_without_an_id_links_others(spark, frame):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join([*words[4:], *"abcd"]), " ".join([*words[8:], *"abcdefgh"])]
+    docs = frame([(1, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2])], "doc_id long, text string")
+    rows = jaccard.classes(docs, words=1, share=Fraction(4, 5)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in rows if r.doc_id) == [(1, 1), (3, 1)]
+    assert [r.component_id for r in rows if not r.doc_id] == [None, None]
