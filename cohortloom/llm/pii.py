@@ -8,8 +8,9 @@ co-occurrence. For an entity c and a term t (a run of three or more letters, low
 
 A disclosure of 1 means that whoever reads t knows c. Terms at or above ``REMOVED`` are removed and
 those at or above ``GENERALISED`` become a class name, wherever they stand in a document that
-mentions c. Counts are over all lines of the corpus. An estimate needs support: t and c in at least ``SUPPORT`` different lines,
-and lines enough that chance alone would show it with probability below 2 ** -``EVIDENCE``.
+mentions c. Counts are over all lines of the corpus. An estimate needs evidence: different
+places (a line with its neighbours) enough that chance alone would show t with c there with probability below
+2 ** -``EVIDENCE``. Copies of a place are evidence only from ``SUPPORT`` different places on.
 
 Defined cases: a null text counts as empty. Rows with a null id, or that repeat an id, get their own pattern
 spans; term spans follow the id (none for a null id, for a repeated id the terms of all its rows). ``sanitise`` keeps
@@ -114,28 +115,29 @@ def _entities(line: Column) -> Column:
 
 
 def disclosures(texts: DataFrame, holders: DataFrame, support: int = SUPPORT, evidence: float = EVIDENCE) -> DataFrame | None:
-    """(entity, term, disclosure) at or above ``GENERALISED``; None if no entity has support.
+    """(entity, term, disclosure) at or above ``GENERALISED``; None if no pair has evidence.
 
     ``texts`` (text) is the corpus, ``holders`` (text) the texts that hold an entity.
     """
-    lines = holders.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line").rlike("[0-9@]"))
-    mentions = lines.select("line", F.explode(_entities(F.col("line"))).alias("entity"))
-    # A pair needs its support in different lines; a line's copies are counted, but are no support.
-    known = mentions.groupBy("entity", "line").agg(F.count("*").alias("n"))
-    enough = known.groupBy("entity").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_entity")).where(F.col("kinds") >= support)
-    held = known.join(enough, "entity").select("entity", "n_entity", "n", F.explode(_terms(F.col("line"))).alias("term"))
-    pairs = stage(held.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_both")).where(F.col("kinds") >= support))
+    beside = lambda line, i: F.struct(line.alias("line"), F.get("lines", i - 1).alias("above"), F.get("lines", i + 1).alias("below"))
+    lines = holders.select(F.split("text", "\n", -1).alias("lines")).select(F.explode(F.transform("lines", beside)).alias("at")).select("at.*").where(F.col("line").rlike("[0-9@]"))
+    place = F.xxhash64(F.col("above").isNull(), "above", "line", "below").alias("place")
+    # Copies of a place are counted, but are one kind.
+    known = lines.select("line", place, F.explode(_entities(F.col("line"))).alias("entity")).groupBy("entity", "place").agg(F.count("*").alias("n"), F.first("line").alias("line"))
+    entities = known.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    held = known.select("entity", "n", F.explode(_terms(F.col("line"))).alias("term"))
+    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("kinds"), F.sum("n").alias("n_both")).join(entities, "entity")
+    total = texts.agg(F.sum(F.size(F.split("text", "\n", -1)))).scalar()
+    content, seen = -F.log2(F.col("n_entity") / total), F.when(F.col("kinds") >= support, F.col("n_both")).otherwise(F.col("kinds"))
+    pairs = stage(pairs.withColumn("content", content).where((F.col("content") > 0) & (F.col("content") * seen >= evidence)))
     if pairs.isEmpty():
         return None
     # Every line of the corpus; counts are summed before the shuffle.
     split = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    counts = split.select(F.explode(F.array_append(_terms(F.col("line")), F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counts = stage(counts.join(pairs.select("term").unionByName(pairs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct(), "term"))
-    total = counts.where("term = ''").select("n_term").scalar()
-    content = -F.log2(F.col("n_entity") / total)
-    told = pairs.join(counts.where("term <> ''"), "term").withColumn("content", content).where("content > 0")
-    told = told.withColumn("disclosure", F.log2(F.col("n_both") / F.col("n_entity") * (total / F.col("n_term"))) / F.col("content"))
-    return told.where((F.col("disclosure") >= GENERALISED) & (F.col("content") * F.col("n_both") >= evidence)).select("entity", "term", "disclosure")
+    counts = split.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pmi = F.log2(F.col("n_both") / F.col("n_entity") * (total / F.col("n_term")))
+    told = pairs.join(counts, "term").withColumn("disclosure", pmi / F.col("content"))
+    return told.where(F.col("disclosure") >= GENERALISED).select("entity", "term", "disclosure")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, evidence: float = EVIDENCE) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+import pytest
 
 from cohortloom.llm import pii
 
@@ -92,3 +95,44 @@ def test_edge_rows(spark, frame):
 def test_overlapping_spans_are_replaced_once(spark, frame):
     docs = frame([(1, "see +1.2.3.4.5678 or 4111 1111 1111 1111.")], "doc_id long, text string")
     assert "1111" not in pii.sanitise(docs).first().text
+
+
+def disclosing(texts):
+    """{(entity, term): disclosure} by the definition, at the module's parameters."""
+    n_term, n_entity, found, total = Counter(), Counter(), defaultdict(list), 0
+    for text in texts:
+        lines = text.split("\n")
+        total += len(lines)
+        for i, line in enumerate(lines):
+            terms = {t.lower() for t in re.findall(r"[^\W\d_]{3,}", line)}
+            entities = {f"{k}:{line[a:b]}" for k, a, b in brute(line)}
+            n_term.update(terms)
+            n_entity.update(entities)
+            for e in entities:
+                for t in terms:
+                    found[e, t].append((i == 0, tuple(lines[max(i - 1, 0) : i + 2])))
+    told = {}
+    for (e, t), places in found.items():
+        content, kinds = -math.log2(n_entity[e] / total), len(set(places))
+        if content > 0 and content * (len(places) if kinds >= pii.SUPPORT else kinds) >= pii.EVIDENCE:
+            told[e, t] = math.log2(len(places) / n_entity[e] * total / n_term[t]) / content
+    return {p: d for p, d in told.items() if d >= pii.GENERALISED}
+
+
+def test_terms_at_the_module_parameters(spark, frame):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in ("rain", "line", "tree", "moor") for b in ("ing", "ful", "less", "ward", "most", "hood")]
+    prose = lambda: " ".join(rng.choices(vocabulary, k=4))
+    texts = ["\n".join(prose() for _ in range(20)) for _ in range(150)]
+    for _ in range(9):
+        texts.append(f"{prose()}\nZorblatt {prose()} z@corp.example.com\n{prose()}")
+        texts.append(f"{prose()}\ncontact Quixley q@corp.example.com\n{prose()}")  # one line, word for word
+        texts.append("copy Vandermere v@corp.example.com\nend")  # one whole text
+    want = disclosing(texts)
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    slim = docs.select("text")
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(slim, slim).collect()}
+    assert got == pytest.approx(want)
+    assert {t for _, t in want} >= {"zorblatt", "quixley"} and "vandermere" not in {t for _, t in want}
+    clean = "\n".join(r.text for r in pii.sanitise(docs).collect())
+    assert "Zorblatt" not in clean and "Quixley" not in clean and "Vandermere" in clean
