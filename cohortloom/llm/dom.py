@@ -12,11 +12,15 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*+)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noframes", "xmp"}
-UNSEEN = {"head", "template", "svg", "math", "object", "canvas", "select", "button", "audio", "video", "map", "datalist"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "xmp"}
+UNSEEN = {"head", "template", "svg", "select", "button", "map", "datalist", "annotation", "annotation-xml"}
+HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+FALLBACK = {"audio", "canvas", "noscript", "object", "video"}  # nodes of their own, also inside a paragraph, which goes on after them
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
     "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot",
+    "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics",
 }
 # An element of the key's kind ends open ones of its set, unless a stop lies between.
 ENDS = {
@@ -64,16 +68,16 @@ def read(html: str) -> Page:
     nodes, stack = page.nodes, [0]
     pieces: list[str] = []
     in_links: list[str] = []
-    links = unseen = 0
-    hidden: list[str] = []
+    links = holder = 0
+    hidden: list[str] = []  # open elements from the outermost unseen one on
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                nodes[stack[-1]].runs.append(len(page.texts))
+                nodes[holder].runs.append(len(page.texts))
                 page.texts.append(text)
-                page.owners.append(stack[-1])
+                page.owners.append(holder)
                 page.linked.append(min(len(text), len(" ".join("".join(in_links).split()))))
             pieces.clear()
             in_links.clear()
@@ -96,7 +100,12 @@ def read(html: str) -> Page:
     while True:
         found = _TAG.search(html, at)
         text = html[at : found.start() if found else len(html)]
+        if hidden == ["head"] and text.strip():
+            hidden.clear()
         if text and not hidden:
+            if holder != stack[-1] and (not pieces or text.strip()):
+                flush()
+                holder = stack[-1]
             text = unescape(text) if "&" in text else text
             pieces.append(text)
             if links:
@@ -112,30 +121,29 @@ def read(html: str) -> Page:
                 if tag in hidden:
                     while hidden.pop() != tag:
                         pass
-            elif tag == "a":
+                    continue
+                if all(nodes[k].tag != tag for k in stack):
+                    continue
+                hidden.clear()  # the block around it ends
+            if tag == "a":
                 links = max(0, links - 1)
+            elif tag in FALLBACK:
+                end(tag)
             elif tag not in INLINE and tag not in VOID:
                 flush()
                 links = 0
                 end(tag)
             continue
+        if hidden == ["head"] and tag not in HEAD:
+            hidden.clear()
         if tag in RAW:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             at = over.end() if over else len(html)
             continue
-        if hidden:
-            if tag in UNSEEN and not found[3].endswith("/"):
-                hidden.append(tag)
-            elif hidden == ["head"] and tag == "body":
-                hidden.clear()
-            else:
-                continue
-        elif tag in UNSEEN:
-            if not found[3].endswith("/"):
+        if hidden or tag in UNSEEN:
+            if tag not in INLINE and tag not in VOID and not found[3].endswith("/") and (hidden != ["head"] or tag in UNSEEN | FALLBACK):
                 hidden.append(tag)
             continue
-        if hidden:
-            continue
         if tag in INLINE:
             links += tag == "a"
         elif tag in VOID:
@@ -143,6 +151,10 @@ def read(html: str) -> Page:
                 pieces.append(" ")
                 if tag == "hr":
                     flush()
+        elif tag in FALLBACK:
+            if not found[3].endswith("/"):
+                nodes.append(Node(tag, stack[-1], found[3]))
+                stack.append(len(nodes) - 1)
         else:
             flush()
             links = 0

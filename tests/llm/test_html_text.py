@@ -74,3 +74,23 @@ def test_edge_rows(spark, frame, model):
     assert [r.text for r in got[:3]] == ["", "", ""] and got[5].text == "One paragraph of text."
     assert got[3].text == got[4].text == "\n\n".join(["Some words of an article, and more of them."] * 5000)
     assert html_text.extract(frame([], "page_id long, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ("<html><head><title>x</title><p>Text", ["Text"]), ("<head><meta charset=a><link rel=b><noscript><img></noscript>Text", ["Text"]),
+        ("<head><script>a</script><header>top</header>b", ["top", "b"]), ("<div><button>go</div><p>Text", ["Text"]),
+        ("<ul><li>a<svg><g><path></li></ul>b", ["a", "b"]), ("<div><select><div>o</div></select>v</div>", ["v"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", ["Let x=1 be."]),
+        ("<p>a <object data=u>other</object> b</p>", ["a", "other", "b"]), ("<p>a <noscript><img src=u></noscript> b</p>", ["a b"]),
+        ("<noscript><p>plain</p></noscript><video src=u>old</video>", ["plain", "old"]),
+    ],
+)
+def test_reader_hides_no_more_than_it_must(source, texts):
+    assert read(source).texts == texts
+
+
+def test_text_in_a_fallback_has_its_own_node():
+    page = read("<p>a <object>b</object> c</p>")
+    assert [page.nodes[k].tag for k in page.owners] == ["p", "object", "p"]
