@@ -7,7 +7,7 @@ of a phrase, rarest term first. Terms are 64-bit hashes of words; a wrong match
 hashes in a row.
 
 Defined cases: null or empty texts and texts without a word have no words and no hits; null item
-texts give no phrase; repeated rows are judged one by one; null ids are kept; empty tables give empty
+texts give no phrase; an item with a null id counts like the others, but adds no id to ``items``; repeated rows are judged one by one; null ids are kept; empty tables give empty
 results. Texts of any length are indexed whole (a text above the shard size is a shard of its own).
 Other columns, whatever their names, are not read.
 """
@@ -143,7 +143,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     (shard, place, doc_id, item_id, start, stop) in words of the document. The items are the stated
     queries: they go to the shards in blocks of ``BLOCK_WORDS`` words, each block one pass.
     """
-    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
 

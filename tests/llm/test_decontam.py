@@ -79,3 +79,11 @@ def test_proximity(spark, frame):
     index = decontam.store(decontam.build_index(docs))
     assert {r.doc_id for r in decontam.search(index, items, slop=1).collect()} == {1, 3}
     assert decontam.search(index, items).count() == 0
+
+
+def test_items_without_an_id_count(spark, frame):
+    words = [f"w{k}" for k in range(24)]
+    docs = frame([(1, " ".join(words[:12])), (2, " ".join(words)), (3, "other words")], "doc_id long, text string")
+    items = frame([(None, " ".join(words[:12])), (5, " ".join(words[12:])), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (12, [], True), 2: (24, ["5"], True), 3: (0, [], False)}
