@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, chat, decontam, html_text, jaccard, licences, periodic, pii, quality, token_counts, url_filter
+from cohortloom.llm import bpe, chat, collocations, decontam, html_text, jaccard, licences, periodic, pii, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.digest,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_chat_tree": chat.digest,
     "op10_decontamination": decontam.digest,
     "op12_periodic_runs": periodic.digest,
+    "op13_collocations": collocations.digest,
 }
 
 SQL = {
     "op2_quality_rules": quality.SQL,
+    "op13_collocations": collocations.SQL,
 }
