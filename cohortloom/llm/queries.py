@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, chat, collocations, decontam, html_text, jaccard, licences, periodic, pii, quality, token_counts, url_filter
+from cohortloom.llm import bpe, chat, collocations, decontam, hmm, html_text, jaccard, licences, periodic, pii, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.digest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.digest,
     "op9_chat_tree": chat.digest,
     "op10_decontamination": decontam.digest,
+    "op11_hidden_markov": hmm.digest,
     "op12_periodic_runs": periodic.digest,
     "op13_collocations": collocations.digest,
 }
