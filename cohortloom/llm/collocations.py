@@ -39,7 +39,7 @@ SAMPLE = 8  # one row in so many proposes
 LOWERED = 0.6  # of the support that is to be expected in the sample
 MASK_BITS = 1 << 27
 SHARES = 32  # parts of a language that are ranked before all of it
-SLICE = 1 << 22  # bytes of text that are counted together
+SLICE = 1 << 20  # bytes of text that are counted together
 _U64 = np.uint64
 
 # Bytes that are no part of a word, and those of them that end a piece of text.
