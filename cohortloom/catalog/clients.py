@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import CLIENT_FLAGS, TYPES, cut, with_parts, mean_sql
-from cohortloom.catalog.windows import logins, policy_types
+from cohortloom.catalog.windows import app_accounts_of_clients, logins, policy_types
 from cohortloom.functions import codes
 from cohortloom.functions.bands import decode, flag
 from cohortloom.operators import reports
@@ -64,6 +64,7 @@ def mart(t, channel="Agency"):
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t), SNAPSHOT),
         SNAPSHOT, HIT_SNAPSHOT, channel, list(TYPES), CITIES, {kind: codes.LIFESTAGE_FLAGS[name] for name, kind in _STAGES.items()},
+        app_accounts_of_clients(t),
     )
 
 
@@ -120,7 +121,7 @@ def client_holdings(t):
 
 
 _WIDE = ["pol_count", "inforce_pol", "lapse_decile", "min_decile", "cur_age", "no_dpnd", "f_male", "f_vip_elite", "multi_prod",
-         "cws_tenure_days", "cws_last_log_days", "pol_num_1", "pol_num_2", "yr_2nd_prod", "next_due_decile", "early_decile",
+         "cws_tenure_days", "cws_last_log_days", "app_tenure_days", "app_last_log_days", "pol_num_1", "pol_num_2", "yr_2nd_prod", "next_due_decile", "early_decile",
          *CITIES, "f_oth_city", *_STAGES, *(f"f_{n}_{kind.lower()}" for n in ("1st", "2nd") for kind in TYPES)]
 _MONEY = ["coverage_ape", "plan_nbv", "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "total_ape", "mthly_incm"]
 _TEXT = ["channel", "channel_final", "city", "customer_segment", "ins_typ_1", "ins_typ_2", "image_date"]
@@ -128,10 +129,10 @@ _TEXT = ["channel", "channel_final", "city", "customer_segment", "ins_typ_1", "i
 
 @query("wide_feature_mart", with_parts(
     "select po_num, " + ", ".join(f"cast({c} as bigint) as {c}" for c in _WIDE) + ", "
-    + ", ".join(f"round({c}, 2) as {c}" for c in _MONEY) + ", " + ", ".join(_TEXT) + ", round(client_tenure, 6) as client_tenure from client_mart",
+    + ", ".join(f"round({c}, 2) as {c}" for c in _MONEY) + ", " + ", ".join(_TEXT) + ", cast(activation_dt as varchar) as activation_dt, round(client_tenure, 6) as client_tenure from client_mart",
     "client_mart"))
 def wide_feature_mart(t):
-    return tidy(mart(t).select("po_num", *_WIDE, *_MONEY, *_TEXT, "client_tenure"), cents=tuple(_MONEY))
+    return tidy(mart(t).select("po_num", *_WIDE, *_MONEY, *_TEXT, "activation_dt", "client_tenure"), cents=tuple(_MONEY))
 
 
 def _profile(t, buckets, name):

@@ -449,6 +449,27 @@ select login_id as po_num, max(case when rn = 1 then hit_at end) as registered_a
   max(case when rn > 1 then hit_at end) as last_login_at, count(*) as hits
 from (select *, row_number() over (partition by login_id order by hit_at, event_id) as rn from usable_hit where hit_at < timestamp '2024-02-01 00:00:00')
 group by 1""", "usable_hit")
+_part("app_hit", """
+select event_id, 'u' || user_id as user_id, ts as hit_at, case event_id % 3 when 0 then 'Android' else 'iOS' end as os
+from events where event_type not in ('error', 'purchase') and ts < timestamp '2024-02-01 00:00:00'""")
+_part("app_login", """
+select user_id, max(case when rn > 1 then cast(hit_at as date) end) as last_login_dt, arg_max(os, (hit_at, event_id)) as os
+from (select *, row_number() over (partition by user_id order by hit_at, event_id) as rn from app_hit)
+group by 1 having max(rn) > 1""", "app_hit")
+_part("app_account", """
+select * exclude (rn) from (
+  select k.cli_num, m.user_id, k.activation_dt, l.last_login_dt, s.last_sync_dt, l.os,
+    date_diff('day', k.activation_dt, date '2024-01-31') as app_tenure_days, date_diff('day', l.last_login_dt, date '2024-01-31') as app_last_log_days,
+    row_number() over (partition by k.cli_num order by k.activation_dt desc, l.last_login_dt desc, m.user_id desc) as rn
+  from (select 'u' || c_custkey as user_id, unnest(case when c_custkey % 4 = 0 then [c_custkey, c_custkey + 1] else [c_custkey] end) as key
+      from customer where c_custkey % 8 <> 7) m
+  join (select c_custkey as key, cast(c_custkey - case when c_custkey % 5 = 4 then 1 else 0 end as varchar) as cli_num,
+      case when c_custkey % 13 <> 12 then date '2023-01-01' + cast(c_custkey * 29 % 420 as integer) end as activation_dt
+    from customer where c_custkey % 6 <> 5) k on k.key = m.key and m.key % 9 <> 8
+  join app_login l on l.user_id = m.user_id
+  left join (select 'u' || c_custkey as user_id, date '2024-01-01' + cast(c_custkey % 40 as integer) as last_sync_dt
+    from customer where c_custkey % 3 <> 2) s on s.user_id = m.user_id
+  where k.activation_dt <= date '2024-01-31' and l.last_login_dt <= date '2024-01-31') where rn = 1""", "app_login")
 _STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
 _part("client_mart", f"""
 select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile, v.next_due_decile, v.early_decile,
@@ -459,10 +480,12 @@ select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_p
   date_diff('day', cast(g.last_login_at as date), date '2024-01-31') as cws_last_log_days,
   case when n.n_name = 'NATION_0' then 1 else 0 end as f_first, case when n.n_name = 'NATION_1' then 1 else 0 end as f_second,
   case when n.n_name not in ('NATION_0', 'NATION_1') then 1 else 0 end as f_oth_city,
+  ap.activation_dt, ap.app_tenure_days, ap.app_last_log_days,
   {", ".join(f"case when p.customer_segment = '{kind}' then 1 else 0 end as {name}" for name, kind in _STAGES.items())},
   {", ".join(f"case when f.ins_typ_{k} = '{kind}' then 1 else 0 end as f_{n}_{kind.lower()}" for k, n in ((1, "1st"), (2, "2nd")) for kind in TYPES)},
   '2001-06-30' as image_date
 from holding h join cli_ltv v on v.po_num = h.po_num join channel c on c.po_num = h.po_num and c.channel_final = 'Agency'
 left join propensity s on s.po_num = h.po_num left join client p on p.cli_num = h.po_num
-left join nation n on n.n_nationkey = p.city_key left join login g on g.po_num = h.po_num left join first_two f on f.po_num = h.po_num""",
-      "holding", "cli_ltv", "channel", "propensity", "client", "login", "first_two")
+left join nation n on n.n_nationkey = p.city_key left join login g on g.po_num = h.po_num left join first_two f on f.po_num = h.po_num
+left join app_account ap on ap.cli_num = cast(h.po_num as varchar)""",
+      "holding", "cli_ltv", "channel", "propensity", "client", "login", "first_two", "app_account")

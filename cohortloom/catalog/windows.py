@@ -7,7 +7,7 @@ from cohortloom.catalog.sql import with_parts
 from cohortloom.functions import codes
 from cohortloom.operators import events, latest
 from cohortloom.operators.ordering import ntile_desc
-from cohortloom.plans import activation, agent_mart, client_mart
+from cohortloom.plans import activation, agent_mart, app_accounts, client_mart
 from cohortloom.sources.star_tables import HIT_SNAPSHOT, SNAPSHOT
 
 
@@ -48,6 +48,30 @@ def digital_recency(t):
     ))
 
 
+def app_accounts_of_clients(t):
+    """The newest used app account of every client."""
+    hits = events.usable_hits(t.app_hits(), "exclude_hit", "hit_source", ["user_id", "page"], codes.EXCLUDED_HIT_SOURCES)
+    accounts = app_accounts.client_accounts(t.app_users(), t.app_members(), t.app_keys(), t.app_states())
+    return app_accounts.app_activation(accounts, app_accounts.app_logins(hits, HIT_SNAPSHOT), HIT_SNAPSHOT)
+
+
+@query("app_activation", with_parts("""
+select cli_num, user_id, cast(activation_dt as varchar) as activation_dt, cast(last_login_dt as varchar) as last_login_dt,
+  cast(last_sync_dt as varchar) as last_sync_dt, os, app_tenure_days, app_last_log_days from app_account""", "app_account"))
+def app_activation(t):
+    return tidy(app_accounts_of_clients(t))
+
+
+@query("app_os_share", with_parts("""
+select os, count(*) as clients, cast(min(app_last_log_days) as bigint) as least_days, cast(max(app_tenure_days) as bigint) as most_tenure
+from app_account group by 1""", "app_account"))
+def app_os_share(t):
+    """Clients by the system of their last login."""
+    return tidy(app_accounts_of_clients(t).groupBy("os").agg(
+        F.count("*").alias("clients"), F.min("app_last_log_days").alias("least_days"), F.max("app_tenure_days").alias("most_tenure")
+    ))
+
+
 @query("latest_per_key", with_parts("""
 select login_id, event_id, page from (select *, row_number() over (partition by login_id order by hit_at desc, event_id desc) as rn from hit)
 where rn = 1""", "hit"))

@@ -237,11 +237,12 @@ def city_flags(city: Column, cities: Mapping[str, str], other: str = "f_oth_city
 def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, cities: DataFrame, logins: DataFrame,
                 first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot, channel: str | None = "Agency",
                 types: Sequence[str] = (), named_cities: Mapping[str, str] | None = None,
-                stages: Mapping[str, str] | None = None) -> DataFrame:
+                stages: Mapping[str, str] | None = None, apps: DataFrame | None = None) -> DataFrame:
     """One wide row per client. Every input has one row per client, so no join multiplies rows.
 
     ``types`` gives the product types that the first and the second policy are flagged by,
     ``named_cities`` the cities with a flag of their own, and ``stages`` the lifestage that a customer segment stands for.
+    ``apps`` are the clients' app accounts (``app_accounts.app_activation``), with the client number as text.
     """
     chosen = summary if channel is None else summary.where(F.col("channel_final") == channel)
     people = clients.join(cities, "city_key", "left").select(
@@ -254,6 +255,9 @@ def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, c
         .join(logins, "po_num", "left")
         .join(first_two, "po_num", "left")
     )
+    if apps is not None:
+        known = apps.select(F.col("cli_num").alias("_app_client"), "activation_dt", "app_tenure_days", "app_last_log_days")
+        wide = wide.join(known, F.col("po_num").cast("string") == F.col("_app_client"), "left").drop("_app_client")
     stage = F.col("customer_segment") if stages is None else decode(F.col("customer_segment"), stages)
     wide = type_flags(wide, types) if types else wide
     return wide.withColumns({

@@ -194,6 +194,38 @@ class StarTables:
             "event_type as page",
         )
 
+    def app_users(self) -> DataFrame:
+        """Users of the app: most clients are one."""
+        return self.raw("customer").where("c_custkey % 8 != 7").selectExpr("concat('u', c_custkey) as user_id")
+
+    def app_members(self) -> DataFrame:
+        """Members of a user and their keys: every fourth user has a second member, some have no key."""
+        return self.raw("customer").selectExpr(
+            "concat('u', c_custkey) as user_id",
+            "explode(if(c_custkey % 4 = 0, array(c_custkey, c_custkey + 1), array(c_custkey))) as key",
+        ).selectExpr("user_id", "if(key % 9 != 8, concat('k', key), null) as key_id")
+
+    def app_keys(self) -> DataFrame:
+        """Keys with the client number behind one letter; some clients have two keys, some keys no day."""
+        return self.raw("customer").selectExpr(
+            "concat('k', c_custkey) as key_id",
+            "concat('M', c_custkey - if(c_custkey % 5 = 4, 1, 0)) as key_value",
+            "if(c_custkey % 13 != 12, concat(date_add(date '2023-01-01', int(c_custkey * 29 % 420)), ' 08:00:00'), null) as activation_date",
+            "if(c_custkey % 6 != 5, 1, 0) as activated",
+        )
+
+    def app_states(self) -> DataFrame:
+        return self.raw("customer").where("c_custkey % 3 != 2").selectExpr(
+            "concat('u', c_custkey) as user_id", "concat(date_add(date '2024-01-01', int(c_custkey % 40)), ' 10:00:00') as last_data_sync"
+        )
+
+    def app_hits(self) -> DataFrame:
+        return self.raw("events").selectExpr(
+            "event_id", "concat('u', user_id) as user_id", "ts as hit_at", "event_type as page",
+            "if(event_type = 'error', 1, 0) as exclude_hit", "if(event_type = 'purchase', '9', '1') as hit_source",
+            "case event_id % 3 when 0 then 'Android 14' when 1 then 'iOS 17' end as os_version",
+        )
+
     def lapse_scores(self) -> DataFrame:
         """Lapse score and decile of a policy, known for three policies out of four."""
         return self.raw("orders").where("o_orderkey % 4 != 0").selectExpr(
