@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import BLOCKS, DAY, SUM_BLOCKS, cut, kpi_select, cut_all, rate_columns, size_columns, with_parts
 from cohortloom.functions import codes
-from cohortloom.operators.lookups import owner_of
 from cohortloom.operators.ordering import average_rank_desc
 from cohortloom.plans import agent_mart
 from cohortloom.session import new_folder
@@ -102,9 +101,8 @@ def _rounded(names):
 
 @query("ticket_size", with_parts(f"select wa_code, {_rounded(_SIZES)} from rates", "rates"))
 def ticket_size(t):
-    sold = stored_mart(t, ["premium"])
-    sums, counts = agent_mart.kpi_sums(sold, SNAPSHOT, "ape"), agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner")
-    return tidy(agent_mart.with_ticket_sizes(sums.join(counts, "wa_code")).select("wa_code", *_SIZES))
+    kpis = agent_mart.kpi_block(mart(t, ["premium"]), SNAPSHOT, ["ape"], ["policy", "owner"])
+    return tidy(agent_mart.with_ticket_sizes(kpis).select("wa_code", *_SIZES))
 
 
 @query("quality_rates", with_parts(f"select wa_code, {_rounded(_RATES)} from rates", "rates"))
@@ -121,14 +119,14 @@ _ALL_COUNTS = [n for b in BLOCKS if b not in SUM_BLOCKS for n in BLOCKS[b]]
     f"select wa_code, {_rounded(_ALL_SUMS)}, " + ", ".join(f'"{n}"' for n in _ALL_COUNTS) + f", {_rounded(_SIZES + _RATES)} from rates",
     "rates"))
 def agent_kpi_block(t):
-    return tidy(agent_mart.agent_kpis(stored_mart(t), SNAPSHOT))
+    return tidy(agent_mart.agent_kpis(mart(t, KPI_PARTS), SNAPSHOT))
 
 
 _CLAIM_SQL = f"""
 select agt_cd, cast(count(distinct case when recent then clm_id end) as bigint) as claim_cnt_last_3_yr,
-  round(sum(case when recent then clm_prvd_amt else 0 end), 6) as claim_amt_last_3_yr,
+  round(cast(sum(case when recent then cast(clm_prvd_amt as decimal(28, 8)) else 0 end) as double), 6) as claim_amt_last_3_yr,
   cast(count(distinct case when recent and clm_stat_code = 'A' then clm_id end) as bigint) as claim_appr_cnt_last_3_yr,
-  round(sum(case when recent and clm_stat_code = 'A' then clm_aprov_amt else 0 end), 6) as claim_appr_amt_last_3_yr,
+  round(cast(sum(case when recent and clm_stat_code = 'A' then cast(clm_aprov_amt as decimal(28, 8)) else 0 end) as double), 6) as claim_appr_amt_last_3_yr,
   cast(count(distinct case when clm_recv_dt >= date '2000-06-30' and clm_stat_code = 'I' then clm_id end) as bigint) as claim_wip_last_1_yr,
   round(count(distinct case when recent and clm_stat_code = 'A' then clm_id end) / nullif(count(distinct case when recent then clm_id end), 0), 6)
     as claim_appr_rate_last_3_yr
@@ -154,10 +152,7 @@ def topk_list_per_agent(t):
 
 
 def _top_leads(t, m):
-    agents = owner_of(m, "po_num", "wa_code", "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
-    return agent_mart.top_leads(
-        t.leads(), agent_mart.approved_products(t.product_scores()), agents, owner_of(m, "po_num", "pol_num", "cvg_eff_dt")
-    )
+    return agent_mart.top_leads(t.leads(), agent_mart.approved_products(t.product_scores()), agent_mart.lead_owners(m))
 
 
 @query("topk_per_agent", with_parts("""
@@ -212,28 +207,29 @@ def next_tier_gap(t):
 
 
 @query("two_level_avg", with_parts("""
-select date, cast(trunc(avg(s)) as bigint) as avg_ape_tier from (select year_month as date, wa_code, sum(adjust_ape) as s from mart
+select date, cast(sum(s) // (count(*) * 100000000) as bigint) as avg_ape_tier from (
+  select year_month as date, wa_code, cast(sum(cast(adjust_ape as decimal(28, 8))) * 100000000 as hugeint) as s from mart
   where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2) group by 1""", "mart"))
 def two_level_avg(t):
     return tidy(agent_mart.average_sales(mart(t, ["premium"])))
 
 
 @query("agent_month_sales", with_parts("""
-select wa_code as agt_cd, year_month as date, round(sum(adjust_ape), 6) as avg_ape_agt from mart
+select wa_code as agt_cd, year_month as date, round(cast(sum(cast(adjust_ape as decimal(28, 8))) as double), 6) as avg_ape_agt from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2""", "mart"))
 def agent_month_sales(t):
     return tidy(agent_mart.monthly_sales(mart(t, ["premium"])))
 
 
 @query("product_sales", with_parts("""
-select type as prd_type, cast(trunc(sum(adjust_ape)) as bigint) as sum_ape_tier from mart
+select type as prd_type, cast(trunc(sum(cast(adjust_ape as decimal(28, 8)))) as bigint) as sum_ape_tier from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1""", "mart"))
 def product_sales(t):
     return tidy(agent_mart.product_sales(mart(t, ["premium"])))
 
 
 @query("agent_product_sales", with_parts("""
-select wa_code as agt_cd, type as prd_type, round(sum(adjust_ape), 6) as sum_ape_agt from mart
+select wa_code as agt_cd, type as prd_type, round(cast(sum(cast(adjust_ape as decimal(28, 8))) as double), 6) as sum_ape_agt from mart
 where last_n_month_eff_cvg between -12 and -1 and pol_stat_cd not in ('A', 'N', 'R') group by 1, 2""", "mart"))
 def agent_product_sales(t):
     return tidy(agent_mart.product_sales(mart(t, ["premium"]), by_agent=True))

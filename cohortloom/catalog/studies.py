@@ -23,9 +23,8 @@ _SCALE, _DAYS = 2000.0, 27
 
 def _agents(t):
     """Serving agents with KPIs, bands, activity and the target flag."""
-    sold = agent_queries.stored_mart(t, ["premium"])
-    kpis = agent_mart.kpi_sums(sold, SNAPSHOT, "ape").join(
-        agent_mart.kpi_counts(sold, SNAPSHOT, "policy", "owner", "insured", "product", "lapsed", "not_taken", "rejected"), "wa_code"
+    kpis = agent_mart.kpi_block(
+        agent_queries.mart(t, ["premium"]), SNAPSHOT, ["ape"], ["policy", "owner", "insured", "product", "lapsed", "not_taken", "rejected"]
     )
     wide = agent_queries.master(t).join(
         agent_mart.with_quality_rates(kpis).withColumnRenamed("wa_code", "agt_code"), "agt_code"
@@ -228,8 +227,8 @@ def campaign_base(t):
     held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES)
     customers = membership(held.join(people, "po_num"), t.agents(), {"po_num": "own_cli_num"}, "f_owner_is_agent")
     customers = customers.join(activation.latest_servicing_agent(sold, people), "po_num", "left")
-    mart = agent_queries.mart(t, ["premium"])
-    kpis = agent_mart.kpi_sums(mart, SNAPSHOT, "ape").join(agent_mart.kpi_counts(mart, SNAPSHOT, "policy"), "wa_code")
+    mart = agent_queries.stored_mart(t, ["premium"])
+    kpis = agent_mart.kpi_block(mart, SNAPSHOT, ["ape"], ["policy"])
     tiers = agent_queries.master(t).select(F.col("agt_code").alias("agt_cd"), "tier").join(
         kpis.select(F.col("wa_code").alias("agt_cd"), "ape_ytd", "all_pol_cnt"), "agt_cd", "left"
     )

@@ -52,9 +52,14 @@ def premium_years(effective: Column, snapshot: Column, duration: Column) -> tupl
     return paid, duration.cast("int") - paid
 
 
+def decimal_sum(column: Column) -> Column:
+    """A sum of amounts as a decimal, so it is the same in any order of the rows."""
+    return F.sum(column.cast("decimal(28,8)"))
+
+
 def exact_sum(column: Column) -> Column:
-    """A sum of amounts as decimals, so it is the same in any order of the rows."""
-    return F.sum(column.cast("decimal(28,8)")).cast("double")
+    """``decimal_sum`` as a double."""
+    return decimal_sum(column).cast("double")
 
 
 def exact_mean(column: Column) -> Column:

@@ -106,3 +106,12 @@ def owner_of(pairs: DataFrame, entity: str, owner: str, latest: str) -> DataFram
     last = known.groupBy(entity, owner).agg(F.max(latest).alias("_latest"))
     newest_first = F.struct(F.coalesce(-F.unix_date(F.to_date("_latest")), F.lit(2**31 - 1)).alias("age"), F.col(owner))
     return last.groupBy(entity).agg(F.min_by(F.col(owner), newest_first).alias(owner))
+
+
+def owners_of(pairs: DataFrame, entity: str, owners: Sequence[str], latest: str) -> DataFrame:
+    """``owner_of`` for several kinds of owners from one reading of ``pairs``, each kind decided on its own."""
+    last = pairs.where(F.col(entity).isNotNull()).groupBy(entity, *owners).agg(F.max(latest).alias("_latest"))
+    age = F.coalesce(-F.unix_date(F.to_date("_latest")), F.lit(2**31 - 1))
+    return last.groupBy(entity).agg(*[
+        F.min_by(F.col(o), F.when(F.col(o).isNotNull(), F.struct(age.alias("age"), F.col(o)))).alias(o) for o in owners
+    ])

@@ -44,28 +44,40 @@ def _with_periods(df: DataFrame, when: Mapping[str, Column], used: Sequence[Meas
 
 
 def period_sums(df: DataFrame, by: str, when: Mapping[str, Column], measures: Sequence[Measure]) -> DataFrame:
-    """One row per key with one sum per measure and period; nothing to sum gives 0.
-
-    Amounts are added as decimals: a stage that is computed again gives the very same sums.
-    """
-    marked, bit = _with_periods(df, when, measures)
-    sums = [
-        F.expr(f"coalesce(double(sum(if(({m.only}) and {_PERIODS} & {bit[period]} > 0, cast({m.value} as decimal(28,8)), null))), 0.0D)").alias(name)
-        for m in measures for period, name in m.names.items()
-    ]
-    return marked.groupBy(by).agg(*sums)
+    """One row per key with one sum per measure and period; nothing to sum gives 0."""
+    return period_kpis(df, by, when, measures, [])
 
 
 def period_distincts(df: DataFrame, by: str, when: Mapping[str, Column], counts: Sequence[Distinct]) -> DataFrame:
-    """One row per key with one distinct count per entity and period.
+    """One row per key with one distinct count per entity and period."""
+    return period_kpis(df, by, when, [], counts)
+
 
-    Rows collapse to one per (key, entity) whose period bits are or-ed together before and after
-    the shuffle; the counts are then plain sums over bits. Spark's own plan for many conditional
-    distinct counts copies each row once per count; here counts of the same entity share a copy.
+def period_kpis(df: DataFrame, by: str, when: Mapping[str, Column], measures: Sequence[Measure], counts: Sequence[Distinct]) -> DataFrame:
+    """One row per key with a sum per measure and period, and a distinct count per entity and period.
+
+    All come from one tree of two aggregations over one reading of ``df``. A row is told as a few records.
+    The record of the amounts is grouped by (key, periods of the row): a row's periods are one number with
+    few values, so each amount is added once, not once for each period. The records of the entities are
+    grouped by (key, entity), and their period bits are or-ed together. Both groupings are the same one,
+    before and after the shuffle, and what it leaves is added up per key: sums over the bits of the
+    periods, counts over the bits of the entities. Spark's own plan for many conditional distinct counts
+    would copy each row once per count; here counts of the same entity share a record.
+
+    Amounts are added as decimals: a stage that is computed again gives the very same sums.
     """
-    marked, bit = _with_periods(df, when, counts)
+    marked, bit = _with_periods(df, when, [*measures, *counts])
     width = max(len(bit), 1)
+    amounts = [f"cast(if({m.only}, {m.value}, null) as decimal(28,8))" for m in measures]
+    none = "".join(f", 'v{i}', cast(null as decimal(28,8))" for i in range(len(measures)))
     entries, totals = [], []
+    if measures:
+        told = "".join(f", 'v{i}', {text}" for i, text in enumerate(amounts))
+        entries.append(f"named_struct('slot', 0, 'number', bigint({_PERIODS}), 'text', string(null), 'mask', 0L{told})")
+        totals += [
+            F.expr(f"coalesce(double(sum(if(slot = 0 and number & {bit[period]} > 0, v{i}, null))), 0.0D)").alias(name)
+            for i, m in enumerate(measures) for period, name in m.names.items()
+        ]
     for entity, shared in _by_entity(counts, 62 // width):
         masks = []
         for place, count in enumerate(shared):
@@ -78,12 +90,14 @@ def period_distincts(df: DataFrame, by: str, when: Mapping[str, Column], counts:
         whole = isinstance(marked.selectExpr(f"{entity} as e").schema["e"].dataType, T.IntegralType)
         number, text = (f"bigint({entity})", "string(null)") if whole else ("bigint(null)", f"string({entity})")
         entries.append(f"""named_struct('slot', {len(entries)}, 'number', {number}, 'text', {text},
-            'mask', if(({entity}) is null, 0L, {" | ".join(masks)}))""")
+            'mask', if(({entity}) is null, 0L, {" | ".join(masks)}){none})""")
+    records = marked.selectExpr(by, f"inline(array({', '.join(entries)}))")
+    # An entity outside all periods is like none.
+    unused = f"slot >= {1 if measures else 0} and mask = 0"
     seen = (
-        marked.selectExpr(by, f"inline(array({', '.join(entries)}))")
-        .selectExpr(by, "slot", "if(mask > 0, number, null) as number", "if(mask > 0, text, null) as text", "mask")
+        records.withColumns({c: F.expr(f"if({unused}, null, {c})") for c in ("number", "text")})
         .groupBy(by, "slot", "number", "text")
-        .agg(F.bit_or("mask").alias("mask"))
+        .agg(F.bit_or("mask").alias("mask"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(len(measures))])
     )
     return seen.groupBy(by).agg(*totals)
 

@@ -11,10 +11,10 @@ from cohortloom.functions import codes, measures
 from cohortloom.functions.bands import argmax_label, decode, flag, mark
 from cohortloom.functions.calendar import Snapshot, month_offset, periods, tenure_text, whole_months
 from cohortloom.operators.cleaning import strip_names
-from cohortloom.operators.latest import first_per_key, running_min, top_list_per_key, top_per_key
-from cohortloom.operators.lookups import attach, keep_known, latest_rate, one_per_key, owner_of
+from cohortloom.operators.latest import first_per_key, top_list_per_key, top_per_key
+from cohortloom.operators.lookups import attach, keep_known, latest_rate, one_per_key, owner_of, owners_of
 from cohortloom.operators.ordering import average_rank_desc
-from cohortloom.operators.rolling import Distinct, Measure, period_distincts, period_sums, same_names
+from cohortloom.operators.rolling import Distinct, Measure, period_distincts, period_kpis, period_sums, same_names
 from cohortloom.session import settle
 
 ROLLING = ("last_mth", "last_12m", "last_3m", "last_6m", "last_9m")
@@ -176,7 +176,12 @@ def coverage_mart(coverages: DataFrame, policies: DataFrame, master: DataFrame,
     if "premium" in parts and "relation" in parts:
         mart = mart.withColumn("prd_cus_mix", F.concat_ws("_", "type", "po_ins_rela"))
     mart = with_calendar(mart, snapshot)
-    return running_min(mart, "insrd_num", "cvg_eff_dt", "cvg_eff_dt", "frst_pol_dt") if "first_date" in parts else mart
+    if "first_date" in parts:
+        # The earliest day of an insured needs the slim coverages of serving agents only, not the finished mart.
+        sold = in_snapshot(coverages, snapshot).join(master.select(F.col("agt_code").alias("wa_code")), "wa_code", "left_semi")
+        first = sold.groupBy(F.col("insrd_num").alias("_insured")).agg(F.min("cvg_eff_dt").alias("frst_pol_dt"))
+        mart = attach(mart, first, {"insrd_num": "_insured"})
+    return mart
 
 
 def with_calendar(coverages: DataFrame, snapshot: Snapshot) -> DataFrame:
@@ -265,6 +270,15 @@ def kpi_counts(mart: DataFrame, snapshot: Snapshot, *names: str) -> DataFrame:
     return period_distincts(mart, "wa_code", _conditions(snapshot), [chosen[n] for n in names or chosen])
 
 
+def kpi_block(mart: DataFrame, snapshot: Snapshot, sums: Sequence[str] = (), counts: Sequence[str] = ()) -> DataFrame:
+    """Sums and counts of the named blocks (all of them if none is named) from one reading of the mart."""
+    measures_of, counts_of = premium_measures(), count_measures()
+    every = not sums and not counts
+    return period_kpis(
+        mart, "wa_code", _conditions(snapshot), [measures_of[n] for n in (measures_of if every else sums)], [counts_of[n] for n in (counts_of if every else counts)]
+    )
+
+
 def with_ticket_sizes(kpis: DataFrame) -> DataFrame:
     """Average premium per policy and per owner; 1 where nothing was sold."""
     sizes = {
@@ -294,8 +308,7 @@ def with_quality_rates(kpis: DataFrame) -> DataFrame:
 
 def agent_kpis(mart: DataFrame, snapshot: Snapshot) -> DataFrame:
     """All rolling KPIs, ticket sizes and rates per agent."""
-    both = kpi_sums(mart, snapshot).join(kpi_counts(mart, snapshot), "wa_code", "left").fillna(0)
-    return with_quality_rates(with_ticket_sizes(both))
+    return with_quality_rates(with_ticket_sizes(kpi_block(mart, snapshot)))
 
 
 def claim_kpis(claims: DataFrame, policy_agents: DataFrame, snapshot: Snapshot, by: str = "agt_cd") -> DataFrame:
@@ -309,14 +322,14 @@ def claim_kpis(claims: DataFrame, policy_agents: DataFrame, snapshot: Snapshot,
         F.max(flag(recent)).alias("c3"),
         F.max(flag(recent & approved)).alias("a3"),
         F.max(flag(lately & open_)).alias("w1"),
-        F.sum(F.when(recent, F.col("clm_prvd_amt")).otherwise(0.0)).alias("amt"),
-        F.sum(F.when(recent & approved, F.col("clm_aprov_amt")).otherwise(0.0)).alias("appr_amt"),
+        measures.decimal_sum(F.when(recent, F.col("clm_prvd_amt")).otherwise(0.0)).alias("amt"),
+        measures.decimal_sum(F.when(recent & approved, F.col("clm_aprov_amt")).otherwise(0.0)).alias("appr_amt"),
     )
     totals = per_claim.groupBy(by).agg(
         F.sum("c3").alias("claim_cnt_last_3_yr"),
-        F.sum("amt").alias("claim_amt_last_3_yr"),
+        F.sum("amt").cast("double").alias("claim_amt_last_3_yr"),
         F.sum("a3").alias("claim_appr_cnt_last_3_yr"),
-        F.sum("appr_amt").alias("claim_appr_amt_last_3_yr"),
+        F.sum("appr_amt").cast("double").alias("claim_appr_amt_last_3_yr"),
         F.sum("w1").alias("claim_wip_last_1_yr"),
     )
     rate = F.try_divide(F.col("claim_appr_cnt_last_3_yr"), F.col("claim_cnt_last_3_yr"))
@@ -347,12 +360,19 @@ def approved_products(scores: DataFrame) -> DataFrame:
     }).drop("DEPLOYMENT_APPROVAL_STATUS")
 
 
-def top_leads(leads: DataFrame, products: DataFrame, agents_of_owner: DataFrame, policy_of_owner: DataFrame,
-              k: int = 10) -> DataFrame:
-    """The ``k`` best leads per agent that have an approved product and a policy."""
+def lead_owners(mart: DataFrame) -> DataFrame:
+    """(po_num, agt_cd, pol_num): the agent and the policy of every owner's latest sale."""
+    return owners_of(mart, "po_num", ["wa_code", "pol_num"], "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
+
+
+def top_leads(leads: DataFrame, products: DataFrame, owners: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best leads per agent that have an approved product and a policy.
+
+    ``owners`` tells the agent and the policy of each owner, in one row per ``po_num``.
+    """
     order = [F.desc("p_1"), F.col("po_num")]
-    mine = top_per_key(leads.join(agents_of_owner, "po_num"), ["agt_cd"], order, k)
-    offered = mine.join(products.where(F.col("which_prd").isNotNull()), "po_num").join(policy_of_owner, "po_num")
+    mine = top_per_key(leads.join(owners.where("agt_cd is not null"), "po_num"), ["agt_cd"], order, k)
+    offered = mine.where("pol_num is not null").join(products.where(F.col("which_prd").isNotNull()), "po_num")
     return top_per_key(offered, ["agt_cd"], order, k)
 
 
@@ -378,9 +398,7 @@ def agent_scorecard(master: DataFrame, mart: DataFrame, claims: DataFrame, lapse
     """One row per serving agent with sales: everything the agent report shows."""
     kpis = agent_kpis(mart, snapshot).withColumnRenamed("wa_code", "agt_cd")
     agents_of_policy = policy_agents(mart)
-    agents_of_owner = owner_of(mart, "po_num", "wa_code", "cvg_eff_dt").withColumnRenamed("wa_code", "agt_cd")
-    policy_of_owner = owner_of(mart, "po_num", "pol_num", "cvg_eff_dt")
-    top = top_leads(leads, approved_products(product_scores), agents_of_owner, policy_of_owner)
+    top = top_leads(leads, approved_products(product_scores), lead_owners(mart))
     base = master.select(
         F.col("agt_code").alias("agt_cd"), "agt_nm", "br_code", "tenure_mth", "agt_join_dt", "tier", "no_sbw_completed"
     ).join(kpis, "agt_cd")
@@ -404,24 +422,30 @@ def leaderboard(scorecard: DataFrame, n: int = 10) -> DataFrame:
     ).orderBy("rank_of_last_mth_ape", "agt_cd")
 
 
-def monthly_sales(mart: DataFrame) -> DataFrame:
-    """Premium per agent and month of the last twelve months."""
+def _agent_months(mart: DataFrame) -> DataFrame:
+    """Premium per agent and month of the last twelve months, as a decimal."""
     return _last_year(mart).groupBy(F.col("wa_code").alias("agt_cd"), F.col("year_month").alias("date")).agg(
-        F.sum("adjust_ape").alias("avg_ape_agt")
+        measures.decimal_sum(F.col("adjust_ape")).alias("avg_ape_agt")
     )
 
 
+def monthly_sales(mart: DataFrame) -> DataFrame:
+    """Premium per agent and month of the last twelve months."""
+    return _agent_months(mart).withColumn("avg_ape_agt", F.col("avg_ape_agt").cast("double"))
+
+
 def average_sales(mart: DataFrame) -> DataFrame:
-    """Mean agent premium per month."""
-    return monthly_sales(mart).groupBy("date").agg(F.mean("avg_ape_agt").cast("long").alias("avg_ape_tier"))
+    """Mean agent premium per month; the fraction of the exact mean is cut off."""
+    mean = F.sum("avg_ape_agt") / F.count("avg_ape_agt").cast("decimal(20,0)")
+    return _agent_months(mart).groupBy("date").agg(mean.cast("long").alias("avg_ape_tier"))
 
 
 def product_sales(mart: DataFrame, by_agent: bool = False) -> DataFrame:
     """Premium per product type, per agent on request."""
     source = _last_year(mart).withColumnsRenamed({"type": "prd_type", "wa_code": "agt_cd"})
     if by_agent:
-        return source.groupBy("agt_cd", "prd_type").agg(F.sum("adjust_ape").alias("sum_ape_agt"))
-    return source.groupBy("prd_type").agg(F.sum("adjust_ape").cast("long").alias("sum_ape_tier"))
+        return source.groupBy("agt_cd", "prd_type").agg(measures.exact_sum(F.col("adjust_ape")).alias("sum_ape_agt"))
+    return source.groupBy("prd_type").agg(measures.decimal_sum(F.col("adjust_ape")).cast("long").alias("sum_ape_tier"))
 
 
 def _last_year(mart: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import codes
 from cohortloom.functions.bands import first_match
 from cohortloom.functions.calendar import Snapshot
+from cohortloom.functions.measures import decimal_sum, exact_sum
 from cohortloom.operators.cleaning import fill_by_type, lower_names
 from cohortloom.operators.latest import latest_value
 from cohortloom.operators.lookups import attach
@@ -20,7 +21,7 @@ def agent_premium(policies: DataFrame, snapshot: Snapshot, agent: str = "wa_code
     """Premium in dollars of all policies an agent sold up to the snapshot."""
     taken = policies.where(~F.col("pol_stat_cd").isin(*codes.VOID_CODES))
     known = F.when(F.col("pol_eff_dt") <= snapshot.column(), F.col("tot_ape") / codes.FX_RATE)
-    return taken.groupBy(agent).agg(F.sum(known).alias("agt_total_ape"))
+    return taken.groupBy(agent).agg(exact_sum(known).alias("agt_total_ape"))
 
 
 def claims_last_6m(claims: DataFrame, policies: DataFrame, snapshot: Snapshot,
@@ -38,14 +39,14 @@ def claims_last_6m(claims: DataFrame, policies: DataFrame, snapshot: Snapshot,
     )
     per_policy = counted.groupBy("pol_num").agg(
         F.count("clm_id").alias("cnt"),
-        F.sum("clm_aprov_amt").alias("amt"),
+        decimal_sum(F.col("clm_aprov_amt")).alias("amt"),
         F.max("clm_aprov_dt").alias("lst_dt"),
         latest_value("clm_aprov_amt", "clm_aprov_dt", "clm_id").alias("lst_amt"),
     )
     taken = policies.where(~F.col("pol_stat_cd").isin(*codes.VOID_CODES)).select("pol_num", "po_num")
     return taken.join(per_policy, "pol_num").groupBy("po_num").agg(
         F.sum("cnt").alias("clm_6m_cnt"),
-        (F.sum("amt") / codes.FX_RATE).alias("clm_6m_amt"),
+        (F.sum("amt").cast("double") / codes.FX_RATE).alias("clm_6m_amt"),
         F.max("lst_dt").alias("clm_lst_dt"),
         latest_value("lst_amt", "lst_dt", "pol_num").alias("clm_lst_amt"),
     )

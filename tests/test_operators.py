@@ -263,3 +263,46 @@ def test_sums_and_ranks_do_not_depend_on_the_order_of_rows(spark):
         assert all(r["place"] is not None and r["total"] > 1e9 for r in ranked)
         seen.append({r["k"]: (r["total"], r["place"]) for r in ranked})
     assert seen[0] == seen[1]
+
+
+def test_sums_and_counts_from_one_tree(spark):
+    import random
+    from decimal import Decimal
+
+    chance = random.Random(5)
+    rows = [
+        (chance.choice(["a", "b", None]), chance.choice([1, 2, 3, None]), chance.choice(["x", "y", None]), chance.choice([0.1, 0.2, None, -3.0]), chance.randrange(4))
+        for _ in range(500)
+    ]
+    df = spark.createDataFrame(rows, "k string, e int, t string, v double, m int")
+    when = {"near": F.col("m") == 0, "far": F.col("m") <= 2, "unused": F.lit(True)}
+    measures = [rolling.Measure("v", {"near": "near_v", "far": "far_v"}), rolling.Measure("v * 2", {"far": "far_w"}, "t = 'x'")]
+    counts = [rolling.Distinct("e", {"near": "near_e", "far": "far_e"}), rolling.Distinct("t", {"far": "far_t"}, "e > 1")]
+    got = {r["k"]: r.asDict() for r in rolling.period_kpis(df, "k", when, measures, counts).collect()}
+    for key in ("a", "b", None):
+        mine = [r for r in rows if r[0] == key]
+        near, far = [r for r in mine if r[4] == 0], [r for r in mine if r[4] <= 2]
+        total = lambda rows, f=1: float(sum(Decimal(str(r[3])) * f for r in rows if r[3] is not None))
+        assert got[key] == {
+            "k": key, "near_v": total(near), "far_v": total(far), "far_w": total([r for r in far if r[2] == "x"], 2),
+            "near_e": len({r[1] for r in near} - {None}), "far_e": len({r[1] for r in far} - {None}),
+            "far_t": len({r[2] for r in far if r[1] is not None and r[1] > 1} - {None}),
+        }
+
+
+def test_owners_of_decides_each_kind_on_its_own(spark):
+    rows = [(1, 4, "p", "2020-01-02"), (1, 3, "q", "2020-01-02"), (1, 9, None, "2021-01-01"), (2, None, "z", "2020-01-01"), (None, 1, "n", "2020-01-01")]
+    pairs = spark.createDataFrame(rows, "e int, a int, p string, d string")
+    both = {r["e"]: (r["a"], r["p"]) for r in lookups.owners_of(pairs, "e", ["a", "p"], "d").collect()}
+    assert both == {1: (9, "p"), 2: (None, "z")}
+    for place, name in enumerate(("a", "p")):
+        alone = {r["e"]: r[name] for r in lookups.owner_of(pairs, "e", name, "d").collect()}
+        assert alone == {e: v[place] for e, v in both.items() if v[place] is not None}
+
+
+def test_the_kpi_block_reads_its_facts_once(spark):
+    from cohortloom.catalog import QUERIES
+
+    plan = QUERIES["agent_kpi_block"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+    assert sum("hashpartitioning(wa_code#" in line and "slot#" not in line for line in plan.split("\n") if "Exchange" in line) == 1
