@@ -110,7 +110,8 @@ select c_custkey as cli_num, case when c_custkey % 2 = 0 then 'M' else 'F' end a
   case when c_custkey % 3 = 0 then 1 else 0 end as dpnd_child_ind,
   case when c_custkey % 5 in (0, 1) then 1 else 0 end as dpnd_spouse_ind,
   c_acctbal as mthly_incm, c_nationkey as city_key, c_mktsegment as customer_segment,
-  case when c_custkey % 7 <> 0 then 'c' || c_custkey || '@x.example' end as email_addr
+  case when c_custkey % 7 <> 0 then 'c' || c_custkey || '@x.example' end as email_addr, 'rule ' || (c_custkey % 4) as segmentation_rules,
+  case when c_custkey % 11 <> 10 then cast(c_custkey * 17 % 101 as double) end as "protection_income%"
 from customer""")
 _part("agent", """
 select s_suppkey as agt_code, s_name as agt_nm, s_nationkey as br_code,
@@ -336,6 +337,13 @@ select * from (select t.*, p.* exclude (po_num), o.pol_num, row_number() over (p
   join product p on p.po_num = t.po_num join owner_policy o on o.po_num = t.po_num) where rn2 <= 10""",
       "lead", "owner_agent", "product", "owner_policy")
 
+_part("served", """
+select m.agt_code, po_num_count, all_pol_cnt, (m.agt_code * 7 % 12) / 12 as "1yr_agent_activeness"
+from master m join (select sa_code, count(*) as po_num_count from (
+    select po_num, wa_code as sa_code, row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn from cov_then)
+  where rn = 1 and po_num in (select cli_num from client) group by 1) s on s.sa_code = m.agt_code
+join (select wa_code, all_pol_cnt from kpi) k on k.wa_code = m.agt_code""", "master", "cov_then", "client", "kpi")
+
 # Client side.
 _part("base", f"""
 select p.*, l.plan_code, l.wa_code, l.cvg_eff_dt, l.cvg_prem, l.cvg_typ, l.prem_dur, pl.type, pl.sp_ind, pl.plan_margin,

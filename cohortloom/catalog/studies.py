@@ -197,31 +197,33 @@ _CAMPAIGN_BANDS = {
 }
 
 
-@query("campaign_base", with_parts(f"""
-select po_num, sa_code, which_prd, clm_6m_cnt, round(clm_6m_amt, 2) as clm_6m_amt, round(clm_6m_ratio, 6) as clm_6m_ratio, next_tier,
-  {cut("gap_to_next_tier")} as gap_to_next_tier, all_pol_cnt, mar_stat_cat, cus_vip_cat,
-  case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
+_CAMPAIGN_SQL = f"""(
+select *, case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
     when mar_stat_cat = '1. Married w/ kids' and no_dpnd_cat in ('1', '2', '3+') then '2. Mature Couples'
     when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat = '1' then '3. Younger Couples'
     when no_dpnd_cat = '0' then '4. Personal Protection Seekers' else '5. Unknown' end as "group",
-  {", ".join(f"{c}_cat" for c in _CAMPAIGN_BANDS)}
+  {band_sql("clm_6m_ratio", *codes.CUSTOMER_BANDS["clm_6m_ratio"])} as clm_6m_ratio_cat
 from (select *, {_MARITAL_SQL} as mar_stat_cat, case when f_vip_elite = 1 then '1. Elite Platinum' when f_vip_plat = 1 then '2. Platinum'
     when f_vip_gold = 1 then '3. Gold' when f_vip_silver = 1 then '4. Silver' else '5. Unknown' end as cus_vip_cat,
     clm_6m_amt / round(total_ape, 4) as clm_6m_ratio,
     {", ".join(f"{band_sql(source, *codes.CUSTOMER_BANDS[c])} as {c}_cat" for c, source in _CAMPAIGN_BANDS.items())}
   from (select h.po_num, sa_code, which_prd, coalesce(clm_6m_cnt, 0) as clm_6m_cnt, coalesce(clm_6m_amt, 0) as clm_6m_amt, next_tier,
       coalesce(gap_to_next_tier, 0) as gap_to_next_tier, coalesce(all_pol_cnt, 0) as all_pol_cnt, total_ape, mthly_incm, no_dpnd,
-      ins_typ_count, cur_age, dpnd_child_ind, dpnd_spouse_ind, f_vip_elite, f_vip_plat, f_vip_gold, f_vip_silver
+      ins_typ_count, cur_age, dpnd_child_ind, dpnd_spouse_ind, f_vip_elite, f_vip_plat, f_vip_gold, f_vip_silver,
+      segmentation_rules, coalesce("protection_income%", 0) as "protection_income%", client_tenure
     from holding h join client c on c.cli_num = h.po_num left join ({_SERVING}) s on s.po_num = h.po_num
     left join product p on p.po_num = h.po_num
-    left join (select po_num, cast(sum(cnt) as bigint) as clm_6m_cnt, sum(amt) / {codes.FX_RATE} as clm_6m_amt from (
-        select pol_num, cast(count(*) as bigint) as cnt, sum(clm_aprov_amt) as amt from claim where clm_aprov_dt > date '2000-12-30'
+    left join (select po_num, cast(sum(cnt) as bigint) as clm_6m_cnt, cast(sum(amt) as double) / {codes.FX_RATE} as clm_6m_amt from (
+        select pol_num, cast(count(*) as bigint) as cnt, sum(cast(clm_aprov_amt as decimal(28, 8))) as amt from claim where clm_aprov_dt > date '2000-12-30'
           and clm_aprov_dt <= date '2001-06-30' and clm_stat_code = 'A' and clm_code in ({", ".join(map(str, codes.CLAIM_CODES))}) group by 1)
       join (select pol_num, po_num from policy where pol_stat_cd not in ('A', 'N', 'R')) using (pol_num) group by 1) k on k.po_num = h.po_num
     left join ({agent_queries.GAP_SQL}) g on g.agt_code = s.sa_code left join (select wa_code, all_pol_cnt from kpi) r on r.wa_code = s.sa_code
-    where total_ape > 0 and h.po_num not in (select s_suppkey * 13 from supplier)))""",
-                                   "holding", "client", "cov_then", "product", "claim", "policy", "master", "kpi"))
-def campaign_base(t):
+    where total_ape > 0 and h.po_num not in (select s_suppkey * 13 from supplier))))"""
+_CAMPAIGN_PARTS = ("holding", "client", "cov_then", "product", "claim", "policy", "master", "kpi")
+
+
+def _campaign(t):
+    """Customers with premium who are no agents, with every slicer."""
     sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
     people = t.clients().withColumnsRenamed({"cli_num": "po_num", "mthly_incm": "adj_mthly_incm"})
     held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES)
@@ -234,17 +236,46 @@ def campaign_base(t):
     )
     agents = agent_mart.with_next_tier(tiers).select("agt_cd", "next_tier", "gap_to_next_tier", "all_pol_cnt")
     agent_of_policy = t.policies().join(agent_mart.policy_agents(mart).withColumnRenamed("agt_cd", "wa_code"), "pol_num")
-    base = slicers.campaign_base(
+    return slicers.campaign_base(
         customers, agent_mart.approved_products(t.product_scores()), slicers.claims_last_6m(t.claims(), t.policies(), SNAPSHOT),
         agents, slicers.agent_premium(agent_of_policy, SNAPSHOT),
     )
-    shown = base.select(
+
+
+@query("campaign_base", with_parts(f"""
+select po_num, sa_code, which_prd, clm_6m_cnt, round(clm_6m_amt, 2) as clm_6m_amt, round(clm_6m_ratio, 6) as clm_6m_ratio, next_tier,
+  {cut("gap_to_next_tier")} as gap_to_next_tier, all_pol_cnt, mar_stat_cat, cus_vip_cat, "group",
+  {", ".join(f"{c}_cat" for c in _CAMPAIGN_BANDS)} from {_CAMPAIGN_SQL}""", *_CAMPAIGN_PARTS))
+def campaign_base(t):
+    shown = _campaign(t).select(
         "po_num", "sa_code", "which_prd", "clm_6m_cnt", "clm_6m_amt", "clm_6m_ratio", "next_tier", "gap_to_next_tier", "all_pol_cnt",
         "mar_stat_cat", "cus_vip_cat", "group", *[f"{c}_cat" for c in _CAMPAIGN_BANDS],
     )
     return tidy(shown, cents=("clm_6m_amt",))
 
 
+_REPORT_COLUMNS = list(dict.fromkeys(c for bands in slicers.BREAKDOWNS.values() for c in bands))
+_REPORT_SQL = f"""(select *, {band_sql("cur_age", codes.PROFILE_EDGES["cur_age"], include_lowest=False)} as age_grp,
+  {band_sql("client_tenure", codes.PROFILE_EDGES["client_tenure"], include_lowest=False)} as tenure_grp,
+  case when "protection_income%" <= 50 then 'protected' when "protection_income%" > 50 then 'gap' end as protection_income_grp,
+  {band_sql('"protection_income%"', *codes.PROTECTION_BANDS["protection_income%"])} as "protection_income%_cat" from {_CAMPAIGN_SQL})"""
+
+
+def _report_sql(report):
+    bands = slicers.BREAKDOWNS[report]
+    shown = ", ".join(f'"{c}"' if c in bands else f'cast(null as varchar) as "{c}"' for c in _REPORT_COLUMNS)
+    filled = " and ".join(f'"{c}" is not null' for c in bands)
+    grouped = ", ".join(f'"{c}"' for c in bands)
+    return f"select '{report}' as report, {shown}, count(distinct po_num) as customers from s where {filled} group by {grouped}"
+
+
+@query("slicer_reports", with_parts(
+    f"select * from (with s as {_REPORT_SQL} {' union all '.join(_report_sql(r) for r in slicers.BREAKDOWNS)})", *_CAMPAIGN_PARTS))
+def slicer_reports(t):
+    """Customers by six, ten and four bands, counted from one reading of the campaign base."""
+    return reports.breakdowns(slicers.with_report_bands(_campaign(t)), slicers.BREAKDOWNS, "po_num", "customers")
+
+
 @query("family_groups", with_parts(f"""
 select mar_stat_cat, cus_vip_cat, "group", count(*) as clients from (
   select *, case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
@@ -286,3 +317,104 @@ def slicer_breakdown(t):
     banded = _banded_clients(t).withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count")))
     grouped = slicers.with_family_groups(banded)
     return reports.breakdown(grouped, ["mar_stat_cat", "no_dpnd_cat", "adj_mthly_incm_cat", "cur_age_cat"], "cli_num", "customers")
+
+
+# The study of target agents: profiles and compositions of the customers that they serve.
+_MEANS = {
+    "no_dpnd": "no_dpnd", "cur_age": "cur_age", "adj_mthly_incm": "adj_mthly_incm", "client_tenure": "client_tenure",
+    "inforce_pol": "inforce_pol", "total_ape": "total_ape", "rider_cnt": "rider_cnt",
+}
+_STUDY_SQL = f"""(select h.po_num, h.client_tenure, h.inforce_pol, h.total_ape, coalesce(d.rider_cnt, 0) as rider_cnt, c.no_dpnd, c.cur_age,
+  c.mthly_incm as adj_mthly_incm, n.n_name as city, s.sa_code, a.f_agt_inactive, case when {_passed(4)} then 1 else 0 end as f_target
+from holding h join client c on c.cli_num = h.po_num left join nation n on n.n_nationkey = c.city_key
+left join (select po_num, count(*) as rider_cnt from cov_then where cvg_typ = 'R' group by 1) d on d.po_num = h.po_num
+join ({_SERVING}) s on s.po_num = h.po_num join ({_AGENT_SQL}) a on a.agt_code = s.sa_code)"""
+_STUDY_PARTS = ("holding", "client", "cov_then", "master", "rates")
+
+
+def _study_customers(t):
+    """Customers of the agents in the study with holdings, riders, city and the agents' flags."""
+    held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES).select("po_num", "client_tenure", "inforce_pol", "total_ape")
+    cities = t.branches().select(F.col("br_code").alias("city_key"), F.col("br_nm").alias("city"))
+    people = t.clients().join(cities, "city_key", "left").select(F.col("cli_num").alias("po_num"), "no_dpnd", "cur_age", F.col("mthly_incm").alias("adj_mthly_incm"), "city")
+    riders = activation.rider_counts(t.coverage_lines(), t.policies(), SNAPSHOT)
+    customers = held.join(people, "po_num").join(riders, "po_num", "left").fillna(0, subset=["rider_cnt"])
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
+    agents = _agents(t).select("agt_code", "f_agt_inactive", "f_target_agent")
+    served = activation.customers_with_agents(customers, activation.latest_servicing_agent(sold, customers), agents)
+    return stage(served.where("f_target_agent is not null"), new_folder(t.spark))
+
+
+def _mean_columns():
+    return ", ".join(f"{cut(mean_sql(c), 2)} as {c}" for c in _MEANS)
+
+
+@query("target_profile", with_parts(f"""
+select * from (with s as {_STUDY_SQL}
+select 'target' as scope, cast(1 as bigint) as f_target_agent, cast(null as bigint) as f_agt_inactive, count(distinct po_num) as customers, {_mean_columns()}
+  from s where f_target = 1 having count(*) > 0
+union all select 'all', null, cast(f_agt_inactive as bigint), count(distinct po_num), {_mean_columns()} from s group by f_agt_inactive
+union all select 'both', cast(f_target as bigint), cast(f_agt_inactive as bigint), count(distinct po_num), {_mean_columns()} from s group by f_target, f_agt_inactive)""",
+                                       *_STUDY_PARTS))
+def target_profile(t):
+    """Seven means of the customers of target agents, of all agents by activity, and by both flags."""
+    customers = _study_customers(t)
+    scopes = {"target": (customers.where("f_target_agent = 1"), ["f_target_agent"]), "all": (customers, ["f_agt_inactive"]), "both": (customers, ["f_target_agent", "f_agt_inactive"])}
+    parts = [
+        reports.profile(df, by, "po_num", _MEANS, "customers", distinct=True).select(
+            F.lit(scope).alias("scope"), *[(F.col(c) if c in by else F.lit(None).cast("int")).alias(c) for c in ("f_target_agent", "f_agt_inactive")], "customers", *_MEANS,
+        ) for scope, (df, by) in scopes.items()
+    ]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]), 2)
+
+
+_STUDY_BANDS = " union all ".join(
+    f"select f_target, f_agt_inactive, '{c}' as metric, {band_sql(c, codes.PROFILE_EDGES[c], include_lowest=False)} as band from s" for c in codes.PROFILE_EDGES
+)
+
+
+@query("target_compositions", with_parts(f"""
+select cast(f_target as bigint) as f_target_agent, cast(f_agt_inactive as bigint) as f_agt_inactive, metric, band, count(*) as rows
+from (with s as {_STUDY_SQL} {_STUDY_BANDS}) group by all""", *_STUDY_PARTS))
+def target_compositions(t):
+    """Seven compositions of customers by both flags of their agent, from one reading."""
+    return tidy(reports.composition(_study_customers(t), codes.PROFILE_EDGES, ["f_target_agent", "f_agt_inactive"]))
+
+
+@query("top_cities_by_activity", with_parts(f"""
+select * from (with s as {_STUDY_SQL},
+r as (select f_target, f_agt_inactive, city, row_number() over (partition by f_target, f_agt_inactive order by count(*) desc, city) as place
+  from s where city is not null group by 1, 2, 3)
+select cast(s.f_target as bigint) as f_target_agent, cast(s.f_agt_inactive as bigint) as f_agt_inactive,
+  case when s.city is null then null when r.city is null then 'Other' else s.city end as city_grouped, count(*) as customers
+from s left join r on r.place <= 15 and r.city = s.city and r.f_target = s.f_target and r.f_agt_inactive = s.f_agt_inactive group by all)""", *_STUDY_PARTS))
+def top_cities_by_activity(t):
+    """The 15 most frequent cities of each kind of agents, the others together."""
+    by = ["f_target_agent", "f_agt_inactive"]
+    named = reports.rest_to_other_by(_study_customers(t), by, "city", 15)
+    return tidy(named.groupBy(*by, "city_grouped").agg(F.count(F.lit(1)).alias("customers")))
+
+
+_BANDED_AGENTS = {"1yr_agent_activeness": '"1yr_agent_activeness"', "po_num_count": "po_num_count", "all_pol_cnt": "all_pol_cnt"}
+
+
+@query("banded_agents", with_parts(f"""
+select agt_code as agt_cd, segment, po_num_count, all_pol_cnt, {", ".join(f'{band_sql(v, *codes.SEGMENT_BANDS[c])} as "{c}_cat"' for c, v in _BANDED_AGENTS.items())}
+from (select *, case when po_num_count >= po75 or all_pol_cnt >= pol75 then 'Top Performers'
+    when po_num_count >= po25 or all_pol_cnt >= pol25 then 'High Performers' else 'The Slackers' end as segment
+  from a, (select quantile_cont(po_num_count, 0.75) as po75, quantile_cont(po_num_count, 0.25) as po25,
+    quantile_cont(all_pol_cnt, 0.75) as pol75, quantile_cont(all_pol_cnt, 0.25) as pol25 from a))""".replace("from a,", "from served a,").replace("from a)", "from served)"),
+    "served"))
+def banded_agents(t):
+    """Agents in scope with their segment and the bands of the agent report."""
+    sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
+    people = t.clients().withColumnRenamed("cli_num", "po_num")
+    counts = agent_mart.kpi_counts(agent_queries.mart(t, []), SNAPSHOT, "policy").select(F.col("wa_code").alias("agt_code"), "all_pol_cnt")
+    scoped = activation.in_scope_agents(agent_queries.master(t), activation.latest_servicing_agent(sold, people))
+    agents = stage(
+        scoped.join(counts, "agt_code").join(t.activeness(), "agt_code").select(F.col("agt_code").alias("agt_cd"), "po_num_count", "all_pol_cnt", "1yr_agent_activeness"),
+        new_folder(t.spark),
+    )
+    placed = activation.with_bands(activation.performance_segments(agents, ["po_num_count", "all_pol_cnt"]), codes.SEGMENT_BANDS)
+    shown = activation.ranked_agents(placed, ["agt_cd", "po_num_count", "all_pol_cnt", *[f"`{c}_cat`" for c in codes.SEGMENT_BANDS]])
+    return tidy(shown)

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.bands import band
+from cohortloom.functions.bands import band, decode
 from cohortloom.functions.measures import exact_mean, exact_sum
+from cohortloom.operators.latest import top_per_key
 from cohortloom.operators.ordering import percentiles
 
 
@@ -75,6 +76,32 @@ def breakdown(df: DataFrame, bands: Sequence[str], entity: str, name: str) -> Da
     return df.dropna(subset=list(bands)).groupBy(*bands).agg(F.countDistinct(entity).alias(name)).where(F.col(name) > 0)
 
 
+def breakdowns(df: DataFrame, reports: Mapping[str, Sequence[str]], entity: str, name: str) -> DataFrame:
+    """Several ``breakdown`` reports from one reading: (report, every band column, ``name``).
+
+    ``reports`` maps a report to its bands; bands of other reports are null in its rows. Rows are told once
+    for each report and grouped together, by grouping sets. Combinations with a null band of their own report,
+    or without any entity, are left out.
+    """
+    columns = list(dict.fromkeys(c for bands in reports.values() for c in bands))
+    # The grouping id has a bit for each column, 1 where the set does not have it.
+    number = {report: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in bands) for report, bands in reports.items()}
+    if len(set(number.values())) < len(number):
+        raise ValueError("two reports have the same bands")
+    quoted = {c: F.col(f"`{c}`") for c in columns}
+    grouped = df.groupingSets([[quoted[c] for c in bands] for bands in reports.values()], *quoted.values()).agg(
+        F.countDistinct(entity).alias(name), F.grouping_id(*quoted.values()).alias("_set")
+    )
+    whole = F.lit(False)
+    for report, bands in reports.items():
+        filled = F.lit(True)
+        for c in bands:
+            filled = filled & quoted[c].isNotNull()
+        whole = whole | ((F.col("_set") == number[report]) & filled)
+    label = decode(F.col("_set"), {n: report for report, n in number.items()})
+    return grouped.where(whole & (F.col(name) > 0)).select(label.alias("report"), *quoted.values(), name)
+
+
 def profile(df: DataFrame, by: Sequence[str], entity: str, means: Mapping[str, str], count_name: str,
             distinct: bool = False) -> DataFrame:
     """Entities and mean features per group; ``means`` maps a column to its output name."""
@@ -151,3 +178,15 @@ def rest_to_other(df: DataFrame, column: str, n: int, other: str = "Other", name
     """Keep the ``n`` most frequent categories and replace the rest."""
     kept = F.col(column).isin(*top_categories(df, column, n))
     return df.withColumn(name or f"{column}_grouped", F.when(kept, F.col(column)).otherwise(F.lit(other)))
+
+
+def rest_to_other_by(df: DataFrame, by: Sequence[str], column: str, n: int, other: str = "Other", name: str | None = None) -> DataFrame:
+    """Keep the ``n`` most frequent categories of every group and replace the rest; a null stays null.
+
+    The lower value is kept on a tie. Null groups are groups like others.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = top_per_key(counts, list(by), [F.desc("_rows"), F.col(column)], n).select(*[F.col(c).alias(f"_key_{c}") for c in [*by, column]])
+    same = [df[c].eqNullSafe(kept[f"_key_{c}"]) for c in [*by, column]]
+    label = F.when(F.col(column).isNull(), F.lit(None)).otherwise(F.coalesce(f"_key_{column}", F.lit(other)))
+    return df.join(kept, same, "left").withColumn(name or f"{column}_grouped", label).drop(*[f"_key_{c}" for c in [*by, column]])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
 from cohortloom.functions.bands import band, first_match, flag, ordinal
+from cohortloom.functions.calendar import Snapshot
 from cohortloom.operators.latest import first_per_key
 from cohortloom.operators.lookups import attach, keep_known
 from cohortloom.operators.ordering import percentiles
@@ -69,6 +70,17 @@ def in_scope_agents(agents: DataFrame, servicing: DataFrame, agent: str = "sa_co
     return attach(agents, served, {"agt_code": agent}, "inner").withColumn("in_scope", F.lit(1))
 
 
+def rider_counts(coverages: DataFrame, policies: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """(po_num, rider_cnt) of owners with a rider sold up to the snapshot.
+
+    Riders are counted per policy before they meet the policies, so the facts stay as narrow as they are.
+    """
+    day = snapshot.column()
+    riders = coverages.where((F.col("cvg_typ") == codes.RIDER_CODE) & (F.col("cvg_eff_dt") <= day)).groupBy("pol_num").agg(F.count(F.lit(1)).alias("riders"))
+    owned = policies.where(F.col("pol_eff_dt") <= day).select("pol_num", "po_num").join(riders, "pol_num")
+    return owned.groupBy("po_num").agg(F.sum("riders").alias("rider_cnt"))
+
+
 def customers_with_agents(customers: DataFrame, servicing: DataFrame, agents: DataFrame, agent: str = "sa_code") -> DataFrame:
     """Customers next to the agent that serves them; customers without one stay."""
     return attach(customers.join(servicing, "po_num", "left"), agents, {agent: "agt_code"})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
-from cohortloom.functions.bands import first_match
+from cohortloom.functions.bands import band, first_match
 from cohortloom.functions.calendar import Snapshot
 from cohortloom.functions.measures import decimal_sum, exact_sum
 from cohortloom.operators.cleaning import fill_by_type, lower_names
@@ -88,3 +88,29 @@ def with_family_groups(df: DataFrame) -> DataFrame:
         (dependants == "0", personal),
     ], none)
     return df.withColumn("mar_stat_cat", marital).withColumn("cus_vip_cat", vip).withColumn("group", group)
+
+
+# The bands of the three breakdown reports.
+BREAKDOWNS = {
+    "affinity": ("segmentation_rules", "which_prd", "age_grp", "adj_mthly_incm_cat", "protection_income_grp", "tenure_grp"),
+    "family": (
+        "mar_stat_cat", "no_dpnd_cat", "age_grp", "adj_mthly_incm_cat", "protection_income_grp", "protection_income%_cat",
+        "ins_typ_count_cat", "clm_6m_ratio_cat", "tenure_grp", "cus_vip_cat",
+    ),
+    "groups": ("group", "protection_income%_cat", "segmentation_rules", "cur_age_cat"),
+}
+
+
+def with_report_bands(base: DataFrame) -> DataFrame:
+    """The campaign base with the bands that only the breakdown reports use.
+
+    ``age_grp`` and ``tenure_grp`` are the profiling intervals, ``protection_income_grp`` tells whether half of
+    the income is protected.
+    """
+    banded = with_bands(base, codes.PROTECTION_BANDS)
+    protected = F.col("`protection_income%`")
+    return banded.withColumns({
+        "age_grp": band(F.col("cur_age"), codes.PROFILE_EDGES["cur_age"], include_lowest=False),
+        "tenure_grp": band(F.col("client_tenure"), codes.PROFILE_EDGES["client_tenure"], include_lowest=False),
+        "protection_income_grp": first_match([(protected <= 50, "protected"), (protected > 50, "gap")]),
+    })

@@ -89,6 +89,8 @@ class StarTables:
             "c_nationkey as city_key",
             "c_mktsegment as customer_segment",
             "if(c_custkey % 7 != 0, concat('c', c_custkey, '@x.example'), null) as email_addr",
+            "concat('rule ', c_custkey % 4) as segmentation_rules",
+            "if(c_custkey % 11 != 10, double(c_custkey * 17 % 101), null) as `protection_income%`",
         )
 
     def agents(self) -> DataFrame:
@@ -119,6 +121,10 @@ class StarTables:
             "case s_suppkey % 5 when 0 then 'FC' when 1 then 'MBA' when 2 then '1mAA' when 3 then '3mAA' else '3mZ' end as agent_tier",
         )
 
+    def activeness(self) -> DataFrame:
+        """Share of the last year's months in which an agent sold nothing."""
+        return self.raw("supplier").selectExpr("s_suppkey as agt_code", "s_suppkey * 7 % 12 / 12 as `1yr_agent_activeness`")
+
     def balances(self) -> DataFrame:
         """Persistency balances: two kinds, two months."""
         return self.raw("supplier").selectExpr(
