@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import DAY, MARGIN, QUARTER, months_between, with_parts
+from cohortloom.catalog.windows import policy_types
 from cohortloom.functions import codes, measures
 from cohortloom.functions.calendar import fiscal_quarter
 from cohortloom.operators import lookups
@@ -23,6 +24,25 @@ def policy_base_star(t):
     ))
 
 
+_TEXTS = {"ins_typ": ("INS_TYP", "ins_typ_desc"), "pmt_mode": ("PMT_MODE", "pmt_mode_desc"), "pol_stat_cd": ("POL_STAT", "pol_stat_desc")}
+
+
+@query("base_star_texts", with_parts("""
+select p.pol_num, case when p.pol_num % 20 <> 0 then p.po_num end as po_num, case when p.pol_num % 20 <> 0 then c.email_addr end as cli_email,
+  case when a.agt_code is not null then 'L' || (a.agt_code % 10) end as loc_cd,
+  case when a.agt_code % 10 in (0, 3, 6) then 'office ' || (a.agt_code % 10) end as office_cd,
+  case when ins_typ is not null then 'Type ' || lower(ins_typ) end as ins_typ_desc,
+  case pmt_mode when '12' then '1-urgent' when '06' then '2-high' when '03' then '3-medium' when '01' then '4-not specified' end as pmt_mode_desc,
+  case when pol_stat_cd <> 'B' then 'Status ' || pol_stat_cd end as pol_stat_desc
+from policy p left join policy_type y on y.pol_num = p.pol_num left join client c on c.cli_num = p.po_num left join agent a on a.agt_code = p.sell_code""",
+                                      "policy", "policy_type", "client", "agent"))
+def base_star_texts(t):
+    """Policies with owner link, office and the texts of three codes from one table."""
+    policies = t.policies().withColumnRenamed("sell_code", "agt_code").join(policy_types(t), "pol_num", "left")
+    star = client_mart.base_star(policies, t.owner_links(), t.clients(), t.agents(), t.locations(), t.code_table(), _TEXTS)
+    return tidy(star.select("pol_num", "po_num", "cli_email", "loc_cd", "office_cd", *[name for _, name in _TEXTS.values()]))
+
+
 @query("composite_key_margin", with_parts(f"""
 select l.qtr as effective_qtr, count(*) as coverages, count(quarter_margin) as priced, round(sum(cvg_prem * quarter_margin), 4) as value
 from (select *, {QUARTER} as qtr from line) l

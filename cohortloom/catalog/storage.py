@@ -6,11 +6,15 @@ Files go to a new folder per run below the shared folder of the session.
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import with_parts
-from cohortloom.functions.calendar import month_end
+from cohortloom.catalog.selection import _MARITAL_SQL
+from cohortloom.catalog.sql import band_sql, cut, with_parts
+from cohortloom.functions import codes
+from cohortloom.functions.calendar import Snapshot, month_end
+from cohortloom.plans import chain
 from cohortloom.session import new_folder
 from cohortloom.sources import schemas, sinks, tables
 from cohortloom.sources.star_tables import SNAPSHOT
+from cohortloom.sources.store import MonthlyStore
 
 
 @query("csv_roundtrip", with_parts("select pol_num, cast(decile as bigint) as decile, lapse_score from lapse_score", "lapse_score"))
@@ -40,7 +44,9 @@ def partitioned_roundtrip(t):
     )
     # Months meet in few files each, and AQE splits a month that is too large for one task.
     sinks.write_partitions(stamped.hint("rebalance", "image_date"), path)
-    again = tables.at_snapshot(stamped, SNAPSHOT).withColumn("tot_ape", F.col("tot_ape") * 2)
+    # The month is picked by its days, which the scan of the policies can use.
+    month = tables.in_snapshot_month(t.policies(), SNAPSHOT, "pol_eff_dt")
+    again = month.select("pol_num", (F.col("tot_ape") * 2).alias("tot_ape"), F.lit(str(SNAPSHOT)).alias("image_date"))
     sinks.write_partitions(again, path)
     stored = tables.parquet_table(t.spark, path)
     return tidy(stored.groupBy(F.col("image_date").cast("string").alias("image_date")).agg(
@@ -94,3 +100,52 @@ def table_list(t):
     loaded = tables.load_tables(t.spark, [f"{t.folder}/missing", t.folder], ["nation.parquet/", "region.parquet"])
     nation, region = loaded["NATION.PARQUET"], loaded["REGION.PARQUET"]
     return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_name", "r_name")
+
+
+_MONTHS = (Snapshot.of("2001-05-31"), SNAPSHOT)
+_MONTH_SQL = " union all ".join(f"""
+select '{m}' as image_date, h.po_num, total_ape * {factor} as total_ape, sa_code, c.no_dpnd, c.dpnd_child_ind, c.dpnd_spouse_ind
+from (select po_num, cast(sum(cast(tot_ape as decimal(28, 8))) as double) / {codes.FX_RATE} as total_ape from policy where pol_eff_dt <= date '{m}' group by 1) h
+join client c on c.cli_num = h.po_num left join (select po_num, wa_code as sa_code from (select po_num, wa_code,
+    row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn from cov where cvg_eff_dt <= date '{m}' and pol_eff_dt <= date '{m}')
+  where rn = 1) s on s.po_num = h.po_num""" for m, factor in zip(_MONTHS, (2, 1)))
+
+
+@query("chained_months", with_parts(f"""
+select image_date, sa_code, "group", count(distinct po_num) as customers, {cut("cast(sum(cast(total_ape as decimal(28, 8))) as double)", 2)} as total_ape
+from (select *, case when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat in ('2', '3+') then '1. Family Guardians'
+    when mar_stat_cat = '1. Married w/ kids' and no_dpnd_cat in ('1', '2', '3+') then '2. Mature Couples'
+    when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat = '1' then '3. Younger Couples'
+    when no_dpnd_cat = '0' then '4. Personal Protection Seekers' else '5. Unknown' end as "group"
+  from (select *, {_MARITAL_SQL} as mar_stat_cat, {band_sql("no_dpnd", *codes.CUSTOMER_BANDS["no_dpnd"])} as no_dpnd_cat from ({_MONTH_SQL})))
+where sa_code is not null group by 1, 2, 3""", "policy", "client", "cov"))
+def chained_months(t):
+    """Two months of customers, one of them replaced, their slicers month by month, and the agents of all months."""
+    base, sliced = (MonthlyStore(t.spark, new_folder(t.spark)) for _ in range(2))
+    sold = t.coverages().withColumnRenamed("wa_code", "sa_code")
+    for month in _MONTHS:
+        base.write(chain.customer_month(t.clients(), t.policies(), sold, month), month)
+    # The earlier month is restated: its partition alone is written again.
+    restated = chain.customer_month(t.clients(), t.policies(), sold, _MONTHS[0]).withColumn("total_ape", F.col("total_ape") * 2)
+    base.write(restated, _MONTHS[0])
+    chain.run_months(base, sliced, _MONTHS)
+    wanted = base.all_months().select("image_date").where(F.col("image_date") >= str(_MONTHS[0]))
+    return tidy(chain.agents_of_month(sliced, wanted), 2)
+
+
+@query("schema_drift", """
+select '2001-05-31' as image_date, s_suppkey as agt_code, s_name as agt_nm, cast('' as varchar) as title, cast(null as varchar) as agt_term_dt, round(s_acctbal, 2) as balance
+from supplier where s_suppkey % 2 = 0
+union all
+select '2001-06-30', s_suppkey, s_name, case s_suppkey % 4 when 1 then 'S' when 2 then 'G' when 3 then 'P' end,
+  case when s_suppkey % 17 = 16 then '2001-01-31' end, round(s_acctbal, 2) from supplier""")
+def schema_drift(t):
+    """Two months of one table: the earlier one has text numbers, another case, a column more and two less."""
+    path = new_folder(t.spark)
+    agents = t.raw("supplier").select(F.col("s_suppkey").alias("agt_code"), F.col("s_acctbal").alias("balance")).join(t.agents(), "agt_code")
+    early = agents.where("agt_code % 2 = 0").select(
+        F.col("agt_code").cast("int").alias("AGT_CODE"), "agt_nm", F.col("balance").cast("decimal(18,2)").cast("string").alias("balance"), F.lit("x").alias("legacy")
+    )
+    sinks.write_mart(early, f"{path}/image_date={_MONTHS[0]}")
+    sinks.write_mart(agents.select("agt_code", "agt_nm", "title", "agt_term_dt", "balance"), f"{path}/image_date={_MONTHS[1]}")
+    return tidy(tables.united_months(t.spark, path, _MONTHS, schemas.AGENT_MONTH, {"title": ""}), 2)

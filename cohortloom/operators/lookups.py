@@ -115,3 +115,24 @@ def owners_of(pairs: DataFrame, entity: str, owners: Sequence[str], latest: str)
     return last.groupBy(entity).agg(*[
         F.min_by(F.col(o), F.when(F.col(o).isNotNull(), F.struct(age.alias("age"), F.col(o)))).alias(o) for o in owners
     ])
+
+
+def code_texts(facts: DataFrame, table: DataFrame, columns: Mapping[str, tuple[str, str]], field: str = "fld_nm",
+               value: str = "fld_valu", text: str = "fld_valu_desc_eng") -> DataFrame:
+    """Texts of several code columns from one code table (field, value, text).
+
+    ``columns`` maps a code column to its field in the table and the name of the text. The codes that occur
+    together are few, so they are looked up once, all fields in one join, and the facts are joined once with
+    what was found. A code without a text, or a null code, has a null text. A value that is listed twice gives
+    its lowest text.
+    """
+    codes = {c: f"_code_{i}" for i, c in enumerate(columns)}
+    together = facts.select(*[F.col(c).cast("string").alias(name) for c, name in codes.items()]).distinct()
+    asked = F.array(*[
+        F.struct(F.lit(known).alias("field"), F.col(codes[c]).alias("value"), F.lit(output).alias("output")) for c, (known, output) in columns.items()
+    ])
+    listed = table.groupBy(F.col(field).alias("field"), F.col(value).cast("string").alias("value")).agg(F.min(text).alias("_text"))
+    told = together.select(*codes.values(), F.explode(asked).alias("a")).select(*codes.values(), "a.*").join(listed, ["field", "value"], "left")
+    texts = told.groupBy(*codes.values()).agg(*[F.max(F.when(F.col("output") == output, F.col("_text"))).alias(output) for _, output in columns.values()])
+    same = [facts[c].cast("string").eqNullSafe(texts[name]) for c, name in codes.items()]
+    return facts.join(texts, same, "left").drop(*codes.values())

@@ -12,7 +12,7 @@ from cohortloom.functions.bands import decode, flag
 from cohortloom.functions.calendar import Snapshot, fiscal_quarter, whole_years, years_between
 from cohortloom.operators.events import days_since
 from cohortloom.operators.latest import nth_as_columns
-from cohortloom.operators.lookups import attach, with_bare_rows
+from cohortloom.operators.lookups import attach, code_texts, with_bare_rows
 
 FAMILIES = ("agency", "direct", "other", "affinity", "banca", "tcb", "sag")
 # Location prefixes with their own margin.
@@ -51,6 +51,22 @@ def policy_base(coverages: DataFrame, policies: DataFrame, snapshot: Snapshot, p
     })
 
 
+def base_star(policies: DataFrame, links: DataFrame, clients: DataFrame, agents: DataFrame, locations: DataFrame,
+              code_table: DataFrame, texts: Mapping[str, tuple[str, str]], agent: str = "agt_code") -> DataFrame:
+    """Policies with their owner by link, the owner's contact, the office of the agent's location, and the texts of codes.
+
+    The owner is the client whose link is of type O and in force; a policy without one stays. Offices are those of
+    bank locations. ``texts`` maps a code column to its field in the code table and the name of its text.
+    """
+    owner = links.where((F.col("link_typ") == "O") & (F.col("rec_status") == "A")).groupBy("pol_num").agg(F.min("cli_num").alias("po_num"))
+    contact = clients.select(F.col("cli_num").alias("_client"), F.col("email_addr").alias("cli_email"))
+    office = locations.where(F.col("chnl") == "BK").groupBy("loc_cd").agg(F.min("office_cd").alias("office_cd"))
+    placed = agents.select(F.col("agt_code").alias("_agent"), "loc_cd").join(office, "loc_cd", "left").select("_agent", "loc_cd", "office_cd")
+    joined = policies.drop("po_num", "loc_cd", "office_cd").join(owner, "pol_num", "left")
+    joined = attach(attach(joined, contact, {"po_num": "_client"}), placed, {agent: "_agent"})
+    return code_texts(joined, code_table, texts)
+
+
 def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: DataFrame) -> DataFrame:
     """Margin of the plan, else of its fiscal quarter, chosen by place of sale; then value and premium."""
     joined = (

@@ -1,4 +1,4 @@
-"""Schemas of the files that arrive as CSV."""
+"""Schemas of the files that arrive as CSV, and of monthly tables whose columns changed."""
 
 from pyspark.sql import types as T
 
@@ -7,7 +7,7 @@ def _fields(kind: T.DataType, *names: str) -> list[T.StructField]:
     return [T.StructField(name, kind) for name in names]
 
 
-TEXT, WHOLE, NUMBER = T.StringType(), T.IntegerType(), T.DoubleType()
+TEXT, WHOLE, NUMBER, DAY = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
 
 # Column names as they stand in the file headers.
 MARGIN_COLUMNS = (
@@ -31,3 +31,4 @@ PRODUCT_SCORES = T.StructType(
     )
 )
 CLUSTERS = T.StructType(_fields(TEXT, "po_num") + _fields(WHOLE, "clusters"))
+AGENT_MONTH = T.StructType(_fields(T.LongType(), "agt_code") + _fields(TEXT, "agt_nm", "title") + _fields(DAY, "agt_term_dt") + _fields(NUMBER, "balance"))

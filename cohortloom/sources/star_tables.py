@@ -105,8 +105,31 @@ class StarTables:
             "if(s_suppkey % 17 = 16, date '2001-01-31', null) as agt_term_dt",
             "if(s_suppkey % 3 = 2, '98', '01') as comp_prvd_num",
             "case s_suppkey % 4 when 1 then 'S' when 2 then 'G' when 3 then 'P' end as title",
+            "concat('L', s_suppkey % 10) as loc_cd",
         )
 
+    def owner_links(self) -> DataFrame:
+        """Links of clients to policies: the owner, an insured, an ended owner; some policies have no owner in force."""
+        return self.raw("orders").selectExpr(
+            "o_orderkey as pol_num",
+            "inline(array(struct(o_custkey as cli_num, 'O' as link_typ, if(o_orderkey % 20 = 0, 'X', 'A') as rec_status), "
+            "struct(o_custkey + 1 as cli_num, 'I' as link_typ, 'A' as rec_status), struct(o_custkey + 2 as cli_num, 'O' as link_typ, 'X' as rec_status)))",
+        )
+
+    def locations(self) -> DataFrame:
+        """Offices of locations; a location of several channels is listed several times."""
+        return self.raw("nation").selectExpr(
+            "concat('L', n_nationkey % 9) as loc_cd", "if(n_nationkey % 3 = 0, 'BK', 'AG') as chnl", "concat('office ', n_nationkey % 9) as office_cd"
+        )
+
+    def code_table(self) -> DataFrame:
+        """Texts of codes by field. Lapsed is a status without a text, and one type has two."""
+        types = self.raw("part").selectExpr("'INS_TYP' as fld_nm", "p_type as fld_valu", "concat('Type ', lower(p_type)) as fld_valu_desc_eng")
+        modes = self.raw("orders").selectExpr("'PMT_MODE'", f"{_MODE}", "lower(o_orderpriority)")
+        states = self.raw("orders").selectExpr("'POL_STAT'", f"{_STATUS} as code", f"concat('Status ', {_STATUS})").where("code <> 'B'")
+        again = self.raw("part").where("p_type = 'PROMO'").selectExpr("'INS_TYP'", "p_type", "'a second text'")
+        return types.union(modes).union(states).union(again).where("fld_valu is not null").distinct()
+
     def tier_list(self) -> DataFrame:
         """Agents on the yearly list of top producers."""
         return self.raw("supplier").where("s_suppkey % 11 = 0").selectExpr(

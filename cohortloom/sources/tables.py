@@ -36,6 +36,40 @@ def in_snapshot_month(df: DataFrame, snapshot: Snapshot, column: str) -> DataFra
     return df.where((F.col(column) >= F.lit(first)) & (F.col(column) <= snapshot.column()))
 
 
+def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] | None = None) -> DataFrame:
+    """The columns of ``schema`` in its order and types, whatever ``df`` has.
+
+    Names match in any case. A missing column holds its default or null, a value of another type is cast, or
+    null where that is impossible, and columns that the schema does not know are left out.
+    """
+    present = {c.lower(): c for c in df.columns}
+    columns = []
+    for field in schema.fields:
+        found = present.get(field.name.lower())
+        value = F.col(f"`{found}`").try_cast(field.dataType) if found else F.lit((defaults or {}).get(field.name)).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return df.select(*columns)
+
+
+def united_months(spark: SparkSession, path: str, snapshots: Sequence[Snapshot], schema: T.StructType,
+                  defaults: Mapping[str, object] | None = None, column: str = "image_date") -> DataFrame:
+    """Months of a snapshot table whose columns changed over time, as one table of ``schema`` and the month.
+
+    Each month is read with the schema of its own files, so a column that came later or changed its type does not
+    decide about the other months. Only the folders of the named months are read.
+    """
+    parts = [
+        conform(snapshot_folder(spark, path, s, column), schema, defaults).withColumn(column, F.lit(s.partition if column == "monthend_dt" else str(s)))
+        for s in snapshots
+    ]
+    if not parts:
+        return empty_table(spark, schema).withColumn(column, F.lit(None).cast("string"))
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False) -> DataFrame:
     """A CSV file with a header: all text, typed by ``schema``, or inferred."""
     reader = spark.read.option("header", True)
