@@ -479,7 +479,7 @@ select * exclude (rn) from (
     from customer where c_custkey % 3 <> 2) s on s.user_id = m.user_id
   where k.activation_dt <= date '2024-01-31' and l.last_login_dt <= date '2024-01-31') where rn = 1""", "app_login")
 _STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
-_part("client_mart", f"""
+_CLIENT_MART = f"""
 select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile, v.next_due_decile, v.early_decile,
   c.channel, c.channel_final, s.min_decile, n.n_name as city, p.cur_age, p.no_dpnd, p.mthly_incm / {codes.FX_RATE} as mthly_incm,
   p.customer_segment, p.sex_code, p.dpnd_child_ind, p.dpnd_spouse_ind, case when p.sex_code = 'M' then 1 else 0 end as f_male,
@@ -495,5 +495,7 @@ select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_p
 from holding h join cli_ltv v on v.po_num = h.po_num join channel c on c.po_num = h.po_num and c.channel_final = 'Agency'
 left join propensity s on s.po_num = h.po_num left join client p on p.cli_num = h.po_num
 left join nation n on n.n_nationkey = p.city_key left join login g on g.po_num = h.po_num left join first_two f on f.po_num = h.po_num
-left join app_account ap on ap.cli_num = cast(h.po_num as varchar)""",
-      "holding", "cli_ltv", "channel", "propensity", "client", "login", "first_two", "app_account")
+left join app_account ap on ap.cli_num = cast(h.po_num as varchar)"""
+_CLIENT_NEEDS = ("holding", "cli_ltv", "channel", "propensity", "client", "login", "first_two", "app_account")
+_part("client_mart", _CLIENT_MART, *_CLIENT_NEEDS)
+_part("client_mart_all", _CLIENT_MART.replace(" and c.channel_final = 'Agency'", ""), *_CLIENT_NEEDS)
