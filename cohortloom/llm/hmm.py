@@ -209,52 +209,71 @@ def _stationary(model: Model) -> np.ndarray:
     return chances / chances.sum()
 
 
-def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences from the longest to the shortest, and how many have a token at each place."""
-    order = np.argsort(-sizes, kind="stable")
-    longest = int(sizes[order[0]]) if len(sizes) else 0
-    return order, len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
+class Steps:
+    """Sequences side by side: the longest first, and all tokens of one place in a row, behind those of the place before."""
+
+    def __init__(self, firsts: np.ndarray):
+        sizes = np.diff(firsts)
+        self.order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes[self.order[0]]) if len(sizes) else 0
+        self.active = (len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")).tolist()
+        self.edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.active, dtype=np.int64)])
+        rank = np.empty(len(sizes), np.int64)
+        rank[self.order] = np.arange(len(sizes))
+        at = self.edges[np.arange(int(firsts[-1])) - np.repeat(firsts[:-1], sizes)] + np.repeat(rank, sizes)
+        self.tokens = np.empty(len(at), np.int64)  # which token stands where
+        self.tokens[at] = np.arange(len(at))
+        self.rank = np.empty(len(at), np.int64)
+        self.rank[at] = np.repeat(rank, sizes)
+
+
+def _forward(model: Model, steps: Steps, emitted: np.ndarray, first: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """The scaled forward chances of every token (if kept) and the scales, step by step."""
+    alphas = np.empty_like(emitted) if keep else None
+    scales, alpha = np.empty(len(emitted)), first
+    for t, n in enumerate(steps.active):
+        here = slice(int(steps.edges[t]), int(steps.edges[t]) + n)
+        alpha = (alpha[:n] @ model.move if t else alpha[:n]) * emitted[here]
+        scale = alpha.sum(1)
+        alpha /= scale[:, None]
+        scales[here] = scale
+        if keep:
+            alphas[here] = alpha
+    return alphas, scales
 
 
 def log_chances(model: Model, seen: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence of observations by the scaled forward recursion."""
-    order, active = _order(np.diff(firsts))
-    base, total = firsts[:-1][order], np.zeros(len(order))
-    alpha = np.broadcast_to(model.start, (len(order), len(model.start)))
-    for t, n in enumerate(active.tolist()):
-        alpha = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[seen[base[:n] + t]]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log10(scale)
-    result = np.empty(len(order))
-    result[order] = total
+    steps = Steps(firsts)
+    first = np.broadcast_to(model.start, (len(firsts) - 1, len(model.start)))
+    _, scales = _forward(model, steps, model.emit[seen[steps.tokens]], first, False)
+    result = np.empty(len(firsts) - 1)
+    result[steps.order] = np.bincount(steps.rank, np.log10(scales), len(result))
     return result
 
 
 def expected_counts(model: Model, seen: np.ndarray, firsts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states (of sequences that begin a text), moves and, token by token, states; and the log10 likelihood."""
-    order, active = _order(np.diff(firsts))
-    base, begins = firsts[:-1][order], begins[order]
+    """Expected counts of first states (of sequences that begin a text), moves and observations; and the log10 likelihood."""
+    steps = Steps(firsts)
+    seen, begins = seen[steps.tokens], begins[steps.order]
     states = len(model.start)
-    alphas, scales = np.empty((len(seen), states)), np.empty(len(seen))
-    alpha = np.where(begins[:, None], model.start, _stationary(model))
-    for t, n in enumerate(active.tolist()):
-        at = base[:n] + t
-        alpha = (alpha[:n] @ model.move if t else alpha[:n]) * model.emit[seen[at]]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        alphas[at], scales[at] = alpha, scale
-    moves, beta = np.zeros((states, states)), np.ones((len(order), states))
-    gammas = alphas  # overwritten from the end on
-    for t in range(len(active) - 1, -1, -1):
-        n = int(active[t])
-        at = base[:n] + t
-        gammas[at] *= beta[:n]
+    emitted = model.emit[seen]
+    alphas, scales = _forward(model, steps, emitted, np.where(begins[:, None], model.start, _stationary(model)), True)
+    emitted /= scales[:, None]
+    moves, beta, back = np.zeros((states, states)), np.ones((len(begins), states)), np.ascontiguousarray(model.move.T)
+    for t in range(len(steps.active) - 1, -1, -1):
+        n = steps.active[t]
+        here = slice(int(steps.edges[t]), int(steps.edges[t]) + n)
         if t:
-            weighed = beta[:n] * model.emit[seen[at]] / scales[at][:, None]
-            moves += alphas[at - 1].T @ weighed
-            beta[:n] = weighed @ model.move.T
-    return gammas[base[begins]].sum(0), moves * model.move, gammas, float(np.log10(scales).sum())
+            before = int(steps.edges[t - 1])
+            weighed = beta[:n] * emitted[here]
+            moves += alphas[before : before + n].T @ weighed
+            alphas[here] *= beta[:n]
+            beta[:n] = weighed @ back
+        else:
+            alphas[here] *= beta[:n]
+    counts = np.stack([np.bincount(seen, alphas[:, k], len(model.emit)) for k in range(states)], 1)
+    return alphas[: len(begins)][begins].sum(0), moves * model.move, counts, float(np.log10(scales).sum())
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -289,9 +308,8 @@ def gather(rows: DataFrame, model: Model) -> DataFrame:
         now = shared.value
         emitted, others = np.zeros(now.emit.shape), np.zeros((states + 2, states))
         for seen, firsts, begins in _stretches(batches):
-            first, moves, gammas, chance = expected_counts(now, seen, firsts, begins)
-            for k in range(states):
-                emitted[:, k] += np.bincount(seen, gammas[:, k], len(emitted))
+            first, moves, counts, chance = expected_counts(now, seen, firsts, begins)
+            emitted += counts
             others[0] += first
             others[1:-1] += moves
             others[-1, 0] += chance
