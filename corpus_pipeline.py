@@ -8,8 +8,10 @@ Near copies and benchmark passages are judged row by row, under a key of the id
 no row goes for what another row of its id holds.
 
 Defined cases: documents without an id are judged like the others; a group of near copies keeps one of
-them besides its smallest id. Of rows that repeat an id after that, one stays, the one with the smallest text. A null
-text fails the quality rules. Empty tables go through as empty tables.
+them besides its smallest id. Rows that repeat an id with other texts stay, each judged by its own text; where several
+rows of a group share its smallest id, one of them stays, and so does one of rows with the same id and text. A null
+text fails the quality rules. Other columns, whatever their names, come out as they went in. Texts of any length are
+taken whole. Empty tables go through as empty tables. Row keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from cohortloom.llm import bpe, decontam, jaccard, pii, quality
 from cohortloom.llm.graph import stage
 
 WORDS, SHARE = 5, Fraction(4, 5)
-KEY = "row key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,48 +33,65 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row that only rows of the same id and text share."""
-    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer where ``docs`` has a column of that name in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row that only rows of the same id and text share, and the key's name."""
+    key = _free(docs, "row key")
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")), key
+
+
+def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is none of those in the one column of ``gone``."""
+    name = _free(keyed, "gone key")
+    return keyed.join(gone.toDF(name), F.col(f"`{key}`") == F.col(f"`{name}`"), "left_anti")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, and one of those without an id."""
-    keyed = _keyed(docs)
-    found = jaccard.classes(keyed, id_col=KEY, words=WORDS, share=SHARE)
-    found = stage(found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group")).distinct())
+    """Of each group of near copies the row with the smallest id, and one of those without an id."""
+    keyed, key = _keyed(docs)
+    slim = keyed.select("doc_id", "text", F.col(f"`{key}`").alias("key"))
+    found = jaccard.classes(slim.select("key", "text"), id_col="key", words=WORDS, share=SHARE)
+    found = stage(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct())
     # A group of several rows has one that is not named like the group.
-    several = found.where(F.col(KEY) != F.col("group")).select("group").distinct()
-    member = stage(keyed.select(KEY, "doc_id").join(found.join(several, "group", "left_semi"), KEY).distinct())
-    first = member.groupBy("group").agg(F.min("doc_id").alias("lowest"), F.min(F.when(F.col("doc_id").isNull(), F.col(KEY))).alias("unnamed"))
-    beaten = F.when(F.col("doc_id").isNull(), F.col(KEY) != F.col("unnamed")).otherwise(F.col("doc_id") != F.col("lowest"))
-    gone = stage(member.join(first, "group").where(beaten).select(F.col(KEY).alias("gone")))
-    left = keyed.join(gone, F.col(KEY) == F.col("gone"), "left_anti")
-    # Rows that repeat an id, and copies without one.
-    same = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col(KEY)).alias("copy")]
-    repeated = stage(left.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"), F.col("copy").alias("again copy")))
+    several = found.where("key <> group").select("group").distinct()
+    member = stage(slim.select("key", "doc_id").join(found.join(several, "group", "left_semi"), "key").distinct())
+    first = member.groupBy("group").agg(
+        F.min_by("key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("named"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("unnamed")
+    )
+    kept = F.when(F.col("doc_id").isNull(), F.col("unnamed")).otherwise(F.col("named"))
+    left = _without(keyed, key, stage(member.join(first, "group").where(F.col("key") != kept).select("key")))
+    # Rows of the same id and text: one stays.
+    repeated = stage(left.groupBy(F.col(f"`{key}`").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"))
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    left = left.withColumn("copy", same[1])
-    again = F.col("doc_id").eqNullSafe(F.col("again")) & F.col("copy").eqNullSafe(F.col("again copy"))
-    one = Window.partitionBy("doc_id", "copy").orderBy("text")
-    twice = left.join(repeated, again, "left_semi").withColumn("a place", F.row_number().over(one)).where("`a place` = 1")
-    return left.join(repeated, again, "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+        return left.select(*[f"`{c}`" for c in docs.columns])
+    again, place = _free(left, "again key"), _free(left, "a place")
+    one = Window.partitionBy(f"`{key}`").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    same = left.join(repeated.toDF(again), F.col(f"`{key}`") == F.col(f"`{again}`"), "left_semi")
+    once = same.withColumn(place, F.row_number().over(one)).where(F.col(f"`{place}`") == 1)
+    columns = [f"`{c}`" for c in docs.columns]
+    return _without(left, key, repeated).select(*columns).unionByName(once.select(*columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = _keyed(docs)
-    found = decontam.decontaminate(keyed, items, id_col=KEY)
-    gone = stage(found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct())
-    return keyed.join(gone, F.col(KEY) == F.col("gone"), "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    found = decontam.decontaminate(keyed.select(F.col(f"`{key}`").alias("key"), "text"), items, id_col="key")
+    gone = stage(found.where("contaminated").select("doc_id").distinct())
+    return _without(keyed, key, gone).select(*[f"`{c}`" for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced in their texts."""
     clean = pii.sanitise(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
