@@ -12,9 +12,9 @@ mentions c. Counts are over all lines of the corpus. An estimate needs evidence:
 places (a line with its neighbours) enough that chance alone would show t with c there with probability below
 2 ** -``EVIDENCE``. Copies of a place are evidence only from ``SUPPORT`` different places on.
 
-Defined cases: a null text counts as empty. Rows with a null id, or that repeat an id, get their own pattern
-spans; term spans follow the id (none for a null id, for a repeated id the terms of all its rows). ``sanitise`` keeps
-all columns and replaces the text; ``spans`` reads only the id and the text. Empty tables give empty results.
+Defined cases: a null text counts as empty. Rows with a null id, or that repeat an id, get the spans of
+their own text; a term counts in the row that also holds its entity. ``sanitise`` keeps all columns, whatever their
+names, and replaces the text; ``spans`` reads only the id and the text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -140,23 +140,28 @@ def disclosures(texts: DataFrame, holders: DataFrame, support: int = SUPPORT, ev
     return told.where(F.col("disclosure") >= GENERALISED).select("entity", "term", "disclosure")
 
 
+def _row(id_col: str, text: Column) -> Column:
+    """A 64-bit key that only rows of the same id and text share; what is found in a row is found in all of these."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text)
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, evidence: float = EVIDENCE) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc_id, found) with the pattern spans of every row, and (doc_id, removed, generalised)
-    with the terms of the documents that hold any."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """Two tables: (row, doc_id, found) with the pattern spans of every row, and (row, removed, generalised)
+    with the terms of the rows that hold any, each row once. Terms count in the row that also holds their entity."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", _row("doc_id", F.col("text")))
     rows = slim.withColumn("found", pattern_spans(F.col("text")))
-    rows = stage(rows.select("doc_id", "found", F.when(F.size("found") > 0, F.col("text")).alias("text")))
+    rows = stage(rows.select("row", "doc_id", "found", F.when(F.size("found") > 0, F.col("text")).alias("text")))
     holders = rows.where("text is not null")
     told = disclosures(slim.select("text"), holders.select("text"), support, evidence)
     if told is None:
-        terms = holders.limit(0).select("doc_id", F.array().cast("array<string>").alias("removed"), F.array().cast("array<string>").alias("generalised"))
+        terms = holders.limit(0).select("row", F.array().cast("array<string>").alias("removed"), F.array().cast("array<string>").alias("generalised"))
     else:
-        named = holders.where("doc_id is not null").select("doc_id", F.explode(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entity"))
-        here = holders.where("doc_id is not null").select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
-        hit = named.distinct().join(stage(told), "entity").join(here.distinct(), ["doc_id", "term"]).groupBy("doc_id", "term").agg(F.max("disclosure").alias("most"))
+        named = holders.select("row", F.explode(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entity"))
+        here = holders.select("row", F.explode(_terms(F.col("text"))).alias("term"))
+        hit = named.distinct().join(stage(told), "entity").join(here.distinct(), ["row", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("most"))
         lists = [F.array_sort(F.collect_list(F.when(at, F.col("term")))).alias(name) for name, at in (("removed", F.col("most") >= REMOVED), ("generalised", F.col("most") < REMOVED))]
-        terms = hit.groupBy("doc_id").agg(*lists)
-    return rows.select("doc_id", "found"), stage(terms)
+        terms = hit.groupBy("row").agg(*lists)
+    return rows.select("row", "doc_id", "found"), stage(terms)
 
 
 def _with_terms(text: Column, found: Column, terms: Column) -> Column:
@@ -176,21 +181,23 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
     """(doc_id, base, found) of every row: the pattern spans, and those with the term spans."""
     base, terms = spans(docs, id_col, text_col, support, evidence)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    told = slim.join(terms.select("doc_id", F.concat("removed", "generalised").alias("terms")), "doc_id")
-    more = told.select("doc_id", F.filter(_with_terms(F.col("text"), pattern_spans(F.col("text")), F.col("terms")), _of("term")).alias("more"))
-    more = more.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("more"))
+    told = slim.select(_row("doc_id", F.col("text")).alias("row"), "text").join(terms.select("row", F.concat("removed", "generalised").alias("terms")), "row").dropDuplicates(["row"])
+    more = told.select("row", F.filter(_with_terms(F.col("text"), pattern_spans(F.col("text")), F.col("terms")), _of("term")).alias("more"))
     found = F.array_sort(F.concat("found", F.coalesce("more", F.array().cast(SPAN))))
-    return base.join(more, "doc_id", "left").select("doc_id", F.col("found").alias("base"), found.alias("found"))
+    return base.join(more, "row", "left").select("doc_id", F.col("found").alias("base"), found.alias("found"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, evidence: float = EVIDENCE) -> DataFrame:
     """``docs`` with entities replaced by <KIND>, generalised terms by <TERM>, removed terms by nothing."""
     _, terms = spans(docs, id_col, text_col, support, evidence)
-    named = terms.select(F.col("doc_id").alias("held id"), F.struct("removed", "generalised").alias("held terms"))
-    joined = docs.join(named, F.col(id_col) == F.col("held id"), "left")
+    taken, held, held_terms = {c.lower() for c in docs.columns}, "held row", "held terms"
+    while {held, held_terms} & taken:
+        held, held_terms = held + "_", held_terms + "_"
+    named = terms.select(F.col("row").alias(held), F.struct("removed", "generalised").alias(held_terms))
+    joined = docs.join(named, _row(f"`{id_col}`", F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(f"`{held}`"), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    removed, general = (F.coalesce(F.col("held terms")[k], none) for k in ("removed", "generalised"))
+    removed, general = (F.coalesce(F.col(f"`{held_terms}`")[k], none) for k in ("removed", "generalised"))
     found = let(pattern_spans(text), lambda base: _with_terms(text, base, F.concat(removed, general)))
 
     def rebuilt(all_spans: Column) -> Column:

@@ -136,3 +136,16 @@ def test_terms_at_the_module_parameters(spark, frame):
     assert {t for _, t in want} >= {"zorblatt", "quixley"} and "vandermere" not in {t for _, t in want}
     clean = "\n".join(r.text for r in pii.sanitise(docs).collect())
     assert "Zorblatt" not in clean and "Quixley" not in clean and "Vandermere" in clean
+
+
+def test_spans_come_from_the_row_s_own_text(spark, frame):
+    texts = [(k % 3, t) for k, t in enumerate(t for _, t, _ in corpus())] + [(0, "hi a@b.cd"), (0, "Zorblatt alone"), (None, "call Zorblatt about fog at z@corp.example.com"), (None, "x")]
+    docs = frame(texts, "doc_id long, text string")
+    got = sorted((str(r.doc_id), tuple((s.kind, s.start, s.stop, s.value) for s in r.found)) for r in pii.detect(docs, evidence=8).collect())
+    alone = frame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    by_row = {r.doc_id: tuple((s.kind, s.start, s.stop, s.value) for s in r.found) for r in pii.detect(alone, evidence=8).collect()}
+    assert got == sorted((str(d), by_row[k]) for k, (d, _) in enumerate(texts))
+    for k, (_, text) in enumerate(texts):
+        assert all(text[a:b] == v for _, a, b, v in by_row[k])
+    clean = [r.text for r in pii.sanitise(docs, evidence=8).collect()]
+    assert "hi <EMAIL>" in clean and "Zorblatt alone" in clean and not any("orblatt" in t and "<EMAIL>" in t for t in clean)
