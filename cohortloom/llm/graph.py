@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.session import new_folder, settle
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let batches for Python end at ``most`` bytes, where the session has no bound of its own.
+
+    Spark's bound of 10,000 rows alone would hold gigabytes of long texts or large sets in one batch.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(most))
+
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there: compressed, and survives lost executors."""

@@ -25,10 +25,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.graph import components, stage
+from cohortloom.llm.graph import bounded_batches, components, stage
 from cohortloom.llm.words import mix, shingle_sets, slices
 
 _U64 = np.uint64
@@ -36,7 +37,8 @@ BANDS = 64
 LEAVE = pa.list_(pa.struct([("band", pa.int32()), ("most", pa.int32())]))
 TURNS = 2  # leaders that a list tries before its open sets meet shingle by shingle
 MASK = 1 << 23
-SEEN = 1 << 18  # digests a task remembers, so that copies are listed once
+SEEN = 1 << 16  # digests a task remembers, so that copies are listed once
+BATCH = 1 << 22  # bytes that a task puts together before it passes them on
 
 
 class Blocks:
@@ -121,6 +123,21 @@ def _differ(left: bytes, right: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _parts(batches: Iterable[pa.RecordBatch], width=None) -> Iterator[pa.RecordBatch]:
+    """Row ranges of at most ``BATCH`` bytes, or of one row; ``width`` gives the bytes of each row of a batch, else its columns do."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns if width is None else ():
+            variable = pa.types.is_binary(column.type) or pa.types.is_string(column.type)
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if variable else 8
+        ends = np.cumsum(sizes if width is None else width(batch))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def nodes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
     """(doc_id, n_shingles, node, sign, leave, place) of (doc_id, text, place); equal sets have the same node, an empty set has none.
 
@@ -184,7 +201,7 @@ def _at_row() -> Column:
 def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(at_row, text) of (at_row, digest, text) without the copies that a task has seen."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in _parts(batches):
         fresh = []
         for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             fresh.append(key not in seen)
@@ -211,7 +228,7 @@ def _screen(pairs: DataFrame, signs: DataFrame, share: Fraction) -> DataFrame:
     """(a, b, near): whether the pair can link at all, by sizes and signatures."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             near = []
             for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 differ = max(_differ(x, y), abs(m - n))
@@ -226,7 +243,7 @@ def _measure(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """(a, b, linked) of pairs (a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 left, right = (np.frombuffer(v.as_buffer(), _U64) for v in (x, y))
@@ -253,6 +270,7 @@ def compare(pairs: DataFrame, slim: DataFrame, rows: DataFrame, words: int, shar
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id that links reach."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     slim = slim.withColumn("place", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     rows = stage(nodes(slim, words, share))
@@ -335,8 +353,8 @@ def _rare_pairs(member: DataFrame, slim: DataFrame, rows: DataFrame, words: int,
         while lowest[-1] < 1 << 40:
             lowest.append(max(lowest[-1] + 1, lowest[-1] * 101 // 100))
         both = share.numerator + share.denominator
+        out, held = [], 0
         for batch in batches:
-            out = []
             for node, told in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen, token = (told.values.field(k).to_numpy() for k in ("n", "token"))
                 size = len(token)
@@ -345,8 +363,15 @@ def _rare_pairs(member: DataFrame, slim: DataFrame, rows: DataFrame, words: int,
                     common = -(-share.numerator * (size + lowest[other]) // both)
                     first = token[: max(size - common + 1, 0)][seen[: max(size - common + 1, 0)] > 1]
                     out.append((np.full(len(first), node), first, np.full(len(first), own), np.full(len(first), other)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["node", "token", "own", "other"])
+                    held += 32 * len(first) + 400
+                if held >= BATCH:
+                    yield listing(out)
+                    out, held = [], 0
+        if out:
+            yield listing(out)
+
+    def listing(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["node", "token", "own", "other"])
 
     listed = ranked.mapInArrow(run, "node long, token long, own long, other long").join(member, "node")
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
@@ -359,10 +384,10 @@ def _rare_pairs(member: DataFrame, slim: DataFrame, rows: DataFrame, words: int,
 
 
 def _exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tokens = np.frombuffer(found.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(tokens)], ["node", "token"])
+    for batch in _parts(batches):
+        sets = [np.frombuffer(found.as_buffer(), np.int64) for found in batch.column(1)]
+        node = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets))], ["node", "token"])
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,9 +104,12 @@ def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", wors
     """The rows of ``docs`` that pass their own rules and whose host is not rejected, columns as they were."""
     told = features(F.col(text_col).cast("string"))
     judged = docs.select(F.col(host_col).cast("string").alias("host"), told.alias("told")).select("host", fails(F.col("told")).alias("base_failed"))
-    rejected = stage(host_verdicts(judged, worst).where("rejected").select(F.col("host").alias("rejected host")))
+    name = "rejected host"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    rejected = stage(host_verdicts(judged, worst).where("rejected").select(F.col("host").alias(name)))
     good = docs.where(~let(told, fails))
-    return good.join(rejected, F.col(host_col).cast("string") == F.col("rejected host"), "left_anti")
+    return good.join(rejected, F.col(host_col).cast("string") == F.col(f"`{name}`"), "left_anti")
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:

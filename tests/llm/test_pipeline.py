@@ -56,8 +56,8 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf, frame):
         before, docs = docs, function(spark, docs, sf)
         assert docs.columns == before.columns, name
     out = sorted(((r.doc_id or 0, r.text) for r in docs.collect()))
-    assert out == [(0, prose.upper()), (1, prose), (5, rows[6][1].replace("x@y.org", "<EMAIL>"))]
-    assert [r.n_chars for r in docs.collect() if r.doc_id == 5] == [len(out[2][1])]
+    assert out == [(0, prose.upper()), (1, prose), (5, rows[6][1].replace("x@y.org", "<EMAIL>")), (5, rows[7][1])]
+    assert sorted(r.n_chars for r in docs.collect() if r.doc_id == 5) == sorted(len(t) for _, t in out[2:])
     empty = frame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, function in corpus_pipeline.STAGES:
         empty = function(spark, empty, sf)
@@ -91,3 +91,23 @@ def test_rows_without_an_id_are_judged(spark, sf, frame):
     assert len(kept) == 4 and {(None, prose("b")), (2, prose("c")), (None, prose("d"))} < set(kept)
     docs = frame([(None, prose("a") + " " + passage(sf), "en", "s", 1), (None, prose("b"), "en", "s", 1)], SCHEMA)
     assert [r.text for r in corpus_pipeline.decontamination(spark, docs, sf).collect()] == [prose("b")]
+
+
+def test_rows_that_repeat_an_id_stay_with_their_own_texts(spark, sf, frame):
+    rows = [(1, prose("a")), (1, prose("b")), (1, prose("b")), (1, prose("b") + " more"), (2, prose("b")), (3, prose("c")), (3, prose("d")), (0, prose("d"))]
+    docs = frame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
+    assert {t[:3] for _, t in kept} == {"a0 ", "b0 ", "c0 ", "d0 "} and len(kept) == 4
+    assert {(1, prose("a")), (3, prose("c")), (0, prose("d"))} < set(kept) and {d for d, t in kept if t[0] == "b"} == {1}
+
+
+def test_columns_of_any_name_come_through(spark, sf, frame):
+    names = ["gone", "again", "copy", "row key", "Row Key_", "group", "key", "gone key", "again key", "a place", "rejected host", "text.", "node", "place"]
+    rows = [(1, prose("a")), (1, prose("a")), (2, prose("a")), (3, prose("b")), (4, prose("c") + " " + passage(sf))]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    docs = frame([(d, t, "en", "s", 1, *(f"{n} {d}" for n in names)) for d, t in rows], f"{SCHEMA}, {schema}")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, function(spark, docs, sf)
+        assert docs.columns == before, name
+    got = sorted(tuple(r) for r in docs.collect())
+    assert [(r[0], r[5:]) for r in got] == [(d, tuple(f"{n} {d}" for n in names)) for d in (1, 3)]
