@@ -64,7 +64,7 @@ def mart(t, channel="Agency"):
         client_mart.best_propensity(t.existing_scores(), t.new_scores()), t.clients(), cities,
         logins(t).withColumnRenamed("login_id", "po_num"), client_mart.first_two_policies(t.policies(), policy_types(t), SNAPSHOT),
         SNAPSHOT, HIT_SNAPSHOT, channel, list(TYPES), CITIES, {kind: codes.LIFESTAGE_FLAGS[name] for name, kind in _STAGES.items()},
-        app_accounts_of_clients(t),
+        app_accounts_of_clients(t), client_mart.change_flags(t.changes(), SNAPSHOT),
     )
 
 
@@ -91,7 +91,7 @@ def channel_priority(t):
 
 
 _HELD = ["pol_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol", "oth_paid_pol",
-         *TYPES.values(), "annual_flag", "valid_email", "10yr_pol_cnt", "ins_typ_count", "multi_prod", "inforce_ind",
+         *TYPES.values(), "annual_flag", "valid_email", "valid_mobile", "10yr_pol_cnt", "ins_typ_count", "multi_prod", "inforce_ind",
          "f_vip_elite", "f_vip_plat", "f_vip_gold", "f_vip_silver"]
 _HELD_SQL = ", ".join(f'cast("{c}" as bigint) as "{c}"' for c in _HELD)
 
@@ -121,6 +121,7 @@ def client_holdings(t):
 
 
 _WIDE = ["pol_count", "inforce_pol", "lapse_decile", "min_decile", "cur_age", "no_dpnd", "f_male", "f_vip_elite", "multi_prod",
+         "valid_mobile", "frst_iss_age", *map(client_mart.cover_name, TYPES), *(f"f_{k}chg_{n}m" for k in client_mart.CHANGES for n in client_mart.CHANGE_MONTHS),
          "cws_tenure_days", "cws_last_log_days", "app_tenure_days", "app_last_log_days", "pol_num_1", "pol_num_2", "yr_2nd_prod", "next_due_decile", "early_decile",
          *CITIES, "f_oth_city", *_STAGES, *(f"f_{n}_{kind.lower()}" for n in ("1st", "2nd") for kind in TYPES)]
 _MONEY = ["coverage_ape", "plan_nbv", "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "total_ape", "mthly_incm"]

@@ -12,6 +12,7 @@ from cohortloom.catalog.registry import query, tidy
 from cohortloom.catalog.sql import TYPES, cut, with_parts
 from cohortloom.operators import clustering, reports
 from cohortloom.operators.sampling import sample_by_key, sample_sql
+from cohortloom.plans.client_mart import CHANGE_MONTHS, CHANGES, cover_name
 from cohortloom.session import new_folder, settle
 from cohortloom.sources.sinks import stage, write_partitions
 from cohortloom.sources.tables import parquet_table
@@ -19,13 +20,13 @@ from cohortloom.sources.tables import parquet_table
 # Numbers are imputed by their mean and standardised; flags, counts of flags and deciles stay as they are.
 SCALED = [
     "client_tenure", "pol_count", "ins_typ_count", "inforce_pol", "lapsed_pol", "surrendered_pol", "matured_pol", "nottaken_pol", "terminated_pol",
-    "oth_paid_pol", "coverage_ape", "plan_nbv", "cli_nbv_margin", "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "total_ape", "cur_age", "no_dpnd", "mthly_incm",
+    "oth_paid_pol", "coverage_ape", "plan_nbv", "cli_nbv_margin", "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "total_ape", "cur_age", "frst_iss_age", "no_dpnd", "mthly_incm",
     "agt_tenure_yrs", "cws_tenure_days", "cws_last_log_days", "app_tenure_days", "app_last_log_days",
 ]
 _PLACES = [f"f_{n}_{kind.lower()}" for n in ("1st", "2nd") for kind in TYPES]
 PLAIN = [
-    "multi_prod", "annual_flag", "valid_email", "inforce_ind", "f_male", "10yr_pol_cnt", "min_decile", "early_decile", "next_due_decile", "yr_2nd_prod",
-    *TYPES.values(), *ANY_FLAGS, *SUM_FLAGS, *CITIES, "f_oth_city", *_STAGES, "f_vip_elite", "f_vip_plat", "f_vip_gold", "f_vip_silver", *_PLACES,
+    "multi_prod", "annual_flag", "valid_email", "valid_mobile", "inforce_ind", "f_male", "10yr_pol_cnt", "min_decile", "early_decile", "next_due_decile", "yr_2nd_prod",
+    *TYPES.values(), *ANY_FLAGS, *SUM_FLAGS, *CITIES, "f_oth_city", *_STAGES, *map(cover_name, TYPES), *(f"f_{k}chg_{n}m" for k in CHANGES for n in CHANGE_MONTHS), "f_vip_elite", "f_vip_plat", "f_vip_gold", "f_vip_silver", *_PLACES,
 ]
 SENTINELS = {c: 99.0 for c in ("min_decile", "early_decile", "next_due_decile", "yr_2nd_prod")}
 WEIGHTS = {"cli_ltv": 10.0}

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cohortloom.catalog import clients as client_queries
 from cohortloom.catalog.registry import query, tidy
-from cohortloom.catalog.sql import ADJUSTED, DAY, QUARTER, band_sql, months_between, quoted, with_parts
+from cohortloom.catalog.sql import ADJUSTED, DAY, QUARTER, TYPES, band_sql, months_between, quoted, with_parts
 from cohortloom.functions import codes, measures
 from cohortloom.functions.bands import argmax_label, band, decode, first_match, flag
 from cohortloom.functions.calendar import (
@@ -103,10 +104,10 @@ def column_compare_flag(t):
 
 
 def _banded_clients(t):
-    totals = t.policies().groupBy("po_num").agg(
-        (F.sum("tot_ape") / codes.FX_RATE / 10).alias("total_ape"), F.count("pol_num").alias("ins_typ_count")
-    )
-    people = lookups.attach(t.clients().withColumn("adj_mthly_incm", F.col("mthly_incm")), totals, {"cli_num": "po_num"})
+    """Clients with the bands of their age, income, dependants and holdings at the snapshot."""
+    vip = ["f_vip_elite", "f_vip_plat", "f_vip_gold", "f_vip_silver"]
+    held = client_mart.client_holdings(client_queries.summary(t), SNAPSHOT, TYPES).select("po_num", "total_ape", "ins_typ_count", *vip)
+    people = lookups.attach(t.clients().withColumn("adj_mthly_incm", F.col("mthly_incm")), held, {"cli_num": "po_num"})
     return activation.with_bands(people, codes.CUSTOMER_BANDS)
 
 
@@ -114,14 +115,13 @@ _BANDED = {
     "total_ape": "total_ape", "adj_mthly_incm": "mthly_incm", "no_dpnd": "no_dpnd",
     "ins_typ_count": "ins_typ_count", "cur_age": "cur_age",
 }
-_BANDED_SQL = "select cli_num, dpnd_child_ind, dpnd_spouse_ind, total_ape, ins_typ_count, " + ", ".join(
+_BANDED_SQL = "select cli_num, dpnd_child_ind, dpnd_spouse_ind, total_ape, ins_typ_count, f_vip_elite, f_vip_plat, f_vip_gold, f_vip_silver, " + ", ".join(
     f'{band_sql(source, *codes.CUSTOMER_BANDS[c])} as "{c}_cat"' for c, source in _BANDED.items()
-) + f""" from client left join (select po_num, sum(tot_ape) / {codes.FX_RATE} / 10 as total_ape, count(*) as ins_typ_count
-  from policy group by 1) on po_num = cli_num"""
+) + " from client left join holding on po_num = cli_num"
 _BAND_COLUMNS = [f"{c}_cat" for c in _BANDED]
 
 
-@query("band_labels", with_parts(f"select cli_num, {', '.join(_BAND_COLUMNS)} from ({_BANDED_SQL})", "client", "policy"))
+@query("band_labels", with_parts(f"select cli_num, {', '.join(_BAND_COLUMNS)} from ({_BANDED_SQL})", "client", "holding"))
 def band_labels(t):
     return _banded_clients(t).select("cli_num", *_BAND_COLUMNS)
 

@@ -110,7 +110,8 @@ select c_custkey as cli_num, case when c_custkey % 2 = 0 then 'M' else 'F' end a
   case when c_custkey % 3 = 0 then 1 else 0 end as dpnd_child_ind,
   case when c_custkey % 5 in (0, 1) then 1 else 0 end as dpnd_spouse_ind,
   c_acctbal as mthly_incm, c_nationkey as city_key, c_mktsegment as customer_segment,
-  case when c_custkey % 7 <> 0 then 'c' || c_custkey || '@x.example' end as email_addr, 'rule ' || (c_custkey % 4) as segmentation_rules,
+  case when c_custkey % 7 <> 0 then 'c' || c_custkey || '@x.example' end as email_addr,
+  case when c_custkey % 6 <> 0 then '+84' || (900000000 + c_custkey) end as mobl_phon_num, 18 + c_custkey % 45 as frst_iss_age, 'rule ' || (c_custkey % 4) as segmentation_rules,
   case when c_custkey % 11 <> 10 then cast(c_custkey * 17 % 101 as double) end as "protection_income%"
 from customer""")
 _part("agent", """
@@ -347,7 +348,7 @@ join (select wa_code, all_pol_cnt from kpi) k on k.wa_code = m.agt_code""", "mas
 # Client side.
 _part("base", f"""
 select p.*, l.plan_code, l.wa_code, l.cvg_eff_dt, l.cvg_prem, l.cvg_typ, l.prem_dur, pl.type, pl.sp_ind, pl.plan_margin,
-  c.email_addr as cli_email, c.customer_segment,
+  c.email_addr as cli_email, c.mobl_phon_num as cli_mobile, c.customer_segment,
   case when a.comp_prvd_num not in ({quoted(codes.PARTNER_CODES)})
     then date_diff('day', a.agt_join_dt, coalesce(a.agt_term_dt, {DAY})) / 365.25 end as agt_tenure_yrs,
   least(cast(floor(date_diff('day', l.cvg_eff_dt, {DAY}) / 365.25) as integer), l.prem_dur) as prem_dur_pre,
@@ -380,6 +381,7 @@ MARGIN = f"""case when loc_cd is null then case
 _part("valued", f"""
 select *, cvg_prem / {codes.FX_RATE} * nbv_margin as plan_nbv, cvg_prem / {codes.FX_RATE} * 12 / cast(pmt_mode as integer) as coverage_ape,
   case when pmt_mode = '12' then 1 else 0 end as annual_flag, case when cli_email is not null then 1 else 0 end as valid_email,
+  case when cli_mobile is not null then 1 else 0 end as valid_mobile,
   case when dist_chnl_cd in ({_AG}) then 'Agency' when dist_chnl_cd in ({_DIR}) then 'DMTM' else office_cd end as sales_channel
 from (select b.*, qtr, {MARGIN} as nbv_margin
   from (select *, {QUARTER} as qtr from base) b left join plan_margin m on m.plan_code = b.plan_code
@@ -435,7 +437,8 @@ select *, date_diff('day', first_pol_eff_dt, {DAY}) / 365.25 as client_tenure,
 from (select po_num, min(cvg_eff_dt) as first_pol_eff_dt, count(distinct pol_num) as pol_count,
   {", ".join(f"count(distinct case when f_{n}_ind = 1 then pol_num end) as {o}" for n, o in _STATUS_OUT.items())},
   {", ".join(f"count(distinct case when type = '{k}' then pol_num end) as {o}" for k, o in TYPES.items())},
-  max(annual_flag) as annual_flag, max(valid_email) as valid_email,
+  max(annual_flag) as annual_flag, max(valid_email) as valid_email, max(valid_mobile) as valid_mobile,
+  {", ".join(f"sum(case when type = '{k}' and f_inforce_ind = 1 then 1 else 0 end) as k_inf_cvg_{k.lower()}" for k in TYPES)},
   count(distinct case when inforce_yr >= 10 then pol_num end) as "10yr_pol_cnt",
   cast(sum(cast(coverage_ape as decimal(28, 8))) as double) as total_ape, avg(agt_tenure_yrs) as agt_tenure_yrs,
   {", ".join(f"{text} as {name}" for name, text in CLIENT_FLAGS.items())}
@@ -481,7 +484,7 @@ select * exclude (rn) from (
 _STAGES = dict(zip(codes.LIFESTAGE_FLAGS, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
 _CLIENT_MART = f"""
 select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_pre, v.cli_ltv_post, v.lapse_decile, v.next_due_decile, v.early_decile,
-  c.channel, c.channel_final, s.min_decile, n.n_name as city, p.cur_age, p.no_dpnd, p.mthly_incm / {codes.FX_RATE} as mthly_incm,
+  c.channel, c.channel_final, s.min_decile, n.n_name as city, p.cur_age, p.frst_iss_age, p.no_dpnd, p.mthly_incm / {codes.FX_RATE} as mthly_incm,
   p.customer_segment, p.sex_code, p.dpnd_child_ind, p.dpnd_spouse_ind, case when p.sex_code = 'M' then 1 else 0 end as f_male,
   g.registered_at, g.last_login_at, g.hits, f.* exclude (po_num),
   date_diff('day', cast(g.registered_at as date), date '2024-01-31') as cws_tenure_days,
@@ -489,13 +492,16 @@ select h.*, v.coverage_ape, v.plan_nbv, v.cli_nbv_margin, v.cli_ltv, v.cli_ltv_p
   case when n.n_name = 'NATION_0' then 1 else 0 end as f_first, case when n.n_name = 'NATION_1' then 1 else 0 end as f_second,
   case when n.n_name not in ('NATION_0', 'NATION_1') then 1 else 0 end as f_oth_city,
   ap.activation_dt, ap.app_tenure_days, ap.app_last_log_days,
+  {", ".join(f"case when {k}_dt > date '2001-06-30' - interval {n} month then 1 else 0 end as f_{k}chg_{n}m" for k in ("addr", "occp") for n in (1, 3, 6, 12))},
   {", ".join(f"case when p.customer_segment = '{kind}' then 1 else 0 end as {name}" for name, kind in _STAGES.items())},
   {", ".join(f"case when f.ins_typ_{k} = '{kind}' then 1 else 0 end as f_{n}_{kind.lower()}" for k, n in ((1, "1st"), (2, "2nd")) for kind in TYPES)},
   '2001-06-30' as image_date
 from holding h join cli_ltv v on v.po_num = h.po_num join channel c on c.po_num = h.po_num and c.channel_final = 'Agency'
 left join propensity s on s.po_num = h.po_num left join client p on p.cli_num = h.po_num
 left join nation n on n.n_nationkey = p.city_key left join login g on g.po_num = h.po_num left join first_two f on f.po_num = h.po_num
-left join app_account ap on ap.cli_num = cast(h.po_num as varchar)"""
+left join app_account ap on ap.cli_num = cast(h.po_num as varchar)
+left join (select c_custkey as cli_num, date '2001-06-30' - cast(c_custkey * 7 % 500 as integer) as addr_dt,
+  date '2001-06-30' - cast(c_custkey * 11 % 700 as integer) as occp_dt from customer where c_custkey % 3 <> 2) ch on ch.cli_num = h.po_num"""
 _CLIENT_NEEDS = ("holding", "cli_ltv", "channel", "propensity", "client", "login", "first_two", "app_account")
 _part("client_mart", _CLIENT_MART, *_CLIENT_NEEDS)
 _part("client_mart_all", _CLIENT_MART.replace(" and c.channel_final = 'Agency'", ""), *_CLIENT_NEEDS)

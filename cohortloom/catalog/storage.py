@@ -3,6 +3,8 @@
 Files go to a new folder per run below the shared folder of the session.
 """
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import query, tidy
@@ -86,13 +88,14 @@ def typed_empty_union(t):
 
 @query("sql_views", """
 select r_name, count(*) as agents from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey
-where s_suppkey >= 5 group by 1""")
+where date '1994-01-01' + cast(s_suppkey * 37 % 2500 as integer) <= date '1998-12-31' group by 1""")
 def sql_views(t):
+    """Agents by region that had joined by a day, which is a parameter of the statement."""
     tables.register_views({"agents_v": t.agents(), "branches_v": t.branches(), "all_heads_v": t.region_heads()})
     tables.register_views({"heads_v": tables.catalog_table(t.spark, "all_heads_v")})
     return tables.run_sql(t.spark, """
         select rh_name as r_name, count(*) as agents from agents_v join branches_v using (br_code) join heads_v using (rh_key)
-        where agt_code >= :least group by 1;""", least=5)
+        where agt_join_dt <= :upto group by 1;""", upto=date(1998, 12, 31))
 
 
 @query("table_list", "select n_name, r_name from nation join region on r_regionkey = n_regionkey")

@@ -9,16 +9,12 @@ from cohortloom.catalog.selection import _BANDED_SQL, _MARITAL_SQL, _banded_clie
 from cohortloom.catalog.sql import TYPES, band_sql, cut, with_parts, mean_sql
 from cohortloom.catalog.totals import stats_sql
 from cohortloom.functions import codes
-from cohortloom.functions.measures import vip_flags
 from cohortloom.operators import reports
 from cohortloom.operators.lookups import membership
 from cohortloom.plans import activation, agent_mart, client_mart, slicers
 from cohortloom.session import new_folder
 from cohortloom.sources.sinks import stage
-from cohortloom.sources.star_tables import SNAPSHOT
-
-# The star tables hold far larger premiums than the bands expect; one agent sells thousands of policies.
-_SCALE, _DAYS = 2000.0, 27
+from cohortloom.sources.star_tables import SNAPSHOT, STUDY_CUSTOMERS, STUDY_MONTHS, STUDY_SCALE, study_units
 
 
 def _agents(t):
@@ -28,17 +24,13 @@ def _agents(t):
     )
     wide = agent_queries.master(t).join(
         agent_mart.with_quality_rates(kpis).withColumnRenamed("wa_code", "agt_code"), "agt_code"
-    ).withColumns({
-        "last_12m_ape": F.col("last_12m_ape") / _SCALE,
-        "agt_tenure_mths": F.col("tenure_mth") - _DAYS,
-        "cus_existing": F.col("total_cus") % 7,
-    })
-    return activation.with_target(activation.activity(activation.with_bands(wide, codes.AGENT_BANDS)))
+    )
+    return activation.with_target(activation.activity(activation.with_bands(study_units(wide), codes.AGENT_BANDS)))
 
 
 _CASES = {
-    "agt_tenure_mths": f"(tenure_mth - {_DAYS})", "14m_per": '"14m_per"', "last_12m_prd": "last_12m_prd",
-    "last_12m_ape": f"(last_12m_ape / {_SCALE})", "cus_existing": "(total_cus % 7)", "no_sbw_completed": "no_sbw_completed",
+    "agt_tenure_mths": f"(tenure_mth - {STUDY_MONTHS})", "14m_per": '"14m_per"', "last_12m_prd": "last_12m_prd",
+    "last_12m_ape": f"(last_12m_ape / {STUDY_SCALE})", "cus_existing": f"(total_cus % {STUDY_CUSTOMERS})", "no_sbw_completed": "no_sbw_completed",
 }
 _AGENT_SQL = "select m.*, r.* exclude (wa_code), " + ", ".join(
     f'{band_sql(value, *codes.AGENT_BANDS[c])} as "{c}_cat"' for c, value in _CASES.items()
@@ -282,12 +274,12 @@ select mar_stat_cat, cus_vip_cat, "group", count(*) as clients from (
     when mar_stat_cat = '1. Married w/ kids' and no_dpnd_cat in ('1', '2', '3+') then '2. Mature Couples'
     when mar_stat_cat in ('2. Married', '3. Unknown') and no_dpnd_cat = '1' then '3. Younger Couples'
     when no_dpnd_cat = '0' then '4. Personal Protection Seekers' else '5. Unknown' end as "group",
-    case when total_ape >= 12961.76 then '1. Elite Platinum' when total_ape >= 6480.88 then '2. Platinum' when total_ape >= 2808.38 then '3. Gold'
-      when total_ape >= 864.12 then '4. Silver' else '5. Unknown' end as cus_vip_cat
-  from (select *, {_MARITAL_SQL} as mar_stat_cat from ({_BANDED_SQL}))) group by 1, 2, 3""", "client", "policy"))
+    case when f_vip_elite = 1 then '1. Elite Platinum' when f_vip_plat = 1 then '2. Platinum' when f_vip_gold = 1 then '3. Gold'
+      when f_vip_silver = 1 then '4. Silver' else '5. Unknown' end as cus_vip_cat
+  from (select *, {_MARITAL_SQL} as mar_stat_cat from ({_BANDED_SQL}))) group by 1, 2, 3""", "client", "holding"))
 def family_groups(t):
     banded = _banded_clients(t)
-    grouped = slicers.with_family_groups(banded.withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count"))))
+    grouped = slicers.with_family_groups(banded)
     return grouped.groupBy("mar_stat_cat", "cus_vip_cat", "group").agg(F.count(F.lit(1)).alias("clients"))
 
 
@@ -303,19 +295,16 @@ _GROUPED = f"""(select *, {_GROUP} as "group" from client)"""
 @query("family_group_summary", with_parts(
     " union all ".join(stats_sql('"group"', c, _GROUPED) for c in ("cur_age", "mthly_incm")), "client"))
 def family_group_summary(t):
-    grouped = slicers.with_family_groups(
-        _banded_clients(t).withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count")))
-    )
+    grouped = slicers.with_family_groups(_banded_clients(t))
     return tidy(reports.summary(grouped, ["cur_age", "mthly_incm"], ["group"]), 4)
 
 
 @query("slicer_breakdown", with_parts(f"""
 select mar_stat_cat, no_dpnd_cat, adj_mthly_incm_cat, cur_age_cat, count(distinct cli_num) as customers
 from (select *, {_MARITAL_SQL} as mar_stat_cat from ({_BANDED_SQL}))
-where no_dpnd_cat is not null and adj_mthly_incm_cat is not null and cur_age_cat is not null group by 1, 2, 3, 4""", "client", "policy"))
+where no_dpnd_cat is not null and adj_mthly_incm_cat is not null and cur_age_cat is not null group by 1, 2, 3, 4""", "client", "holding"))
 def slicer_breakdown(t):
-    banded = _banded_clients(t).withColumns(vip_flags(F.col("total_ape"), F.col("ins_typ_count")))
-    grouped = slicers.with_family_groups(banded)
+    grouped = slicers.with_family_groups(_banded_clients(t))
     return reports.breakdown(grouped, ["mar_stat_cat", "no_dpnd_cat", "adj_mthly_incm_cat", "cur_age_cat"], "cli_num", "customers")
 
 

@@ -87,10 +87,10 @@ def first_policy_per_owner(t):
 
 @query("latest_servicing_agent", with_parts("""
 select po_num, wa_code as sa_code from (select po_num, wa_code, row_number() over (partition by po_num order by pol_eff_dt desc, pol_num desc, wa_code) as rn
-  from cov_then where po_num in (select cli_num from client where mthly_incm > 0)) where rn = 1""", "cov_then", "client"))
+  from cov_then where po_num in (select cli_num from client)) where rn = 1""", "cov_then", "client"))
 def latest_servicing_agent(t):
     sold = t.sold_coverages(SNAPSHOT).withColumnRenamed("wa_code", "sa_code")
-    owners = t.clients().where(F.col("mthly_incm") > 0).withColumnRenamed("cli_num", "po_num")
+    owners = t.clients().withColumnRenamed("cli_num", "po_num")
     return activation.latest_servicing_agent(sold, owners)
 
 

@@ -33,9 +33,11 @@ def policy_base(coverages: DataFrame, policies: DataFrame, snapshot: Snapshot, p
         joined = joined.join(plans, "plan_code", "left")
     if clients is not None:
         owners = clients.select(
-            F.col("cli_num").alias("_owner"), F.col("email_addr").alias("cli_email"), F.col("customer_segment")
+            F.col("cli_num").alias("_owner"), F.col("email_addr").alias("cli_email"), F.col("mobl_phon_num").alias("cli_mobile"), F.col("customer_segment")
         )
-        joined = attach(joined, owners, {"po_num": "_owner"}).withColumn("valid_email", flag(F.col("cli_email").isNotNull()))
+        joined = attach(joined, owners, {"po_num": "_owner"}).withColumns({
+            "valid_email": flag(F.col("cli_email").isNotNull()), "valid_mobile": flag(F.col("cli_mobile").isNotNull()),
+        })
     if agents is not None:
         tenure = years_between(F.col("agt_join_dt"), F.coalesce("agt_term_dt", snapshot.column()))
         sellers = agents.select(
@@ -86,6 +88,25 @@ def with_margins(base: DataFrame, plan_margins: DataFrame, quarter_margins: Data
     }).drop(*FAMILIES, "quarter_margin").where(~F.col("pol_stat_cd").isin(*codes.PENDING_CODES))
 
 
+def cover_name(kind: str) -> str:
+    """Column with the number of coverages in force of a product type."""
+    return f"k_inf_cvg_{kind.lower()}"
+
+
+CHANGES, CHANGE_MONTHS = ("addr", "occp"), (1, 3, 6, 12)
+
+
+def change_flags(changes: DataFrame, snapshot: Snapshot, kinds: Sequence[str] = CHANGES, months: Sequence[int] = CHANGE_MONTHS) -> DataFrame:
+    """(po_num, f_<kind>chg_<n>m): whether the client's last change of a kind up to the snapshot lies in the last ``n`` months."""
+    day = snapshot.column()
+    last = changes.where(F.col("change_dt") <= day).groupBy(F.col("cli_num").alias("po_num")).agg(
+        *[F.max(F.when(F.col("kind") == kind, F.col("change_dt"))).alias(f"_last_{kind}") for kind in kinds]
+    )
+    return last.select("po_num", *[
+        flag(F.col(f"_last_{kind}") > F.add_months(day, -n)).alias(f"f_{kind}chg_{n}m") for kind in kinds for n in months
+    ])
+
+
 def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None, any_flags: Sequence[str] = (),
                    sum_flags: Sequence[str] = ()) -> DataFrame:
     """One row per policy with everything the client level adds up.
@@ -108,6 +129,8 @@ def policy_summary(base: DataFrame, types: Mapping[str, str] | None = None, any_
         *[F.max(flag(F.col("type") == kind)).alias(name) for kind, name in types.items()],
         F.max("annual_flag").alias("annual_flag"),
         F.max("valid_email").alias("valid_email"),
+        F.max("valid_mobile").alias("valid_mobile"),
+        *[F.sum(flag((F.col("type") == kind) & (F.col("f_inforce_ind") == 1))).alias(cover_name(kind)) for kind in types],
         F.max(flag(F.col("inforce_yr") >= 10)).alias("long_lived"),
         F.sum("agt_tenure_yrs").alias("tenure_sum"),
         F.count("agt_tenure_yrs").alias("tenure_rows"),
@@ -178,6 +201,8 @@ def _holding_sums(types: Mapping[str, str]) -> list[Column]:
         *[F.sum(name).alias(name) for name in types.values()],
         F.max("annual_flag").alias("annual_flag"),
         F.max("valid_email").alias("valid_email"),
+        F.max("valid_mobile").alias("valid_mobile"),
+        *[F.sum(cover_name(kind)).alias(cover_name(kind)) for kind in types],
         F.sum("long_lived").alias("10yr_pol_cnt"),
         measures.exact_sum(F.col("coverage_ape")).alias("total_ape"),
         F.try_divide(F.sum("tenure_sum"), F.sum("tenure_rows")).alias("agt_tenure_yrs"),
@@ -253,16 +278,17 @@ def city_flags(city: Column, cities: Mapping[str, str], other: str = "f_oth_city
 def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, cities: DataFrame, logins: DataFrame,
                 first_two: DataFrame, snapshot: Snapshot, hit_snapshot: Snapshot, channel: str | None = "Agency",
                 types: Sequence[str] = (), named_cities: Mapping[str, str] | None = None,
-                stages: Mapping[str, str] | None = None, apps: DataFrame | None = None) -> DataFrame:
+                stages: Mapping[str, str] | None = None, apps: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """One wide row per client. Every input has one row per client, so no join multiplies rows.
 
     ``types`` gives the product types that the first and the second policy are flagged by,
     ``named_cities`` the cities with a flag of their own, and ``stages`` the lifestage that a customer segment stands for.
-    ``apps`` are the clients' app accounts (``app_accounts.app_activation``), with the client number as text.
+    ``apps`` are the clients' app accounts (``app_accounts.app_activation``), with the client number as text, and
+    ``changes`` their ``change_flags``; a client that never changed anything has 0.
     """
     chosen = summary if channel is None else summary.where(F.col("channel_final") == channel)
     people = clients.join(cities, "city_key", "left").select(
-        F.col("cli_num").alias("po_num"), "city", "cur_age", "no_dpnd", "mthly_incm", "customer_segment",
+        F.col("cli_num").alias("po_num"), "city", "cur_age", "frst_iss_age", "no_dpnd", "mthly_incm", "customer_segment",
         "sex_code", "dpnd_child_ind", "dpnd_spouse_ind",
     )
     wide = (
@@ -274,6 +300,8 @@ def client_mart(summary: DataFrame, propensity: DataFrame, clients: DataFrame, c
     if apps is not None:
         known = apps.select(F.col("cli_num").alias("_app_client"), "activation_dt", "app_tenure_days", "app_last_log_days")
         wide = wide.join(known, F.col("po_num").cast("string") == F.col("_app_client"), "left").drop("_app_client")
+    if changes is not None:
+        wide = wide.join(changes, "po_num", "left").fillna(0, subset=[c for c in changes.columns if c != "po_num"])
     stage = F.col("customer_segment") if stages is None else decode(F.col("customer_segment"), stages)
     wide = type_flags(wide, types) if types else wide
     return wide.withColumns({

@@ -10,25 +10,11 @@ def _fields(kind: T.DataType, *names: str) -> list[T.StructField]:
 TEXT, WHOLE, NUMBER, DAY = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
 
 # Column names as they stand in the file headers.
-MARGIN_COLUMNS = (
-    "nbv_margin_agency_affinity", "nbv_margin_agency", "nbv_margin_dmtm",
-    "nbv_margin_other_channel_affinity", "nbv_margin_other_channel",
-    "nbv_margin_banca_other_banks", "nbv_margin_banca_scb", "nbv_margin_banca_tcb",
-)
-PLAN_MARGINS = T.StructType(_fields(TEXT, "plan_code") + _fields(NUMBER, *MARGIN_COLUMNS))
-QUARTER_MARGINS = T.StructType(_fields(TEXT, "plan_code", "effective_qtr") + _fields(NUMBER, *MARGIN_COLUMNS))
 EXISTING_SCORES = T.StructType(
     _fields(TEXT, "cli_num")
     + _fields(WHOLE, "decile_inv", "decile_ci", "decile_lp", "decile_lt", "decile_acc", "decile_med")
 )
 NEW_SCORES = T.StructType(_fields(TEXT, "po_num") + _fields(WHOLE, "ci_decile", "invst_decile", "lt_decile"))
 LAPSE_SCORES = T.StructType(_fields(TEXT, "pol_num") + _fields(WHOLE, "decile") + _fields(NUMBER, "lapse_score"))
-PRODUCT_SCORES = T.StructType(
-    _fields(TEXT, "po_num", "DEPLOYMENT_APPROVAL_STATUS")
-    + _fields(
-        NUMBER, "rep_purchase_comb_health_base_PREDICTION", "rep_purchase_comb_health_rider_PREDICTION",
-        "rep_purchase_comb_inv_base_PREDICTION", "rep_purchase_comb_riders_PREDICTION",
-    )
-)
 CLUSTERS = T.StructType(_fields(TEXT, "po_num") + _fields(WHOLE, "clusters"))
 AGENT_MONTH = T.StructType(_fields(T.LongType(), "agt_code") + _fields(TEXT, "agt_nm", "title") + _fields(DAY, "agt_term_dt") + _fields(NUMBER, "balance"))

@@ -25,6 +25,19 @@ _CHANNEL = """case o_orderpriority when '1-URGENT' then '01' when '2-HIGH' then
   when '4-NOT SPECIFIED' then '05' when '5-LOW' then '09' end"""
 
 
+# The star tables hold far larger premiums than the bands of the study expect, and one agent sells thousands of policies.
+STUDY_SCALE, STUDY_MONTHS, STUDY_CUSTOMERS = 2000.0, 27, 7
+
+
+def study_units(agents: DataFrame) -> DataFrame:
+    """Agents with KPIs in the units that the bands of the activation study expect."""
+    return agents.withColumns({
+        "last_12m_ape": F.col("last_12m_ape") / STUDY_SCALE,
+        "agt_tenure_mths": F.col("tenure_mth") - STUDY_MONTHS,
+        "cus_existing": F.col("total_cus") % STUDY_CUSTOMERS,
+    })
+
+
 class StarTables:
     """Entity views over one folder of parquet files; nothing is read before it is used."""
 
@@ -89,10 +102,22 @@ class StarTables:
             "c_nationkey as city_key",
             "c_mktsegment as customer_segment",
             "if(c_custkey % 7 != 0, concat('c', c_custkey, '@x.example'), null) as email_addr",
+            "if(c_custkey % 6 != 0, concat('+84', 900000000 + c_custkey), null) as mobl_phon_num",
+            "int(18 + c_custkey % 45) as frst_iss_age",
             "concat('rule ', c_custkey % 4) as segmentation_rules",
             "if(c_custkey % 11 != 10, double(c_custkey * 17 % 101), null) as `protection_income%`",
         )
 
+    def changes(self) -> DataFrame:
+        """Days on which clients changed their address or occupation, some after the snapshot."""
+        return self.raw("customer").where("c_custkey % 3 != 2").selectExpr(
+            "c_custkey as cli_num",
+            """inline(array(
+                named_struct('kind', 'addr', 'change_dt', date_sub(date '2001-06-30', int(c_custkey * 7 % 500))),
+                named_struct('kind', 'occp', 'change_dt', date_sub(date '2001-06-30', int(c_custkey * 11 % 700))),
+                named_struct('kind', 'addr', 'change_dt', date_add(date '2001-06-30', int(c_custkey % 9 + 1)))))""",
+        )
+
     def agents(self) -> DataFrame:
         return self.raw("supplier").selectExpr(
             "s_suppkey as agt_code",

@@ -245,3 +245,15 @@ print("FOLDER", path)
             return
         time.sleep(0.2)
     raise AssertionError(f"{folder.parent} is still there")
+
+
+def test_change_flags_count_months_back_from_the_snapshot(spark):
+    rows = [
+        (1, "addr", date(2024, 5, 1)), (1, "addr", date(2024, 6, 1)), (1, "occp", date(2023, 5, 31)), (2, "addr", date(2024, 4, 30)), (2, "addr", date(2024, 4, 29)),
+        (3, "occp", date(2024, 5, 31)), (4, "addr", date(2024, 6, 2)), (5, "name", date(2024, 5, 5)), (6, "addr", None),
+    ]
+    got = client_mart.change_flags(spark.createDataFrame(rows, "cli_num int, kind string, change_dt date"), SNAP)
+    assert got.columns == ["po_num", *(f"f_{k}chg_{n}m" for k in ("addr", "occp") for n in (1, 3, 6, 12))]
+    assert {r["po_num"]: tuple(r)[1:] for r in got.collect()} == {
+        1: (1, 1, 1, 1, 0, 0, 0, 0), 2: (0, 1, 1, 1, 0, 0, 0, 0), 3: (0, 0, 0, 0, 1, 1, 1, 1), 5: (0,) * 8,
+    }
