@@ -1,8 +1,13 @@
-"""A small tolerant HTML reader: block elements as a tree, with the text runs they hold in page order."""
+"""A small tolerant HTML reader: block elements as a tree, with the text runs they hold in page order.
+
+Text that stands beside block elements, or directly in the page or its body, has a node of its own (``#text``).
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -29,6 +34,8 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 HOLDS = {"table", "td", "th", "body", "html"}  # a paragraph outside these stays open
+BARE = "#text"
+FRAME = {"#page", "html", "body"}
 
 
 @dataclass
@@ -63,45 +70,58 @@ class Page:
 
 
 def read(html: str) -> Page:
-    """Blocks of a page. White space in a run is one space; unseen elements, scripts and comments hold no text."""
+    """Blocks of a page. White space in a run is one space; unseen elements, scripts and comments hold no text.
+
+    Where open elements of each tag stand in the stack is kept, so that no tag walks the stack.
+    """
     page = Page([Node("#page", -1)], [], [], [])
     nodes, stack = page.nodes, [0]
+    places: dict[str, list[int]] = {}  # of each tag, the places of its open elements
+    last_end = html.rfind(">")
     pieces: list[str] = []
     in_links: list[str] = []
     links = holder = 0
     hidden: list[str] = []  # open elements from the outermost unseen one on
+    hides: Counter[str] = Counter()
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                nodes[holder].runs.append(len(page.texts))
+                nodes.append(Node(BARE, holder, runs=[len(page.texts)]))
                 page.texts.append(text)
-                page.owners.append(holder)
+                page.owners.append(len(nodes) - 1)
                 page.linked.append(min(len(text), len(" ".join("".join(in_links).split()))))
             pieces.clear()
             in_links.clear()
 
+    def open_node(tag: str, attributes: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        nodes.append(Node(tag, stack[-1], attributes))
+        stack.append(len(nodes) - 1)
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            places[nodes[stack.pop()].tag].pop()
+
     def close(tags: set[str], stops: set[str]) -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[at]].tag
-            if tag in tags:
-                del stack[at:]
-            elif tag in stops:
-                return
+        stop = max((places[t][-1] for t in stops if places.get(t)), default=0)
+        above = [places[t][k] for t in tags if places.get(t) and (k := bisect_right(places[t], stop)) < len(places[t])]
+        if above:
+            cut(min(above))
 
     def end(tag: str) -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            if nodes[stack[at]].tag == tag:
-                del stack[at:]
-                return
+        if places.get(tag):
+            cut(places[tag][-1])
 
     at = 0
     while True:
-        found = _TAG.search(html, at)
+        # Behind the last ">" only a comment or a declaration can still begin.
+        found = _TAG.search(html, at) if at <= last_end or html.find("<!", at) >= 0 or html.find("<?", at) >= 0 else None
         text = html[at : found.start() if found else len(html)]
         if hidden == ["head"] and text.strip():
             hidden.clear()
+            hides.clear()
         if text and not hidden:
             if holder != stack[-1] and (not pieces or text.strip()):
                 flush()
@@ -118,13 +138,16 @@ def read(html: str) -> Page:
             continue
         if found[1]:
             if hidden:
-                if tag in hidden:
-                    while hidden.pop() != tag:
-                        pass
+                if hides[tag]:
+                    gone = ""
+                    while gone != tag:
+                        gone = hidden.pop()
+                        hides[gone] -= 1
                     continue
-                if all(nodes[k].tag != tag for k in stack):
+                if not places.get(tag):
                     continue
                 hidden.clear()  # the block around it ends
+                hides.clear()
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in FALLBACK:
@@ -136,6 +159,7 @@ def read(html: str) -> Page:
             continue
         if hidden == ["head"] and tag not in HEAD:
             hidden.clear()
+            hides.clear()
         if tag in RAW:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             at = over.end() if over else len(html)
@@ -143,6 +167,7 @@ def read(html: str) -> Page:
         if hidden or tag in UNSEEN:
             if tag not in INLINE and tag not in VOID and not found[3].endswith("/") and (hidden != ["head"] or tag in UNSEEN | FALLBACK):
                 hidden.append(tag)
+                hides[tag] += 1
             continue
         if tag in INLINE:
             links += tag == "a"
@@ -153,15 +178,27 @@ def read(html: str) -> Page:
                     flush()
         elif tag in FALLBACK:
             if not found[3].endswith("/"):
-                nodes.append(Node(tag, stack[-1], found[3]))
-                stack.append(len(nodes) - 1)
+                open_node(tag, found[3])
         else:
             flush()
             links = 0
             close({"p"}, HOLDS)
             if tag in ENDS:
                 close(*ENDS[tag])
-            nodes.append(Node(tag, stack[-1], found[3]))
-            stack.append(len(nodes) - 1)
+            open_node(tag, found[3])
     flush()
-    return page
+    return _settled(page)
+
+
+def _settled(page: Page) -> Page:
+    """The page with text nodes only where text stands beside blocks or in the frame; other text belongs to its block."""
+    mixed = {node.parent for node in page.nodes if node.tag != BARE and node.tag not in FALLBACK}
+    place, kept = {}, []
+    for i, node in enumerate(page.nodes):
+        if node.tag == BARE and page.nodes[node.parent].tag not in FRAME and node.parent not in mixed:
+            place[i] = place[node.parent]
+            kept[place[i]].runs += node.runs
+            continue
+        place[i] = len(kept)
+        kept.append(Node(node.tag, place[node.parent] if i else -1, node.attributes, node.runs))
+    return Page(kept, page.texts, [place[k] for k in page.owners], page.linked)

@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over the block elements of each page, decoded along the tree.
 
-Each block element gets features of its subtree (text and link density), its tag and attribute tokens, its depth and
-its siblings. Gradient-boosted trees, trained here on labelled pages of many layouts that ``sample_page``
+Each block element, and each text that stands beside block elements or directly in the body, gets features of its
+subtree (text and link density), its tag and attribute tokens, its depth and its siblings. Gradient-boosted trees, trained here on labelled pages of many layouts that ``sample_page``
 writes, give the probability that it holds main text if its parent does. Decoding
 multiplies these from the root down, so ancestors and descendants never contradict.
 
@@ -21,17 +21,17 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.dom import Page, read
+from cohortloom.llm.dom import BARE, FRAME, Page, read
 from cohortloom.llm.words import slices
 
-SAMPLE_PAGES, SEED = 400, 7  # the labelled pages that the trees are fitted on
-TREES, DEPTH, STEP = 20, 4, 0.3
+SAMPLE_PAGES, SEED = 1500, 7  # the labelled pages that the trees are fitted on
+TREES, DEPTH, STEP = 50, 5, 0.3
 
 TAGS = [
     {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset"}, {"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"},
-    {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "td", "th"}, {"body", "html", "#page"},
+    {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "td", "th"}, {"body", "html", "#page"}, {BARE},
 ]
-FRAME = {"#page", "html", "body"}  # always kept; what they hold is chosen
+MARK = "\ue000"  # begins main text of sample pages that has no element of its own
 SECTIONS = 6  # the first of these also count as ancestors
 FAMILIES = [
     {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "links", "pagination", "pager", "toc", "tabs"},
@@ -180,18 +180,29 @@ def sample_page(rng: random.Random) -> str:
     notice = lambda: box(["div", "section"], ["cookie", "notice", "consent", "alert"], f"<p>{prose(1, 3)}</p>{link()}")
     form = lambda: box(["form"], ["newsletter", "search", "login"], f"<p>{sentence()}</p><label>{word()}</label><input><button>{word()}</button>")
     side = lambda: box(["aside", "aside", "div"], ["sidebar", "related", "widget"], f"<h3>{words(2)}</h3>" + rng.choice([f"<ul>{items(2, 8, 7)}</ul>", f"<p>{prose(1, 4)}</p>", ad()]))
-    foot = lambda: box(["footer", "footer", "div"], ["footer", "copyright", "legal"], rng.choice([f"&copy; {words(3)} &middot; {sentence()}", f"<p>{prose(1, 3)}</p><ul>{items(1, 6)}</ul>", prose(1, 2)]))
+    foot = lambda: box(["footer", "footer", "div"], ["footer", "copyright", "legal"], rng.choice([f"&copy; {words(3)} &middot; {sentence()}", f"&copy; {word()}.example &middot; {prose(1, 2)}", f"<p>{prose(1, 3)}</p><ul>{items(1, 6)}</ul>", prose(1, 2)]))
     head = lambda: box(["header", "div"], ["header", "masthead", "top"], rng.choice([f"<h1>{words(2)}</h1>", f"<div>{words(2)}</div><p>{sentence()}</p>", link()]) + rng.choice(["", menu()]))
 
     def reader() -> str:
         body = "".join(f"<li><b>{word()}</b><p>{prose(1, 6)}</p></li>" if rng.random() < 0.5 else f"<div class=\"comment\"><p>{prose(1, 6)}</p></div>" for _ in range(rng.randint(1, 6)))
         return box(["section", "div"], ["comments", "discussion", "replies"], f"<h3>{words(2)}</h3>{body}" + rng.choice(["", form()]))
 
+    def bare() -> str:
+        """A line that a page puts beside its blocks."""
+        return rng.choice([
+            f'<a href="#{word()}">{words(rng.randint(2, 4))}</a>', f"&copy; {rng.randint(1990, 2030)} {words(rng.randint(1, 4))}. {sentence()}",
+            f"&copy; {words(2)} {sentence()}", " | ".join(link() for _ in range(rng.randint(2, 6))), words(rng.randint(1, 4)), f"{words(2)}: {link()}", link(4),
+        ])
+
     def article() -> str:
-        parts = [marked(words(rng.randint(2, 10)), "h1")] if rng.random() < 0.85 else []
+        parts = [marked(words(rng.randint(1, 10)), "h1")] if rng.random() < 0.85 else []
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 25])):
             kind = rng.random()
-            if kind < 0.72:
+            if kind < 0.08:
+                parts.append(f"{MARK}{prose(1, 6)}")
+            elif kind < 0.11:
+                parts.append(f"{bare()}<hr>")
+            elif kind < 0.72:
                 parts.append(marked(rng.choice([prose(1, 9), sentence(), words(rng.randint(1, 60)), " | ".join(words(1) for _ in range(30))]), "p"))
             elif kind < 0.8:
                 parts.append(marked(words(3), rng.choice(["h2", "h3"])))
@@ -213,18 +224,26 @@ def sample_page(rng: random.Random) -> str:
         main = box(["main", "div"], ["content", "wrap", "page"], main + rng.choice(["", reader()]))
     if rng.random() < 0.1:
         main = ""  # a page without an article
-    around = [f() for f in (menu, ad, head, notice, form) if rng.random() < 0.45]
+    if rng.random() < 0.12:  # a page of plain paragraphs
+        main = "<hr>".join(f"{MARK}{prose(1, 7)}" for _ in range(rng.randint(1, 6)))
+    busy = rng.choice([0.0, 0.3, 0.5, 0.5])  # some pages are hardly more than their article
+    around = [f() for f in (menu, ad, head, notice, form, bare, bare) if rng.random() < busy]
     rng.shuffle(around)
-    after = [f() for f in (side, reader, ad, foot, foot, menu) if rng.random() < 0.4]
-    whole = "".join([*around, main, *after])
+    after = [f() for f in (side, reader, ad, foot, foot, menu, bare, bare) if rng.random() < busy]
+    # Lines without an element are set apart, so that they do not run into each other.
+    whole = "<hr>".join([*around, main, *after])
     for _ in range(rng.choice([0, 0, 1, 2])):
         whole = f"<div class=\"{rng.choice(['wrap', 'container', 'page', 'layout', word()])}\">{whole}</div>"
+    if rng.random() < 0.15:  # a page without a frame
+        return whole
     return f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{whole}</body></html>"
 
 
 def labels(page: Page) -> np.ndarray:
-    """1 for marked blocks, what holds them, and the frame of the page."""
-    marked = np.array([node.tag in FRAME or node.value("data-y") == "1" for node in page.nodes])
+    """1 for marked blocks and texts, what holds them, and the frame of the page."""
+    marked = np.array([
+        node.tag in FRAME or node.value("data-y") == "1" or (node.tag == BARE and any(page.texts[k].startswith(MARK) for k in node.runs)) for node in page.nodes
+    ])
     for i in range(len(page.nodes) - 1, 0, -1):
         marked[page.nodes[i].parent] |= marked[i]
     return marked.astype(float)

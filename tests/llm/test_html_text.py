@@ -94,3 +94,48 @@ def test_reader_hides_no_more_than_it_must(source, texts):
 def test_text_in_a_fallback_has_its_own_node():
     page = read("<p>a <object>b</object> c</p>")
     assert [page.nodes[k].tag for k in page.owners] == ["p", "object", "p"]
+
+
+ARTICLE = "<article><h1>On rivers</h1><p>Rivers carry water from the hills to the sea. They shape the land on their way.</p><p>Some of them run dry in summer. Others flood the fields each spring.</p></article>"
+SKIP, RIGHTS = '<a href="#content">Skip to content</a>', "&copy; 2024 Corp. All rights reserved."
+NAV = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<html><body>{skip}{nav}{article}{rights}</body></html>", "{skip}{nav}{article}{rights}", "<body><div class=wrap>{skip}{nav}{article}{rights}</div></body>",
+        "<body>{nav}{skip}<main>{article}</main>{rights}</body>", "<div id=page><div>{nav}</div>{article}<div>{rights}</div></div>",
+    ],
+)
+def test_lines_beside_blocks_are_chosen_like_blocks(model, layout):
+    html = layout.format(skip=SKIP, nav=NAV, article=ARTICLE, rights=RIGHTS)
+    (text,) = html_text.main_texts(model, [html])
+    assert "Skip" not in text and "rights" not in text and "Home" not in text
+    assert text.startswith("On rivers\n\nRivers carry water") and text.endswith("each spring.")
+
+
+def test_a_page_of_plain_text_is_its_text(model):
+    plain = "Rivers carry water from the hills to the sea. They shape the land on their way, and some of them run dry in summer."
+    assert list(html_text.main_texts(model, [plain, f"<html><body>{plain}</body></html>"])) == [plain, plain]
+
+
+def test_texts_beside_blocks_have_nodes_of_their_own():
+    page = read("<body>a<div>b<p>c</p>d</div><p>e <b>f</b></p>g</body>")
+    assert [(page.nodes[k].tag, page.nodes[page.nodes[k].parent].tag, t) for k, t in zip(page.owners, page.texts, strict=True)] == [
+        ("#text", "body", "a"), ("#text", "div", "b"), ("p", "div", "c"), ("#text", "div", "d"), ("p", "body", "e f"), ("#text", "body", "g"),
+    ]
+    assert all(n.parent < k for k, n in enumerate(page.nodes)) and [page.nodes[k].runs for k in page.owners] == [[k] for k in range(6)]
+
+
+def test_long_odd_pages_take_seconds():
+    import time
+
+    n, start = 200_000, time.perf_counter()
+    assert read("<div>" * n + "deep").texts == ["deep"]
+    assert read("<div" * n).texts == ["<div" * n]
+    assert read("<p><table><td>" + "<div>" * n + "x" + "</div>" * n).texts == ["x"]
+    assert read("<svg>" + "<g>" * n + "</g>" * n + "</svg>y").texts == ["y"]
+    assert read("<ul>" + "<li>z" * n).texts == ["z"] * n
+    assert read("</div>" * n + "<!" * 1000 + "w").texts in (["w"], [])
+    assert time.perf_counter() - start < 60
