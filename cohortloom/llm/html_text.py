@@ -27,8 +27,9 @@ from cohortloom.llm.words import slices
 SAMPLE_PAGES, SEED = 1500, 7  # the labelled pages that the trees are fitted on
 TREES, DEPTH, STEP = 50, 5, 0.3
 
+ARTICLE = {"article", "main"}
 TAGS = [
-    {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset"}, {"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"},
+    {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset"}, ARTICLE, {"section"}, {"div"}, {"p", "blockquote", "pre"},
     {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "td", "th"}, {"body", "html", "#page"}, {BARE},
 ]
 MARK = "\ue000"  # begins main text of sample pages that has no element of its own
@@ -49,7 +50,7 @@ def node_features(page: Page) -> np.ndarray:
     """One row for each node."""
     nodes, n = page.nodes, len(page.nodes)
     chars, linked, runs, words, stops, size, paragraphs = (np.zeros(n) for _ in range(7))
-    own = np.zeros(n)
+    own, rights, holds = np.zeros(n), np.zeros(n), np.zeros(n)
     first = np.full(n, len(page.texts), float)
     for k, (text, owner, links) in enumerate(zip(page.texts, page.owners, page.linked, strict=True)):
         own[owner] += len(text)
@@ -57,6 +58,7 @@ def node_features(page: Page) -> np.ndarray:
         runs[owner] += 1
         words[owner] += text.count(" ") + 1
         stops[owner] += text.count(".") + text.count("!") + text.count("?") + text.count("。")
+        rights[owner] += "©" in text[:40]
         first[owner] = min(first[owner], k)
     chars += own
     depth, order, children = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -69,6 +71,7 @@ def node_features(page: Page) -> np.ndarray:
             if node.tag in group:
                 tags[i, t] = 1
                 break
+        holds[i] = node.tag in ARTICLE
         tokens = node.tokens()
         for f, group in enumerate(FAMILIES) if tokens else ():
             family[i, f] = any(t in group for t in tokens)
@@ -81,7 +84,7 @@ def node_features(page: Page) -> np.ndarray:
             within[i] = np.maximum(within[p], tags[p, :SECTIONS])
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
-        for sums in (chars, linked, runs, words, stops, size, paragraphs):
+        for sums in (chars, linked, runs, words, stops, size, paragraphs, rights, holds):
             sums[p] += sums[i]
         first[p] = min(first[p], first[i])
     parent = np.array([max(node.parent, 0) for node in nodes])
@@ -98,6 +101,8 @@ def node_features(page: Page) -> np.ndarray:
         np.log1p(chars), chars / total, np.log1p(own), own / np.maximum(chars, 1), density, density[parent], chars / size, words / np.maximum(runs, 1),
         stops / np.maximum(words, 1), np.log1p(paragraphs), np.log1p(size), np.minimum(depth, 30), order, siblings, order / siblings,
         np.log1p(before), np.log1p(after), chars / np.maximum(chars[parent], 1), chars[parent] / np.maximum(siblings, 1) / total, first / max(len(page.texts), 1),
+        # A block apart from the article element of its page, and a block that is little more than a line of rights.
+        np.minimum(holds, 1), np.full(n, min(holds[0], 1)), rights / np.maximum(runs, 1),
     ]
     return np.column_stack([*columns, tags, family, above, within])
 
@@ -174,6 +179,8 @@ def sample_page(rng: random.Random) -> str:
             text = rng.choice([f"<b>{head}</b> {rest}", f"{head} {link()} {rest}", f"<em>{text}</em>", f"{head}<br>{rest}"])
         return f'<{tag} data-y="1">{text}</{tag}>'
 
+    # Any block around the article may stand in a <div> that says nothing.
+    wrapped = lambda block: f"<div>{block}</div>" if rng.random() < 0.15 else block
     items = lambda low, high, n=2: "".join(f"<li>{link(n)}</li>" for _ in range(rng.randint(low, high)))
     menu = lambda: box(["nav", "nav", "div", "ul"], ["nav", "menu", "navbar", "breadcrumbs"], rng.choice([f"<ul>{items(2, 9)}</ul>", " | ".join(link() for _ in range(rng.randint(2, 7)))]))
     ad = lambda: box(["div", "div", "aside", "section"], ["ad", "advert", "ads", "sponsored", "promo", "banner"], rng.choice([prose(1, 3), link(6), f"<p>{prose(1, 3)}</p>"]))
@@ -227,13 +234,14 @@ def sample_page(rng: random.Random) -> str:
     if rng.random() < 0.12:  # a page of plain paragraphs
         main = "<hr>".join(f"{MARK}{prose(1, 7)}" for _ in range(rng.randint(1, 6)))
     busy = rng.choice([0.0, 0.3, 0.5, 0.5])  # some pages are hardly more than their article
-    around = [f() for f in (menu, ad, head, notice, form, bare, bare) if rng.random() < busy]
+    around = [wrapped(f()) for f in (menu, ad, head, notice, form, bare, bare) if rng.random() < busy]
     rng.shuffle(around)
-    after = [f() for f in (side, reader, ad, foot, foot, menu, bare, bare) if rng.random() < busy]
+    after = [wrapped(f()) for f in (side, reader, ad, foot, foot, menu, bare, bare) if rng.random() < busy]
     # Lines without an element are set apart, so that they do not run into each other.
     whole = "<hr>".join([*around, main, *after])
     for _ in range(rng.choice([0, 0, 1, 2])):
-        whole = f"<div class=\"{rng.choice(['wrap', 'container', 'page', 'layout', word()])}\">{whole}</div>"
+        name = rng.choice(["wrap", "container", "page", "layout", word()])
+        whole = f"<div{rng.choice([f' class={name}', f' id="{name}"', ''])}>{whole}</div>"
     if rng.random() < 0.15:  # a page without a frame
         return whole
     return f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{whole}</body></html>"
