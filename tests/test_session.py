@@ -1,11 +1,11 @@
-"""Run-time settings of a session: broadcasts by measured sizes."""
+"""Run-time settings of a session: broadcasts by measured sizes, and how much one task reads."""
 
 import pytest
 
 from cohortloom.operators import lookups
-from cohortloom.session import MEASURED_BROADCAST, MOST_UNMEASURED, STATIC_BROADCAST, prepare, size_in_bytes
+from cohortloom.session import ADVISORY, MEASURED_BROADCAST, MOST_PER_TASK, MOST_UNMEASURED, STATIC_BROADCAST, prepare, size_in_bytes
 
-KEYS = (STATIC_BROADCAST, MEASURED_BROADCAST)
+KEYS = (STATIC_BROADCAST, MEASURED_BROADCAST, ADVISORY)
 
 
 @pytest.fixture
@@ -49,14 +49,16 @@ def test_a_small_table_is_broadcast_once_it_is_measured(fresh, tmp_path):
 
 def test_limits_of_the_session_stay_where_they_are_lower(fresh):
     fresh.conf.set(STATIC_BROADCAST, "3MB")
+    fresh.conf.set(ADVISORY, "2m")
     for _ in range(2):
         prepare(fresh)
-        assert (fresh.conf.get(STATIC_BROADCAST), fresh.conf.get(MEASURED_BROADCAST)) == (str(MOST_UNMEASURED), "3MB")
+        assert (fresh.conf.get(STATIC_BROADCAST), fresh.conf.get(MEASURED_BROADCAST), fresh.conf.get(ADVISORY)) == (str(MOST_UNMEASURED), "3MB", "2m")
     for k in KEYS:
         fresh.conf.unset(k)
     fresh.conf.set(STATIC_BROADCAST, "-1")
     prepare(fresh)
     assert (fresh.conf.get(STATIC_BROADCAST), fresh.conf.get(MEASURED_BROADCAST)) == ("-1", "-1")
+    assert size_in_bytes(fresh.conf.get(ADVISORY)) == MOST_PER_TASK
 
 
 def test_sizes_are_read_as_spark_writes_them():
