@@ -3,9 +3,12 @@
 import pytest
 
 from cohortloom.operators import lookups
-from cohortloom.session import ADVISORY, MEASURED_BROADCAST, MOST_PER_TASK, MOST_UNMEASURED, STATIC_BROADCAST, prepare, size_in_bytes
+from cohortloom.session import (
+    ADVISORY, FINEST, GROWN, MEASURED_BROADCAST, MOST_PER_TASK, MOST_UNMEASURED, SPLIT, STATIC_BROADCAST, cut_for, prepare, size_in_bytes, stored_bytes,
+)
+from cohortloom.sources.star_tables import StarTables
 
-KEYS = (STATIC_BROADCAST, MEASURED_BROADCAST, ADVISORY)
+KEYS = (STATIC_BROADCAST, MEASURED_BROADCAST, ADVISORY, SPLIT, FINEST)
 
 
 @pytest.fixture
@@ -63,3 +66,36 @@ def test_limits_of_the_session_stay_where_they_are_lower(fresh):
 
 def test_sizes_are_read_as_spark_writes_them():
     assert [size_in_bytes(t) for t in ("-1", "7", "10MB", "64m", "67108864b", "1g", "16KB")] == [-1, 7, 10 * 2**20, 2**26, 2**26, 2**30, 2**14]
+
+
+def test_shuffles_are_cut_by_the_size_of_the_input(fresh, tmp_path, monkeypatch):
+    fresh.range(0, 400000, 1, 4).selectExpr("id as o_orderkey", "uuid() as o_note").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr("cohortloom.session.MOST_PER_TASK", 2**20)
+    size = stored_bytes(fresh, [f"{tmp_path}/orders.parquet", f"{tmp_path}/none.parquet"])
+    assert size > 10 * 2**20
+    orders = StarTables(fresh, str(tmp_path)).raw("orders")
+    asked = int(fresh.conf.get(FINEST))
+    assert asked == -(-GROWN * size // 2**20) and asked > int(fresh.conf.get("spark.sql.shuffle.partitions"))
+    ran = orders.groupBy("o_note").agg({"o_orderkey": "max"})
+    assert f", {asked})" in ran._jdf.queryExecution().executedPlan().toString()
+    assert ran.count() == 400000
+    fresh.conf.set(FINEST, str(asked + 1))
+    cut_for(fresh, [f"{tmp_path}/orders.parquet"])
+    assert fresh.conf.get(FINEST) == str(asked + 1)
+
+
+def test_a_task_reads_no_more_of_a_file_than_of_a_shuffle(fresh):
+    prepare(fresh)
+    assert size_in_bytes(fresh.conf.get(SPLIT)) == MOST_PER_TASK
+    fresh.conf.set(SPLIT, "1m")
+    prepare(fresh)
+    assert fresh.conf.get(SPLIT) == "1m"
+
+
+def test_quarter_margins_are_made_by_more_tasks_from_a_larger_file(fresh, tmp_path):
+    fresh.range(0, 200000, 1, 1).selectExpr("id as p_partkey", "uuid() as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    size = stored_bytes(fresh, [f"{tmp_path}/part.parquet"])
+    margins = StarTables(fresh, str(tmp_path)).quarter_margins()
+    tasks = -(-32 * size // MOST_PER_TASK)
+    assert tasks > 8 and margins.rdd.getNumPartitions() == tasks
+    assert margins.count() == margins.distinct().count() == 32 * 200000
