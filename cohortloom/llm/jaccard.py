@@ -39,6 +39,8 @@ TURNS = 2  # leaders that a list tries before its open sets meet shingle by shin
 MASK = 1 << 23
 SEEN = 1 << 16  # digests a task remembers, so that copies are listed once
 BATCH = 1 << 22  # bytes that a task puts together before it passes them on
+SLICE = 1 << 18  # bytes of text that a task takes apart at once; the arrays made of them are many times that
+FINER = 3  # every set stands in many lists, so the lists are dealt to that many times the session's tasks
 
 
 class Blocks:
@@ -146,7 +148,7 @@ def nodes(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(share)
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE):
             sets = list(shingle_sets(texts, words))
             node = pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())
             sign = pa.array([_signature(s) if len(s) else None for s in sets], pa.binary())
@@ -162,7 +164,7 @@ def postings(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, seen = Blocks(share), set()
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", SLICE):
             lists, owners, sizes = [], [], []
             for found in shingle_sets(texts, words):
                 node = _digest(found) if len(found) else None
@@ -185,7 +187,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, found) of (node, text) rows whose text has that set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE):
             wanted = part.column(part.schema.get_field_index("node")).to_pylist()
             made = [(n, s.tobytes()) for n, s in zip(wanted, shingle_sets(texts, words), strict=True) if len(s) and _digest(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([f for _, f in made], pa.binary())], ["node", "found"])
@@ -283,7 +285,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def _components(slim: DataFrame, rows: DataFrame, words: int, share: Fraction) -> DataFrame:
     """(node, component) of all nodes that link with another."""
-    listed = postings(slim, words, share)
+    listed = _dealt(postings(slim, words, share), "list")
     inside = Window.partitionBy("list")
     listed = listed.select("*", F.count("*").over(inside).alias("size"), F.min("node").over(inside).alias("low"), F.max("node").over(inside).alias("high"))
     listed = stage(listed.where("low < high").groupBy("list", "node").agg(F.max("size").alias("size")))
@@ -310,6 +312,11 @@ def _components(slim: DataFrame, rows: DataFrame, words: int, share: Fraction) -
     return _grown(joined, compare(pairs, slim, rows, words, share))
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by key over ``FINER`` times the session's partitions, so that the sorts of a task stay small."""
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _led(member: DataFrame, chance: Column) -> DataFrame:
     """(a, b): the set of each list with the least ``chance``, with each of the others."""
     leader = member.groupBy("list").agg(F.min_by("node", chance).alias("leader"))

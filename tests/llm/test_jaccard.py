@@ -2,6 +2,7 @@ import random
 import re
 from fractions import Fraction
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -86,6 +87,23 @@ def test_components_of_a_long_chain_a_star_and_loops(spark, frame):
     assert components(frame([], "a long, b long")).count() == 0
 
 
+def test_lists_are_dealt_to_more_tasks_than_the_session_has(spark, frame, monkeypatch):
+    counts = []
+    written = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df: (counts.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), written(df))[1])
+    docs = frame([(k, f"one two three four five {k % 2}") for k in range(40)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.classes(docs, words=2, share=Fraction(1, 2)).collect()} == {0}
+    plans = [plan for columns, plan in counts if columns == ["list", "node", "size"]]
+    asked = jaccard.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(plans) == 1 and re.search(rf"RepartitionByExpression \[list#\d+L?\], {asked}", plans[0])
+
+
+def test_a_task_takes_small_slices_of_texts_apart():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 1000 + ["y" * 10**6])], ["text"])
+    sizes = [[len(t) for t in texts.to_pylist()] for _, texts in jaccard.slices([batch], "text", jaccard.SLICE)]
+    assert sum(len(s) for s in sizes) == 1001 and all(sum(s) <= 1 << 18 or len(s) == 1 for s in sizes)
+
+
 def test_a_text_without_an_id_links_others(spark, frame):
     words = [f"w{k}" for k in range(40)]
     texts = [" ".join(words), " ".join([*words[4:], *"abcd"]), " ".join([*words[8:], *"abcdefgh"])]
