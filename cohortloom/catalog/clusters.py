@@ -13,7 +13,7 @@ from cohortloom.catalog.sql import TYPES, cut, with_parts
 from cohortloom.operators import clustering, reports
 from cohortloom.operators.sampling import sample_by_key, sample_sql
 from cohortloom.plans.client_mart import CHANGE_MONTHS, CHANGES, cover_name
-from cohortloom.session import new_folder, settle
+from cohortloom.session import new_folder
 from cohortloom.sources.sinks import stage, write_partitions
 from cohortloom.sources.tables import parquet_table
 
@@ -34,9 +34,9 @@ FRACTION, SEED, K = 0.3, 123, 5
 
 
 def _numbers(wide):
-    """Features as numbers, settled; deciles and flags are filled, and so is what no sampled client has."""
+    """Features as numbers, stored; deciles and flags are filled, and so is what no sampled client has."""
     told = clustering.as_numbers(wide.select("po_num", *[f"`{c}`" for c in (*SCALED, *PLAIN)]), [*SCALED, *PLAIN])
-    features = settle(told.fillna(SENTINELS).fillna(0, subset=PLAIN))
+    features = stage(told.fillna(SENTINELS).fillna(0, subset=PLAIN), new_folder(wide.sparkSession))
     unknown = clustering.without_values(sample_by_key(features, "po_num", FRACTION, SEED), SCALED)
     return features.fillna(0, subset=unknown) if unknown else features
 
