@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortloom import session
 from cohortloom.catalog import agents as agent_queries
 from cohortloom.catalog import clients as client_queries
+from cohortloom.catalog import studies
 from cohortloom.catalog.slicing import in_slices
 from cohortloom.functions.calendar import Snapshot
 from cohortloom.plans import client_mart
@@ -128,3 +129,10 @@ def test_coverages_are_dealt_three_times_for_the_summary(spark):
     wide = [line for line in shape.splitlines() if "Exchange hashpartitioning(" in line]
     assert sum("hashpartitioning(wa_code" in line for line in wide) == 1
     assert sum("hashpartitioning(plan_code" in line and "effective_qtr" not in line for line in wide) <= 4 and not any("effective_qtr" in line for line in wide)
+
+
+def test_agents_of_the_study_in_slices_are_those_of_one(spark, monkeypatch):
+    t = StarTables(spark, SMALL)
+    agents = _rows(studies._agents(t))
+    monkeypatch.setattr(session, "MOST_PER_SLICE", 1)
+    assert _rows(studies._agents(t, in_slices(t, "wa_code", lambda of_slice: studies._agent_kpis(t, of_slice)))) == agents and agents
