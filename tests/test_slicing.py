@@ -136,3 +136,17 @@ def test_agents_of_the_study_in_slices_are_those_of_one(spark, monkeypatch):
     agents = _rows(studies._agents(t))
     monkeypatch.setattr(session, "MOST_PER_SLICE", 1)
     assert _rows(studies._agents(t, in_slices(t, "wa_code", lambda of_slice: studies._agent_kpis(t, of_slice)))) == agents and agents
+
+
+def test_the_campaign_base_leaves_only_its_last_shuffles(spark, monkeypatch):
+    """What is made of coverages and claims is stored before the customers are joined, whatever the number of slices."""
+    t, asked = StarTables(spark, SMALL), []
+    stage_parts = sinks.stage_parts
+
+    def counted(parts, path):
+        asked.append(path)
+        return stage_parts(parts, path)
+
+    monkeypatch.setattr(sinks, "stage_parts", counted)
+    shape = studies._campaign(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) >= 3 and "l_extendedprice" not in shape and "l_suppkey" not in shape
