@@ -33,16 +33,17 @@ WEIGHTS = {"cli_ltv": 10.0}
 FRACTION, SEED, K = 0.3, 123, 5
 
 
-def _numbers(wide):
-    """Features as numbers, stored; deciles and flags are filled, and so is what no sampled client has."""
+def _numbers(wide, sampled=True):
+    """Features as numbers, stored; deciles and flags are filled, and so is what no client of the fit, a sample or all, has."""
     told = clustering.as_numbers(wide.select("po_num", *[f"`{c}`" for c in (*SCALED, *PLAIN)]), [*SCALED, *PLAIN])
     features = stage(told.fillna(SENTINELS).fillna(0, subset=PLAIN), new_folder(wide.sparkSession))
-    unknown = clustering.without_values(sample_by_key(features, "po_num", FRACTION, SEED), SCALED)
+    fitted = sample_by_key(features, "po_num", FRACTION, SEED) if sampled else features
+    unknown = clustering.without_values(fitted, SCALED)
     return features.fillna(0, subset=unknown) if unknown else features
 
 
-def _features(t):
-    return _numbers(mart(t, channel=None))
+def _features(t, sampled=True):
+    return _numbers(mart(t, channel=None), sampled)
 
 
 def _pipeline():
@@ -133,14 +134,15 @@ def _spread_sql(c):
 
 @query("one_cluster_inertia", with_parts(f"select * from (with {_SAMPLE} " + " union all ".join(_spread_sql(c) for c in (*SCALED, *PLAIN)) + ")", "client_mart_all"))
 def one_cluster_inertia(t):
-    """The first row of the elbow table, feature by feature."""
+    """The inertia of one cluster of the sampled clients, feature by feature."""
     sampled = sample_by_key(_features(t), "po_num", FRACTION, SEED)
     return tidy(clustering.inertia_by_feature(_pipeline().fit(sampled).transform(sampled).select(clustering.FEATURES), [*SCALED, *PLAIN]), 3)
 
 
 @query("elbow_table")
 def elbow_table(t):
-    return clustering.elbow_table(sample_by_key(_features(t), "po_num", FRACTION, SEED), _pipeline(), 9, SEED)
+    """Inertia for one to nine clusters of all clients."""
+    return clustering.elbow_table(_features(t, sampled=False), _pipeline(), 9, SEED)
 
 
 @query("seeded_sample", f"select c_custkey as cli_num from customer where {sample_sql('c_custkey', FRACTION, SEED)}")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from cohortloom import session
 from cohortloom.catalog import agents as agent_queries
 from cohortloom.catalog import clients as client_queries
-from cohortloom.catalog import studies
+from cohortloom.catalog import clusters, studies
 from cohortloom.catalog.slicing import in_slices
 from cohortloom.functions.calendar import Snapshot
+from cohortloom.operators import clustering
 from cohortloom.plans import client_mart
 from cohortloom.sources import sinks
 from cohortloom.sources.star_tables import StarTables
@@ -150,3 +151,12 @@ def test_the_campaign_base_leaves_only_its_last_shuffles(spark, monkeypatch):
     monkeypatch.setattr(sinks, "stage_parts", counted)
     shape = studies._campaign(t)._jdf.queryExecution().optimizedPlan().toString()
     assert len(asked) >= 3 and "l_extendedprice" not in shape and "l_suppkey" not in shape
+
+
+def test_the_elbow_table_counts_every_client(spark):
+    t = StarTables(spark, SMALL)
+    features = clusters._features(t, sampled=False)
+    fitted = clusters._pipeline().fit(features)
+    every = clustering.inertia_of_one(fitted.transform(features).select(clustering.FEATURES))
+    table = {r["k"]: r["inertia"] for r in clusters.elbow_table(t).collect()}
+    assert sorted(table) == list(range(1, 10)) and table[1] == pytest.approx(every, rel=1e-9)
