@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.clients import ANY_FLAGS, CITIES, MEANS, SUM_FLAGS, _STAGES, mart
-from cohortloom.catalog.registry import query, tidy
+from cohortloom.catalog.registry import query, tidy, tidy_mean
 from cohortloom.catalog.sql import TYPES, cut, with_parts
 from cohortloom.operators import clustering, reports
 from cohortloom.operators.sampling import sample_by_key, sample_sql
@@ -122,7 +122,7 @@ def _imputed(c):
 def feature_scaling(t):
     """Mean and deviation by which each number of the sampled clients is standardised."""
     model = _pipeline().fit(sample_by_key(_features(t), "po_num", FRACTION, SEED))
-    return tidy(clustering.scaling(model, SCALED, t.spark), 3)
+    return tidy_mean(clustering.scaling(model, SCALED, t.spark), 3)
 
 
 def _spread_sql(c):
@@ -136,7 +136,7 @@ def _spread_sql(c):
 def one_cluster_inertia(t):
     """The inertia of one cluster of the sampled clients, feature by feature."""
     sampled = sample_by_key(_features(t), "po_num", FRACTION, SEED)
-    return tidy(clustering.inertia_by_feature(_pipeline().fit(sampled).transform(sampled).select(clustering.FEATURES), [*SCALED, *PLAIN]), 3)
+    return tidy_mean(clustering.inertia_by_feature(_pipeline().fit(sampled).transform(sampled).select(clustering.FEATURES), [*SCALED, *PLAIN]), 3)
 
 
 @query("elbow_table")

@@ -12,6 +12,7 @@ from cohortloom import session
 from cohortloom.catalog import agents as agent_queries
 from cohortloom.catalog import clients as client_queries
 from cohortloom.catalog import clusters, studies
+from cohortloom.catalog.registry import tidy_mean
 from cohortloom.catalog.slicing import in_slices
 from cohortloom.functions.calendar import Snapshot
 from cohortloom.operators import clustering
@@ -160,3 +161,8 @@ def test_the_elbow_table_counts_every_client(spark):
     every = clustering.inertia_of_one(fitted.transform(features).select(clustering.FEATURES))
     table = {r["k"]: r["inertia"] for r in clusters.elbow_table(t).collect()}
     assert sorted(table) == list(range(1, 10)) and table[1] == pytest.approx(every, rel=1e-9)
+
+
+def test_the_last_bits_of_a_mean_do_not_decide_its_rounding(spark):
+    df = spark.createDataFrame([("a", 2088.1364999999996), ("b", 2088.1365), ("c", 2088.13649), ("d", None), ("e", -0.0004999999999999999)], "k string, mean double")
+    assert {r["k"]: r["mean"] for r in tidy_mean(df, 3).collect()} == {"a": 2088.137, "b": 2088.137, "c": 2088.136, "d": None, "e": -0.001}
